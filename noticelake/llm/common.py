@@ -93,3 +93,13 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def held_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` (a stored table) marked for broadcast if it has at most ``rows`` rows, else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
