@@ -1,2 +1,219 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Line dedup by a segment-partition edit join, in DataFrame functions alone.
+
+Equal lines become one entry first.  An entry of length l is cut into THRESHOLD + 1 even
+segments; if two lines are within THRESHOLD edits, some segment of the shorter stands
+unchanged in the longer, not far from its place.  Segments are indexed by (length, number,
+text), and a line probes, for every length it may pair with, only the start positions that
+the number of the segment and the difference in length leave open.  Candidates are verified
+by a banded bit-parallel edit distance: one machine word holds the 2 * THRESHOLD + 1 cells
+around the diagonal, and a column takes a dozen bit operations.
+
+A line goes if an equal or linked line stands earlier in the corpus, by (doc_id, line number).
+That is judged on the input: a chain of links removes all but those without an earlier one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import held_small, let, stored, table
+
+THRESHOLD, MIN_CHARS = 2, 30
+#: Candidate pairs up to which the lines they name are picked by broadcast.
+PAIRS_HELD = 200_000
+
+
+def _key(length: Column, number: int, text: Column) -> Column:
+    return F.xxhash64(length, F.lit(number), text)
+
+
+def _places(length: Column, number: int, parts: int) -> tuple[Column, Column]:
+    """Start (from 0) and length of a segment: shorter segments come first."""
+    short, longer = F.floor(length / parts).cast("int"), length % parts
+    extra = F.greatest(F.lit(number) - (F.lit(parts) - longer), F.lit(0))
+    own = short + F.when(F.lit(number) >= F.lit(parts) - longer, 1).otherwise(0)
+    return short * number + extra, own
+
+
+def index_keys(line: Column, n: Column, threshold: int) -> Column:
+    keys = []
+    for number in range(threshold + 1):
+        start, size = _places(n, number, threshold + 1)
+        keys.append(_key(n, number, F.substr(line, start + 1, size)))
+    return F.array(*keys)
+
+
+def probe_keys(line: Column, n: Column, threshold: int) -> Column:
+    """Keys of all substrings that a partner up to ``threshold`` shorter may have as a segment."""
+    keys = []
+    for shorter in range(threshold + 1):
+        for number in range(threshold + 1):
+            start, size = _places(n - shorter, number, threshold + 1)
+            left = max(-number, shorter - (threshold - number))
+            right = min(number, shorter + threshold - number)
+            for shift in range(left, right + 1):
+                inside = (start + shift >= 0) & (start + shift + size <= n)
+                keys.append(F.when(inside, _key(n - shorter, number, F.substr(line, start + shift + 1, size))))
+    return F.filter(F.array(*keys), lambda k: k.isNotNull())
+
+
+def banded_distance(longer: Column, shorter: Column, band: int) -> Column:
+    """Edit distance of two strings whose lengths differ by at most ``band``; exact up to ``band``."""
+    width = 2 * band + 1
+    full = (1 << width) - 1
+    state = "struct<at:int,up:bigint,down:bigint,d:int>"
+    bit = lambda v: F.lit(v).cast("long")
+    start = F.struct(
+        F.lit(0).alias("at"), bit(full & ~((1 << band + 1) - 1)).alias("up"), bit(0).alias("down"), F.lit(0).alias("d")
+    ).cast(state)
+    both = lambda a, b: a.bitwiseOR(b)
+    cut = lambda a: a.bitwiseAND(bit(full))
+    inverse = lambda a: cut(F.bitwise_not(a))
+
+    def distance(p: Column, s: Column) -> Column:
+        def column(st: Column, c: Column) -> Column:
+            equal = bit(0)
+            for k in range(width):
+                equal = equal + F.when(F.get(p, st["at"] + (k - band)) == c, bit(1 << k)).otherwise(bit(0))
+            # the band moves one row down: what was cell k + 1 is cell k now
+            moved = F.struct(
+                equal.alias("eq"),
+                both(F.shiftright(st["up"], 1), bit(1 << 2 * band)).alias("up"),
+                F.shiftright(st["down"], 1).alias("down"),
+            )
+            return let(moved, lambda m: diagonal(st, m))
+
+        def diagonal(st: Column, m: Column) -> Column:
+            carried = (m["eq"].bitwiseAND(m["up"]) + m["up"]).bitwiseXOR(m["up"])
+            zero = cut(both(both(carried, m["eq"]), m["down"]))
+            return let(zero, lambda z: across(st, m, z))
+
+        def across(st: Column, m: Column, z: Column) -> Column:
+            right = cut(both(F.shiftleft(both(m["down"], inverse(both(z, m["up"]))), 1), bit(1)))
+            left = cut(F.shiftleft(z.bitwiseAND(m["up"]), 1))
+            sides = F.struct(right.alias("right"), left.alias("left"))
+            return let(
+                sides,
+                lambda h: F.struct(
+                    (st["at"] + 1).alias("at"),
+                    both(h["left"], inverse(both(z, h["right"]))).alias("up"),
+                    z.bitwiseAND(h["right"]).alias("down"),
+                    (st["d"] + 1 - F.shiftright(z, band).bitwiseAND(bit(1))).cast("int").alias("d"),
+                ),
+            )
+
+        end = F.aggregate(s, start, lambda st, c: column(st, c).cast(state))
+        rest = F.element_at(F.array(*[bit(((1 << k) - 1) << band + 1) for k in range(band + 1)]), F.size(p) - F.size(s) + 1)
+        return let(
+            end,
+            lambda e: e["d"] + F.bit_count(e["up"].bitwiseAND(rest)) - F.bit_count(e["down"].bitwiseAND(rest)),
+        )
+
+    chars = lambda t: F.filter(F.split(t, ""), lambda c: c != "")
+    pair = F.struct(chars(longer).alias("p"), chars(shorter).alias("s"))
+    return let(pair, lambda x: distance(x["p"], x["s"]))
+
+
+def line_table(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no (from 0), line.  Null text is one empty line, like empty text."""
+    return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+
+
+def entries(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Distinct lines of at least ``min_chars``: id, line, n, doc_id and line_no of the first, copies."""
+    grouped = lines.where(F.length("line") >= min_chars).groupBy("line").agg(
+        F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies")
+    )
+    return grouped.select(
+        F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("n"), "first", "copies"
+    )
+
+
+def edit_links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """All pairs of ``distinct`` (a stored table) within ``threshold`` edits: a, b (ids), a not shorter."""
+    line, n = F.col("line"), F.col("n")
+    index = distinct.select(F.col("id").alias("b"), F.explode(index_keys(line, n, threshold)).alias("key"))
+    probes = distinct.select(F.col("id").alias("a"), F.explode(probe_keys(line, n, threshold)).alias("key"))
+    met = probes.join(index, "key").where("a <> b").select("a", "b").distinct()
+    met = stored(met, "line-pairs")
+    named = met.select(F.col("a").alias("id")).union(met.select(F.col("b").alias("id"))).distinct()
+    texts = stored(distinct.select("id", "line", "n").join(held_small(stored(named, "line-ids"), 2 * PAIRS_HELD), "id"), "line-texts")
+    one = texts.select(F.col("id").alias("a"), F.col("line").alias("long"), F.col("n").alias("m"))
+    two = texts.select(F.col("id").alias("b"), F.col("line").alias("short"), F.col("n").alias("l"))
+    # pairs of one length were met from both sides
+    pairs = met.join(one, "a").join(two, "b").where("m > l OR (m = l AND a < b)")
+    # one distance a pair: a new partitioning keeps the work even
+    dealt = pairs.where(F.col("m") - F.col("l") <= threshold).repartition("a", "b")
+    return dealt.where(banded_distance(F.col("long"), F.col("short"), threshold) <= threshold).select("a", "b")
+
+
+def removals(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row per doc_id: doc_id, n_lines, n_removed, removed (line numbers from 0, ascending).
+
+    Lines of fewer than ``min_chars`` characters always stay, blank ones too.  Within a document
+    a later copy goes as well.  Rows that repeat a doc_id count as one document with the lines of
+    both.  Null text is one empty line.  Empty table: no rows.
+    """
+    lines = line_table(docs)
+    distinct = stored(entries(lines, min_chars), "lines")
+    links = stored(edit_links(distinct, threshold), "line-links")
+    firsts = distinct.select("id", "first")
+    ways = links.union(links.select("b", "a"))  # for each line, what it links to
+    linked = ways.join(firsts, F.col("b") == F.col("id")).groupBy("a").agg(F.min("first").alias("earliest"))
+    marks = lambda: (F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    known = distinct.join(linked, F.col("id") == F.col("a"), "left").select(
+        "line", F.least("first", F.coalesce("earliest", "first")).alias("earliest"), (F.col("earliest") < F.col("first")).alias("moved"), "copies"
+    )
+    known = known.where("copies > 1 OR moved").select(*marks(), "earliest")
+    seen = lines.select("doc_id", "line_no", *marks(), (F.length("line") >= min_chars).alias("judged"))
+    gone = F.col("judged") & (F.col("earliest") < F.struct("doc_id", "line_no"))
+    number = F.when(F.coalesce(gone, F.lit(False)), F.col("line_no"))
+    return seen.join(known, ["h", "h2"], "left").groupBy("doc_id").agg(
+        F.count("*").alias("n_lines"), F.count(number).alias("n_removed"), F.array_sort(F.collect_list(number)).alias("removed")
+    )
+
+
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` with the lines of ``removals`` taken out of text; other columns as they are."""
+    found = removals(docs, threshold, min_chars).select("doc_id", F.col("removed").alias("__removed"))
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed", i))
+    joined = docs.join(found, "doc_id", "left").withColumn("text", F.array_join(kept, "\n"))
+    return joined.select(*docs.columns)
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = removals(table(spark, sf_dir, "documents"))
+    return found.withColumn("removed", F.concat_ws(",", F.col("removed").cast("array<string>")))
+
+
+QUERIES = {"op10_line_dedup": op10_line_dedup}
+#: The distance here counts bytes, so characters beyond ASCII are mapped to single ones first.
+#: Two edits change the count of a letter by two at most, which spares most pairs the distance.
+ORACLES = {
+    "op10_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS line_no
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)
+), d AS (
+  SELECT line, length(line) AS n, min((doc_id, line_no)) AS first,
+         translate(line, 'äöüßáéíóúñèêàçâîôûïëùœÄÖÜÁÉÍÓÚÑÈÊÀÇ', '0123456789#$%&@^~|=+*!;:<>?/(){}[') AS code,
+         [length(replace(line, x, '')) FOR x IN ['e', 'n', 't', 'a', 'o', 'i', 'r', ' ']] AS r
+  FROM l WHERE length(line) >= 30 GROUP BY line
+), p AS (
+  SELECT a.line, min(b.first) AS earliest FROM d a, (VALUES (-2), (-1), (0), (1), (2)) v(k), d b
+  WHERE b.n = a.n + k AND a.line <> b.line AND
+    CASE WHEN abs(a.r[1] - b.r[1]) > 4 OR abs(a.r[2] - b.r[2]) > 4 OR abs(a.r[3] - b.r[3]) > 4 OR abs(a.r[4] - b.r[4]) > 4
+           OR abs(a.r[5] - b.r[5]) > 4 OR abs(a.r[6] - b.r[6]) > 4 OR abs(a.r[7] - b.r[7]) > 4 OR abs(a.r[8] - b.r[8]) > 4
+         THEN false ELSE levenshtein(a.code, b.code) <= 2 END
+  GROUP BY a.line
+), e AS (
+  SELECT d.line, CASE WHEN p.earliest < d.first THEN p.earliest ELSE d.first END AS earliest FROM d LEFT JOIN p USING (line)
+), o AS (
+  SELECT doc_id, line_no, coalesce(e.earliest < (doc_id, line_no), false) AS gone FROM l LEFT JOIN e USING (line)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+       coalesce(string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) FILTER (WHERE gone), '') AS removed
+FROM o GROUP BY doc_id
+"""
+}
