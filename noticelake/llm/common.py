@@ -35,14 +35,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The table survives the loss of any executor, cuts the lineage, and is what later
-    passes scan, so the work above it runs once.  Files go with the application's folder.
+    passes scan, so the work above it runs once.  Its shuffle files are of no more use then
+    and go at once; the tables go with the application's folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, dropped: DataFrame, held: int = 1_000_000) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not in ``dropped``, which is broadcast if it is short."""
+    ids = stored(dropped.select("doc_id").distinct(), "dropped")
+    return docs.join(held_small(ids, held), "doc_id", "left_anti").select(*docs.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

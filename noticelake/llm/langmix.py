@@ -229,12 +229,16 @@ class Model:
 _MODELS: dict[str, Model] = {}
 
 
+def _model(held, key: str) -> Model:
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = Model(*held.value)
+    return _MODELS[key]
+
+
 def _predict(held, key: str):
     def predict(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _MODELS.get(key)
-        if model is None:
-            _MODELS.clear()
-            model = _MODELS[key] = Model(*held.value)
+        model = _model(held, key)
         for b in it:
             found = list(model.predict(b[1].to_pylist()))
             langs, scores = pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())
@@ -258,6 +262,20 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     )
 
 
+def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    """Rows of ``docs`` with a language, all columns as they are; ``und`` rows go.  No shuffle."""
+    spark = docs.sparkSession
+    short_batches(spark)
+    held, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+
+    def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            langs = _model(held, key).predict(b.column("text").to_pylist())
+            yield b.filter(pa.array([x[0] != "und" for x in langs], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(parts: int, remainder: int):
     """Whether crc32 of doc_id as text leaves ``remainder`` modulo ``parts``."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == remainder
