@@ -1,2 +1,324 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Substring dedup with suffix automata of reference shards.
+
+A window is ``width`` words in a row.  A word goes if some window over it also starts in a
+document with a smaller doc_id.  Laying every document against every shard of the corpus would
+be quadratic, so shards are cut by content and a document meets only those that can match:
+
+1. Of every window the anchor is the ANCHOR-word gram with the smallest hash; windows in a row
+   with one anchor make a segment.  Equal windows have equal anchors, wherever they stand.
+2. Anchors that stand in one document only can't match; segments of the others remain.
+3. A shard takes all segments of its anchors, each distinct text once, with the smallest doc_id
+   that has it.  Its owner task builds one suffix automaton over the words of these reference
+   texts, oldest first, so a state knows the first document of its word sequences.  It then
+   streams the segments through and reads, where the matching length reaches ``width``, the
+   first document of the window that ends there.
+4. Documents pick up what was found for their segments and drop the covered words.
+
+The automaton of a shard goes to the task that needs it by the shuffle, not by a broadcast: a
+broadcast of all shards would grow with the corpus.  A shard has about SHARD_BYTES of text; an
+anchor with over HOT segment texts would outgrow that, so its windows are grouped by their own
+text instead, which needs no automaton and splits to any size.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import batches, short_batches, stored, table, utf8, word_array
+
+WIDTH, ANCHOR = 13, 5
+#: Text of a shard, about; segment texts beyond which an anchor is grouped window by window;
+#: bytes of segment texts that a task folds before it passes them on.
+SHARD_BYTES, HOT, FOLD_BYTES = 1 << 20, 20_000, 32 << 20
+#: Anchors at a time in the sliding minimum; bounds memory.
+BLOCK = 1 << 20
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def segments(words: np.ndarray, sizes: np.ndarray, width: int = WIDTH, k: int = ANCHOR):
+    """Segments of documents whose word hashes stand one after another.
+
+    Returns arrays: document, first word in it, number of windows, hash of the anchor.
+    """
+    none = np.zeros(0, np.int64)
+    if len(words) < width:
+        return none, none, none, none.astype(np.uint64)
+    grams = np.zeros(len(words) - k + 1, np.uint64)
+    for j in range(k):
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + words[j : len(words) - k + 1 + j]
+    grams = _mix(grams)
+    span, n = width - k + 1, len(words) - width + 1
+    anchor = np.empty(n, np.int64)
+    for a in range(0, n, BLOCK):
+        b = min(n, a + BLOCK)
+        seen = np.lib.stride_tricks.sliding_window_view(grams[a : b + span - 1], span)
+        anchor[a:b] = seen.argmin(1) + np.arange(a, b)
+    ends = np.cumsum(sizes)
+    doc = np.repeat(np.arange(len(sizes)), sizes)[:n]
+    fits = np.arange(n) + width <= ends[doc]
+    new = fits.copy()
+    new[1:] &= (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | ~fits[:-1]
+    first = np.flatnonzero(new)
+    if not len(first):
+        return none, none, none, none.astype(np.uint64)
+    count = np.add.reduceat(fits.astype(np.int64), first)
+    owner = doc[first]
+    return owner, first - (ends - sizes)[owner], count, grams[anchor[first]]
+
+
+def _segments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        lists = b[2]
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        words = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        doc, start, count, anchor = segments(words, sizes)
+        at = pa.array(doc)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(anchor.view(np.int64)), b[0].take(at), b[1].take(at), pa.array(start << 8 | count)],
+            names=["anchor", "doc_id", "text_key", "place"],
+        )
+
+
+_CUT = pa.schema(
+    [
+        ("anchor", pa.int64()),
+        ("key", pa.binary()),
+        ("content", pa.binary()),
+        ("doc_id", pa.int64()),
+        ("text_key", pa.int64()),
+        ("start", pa.int64()),
+    ]
+)
+
+
+def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two kinds of rows: places (no content), and distinct texts of segments with their smallest doc_id."""
+
+    def rows():
+        held: dict[bytes, list] = {}
+        size = 0
+        for b in it:
+            spots = b[3].to_pylist()
+            for doc_id, text_key, text, own in zip(b[0].to_pylist(), b[1].to_pylist(), utf8(b[2]), spots, strict=True):
+                words = text.split()
+                for spot in own:
+                    start, count = spot["place"] >> 8, spot["place"] & 255
+                    content = b" ".join(words[start : start + count + WIDTH - 1])
+                    key = xxhash.xxh3_128_digest(content)
+                    yield None, key, None, doc_id, text_key, start
+                    if entry := held.get(key):
+                        entry[2] = min(entry[2], doc_id)
+                    else:
+                        held[key] = [spot["anchor"], content, doc_id]
+                        size += len(content) + 200
+            if size > FOLD_BYTES:
+                yield from texts(held)
+                held, size = {}, 0
+        yield from texts(held)
+
+    def texts(held):
+        for key, (anchor, content, doc_id) in held.items():
+            yield anchor, key, content, doc_id, None, None
+
+    return batches(rows(), _CUT, 8192)
+
+
+class Automaton:
+    """Suffix automaton of several word sequences; a state knows the first owner of its sequences.
+
+    Sequences are added in ascending order of owner.
+    """
+
+    def __init__(self):
+        self.next: list[dict] = [{}]
+        self.link, self.length, self.owner = [-1], [0], [0]
+
+    def _state(self, moves: dict, link: int, length: int, owner: int) -> int:
+        self.next.append(moves)
+        self.link.append(link)
+        self.length.append(length)
+        self.owner.append(owner)
+        return len(self.next) - 1
+
+    def _split(self, p: int, symbol, q: int) -> int:
+        """The part of state q that ends p's sequences with ``symbol``, made a state of its own."""
+        moves, link, length = self.next, self.link, self.length
+        part = self._state(dict(moves[q]), link[q], length[p] + 1, self.owner[q])
+        while p >= 0 and moves[p].get(symbol) == q:
+            moves[p][symbol] = part
+            p = link[p]
+        link[q] = part
+        return part
+
+    def add(self, sequence: list, owner: int) -> None:
+        moves, link, length = self.next, self.link, self.length
+        last = 0
+        for symbol in sequence:
+            q = moves[last].get(symbol)
+            if q is not None:
+                last = q if length[q] == length[last] + 1 else self._split(last, symbol, q)
+                continue
+            state = self._state({}, 0, length[last] + 1, owner)
+            p = last
+            while p >= 0 and symbol not in moves[p]:
+                moves[p][symbol] = state
+                p = link[p]
+            if p >= 0:
+                q = moves[p][symbol]
+                link[state] = q if length[q] == length[p] + 1 else self._split(p, symbol, q)
+            last = state
+
+    def firsts(self, sequence: list, width: int) -> list[int]:
+        """First owner of every window of ``sequence``, which was added before."""
+        moves, link, length = self.next, self.link, self.length
+        state, found = 0, []
+        for n, symbol in enumerate(sequence, 1):
+            state = moves[state][symbol]
+            if n >= width:
+                # matching length capped at width: the shortest state that still holds it
+                while length[link[state]] >= width:
+                    state = link[state]
+                found.append(self.owner[state])
+        return found
+
+
+_FOUND = pa.schema([("key", pa.binary()), ("firsts", pa.list_(pa.int64()))])
+
+
+def _shard(held: pa.Table) -> pa.Table:
+    """Owner task of a shard: key, content, doc_id -> key, first document of each window."""
+    oldest: dict[bytes, tuple] = {}
+    for key, content, doc_id in zip(held["key"].to_pylist(), held["content"].to_pylist(), held["doc_id"].to_pylist(), strict=True):
+        if key not in oldest or doc_id < oldest[key][0]:
+            oldest[key] = (doc_id, key, content)
+    numbers: dict[bytes, int] = {}
+    references = [
+        (doc_id, key, [numbers.setdefault(w, len(numbers)) for w in content.split(b" ")])
+        for doc_id, key, content in sorted(oldest.values())
+    ]
+    automaton = Automaton()
+    for doc_id, _, words in references:
+        automaton.add(words, doc_id)
+    found = ((key, automaton.firsts(words, WIDTH)) for _, key, words in references)
+    return pa.Table.from_batches(list(batches(found, _FOUND, 8192)), _FOUND)
+
+
+def _hot_windows(contents: DataFrame) -> DataFrame:
+    """The same for anchors with very many segment texts: windows grouped by their text."""
+    words = F.split(F.col("content").cast("string"), " ")
+    windows = contents.select("key", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(words) - (WIDTH - 1)), lambda i: F.array_join(F.slice(words, i, WIDTH), " "))).alias("at", "window"))
+    first = windows.groupBy("window").agg(F.min("doc_id").alias("first"))
+    joined = windows.select("key", "at", "window").distinct().join(first, "window")
+    grouped = joined.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "first"))).alias("w"))
+    return grouped.select("key", F.transform("w", lambda x: x["first"]).alias("firsts"))
+
+
+_KEPT = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("n_words", pa.int64()),
+        ("n_removed", pa.int64()),
+        ("kept_sha256", pa.string()),
+        ("kept", pa.string()),
+    ]
+)
+
+
+def _drop(with_text: bool):
+    def drop(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for b in it:
+                for doc_id, text, hits in zip(b[0].to_pylist(), utf8(b[1]), b[2].to_pylist(), strict=True):
+                    words = text.split()
+                    n, gone = len(words), 0
+                    if hits:
+                        edge = np.zeros(n + 1, np.int64)
+                        for start in hits:
+                            edge[start] += 1
+                            edge[start + WIDTH] -= 1
+                        covered = np.cumsum(edge[:-1]) > 0
+                        gone = int(covered.sum())
+                        words = [words[i] for i in np.flatnonzero(~covered)]
+                    kept = b" ".join(words)
+                    yield doc_id, n, gone, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None
+
+        return batches(rows(), _KEPT, 512)
+
+    return drop
+
+
+def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, kept (null without texts).
+
+    Words stand between white space and are compared as they are.  A word goes if a window of
+    WIDTH words over it also starts in a document with a smaller doc_id; windows are judged on
+    the input.  Null and blank texts have no words; a text of fewer words than a window loses
+    none.  Rows that share a doc_id never remove from each other.  Empty table: no rows.  Other
+    columns are not read.
+    """
+    spark = docs.sparkSession
+    short_batches(spark, 128)
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    hashed = keyed.select("doc_id", "text_key", F.transform(word_array(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
+    cut = stored(hashed.mapInArrow(_segments, "anchor long, doc_id long, text_key long, place long"), "segments")
+    ends = cut.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    shared = stored(ends.where("a <> b").select("anchor"), "anchors")
+    spots = cut.join(shared, "anchor").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("place", "anchor")).alias("spots"))
+    spots = stored(spots, "spots")
+    parts = keyed.join(spots, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "spots")
+    parts = stored(
+        parts.mapInArrow(_cut, "anchor long, key binary, content binary, doc_id long, text_key long, start long"), "parts"
+    )
+    places = parts.where("content IS NULL").select("key", "doc_id", "text_key", "start")
+    contents = parts.where("content IS NOT NULL").select("anchor", "key", "content", "doc_id")
+    size = contents.agg(F.sum(F.length("content"))).first()[0] or 0
+    loads = stored(contents.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor"), "hot-anchors")
+    cold = contents.join(loads, "anchor", "left_anti")
+    shard = F.pmod("anchor", F.lit(size // SHARD_BYTES + 1))
+    found = cold.withColumn("shard", shard).select("shard", "key", "content", "doc_id").groupBy("shard").applyInArrow(_shard, "key binary, firsts array<long>")
+    if loads.count():
+        found = found.union(_hot_windows(contents.join(loads, "anchor", "left_semi")))
+    found = stored(found, "firsts")
+    hits = F.transform("firsts", lambda f, i: F.when(f < F.col("doc_id"), F.col("start") + i))
+    gone = places.join(found, "key").select("doc_id", "text_key", F.filter(hits, lambda x: x.isNotNull()).alias("hits"))
+    gone = stored(gone.where(F.size("hits") > 0).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("hits")).alias("hits")), "hits")
+    joined = keyed.join(gone, ["doc_id", "text_key"], "left").select("doc_id", "text", "hits")
+    return joined.mapInArrow(_drop(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+ORACLES = {
+    "op1_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win FROM d, unnest(range(1, len(w) - 11)) t(i) WHERE len(w) >= 13
+), h AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) < doc_id AS hit FROM g
+), c AS (
+  SELECT DISTINCT doc_id, i + k AS p FROM h, range(0, 13) r(k) WHERE hit
+), p AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d
+), k AS (
+  SELECT p.doc_id, count(c.p) AS n_removed, string_agg(word, ' ' ORDER BY p.p) FILTER (WHERE c.p IS NULL) AS kept
+  FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.p = c.p GROUP BY p.doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+}
