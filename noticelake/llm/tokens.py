@@ -19,9 +19,10 @@ from .common import ranges
 #: The id that ends each document.
 END = 1
 #: Words a worker keeps, and bytes of text encoded at once.
-WORDS_KEPT, GROUP_BYTES = 400_000, 2 << 20
+WORDS_KEPT, GROUP_BYTES = 600_000, 2 << 20
 
 _STOP = re.compile(rb"[,.](?<=[a-z][,.])")
+_PLAIN = re.compile(r"[a-z]+").fullmatch
 
 
 class _Places(dict):
@@ -49,22 +50,45 @@ class WordTokenizer:
     def _clear(self) -> None:
         self.places, self.ids = _Places(), np.zeros(0, np.uint32)
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def _thin(self) -> None:
+        """Keep the half of the words that were used most."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: self.kept // 2])
+        words, places = list(self.places), _Places()
+        for i in kept.tolist():
+            places[words[i]]
+        places.new = []
+        lengths = self.lengths[kept]
+        self.ids = self.ids[ranges(self.starts[kept], lengths)]
+        self.places, self.starts, self.lengths = places, np.cumsum(lengths) - lengths, lengths
+        self.uses = self.uses[kept] // 2
 
     def _learn(self) -> None:
         if not (new := self.places.new):
             return
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        lists = [e.ids for e in found]
+        lists = self._encode_words([w.decode() for w in new])
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         starts = len(self.ids) + np.cumsum(lengths) - lengths
         flat = np.fromiter((i for x in lists for i in x), np.uint32, int(lengths.sum()))
         self.ids = np.concatenate([self.ids, flat])
         self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
         self.places.new = []
 
+    def _encode_words(self, words: list[str]) -> list[list[int]]:
+        """Words of a-z alone are one piece that no normaliser changes: they go straight to the model."""
+        model = self.tokenizer.model
+        lists = [[t.id for t in model.tokenize(w)] if _PLAIN(w) else None for w in words]
+        rest = [i for i, x in enumerate(lists) if x is None]
+        found = self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)
+        for i, e in zip(rest, found, strict=True):
+            lists[i] = e.ids
+        return lists
+
     def _group(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.places) > self.kept:
-            self._clear()
+            self._thin()
         found = []
         for text in texts:
             line = text if b"<|" in text else text.lower()
@@ -72,6 +96,7 @@ class WordTokenizer:
             found.append(np.fromiter(map(self.places.__getitem__, words), np.int64, len(words)))
         self._learn()
         where = np.concatenate(found) if found else np.zeros(0, np.int64)
+        self.uses += np.bincount(where, minlength=len(self.uses))
         lengths = self.lengths[where]
         flat = self.ids[ranges(self.starts[where], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *map(len, found)])]
