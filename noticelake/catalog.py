@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import registry
+from .queries import decisions, documents, ingest, notices, retrieval, rollups, turns  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(registry.ORACLES)
