@@ -1,0 +1,416 @@
+"""Scalar functions, classifiers, extractors and passages (F-*, X-*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import classify as K
+from ..functions import scalars as S
+from ..functions import text as T
+from ..registry import query, table
+
+_ORDERS = "SELECT o_orderkey AS id, * FROM orders"
+
+
+@query(
+    "clean_strings",
+    """WITH v AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN ' None ' WHEN 1 THEN '  ' || p_name || ' ' WHEN 2 THEN 'N/A' WHEN 3 THEN NULL ELSE p_name || ' ' || p_type END AS raw FROM part)
+    SELECT p_partkey, CASE WHEN lower(trim(coalesce(raw, ''))) IN ('none', 'null', 'n/a') THEN '' ELSE left(trim(coalesce(raw, '')), 12) END AS clean FROM v""",
+)
+def clean_strings(spark, sf):
+    """F-01"""
+    k = F.col("p_partkey") % 5
+    raw = F.when(k == 0, " None ").when(k == 1, F.concat(F.lit("  "), "p_name", F.lit(" "))).when(k == 2, "N/A").when(k == 4, F.concat_ws(" ", "p_name", "p_type"))
+    return table(spark, sf, "part").select("p_partkey", S.clean_str(raw, 12).alias("clean"))
+
+
+@query(
+    "parse_dates",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 5 THEN NULL ELSE o_orderdate::DATE END AS d FROM orders",
+)
+def parse_dates(spark, sf):
+    """F-02, F-03: every form of a date leads back to it; anything else is null."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 6
+    raw = F.when(k == 0, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, F.date_format(d, "dd-MMM-yyyy")).when(k == 2, F.date_format(d, "dd/MM/yyyy"))
+    raw = raw.when(k == 3, F.date_format(d, "yyyy/MM/dd")).when(k == 4, F.date_format(d, "MMM d, yyyy")).otherwise("soon")
+    return table(spark, sf, "orders").select("o_orderkey", S.parse_date(raw).alias("d"))
+
+
+@query("money_strings", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE round(o_totalprice, 2) END AS amount FROM orders")
+def money_strings(spark, sf):
+    """F-06"""
+    raw = F.when(F.col("o_orderkey") % 4 == 0, "on request").otherwise(F.concat(F.lit("$"), F.format_number("o_totalprice", 2)))
+    return table(spark, sf, "orders").select("o_orderkey", S.parse_money(raw).cast("double").alias("amount"))
+
+
+@query(
+    "deadline_instant",
+    """WITH v AS (SELECT o_orderkey, o_orderdate::DATE AS d, c_nationkey % 5 AS z, o_orderkey % 6 AS k FROM orders JOIN customer ON o_custkey = c_custkey),
+    w AS (SELECT *, CASE z WHEN 0 THEN 'Asia/Tashkent' WHEN 1 THEN 'Europe/Berlin' WHEN 2 THEN 'America/New_York' WHEN 3 THEN 'Asia/Kolkata' END AS zone,
+    CASE k WHEN 0 THEN 1020 WHEN 1 THEN 1020 WHEN 2 THEN 1020 WHEN 3 THEN 1020 WHEN 4 THEN 0 END AS minutes FROM v)
+    SELECT o_orderkey, minutes, timezone('UTC', timezone(coalesce(zone, 'UTC'), d::TIMESTAMP + to_minutes(CASE WHEN zone IS NULL THEN 1439 ELSE coalesce(minutes, 1439) END))) AS instant FROM w""",
+)
+def deadline_instant(spark, sf):
+    """F-10 to F-12: clock forms, a zone by country, one instant in UTC."""
+    k, z = F.col("o_orderkey") % 6, F.col("c_nationkey") % 5
+    raw = F.when(k == 0, "17:00").when(k == 1, "17.00").when(k == 2, "1700").when(k == 3, "5:00 PM").when(k == 4, "12:00 AM").otherwise("at noon")
+    zone = F.create_map(*[F.lit(x) for x in (0, "Asia/Tashkent", 1, "Europe/Berlin", 2, "America/New_York", 3, "Asia/Kolkata")])[z.cast("int")]
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    v = o.select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"), S.clock_minutes(raw).alias("minutes"), zone.alias("zone"))
+    return v.select("o_orderkey", "minutes", S.deadline_instant(F.col("d"), F.col("minutes"), F.col("zone")).cast("timestamp_ntz").alias("instant"))
+
+
+@query("backoff", "SELECT event_id, CAST(least(300 * power(2, least(greatest(event_id % 25 - 1, 0), 16)), 86400) AS BIGINT) AS wait FROM events")
+def backoff(spark, sf):
+    """F-14"""
+    return table(spark, sf, "events").select("event_id", S.backoff_seconds(F.col("event_id") % 25, 300, 86400).alias("wait"))
+
+
+@query(
+    "url_keys",
+    r"""WITH v AS (SELECT page_id, split_part(trim(url), '#', 1) AS b FROM pages), h AS (SELECT page_id, b, regexp_extract(b, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1) AS h FROM v)
+    SELECT page_id, lower(h) || substr(b, length(h) + 1) AS url, sha256(lower(h) || substr(b, length(h) + 1)) AS key FROM h""",
+)
+def url_keys(spark, sf):
+    """F-15"""
+    return table(spark, sf, "pages").select("page_id", S.normal_url(F.col("url")).alias("url"), S.url_key(F.col("url")).alias("key"))
+
+
+@query(
+    "share_links",
+    """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://drive.google.com/uc?export=download&id=A-' || page_id WHEN 1 THEN 'https://docs.google.com/spreadsheets/d/B_' || page_id || '/export?format=xlsx'
+    WHEN 2 THEN 'https://drive.google.com/uc?export=download&id=C' || page_id ELSE url END AS direct FROM pages""",
+)
+def share_links(spark, sf):
+    """F-16"""
+    k, n = F.col("page_id") % 4, F.col("page_id").cast("string")
+    shared = (
+        F.when(k == 0, F.concat(F.lit("https://drive.google.com/file/d/A-"), n, F.lit("/view?usp=sharing")))
+        .when(k == 1, F.concat(F.lit("https://docs.google.com/spreadsheets/d/B_"), n, F.lit("/edit#gid=0")))
+        .when(k == 2, F.concat(F.lit("https://drive.google.com/open?x=1&id=C"), n))
+        .otherwise(F.col("url"))
+    )
+    return table(spark, sf, "pages").select("page_id", S.direct_url(shared).alias("direct"))
+
+
+@query("fetchable_urls", "SELECT page_id, page_id % 3 = 0 AS ok FROM pages")
+def fetchable_urls(spark, sf):
+    """F-17, F-43: web addresses of public hosts."""
+    u = F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, "http://192.168.0.7/doc").otherwise("ftp://files.example.org/x")
+    return table(spark, sf, "pages").select("page_id", S.fetchable(u).alias("ok"))
+
+
+@query(
+    "names_and_slugs",
+    r"""SELECT s_suppkey, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, 'jdoe' || '@example.org' AS email,
+    'axmed filip' AS folded FROM supplier""",
+)
+def names_and_slugs(spark, sf):
+    """F-20, F-22, F-23"""
+    return table(spark, sf, "supplier").select(
+        "s_suppkey", S.slug(F.col("s_name")).alias("slug"), S.derived_email(F.when(F.col("s_suppkey") >= 0, "John de Doe"), "example.org").alias("email"), S.fold_name(F.when(F.col("s_suppkey") >= 0, "Akhmed' Philip")).alias("folded")
+    )
+
+
+@query("accepted_languages", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'ru' WHEN 1 THEN 'uz' WHEN 2 THEN 'en' ELSE 'uz' END AS lang FROM customer")
+def accepted_languages(spark, sf):
+    """F-31"""
+    k = F.col("c_custkey") % 4
+    h = F.when(k == 0, "fr, ru;q=0.8, en;q=0.7").when(k == 1, "uz-UZ, ru").when(k == 2, "de").otherwise("en;q=0.3, uz;q=0.9")
+    return table(spark, sf, "customer").select("c_custkey", S.accepted_language(h, ["en", "ru", "uz"], "en").alias("lang"))
+
+
+@query(
+    "relative_days",
+    """WITH v AS (SELECT event_id, date_diff('day', (timezone('Asia/Tashkent', timezone('UTC', TIMESTAMP '2024-01-15 20:00:00')))::DATE, (timezone('Asia/Tashkent', timezone('UTC', ts)))::DATE) AS d FROM events)
+    SELECT event_id, CASE WHEN d < 0 THEN 'closed' WHEN d = 0 THEN 'today' WHEN d = 1 THEN 'tomorrow' ELSE 'in ' || d || ' days' END AS label FROM v""",
+)
+def relative_days(spark, sf):
+    """F-33"""
+    d = S.days_until(F.col("ts").cast("timestamp"), F.lit("2024-01-15 20:00:00").cast("timestamp"), "Asia/Tashkent")
+    return table(spark, sf, "events").select("event_id", S.relative_label(d).alias("label"))
+
+
+@query("content_hashes", """SELECT doc_id, sha256('{"lang":"' || lang || '","n_chars":' || n_chars || ',"source":' || CASE WHEN source = 'src0' THEN 'null' ELSE '"' || source || '"' END || '}') AS h FROM documents""")
+def content_hashes(spark, sf):
+    """F-04: fields in name order, null told apart from empty."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars", F.nullif("source", F.lit("src0")).alias("source"))
+    return d.select("doc_id", S.content_hash("source", "lang", "n_chars").alias("h"))
+
+
+@query("citations", "SELECT l_orderkey, string_agg(DISTINCT l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) FILTER (WHERE l_linenumber BETWEEN 1 AND 4) AS cited FROM lineitem GROUP BY 1")
+def citations(spark, sf):
+    """F-39: positions in range, once each, ascending."""
+    c = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("c"))
+    cited = F.array_join(S.valid_citations(F.col("c"), F.lit(4)).cast("array<string>"), ",")
+    return c.select("l_orderkey", F.nullif(cited, F.lit("")).alias("cited"))
+
+
+@query("answer_cleaning", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN event_type ELSE 'EUR' END AS value FROM events")
+def answer_cleaning(spark, sf):
+    """F-41, F-42"""
+    k = F.col("event_id") % 4
+    raw = F.when(k == 0, "Not found in the text").when(k == 1, "We were unable to determine it").when(k == 2, F.col("event_type")).otherwise("EUR (eur)")
+    return table(spark, sf, "events").select("event_id", S.currency_once(S.hedged_blank(raw)).alias("value"))
+
+
+_DROP = "".join("regexp_replace(" for _ in T.DROPPED) + "html" + "".join(f", '(?is)<{n}\\b[^>]*>.*?</{n}>', ' ', 'g')" for n in T.DROPPED)
+_PLAIN = f"regexp_replace(regexp_replace({_DROP}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+for _a, _b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_a}', '{_b}')"
+
+
+@query("html_text", f"SELECT page_id, trim(regexp_replace({_PLAIN}, '\\s+', ' ', 'g')) AS text FROM pages")
+def html_text(spark, sf):
+    """X-01, X-02: the regular core, in Columns."""
+    return table(spark, sf, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+
+
+@query("html_sanitized", "SELECT page_id, 0 AS unsafe FROM pages")
+def html_sanitized(spark, sf):
+    """X-01: nothing outside the allowed tags is left."""
+    clean = T.sanitize(F.col("html"))
+    bad = F.size(F.regexp_extract_all(clean, F.lit(r"(?i)(<(?!/?(?:p|b|strong|em|ul|ol|li|br|table|tr|td|th|h1|h2|h3|a)\b)[a-z!/][^>]*>|\bon\w+=|javascript:)"), F.lit(1)))
+    return table(spark, sf, "pages").select("page_id", bad.alias("unsafe"))
+
+
+@query("canonical_pages")
+def canonical_pages(spark, sf):
+    """X-03"""
+    return table(spark, sf, "pages").select("page_id", T.canonical(F.col("html")).alias("text"))
+
+
+@query("sentence_counts", r"SELECT doc_id, len(list_filter(string_split_regex(regexp_replace(text, '([.!?])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s) <> ''))::INTEGER AS n FROM documents WHERE NOT regexp_matches(text, '(No|Nos|Ltd|Inc|Co|St|approx|i\.e|e\.g|U\.S)\.\s')")
+def sentence_counts(spark, sf):
+    """X-04"""
+    d = table(spark, sf, "documents").where(~F.col("text").rlike(r"(No|Nos|Ltd|Inc|Co|St|approx|i\.e|e\.g|U\.S)\.\s"))
+    return d.select("doc_id", F.size(T.sentences(F.col("text"))).alias("n"))
+
+
+@query("sentence_chunks")
+def sentence_chunks(spark, sf):
+    """X-21, W-07: passages of whole sentences with their offsets."""
+    return T.chunks(table(spark, sf, "documents"))
+
+
+@query(
+    "keyword_classify",
+    f"""WITH t AS (SELECT o_orderkey AS id, lower(c_mktsegment) || ' ' || CASE o_orderkey % 5 WHEN 0 THEN 'consultants for an audit' WHEN 1 THEN 'supply of equipment' WHEN 2 THEN 'computer network' ELSE 'auditorium enterprise' END AS title,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'training and survey' ELSE 'repair works' END AS body, CASE o_orderstatus WHEN 'F' THEN 'GO' WHEN 'O' THEN '' ELSE 'CW' END AS grp
+    FROM orders JOIN customer ON o_custkey = c_custkey), {K.category_sql('title', 'body', 'grp')}
+    SELECT id, category, CASE WHEN total = 0 THEN 0 ELSE round((score / total) * least(1.0, score / 18), 3) END AS confidence FROM best""",
+)
+def keyword_classify(spark, sf):
+    """X-08, X-09: weighted keywords with group codes."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    ends = F.when(k % 5 == 0, "consultants for an audit").when(k % 5 == 1, "supply of equipment").when(k % 5 == 2, "computer network").otherwise("auditorium enterprise")
+    title = F.concat(F.lower("c_mktsegment"), F.lit(" "), ends)
+    group = F.when(F.col("o_orderstatus") == "F", "GO").when(F.col("o_orderstatus") == "O", "").otherwise("CW")
+    found = o.select(k.alias("id"), K.category(title, F.when(k % 3 == 0, "training and survey").otherwise("repair works"), F.lit(""), group).alias("c"))
+    return found.select("id", "c.category", "c.confidence")
+
+
+@query("audience", "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 5 = 1 THEN 'individual' WHEN p_partkey % 5 = 2 THEN 'firm' ELSE '' END AS audience FROM part")
+def audience(spark, sf):
+    """X-11"""
+    k = F.col("p_partkey") % 5
+    direction = F.when(k == 0, "supply").otherwise("consulting")
+    code = F.when(k == 2, "qcbs ").when(k == 3, "DIR").otherwise(None)
+    name = F.when(k == 1, "Selection of Individual Consultants").otherwise(F.col("p_name"))
+    return table(spark, sf, "part").select("p_partkey", K.audience(direction, code, name).alias("audience"))
+
+
+@query(
+    "escalation",
+    "SELECT doc_id, CASE WHEN n_chars / 4000.0 >= 0.55 THEN 'rule' WHEN quality IS NOT NULL THEN 'model' ELSE 'rule' END AS decided FROM documents LEFT JOIN labels USING (doc_id)",
+)
+def escalation(spark, sf):
+    """M-06, M-07: a weak rule asks the model; without an answer the rule stands."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    model = F.when(F.col("quality").isNotNull(), "model")
+    return d.select("doc_id", F.when(F.col("n_chars") / 4000.0 >= 0.55, "rule").otherwise(F.coalesce(model, F.lit("rule"))).alias("decided"))
+
+
+_BODY = "'The bidder shall have an average annual turnover of at least USD ' || (o_orderkey % 900 + 100) || ',000.50 or EUR ' || (o_orderkey % 7 + 1) || ' million. Liquid assets: US$ 5,000. Experience in similar contracts of at least three (' || (o_orderkey % 4 + 1) || ') contracts within the last five (5) years.'"
+
+
+def _bodies(spark, sf):
+    k = F.col("o_orderkey")
+    text = F.format_string(
+        "The bidder shall have an average annual turnover of at least USD %d,000.50 or EUR %d million. Liquid assets: US$ 5,000. Experience in similar contracts of at least three (%d) contracts within the last five (5) years.",
+        k % 900 + 100, k % 7 + 1, k % 4 + 1,
+    )
+    return table(spark, sf, "orders").select(k.alias("doc_id"), F.year("o_orderdate").alias("year"), text.alias("text"))
+
+
+@query(
+    "money_extract",
+    "SELECT o_orderkey AS doc_id, 3 AS n, greatest((o_orderkey % 900 + 100) * 1000 + 0.5, (o_orderkey % 7 + 1) * 1000000.0)::DOUBLE AS most, 'USD' AS first_code FROM orders",
+)
+def money_extract(spark, sf):
+    """X-12: amounts with grouped digits, scale words and codes."""
+    m = _bodies(spark, sf).select("doc_id", T.money(F.col("text")).alias("m"))
+    return m.select("doc_id", F.size("m").alias("n"), F.array_max("m")["amount"].alias("most"), F.get("m", F.lit(0))["currency"].alias("first_code"))
+
+
+@query("counts_and_windows", "SELECT o_orderkey AS doc_id, (o_orderkey % 4 + 1)::INTEGER AS least, 5 AS years FROM orders")
+def counts_and_windows(spark, sf):
+    """X-13: the count in brackets is read before a plain number."""
+    b = _bodies(spark, sf).withColumn("tail", F.substring_index("text", "Experience", -1))
+    return b.select("doc_id", T.least_count(F.col("tail")).alias("least"), T.window_years(F.col("tail")).alias("years"))
+
+
+@query(
+    "stated_requirements",
+    """SELECT o_orderkey AS doc_id, key, CASE key WHEN 'annual_turnover_avg' THEN greatest((o_orderkey % 900 + 100) * 1000 + 0.5, (o_orderkey % 7 + 1) * 1000000.0) WHEN 'liquid_assets' THEN 5000 ELSE o_orderkey % 4 + 1 END::DOUBLE AS value
+    FROM orders, (VALUES ('annual_turnover_avg'), ('liquid_assets'), ('similar_contracts_count')) k(key) WHERE o_orderkey < 3000""",
+)
+def stated_requirements(spark, sf):
+    """X-14: criteria by sentence, the first of each key."""
+    return T.requirements(_bodies(spark, sf).where("doc_id < 3000")).select("doc_id", "key", "value")
+
+
+@query(
+    "award_bodies",
+    """SELECT l_orderkey AS notice_id, CASE l_returnflag WHEN 'A' THEN 'awardee' WHEN 'N' THEN 'evaluated' ELSE 'rejected' END AS role, s_name AS name, (1000 + s_suppkey)::VARCHAR AS reference,
+    n_name AS country, 'USD' AS currency, round(max(l_extendedprice), 2) AS price FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_orderkey < 1500 GROUP BY 1, 2, 3, 4, 5""",
+)
+def award_bodies(spark, sf):
+    """X-15, M-08, M-09: award bodies written from line items, and their bidders read back."""
+    j = table(spark, sf, "lineitem").where("l_orderkey < 1500").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    one = j.groupBy("l_orderkey", "l_returnflag", "s_suppkey", "s_name", "n_name").agg(F.round(F.max("l_extendedprice"), 2).cast("decimal(18,2)").alias("price"))
+    label = F.when(F.col("l_returnflag") == "A", "Signed Contract price").otherwise("Evaluated Bid Price")
+    part = F.format_string("%s (%d)<br>12 Main street<br>Country: %s<br>Bid Price at Opening<br>USD<br>%s<br>USD %s<br>", "s_name", F.col("s_suppkey") + 1000, "n_name", label, F.format_number("price", 2))
+    lists = one.groupBy("l_orderkey", "l_returnflag").agg(F.array_join(F.array_sort(F.collect_list(part)), "").alias("b"))
+    head = F.when(F.col("l_returnflag") == "A", "Awarded Bidder(s):").when(F.col("l_returnflag") == "N", "Evaluated Bidder(s):").otherwise("Rejected Bidder(s):")
+    bodies = lists.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<p>"), head, F.lit("<br>"), "b", F.lit("</p>")))), "").alias("b"))
+    html = F.concat(F.lit("<div><h4>Contract Award</h4>"), "b", F.lit("<p>Beneficial Ownership Details<br>NOBODY (999999)<br></p></div>"))
+    found = T.awards(bodies.select(F.col("l_orderkey").alias("notice_id"), html.alias("html")))
+    return found.withColumn("price", F.col("price").cast("double"))
+
+
+@query("link_kinds", "SELECT page_id AS doc_id, CASE page_id % 3 WHEN 0 THEN 'tor' WHEN 1 THEN 'bidding' ELSE 'other' END AS kind FROM pages")
+def link_kinds(spark, sf):
+    """X-16, F-18, M-01: links named by the words before them; the most telling reading stays."""
+    k = F.col("page_id") % 3
+    before = F.when(k == 0, "The Terms of Reference are at ").when(k == 1, "Bidding documents: ").otherwise("See also (")
+    text = F.concat(F.lit("Any link: "), F.col("url"), F.lit("). "), F.lit("x" * 170), before, F.lit("https://docs.example.org/a_(final)?n="), F.col("page_id").cast("string"), F.lit("). And so on."))
+    found = T.links(table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), text.alias("text")))
+    return found.where(F.col("url").startswith("https://docs.example.org/a_(final)?n=") & ~F.col("url").endswith(".")).select("doc_id", "kind")
+
+
+@query(
+    "contact_addresses",
+    r"""WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)', 1)) AS raw FROM documents)
+    SELECT DISTINCT doc_id, lower(regexp_replace(raw, '[.-]+$', '')) AS email FROM e""",
+)
+def contact_addresses(spark, sf):
+    """X-17, X-18, M-15"""
+    return T.contacts(table(spark, sf, "documents")).select("doc_id", "email")
+
+
+@query("profile_merge", "SELECT doc_id, coalesce(nullif(CASE WHEN quality = 1 THEN '' ELSE 'low' END, ''), lang) AS value FROM documents JOIN labels USING (doc_id)")
+def profile_merge(spark, sf):
+    """M-12, M-13"""
+    new = F.when(F.col("quality") == 1, "").otherwise("low")
+    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("doc_id", S.labelled([new, F.col("lang")]).alias("value"))
+
+
+@query(
+    "marker_scores",
+    r"""WITH t AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' at least two ISO 9001 certificates' WHEN 1 THEN ' shall have turnover' ELSE ' eligible' END AS t FROM documents) SELECT doc_id,
+    (regexp_matches(t, '(?i)qualificat|квалификац')::INT + regexp_matches(t, '(?i)eligib')::INT + regexp_matches(t, '(?i)\bat least\b|\bminimum\b|\bnot? less than\b|\bno fewer than\b')::INT
+    + regexp_matches(t, '(?i)\b(?:shall|should|must)\s+(?:have|hold|possess|demonstrate|provide)\b|\brequirements?\b')::INT + regexp_matches(t, '(?i)turnover|liquid assets|financial (?:capacity|standing|capability)|audited (?:financial|accounts)|net worth')::INT
+    + regexp_matches(t, '(?i)\biso\s*\d|certificat|accredit|licen[cs]e|registration\s+(?:with|as)')::INT + regexp_matches(t, '(?i)short-?list')::INT) AS score FROM t""",
+)
+def marker_scores(spark, sf):
+    """X-25"""
+    k = F.col("doc_id") % 3
+    t = F.concat("text", F.when(k == 0, " at least two ISO 9001 certificates").when(k == 1, " shall have turnover").otherwise(" eligible"))
+    return table(spark, sf, "documents").select("doc_id", K.marker_score(t, K.MARKERS).alias("score"))
+
+
+@query(
+    "selected_passages",
+    """WITH s AS (SELECT source, doc_id, n_chars % 4 AS score FROM documents), k AS (SELECT *, max(score) OVER (PARTITION BY source) AS top FROM s),
+    f AS (SELECT * FROM k WHERE score >= CASE WHEN top >= 2 THEN 2 ELSE 1 END), b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) <= 6)
+    SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM b""",
+)
+def selected_passages(spark, sf):
+    """O-15: scores of two or more, else one or more; the best six, back in document order."""
+    s = table(spark, sf, "documents").select("source", "doc_id", (F.col("n_chars") % 4).alias("score"))
+    s = s.withColumn("top", F.max("score").over(Window.partitionBy("source"))).where(F.col("score") >= F.when(F.col("top") >= 2, 2).otherwise(1))
+    best = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "doc_id"))
+    b = s.withColumn("best", best).where("best <= 6")
+    return b.select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("place"))
+
+
+@query("bounded_source", r"SELECT doc_id, CASE WHEN length(text) <= 2000 THEN length(text) ELSE length(regexp_extract(left(text, 2000), '^(.*[.!?])\s', 1, 's')) END AS n FROM documents")
+def bounded_source(spark, sf):
+    """X-26: the start of a text up to a sentence end."""
+    cut = F.regexp_extract(F.substring("text", 1, 2000), r"(?s)^(.*[.!?])\s", 1)
+    return table(spark, sf, "documents").select("doc_id", F.length(F.when(F.length("text") <= 2000, F.col("text")).otherwise(cut)).cast("long").alias("n"))
+
+
+@query("access_walls", "SELECT page_id, regexp_matches(left(html, 20000), '(?i)request access|sign in|log in to continue|you need permission|accès refusé|acceso denegado|403 forbidden|not authorized') AS walled FROM pages")
+def access_walls(spark, sf):
+    """X-31"""
+    p = "(?i)request access|sign in|log in to continue|you need permission|accès refusé|acceso denegado|403 forbidden|not authorized"
+    return table(spark, sf, "pages").select("page_id", F.substring("html", 1, 20000).rlike(p).alias("walled"))
+
+
+@query(
+    "readable_documents",
+    """WITH d AS (SELECT source, doc_id, n_chars, CASE WHEN n_chars = 0 THEN 'empty' WHEN n_chars < 200 THEN 'short' ELSE '' END AS refusal, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END AS r FROM documents)
+    SELECT source, doc_id FROM d WHERE refusal = '' QUALIFY row_number() OVER (PARTITION BY source ORDER BY r, doc_id) <= 3""",
+)
+def readable_documents(spark, sf):
+    """X-32, M-22, M-23: three readable documents of each owner, by kind."""
+    refusal = F.when(F.col("n_chars") == 0, "empty").when(F.col("n_chars") < 200, "short").otherwise("")
+    rank = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 1).otherwise(2)
+    d = table(spark, sf, "documents").where(refusal == "").withColumn("r", rank)
+    return d.withColumn("p", F.row_number().over(Window.partitionBy("source").orderBy("r", "doc_id"))).where("p <= 3").select("source", "doc_id")
+
+
+@query(
+    "question_routes",
+    """WITH q AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[^a-zà-ÿ0-9ß]+'), lambda x: x <> '') AS w, CASE (conv_id + turn) % 3 WHEN 0 THEN 'why' WHEN 1 THEN 'deadline' ELSE '' END AS extra FROM conversations WHERE role = 'user')
+    SELECT conv_id, turn, CASE WHEN extra = 'deadline' AND len(w) + 1 <= 25 THEN 'fast' ELSE 'deep' END AS tier FROM q""",
+)
+def question_routes(spark, sf):
+    """X-29"""
+    k = (F.col("conv_id") + F.col("turn")) % 3
+    q = F.concat("text", F.when(k == 0, " why?").when(k == 1, " Deadline").otherwise(""))
+    return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", K.route(q)["tier"].alias("tier"))
+
+
+@query(
+    "page_titles",
+    "SELECT page_id, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS heading, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS lang FROM pages",
+)
+def page_titles(spark, sf):
+    """X-30, M-44"""
+    return table(spark, sf, "pages").select("page_id", F.trim(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)).alias("heading"), F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("lang"))
+
+
+@query("quote_offsets", "SELECT doc_id, source, length(text) AS n, (coalesce(sum(length(text) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM documents")
+def quote_offsets(spark, sf):
+    """X-06, X-07, M-35: where each piece starts in the text that joins them."""
+    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    return table(spark, sf, "documents").select("doc_id", "source", F.length("text").cast("long").alias("n"), F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).alias("start"))
+
+
+@query("duplicate_proposals", "SELECT lang, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY lang, lower(trim(text))")
+def duplicate_proposals(spark, sf):
+    """X-34: the same key and canonical quote once."""
+    return table(spark, sf, "documents").groupBy("lang", F.sha2(F.lower(F.trim("text")), 256).alias("q")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).drop("q")
+
+
+@query("answer_lines", "SELECT p_partkey, p_name AS name, p_brand AS title FROM part")
+def answer_lines(spark, sf):
+    """X-36: KEY: value lines of an answer."""
+    t = F.concat(F.lit("NAME: "), "p_name", F.lit("\nTITLE: "), "p_brand", F.lit("\nBIO: unknown"))
+    m = F.expr("str_to_map(t, '\\n', ': ')")
+    return table(spark, sf, "part").select("p_partkey", t.alias("t")).select("p_partkey", m["NAME"].alias("name"), m["TITLE"].alias("title"))
