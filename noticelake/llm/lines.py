@@ -4,8 +4,9 @@ Equal lines become one entry first.  An entry of length l is cut into THRESHOLD
 segments; if two lines are within THRESHOLD edits, some segment of the shorter stands
 unchanged in the longer, not far from its place.  Segments are indexed by (length, number,
 text), and a line probes, for every length it may pair with, only the start positions that
-the number of the segment and the difference in length leave open.  Candidates are verified
-by a banded bit-parallel edit distance: one machine word holds the 2 * THRESHOLD + 1 cells
+the number of the segment and the difference in length leave open.  Where keys meet, lines
+whose letter counts differ by more than the edits allow are no candidates, so a large family of
+lines that share a segment but differ elsewhere yields few.  Candidates are verified by a banded bit-parallel edit distance: one machine word holds the 2 * THRESHOLD + 1 cells
 around the diagonal, and a column takes a dozen bit operations.
 
 A line goes if an equal or linked line stands earlier in the corpus, by (doc_id, line number).
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import held_small, let, stored, table
 
 THRESHOLD, MIN_CHARS = 2, 30
+#: Fixed value: characters whose counts are compared before lines are.
+LETTERS = "etaoinsrhldcum ."
 #: Candidate pairs up to which the lines they name are picked by broadcast.
 PAIRS_HELD = 200_000
 
@@ -115,6 +118,24 @@ def banded_distance(longer: Column, shorter: Column, band: int) -> Column:
     return let(pair, lambda x: distance(x["p"], x["s"]))
 
 
+def signature(line: Column) -> Column:
+    """Counts modulo 16 of the LETTERS of a line, four bits each."""
+    total = F.lit(0).cast("long")
+    for k, c in enumerate(LETTERS):
+        count = F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
+        total = total.bitwiseOR(F.shiftleft((count % 16).cast("long"), 4 * k))
+    return total
+
+
+def letters_apart(a: Column, b: Column) -> Column:
+    """Sum over LETTERS of how far the counts differ, around the circle of 16: at most two an edit."""
+    total = F.lit(0)
+    for k in range(len(LETTERS)):
+        d = F.abs(F.shiftright(a, 4 * k).bitwiseAND(15) - F.shiftright(b, 4 * k).bitwiseAND(15))
+        total = total + F.least(d, F.lit(16) - d)
+    return total
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), line.  Null text is one empty line, like empty text."""
     return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
@@ -126,16 +147,22 @@ def entries(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies")
     )
     return grouped.select(
-        F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("n"), "first", "copies"
+        F.monotonically_increasing_id().alias("id"),
+        "line",
+        F.length("line").alias("n"),
+        signature(F.col("line")).alias("letters"),
+        "first",
+        "copies",
     )
 
 
 def edit_links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """All pairs of ``distinct`` (a stored table) within ``threshold`` edits: a, b (ids), a not shorter."""
     line, n = F.col("line"), F.col("n")
-    index = distinct.select(F.col("id").alias("b"), F.explode(index_keys(line, n, threshold)).alias("key"))
-    probes = distinct.select(F.col("id").alias("a"), F.explode(probe_keys(line, n, threshold)).alias("key"))
-    met = probes.join(index, "key").where("a <> b").select("a", "b").distinct()
+    index = distinct.select(F.col("id").alias("b"), F.col("letters").alias("letters_b"), F.explode(index_keys(line, n, threshold)).alias("key"))
+    probes = distinct.select(F.col("id").alias("a"), F.col("letters").alias("letters_a"), F.explode(probe_keys(line, n, threshold)).alias("key"))
+    near = letters_apart(F.col("letters_a"), F.col("letters_b")) <= 2 * threshold
+    met = probes.join(index, "key").where((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
     met = stored(met, "line-pairs")
     named = met.select(F.col("a").alias("id")).union(met.select(F.col("b").alias("id"))).distinct()
     texts = stored(distinct.select("id", "line", "n").join(held_small(stored(named, "line-ids"), 2 * PAIRS_HELD), "id"), "line-texts")
