@@ -1,0 +1,177 @@
+"""Vector, lexical and hybrid search (V-*, J-17, A-18, X-20)."""
+
+from __future__ import annotations
+
+import datetime
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import vectors as V
+from ..plans import search as P
+from ..registry import query, table
+
+_COS = "round(list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6)"
+
+
+def _queries(spark, sf):
+    """The stated query set: every vector whose id is divisible by 100."""
+    return table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), F.col("label").alias("qlabel"))
+
+
+_SCORED = f"s AS (SELECT q.vec_id AS qid, e.vec_id, e.label, q.label AS qlabel, {_COS.format(a='e.embedding', b='q.embedding')} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)"
+
+
+@query(
+    "cosine_topk",
+    f"WITH {_SCORED} SELECT qid, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s WHERE label <> 3 AND score >= -0.5) WHERE rank <= 10",
+)
+def cosine_topk(spark, sf):
+    """V-01, P-16, S-18: filters on the points before the search."""
+    points = table(spark, sf, "embeddings").where("label <> 3")
+    return V.top_k(_queries(spark, sf), points, 10, -0.5).select("qid", "vec_id", "score", "rank")
+
+
+_LEX = r"""w AS (SELECT item_id AS qid, list_distinct(regexp_extract_all(lower(text), '(\p{L}{3,})', 1)) AS q FROM benchmark WHERE item_id % 10 = 0),
+t AS (SELECT qid, len(q) AS n, unnest(q) AS term FROM w), i AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '(\p{L}{3,})', 1)) AS term FROM documents),
+h AS (SELECT qid, doc_id, round(count(*) / min(n), 6) AS score FROM i JOIN t USING (term) GROUP BY 1, 2),
+l AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM h QUALIFY rank <= 20)"""
+
+
+def _asked(spark, sf):
+    return table(spark, sf, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("qid"), "text")
+
+
+@query("lexical_overlap", f"WITH {_LEX} SELECT qid, doc_id, score, rank FROM l")
+def lexical_overlap(spark, sf):
+    """V-02, V-03: rows meet through shared words only."""
+    return V.lexical(_asked(spark, sf), table(spark, sf, "documents"), 20).select("qid", "doc_id", "score", "rank")
+
+
+@query(
+    "rrf_hybrid",
+    f"""WITH {_LEX}, d AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM (SELECT b.item_id AS qid, e.vec_id, {_COS.format(a='e.embedding', b='q.embedding')} AS score
+    FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings e WHERE b.item_id % 10 = 0) WHERE score >= -0.2 QUALIFY rank <= 20),
+    u AS (SELECT qid, vec_id AS id, rank, 0 AS arm, 'dense' AS name FROM d UNION ALL SELECT qid, doc_id, rank, 1, 'lexical' FROM l),
+    f AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min((arm, rank)) AS first, CASE WHEN count(*) > 1 THEN 'hybrid' ELSE min(name) END AS retrieval FROM u GROUP BY 1, 2)
+    SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first, id) AS place, retrieval, '' AS degraded_reason FROM f QUALIFY place <= 20""",
+)
+def rrf_hybrid(spark, sf):
+    """V-05, V-06: both arms, fused by rank."""
+    asked = _asked(spark, sf).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), "qid")
+    return P.search(asked, table(spark, sf, "embeddings"), table(spark, sf, "documents"), 20, -0.2)
+
+
+@query("degraded_search", f"WITH {_LEX} SELECT qid, doc_id AS id, score, rank AS place, 'lexical' AS retrieval, 'vector_store_unavailable' AS degraded_reason FROM l")
+def degraded_search(spark, sf):
+    """V-06 without vectors: the lexical arm alone, and the reason."""
+    return P.search(_asked(spark, sf), None, table(spark, sf, "documents"), 20)
+
+
+@query(
+    "code_probe",
+    r"""WITH c AS (SELECT page_id, list_filter(list_distinct(regexp_extract_all(upper(url), '([A-Z0-9]+(?:-[A-Z0-9]+)+)', 1)), lambda x: regexp_matches(x, '\d'))[1:3] AS codes FROM (SELECT page_id, url || '/ab-' || page_id AS url FROM pages))
+    SELECT page_id, unnest(codes) AS code FROM c""",
+)
+def code_probe(spark, sf):
+    """V-04: hyphenated codes with a digit, the first three."""
+    u = F.upper(F.concat("url", F.lit("/ab-"), F.col("page_id").cast("string")))
+    codes = F.filter(F.array_distinct(F.regexp_extract_all(u, F.lit("([A-Z0-9]+(?:-[A-Z0-9]+)+)"), F.lit(1))), lambda x: x.rlike(r"\d"))
+    return table(spark, sf, "pages").select("page_id", F.explode(F.slice(codes, 1, 3)).alias("code"))
+
+
+@query(
+    "representative",
+    f"""WITH p AS (SELECT vec_id, label, vec_id % 50 AS owner, embedding FROM embeddings), s AS (SELECT a.vec_id AS qid, b.owner, b.vec_id, {_COS.format(a='a.embedding', b='b.embedding')} AS score
+    FROM p a JOIN p b ON a.owner <> b.owner WHERE a.vec_id % 100 = 0), t AS (SELECT * FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) <= 40),
+    d AS (SELECT qid, count(DISTINCT owner) AS duplicates FROM t GROUP BY qid) SELECT vec_id, coalesce(duplicates, 0) AS duplicates FROM p LEFT JOIN d ON vec_id = qid WHERE vec_id % 100 = 0""",
+)
+def representative(spark, sf):
+    """V-07, A-18: how common a passage is among other owners, from its best forty hits."""
+    p = table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 50).alias("owner"), "embedding")
+    return V.duplicates(p.where("vec_id % 100 = 0"), p, 0.3, 40)
+
+
+@query(
+    "similar_awards",
+    f"WITH {_SCORED}, o AS (SELECT qid, vec_id % 60 AS notice, max(score) AS score FROM s WHERE label = qlabel AND vec_id <> qid GROUP BY 1, 2) SELECT qid, notice, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, notice) - 1 AS rank FROM o QUALIFY rank < 20",
+)
+def similar_awards(spark, sf):
+    """J-17, V-08, W-03: neighbours of the stated queries, the best passage of each notice."""
+    q = _queries(spark, sf)
+    joined = table(spark, sf, "embeddings").join(F.broadcast(q), F.col("label") == F.col("qlabel")).where("vec_id <> qid")
+    scored = joined.select("qid", (F.col("vec_id") % 60).alias("notice"), V.cosine(F.col("embedding"), F.col("qvec")).alias("score"))
+    best = scored.groupBy("qid", "notice").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "notice")) - 1
+    return best.withColumn("rank", rank.cast("long")).where("rank < 20")
+
+
+@query("near_duplicate_selection")
+def near_duplicate_selection(spark, sf):
+    """X-20 with W-04: the lexical hits of each query, walked in rank order."""
+    hits = V.lexical(_asked(spark, sf), table(spark, sf, "documents"), 60).join(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
+    return V.select_passages(hits.select("qid", "doc_id", F.col("source").alias("notice"), "rank", "text"), 8)
+
+
+@query(
+    "near_duplicate_pairs",
+    r"""WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '(\p{L}{3,})', 1)) AS s FROM benchmark), e AS (SELECT item_id, len(s) AS n, unnest(s) AS t FROM w),
+    p AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS i, min(a.n) AS m, min(b.n) AS n FROM e a JOIN e b ON a.t = b.t AND a.item_id < b.item_id GROUP BY 1, 2) SELECT a, b, round(i / (m + n - i), 6) AS jaccard FROM p WHERE i / (m + n - i) >= 0.05""",
+)
+def near_duplicate_pairs(spark, sf):
+    """X-20, U-05: pair scores through shared words."""
+    e = table(spark, sf, "benchmark").select("item_id", V.words(F.col("text")).alias("s")).select("item_id", F.size("s").alias("n"), F.explode("s").alias("t"))
+    a, b = e.select(F.col("item_id").alias("a"), F.col("n").alias("m"), "t"), e.select(F.col("item_id").alias("b"), "n", "t")
+    p = a.join(b, "t").where("a < b").groupBy("a", "b").agg(F.count("*").alias("i"), F.min("m").alias("m"), F.min("n").alias("n"))
+    j = F.col("i") / (F.col("m") + F.col("n") - F.col("i"))
+    return p.where(j >= 0.05).select("a", "b", F.round(j, 6).alias("jaccard"))
+
+
+@query(
+    "cache_lookup",
+    f"""WITH st AS (SELECT vec_id AS answer_id, 'q' || vec_id % 37 AS key, 's' || label AS scope, embedding, TIMESTAMP '2024-01-10' + to_hours((vec_id % 200)::INT) AS kept_at, CASE WHEN vec_id % 9 = 0 THEN 1 ELSE 2 END AS version FROM embeddings WHERE vec_id % 3 <> 0),
+    live AS (SELECT * FROM st WHERE version = 2 AND kept_at >= TIMESTAMP '2024-01-12'), q AS (SELECT vec_id AS qid, 'q' || (vec_id % 74) AS key, 's' || label AS scope, embedding FROM embeddings WHERE vec_id % 100 = 0),
+    ex AS (SELECT qid, min(answer_id) AS exact FROM q JOIN live USING (key, scope) GROUP BY 1),
+    nr AS (SELECT qid, answer_id AS near FROM (SELECT q.qid, live.answer_id, {_COS.format(a='live.embedding', b='q.embedding')} AS score FROM q JOIN live USING (scope)) WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, answer_id) = 1)
+    SELECT qid, coalesce(exact, near) AS answer_id, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN near IS NOT NULL THEN 'similar' END AS how FROM q LEFT JOIN ex USING (qid) LEFT JOIN nr USING (qid)""",
+)
+def cache_lookup(spark, sf):
+    """V-12, ST-12: exact key, else the nearest question of the scope; old and outdated answers don't count."""
+    e = table(spark, sf, "embeddings")
+    scope = F.concat(F.lit("s"), F.col("label").cast("string"))
+    key = lambda n: F.concat(F.lit("q"), (F.col("vec_id") % n).cast("string")).alias("key")
+    at = F.lit("2024-01-10 00:00:00").cast("timestamp") + F.make_dt_interval(hours=(F.col("vec_id") % 200).cast("int"))
+    store = e.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("answer_id"), key(37), scope.alias("scope"), "embedding", at.alias("stored_at"), F.when(F.col("vec_id") % 9 == 0, 1).otherwise(2).alias("version"))
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), key(74), scope.alias("scope"), F.col("embedding").alias("qvec"))
+    return P.cached(asked, store, datetime.datetime(2024, 1, 17, 0, 0), 5 * 86400, 2, 0.6)
+
+
+@query("cache_keys", r"SELECT conv_id, turn, sha256(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) || '|' || role) AS key FROM conversations")
+def cache_keys(spark, sf):
+    """F-36, M-31: the question folded, with its scope."""
+    return table(spark, sf, "conversations").select("conv_id", "turn", S.cache_key(F.col("text"), F.col("role")).alias("key"))
+
+
+@query("payload_stamp", "SELECT vec_id, label, label IN (2, 5) AND vec_id % 4 = 0 AS is_award FROM embeddings")
+def payload_stamp(spark, sf):
+    """V-10: a flag joined on without touching vectors."""
+    flagged = table(spark, sf, "embeddings").where("label IN (2, 5) AND vec_id % 4 = 0").select("vec_id", F.lit(True).alias("f"))
+    return table(spark, sf, "embeddings").join(flagged, "vec_id", "left").select("vec_id", "label", F.coalesce("f", F.lit(False)).alias("is_award"))
+
+
+@query("collection_stats", "SELECT label, count(*) AS points, min(len(embedding))::INTEGER AS width FROM embeddings GROUP BY label")
+def collection_stats(spark, sf):
+    """V-17"""
+    return table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("points"), F.min(F.size("embedding")).alias("width"))
+
+
+@query(
+    "open_digest",
+    "SELECT count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '2001-07-01') AS open_tenders, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderdate, o_orderkey) FILTER (WHERE o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '2001-07-01' ORDER BY o_orderdate, o_orderkey LIMIT 8)) AS soonest FROM orders",
+)
+def open_digest(spark, sf):
+    """V-15: how many are open, and the eight that close first."""
+    o = table(spark, sf, "orders").where("o_orderdate >= TIMESTAMP_NTZ '2001-07-01'")
+    first = o.orderBy("o_orderdate", "o_orderkey").limit(8).agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))).alias("s"))
+    return o.agg(F.count("*").alias("open_tenders")).join(first, F.lit(True)).select("open_tenders", F.array_join(F.transform("s", lambda x: x["o_orderkey"].cast("string")), ",").alias("soonest"))
