@@ -1,0 +1,294 @@
+"""Incremental jobs, sources and sinks, streams (S-*, ST-*, M-*)."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+
+from ..operators import aggregates as A
+from ..registry import query, table
+from ..session import scratch
+from ..sources import files as L
+from ..sources import paged
+from ..streaming import incremental as I
+from ..streaming import windows as W
+
+_SNAPSHOTS = """old AS (SELECT doc_id, source, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0),
+new AS (SELECT CASE WHEN doc_id % 41 = 0 THEN NULL ELSE doc_id END AS doc_id, source, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0)"""
+
+
+def _snapshots(spark, sf):
+    d = table(spark, sf, "documents")
+    old = d.where("doc_id % 7 <> 0").select("doc_id", "source", F.sha2("text", 256).alias("h"))
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    new = d.where("doc_id % 11 <> 0").select(F.when(F.col("doc_id") % 41 != 0, F.col("doc_id")).alias("doc_id"), "source", F.sha2(text, 256).alias("h"))
+    return old, new
+
+
+@query(
+    "content_hash_upsert",
+    f"WITH {_SNAPSHOTS}, c AS (SELECT * FROM old WHERE doc_id NOT IN (SELECT doc_id FROM new WHERE doc_id IS NOT NULL) UNION ALL SELECT * FROM new WHERE doc_id IS NOT NULL) SELECT doc_id, h FROM c",
+)
+def content_hash_upsert(spark, sf):
+    """F-04, ST-01: the table after the upsert."""
+    old, new = _snapshots(spark, sf)
+    return I.upsert(old, new, "doc_id", "h").select("doc_id", "h")
+
+
+@query(
+    "upsert_counters",
+    f"""WITH {_SNAPSHOTS} SELECT CASE WHEN new.doc_id IS NULL THEN 'skipped' WHEN new.source = 'src3' THEN 'out_of_scope' WHEN old.doc_id IS NULL THEN 'create' WHEN old.h = new.h THEN 'unchanged' ELSE 'update' END AS action, count(*) AS n
+    FROM new LEFT JOIN old ON new.doc_id = old.doc_id GROUP BY 1""",
+)
+def upsert_counters(spark, sf):
+    """ST-01, ST-02, P-23"""
+    old, new = _snapshots(spark, sf)
+    return I.changes(old, new, "doc_id", "h", F.col("source") != "src3").groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query("partition_counters", f"WITH {_SNAPSHOTS} SELECT source, count(*) AS fetched, count(*) FILTER (WHERE doc_id IS NULL) AS skipped FROM new GROUP BY source")
+def partition_counters(spark, sf):
+    """ST-03: one pass with counters of every partition."""
+    return _snapshots(spark, sf)[1].groupBy("source").agg(F.count("*").alias("fetched"), F.count_if(F.col("doc_id").isNull()).alias("skipped"))
+
+
+@query("incremental_index", "SELECT doc_id, source FROM documents WHERE NOT (doc_id % 3 <> 0 AND doc_id % 4 <> 1 AND lang <> 'de')")
+def incremental_index(spark, sf):
+    """ST-06, M-29, M-33: sources whose fingerprint, model or version the ledger lacks."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "lang", F.sha2("text", 256).alias("fingerprint"), F.lit("m2").alias("model"), F.lit(3).alias("version"))
+    ledger = d.where("doc_id % 3 <> 0").withColumns({"model": F.when(F.col("lang") == "de", "m1").otherwise("m2"), "version": F.when(F.col("doc_id") % 4 == 1, 2).otherwise(3)})
+    return I.pending(d, ledger, "doc_id", ["fingerprint", "model", "version"]).select("doc_id", "source")
+
+
+@query(
+    "reextraction",
+    """SELECT user_id, max(ts) FILTER (WHERE event_type = 'purchase') AS last_ok, max(ts) FILTER (WHERE event_type = 'view') AS last_document, count(*) FILTER (WHERE event_type = 'error') AS failures
+    FROM events GROUP BY user_id HAVING (last_ok IS NULL OR last_document > last_ok) AND failures < 30""",
+)
+def reextraction(spark, sf):
+    """ST-07: work is due when a document came after the last good run, up to a number of attempts."""
+    at = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("ts")))
+    e = table(spark, sf, "events").groupBy("user_id").agg(at("purchase").alias("last_ok"), at("view").alias("last_document"), F.count_if(F.col("event_type") == "error").alias("failures"))
+    return e.where("(last_ok IS NULL OR last_document > last_ok) AND failures < 30")
+
+
+@query("award_reparse", "SELECT o_orderkey FROM orders LEFT JOIN (SELECT l_orderkey, max(l_linenumber) AS version FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON o_orderkey = l_orderkey WHERE coalesce(version, 0) < 4")
+def award_reparse(spark, sf):
+    """ST-08"""
+    v = table(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.max("l_linenumber").alias("version"))
+    o = table(spark, sf, "orders").join(v, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return o.where(F.coalesce("version", F.lit(0)) < 4).select("o_orderkey")
+
+
+@query("reclassify", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE 'new' END AS category FROM documents")
+def reclassify(spark, sf):
+    """ST-09: a decision made by hand stays."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("category"), F.when(F.col("doc_id") % 3 == 0, "manual").otherwise("rules").alias("decided_by"))
+    return I.overwrite(d, {"category": F.lit("new")}, "decided_by", ("manual",)).select("doc_id", "category")
+
+
+@query(
+    "retry_states",
+    """WITH s AS (SELECT event_id, (event_id % 5)::INTEGER AS before, event_type <> 'error' AS ok, ts FROM events), t AS (SELECT *, CASE WHEN ok THEN 0 ELSE before + 1 END AS attempts FROM s)
+    SELECT event_id, attempts, CASE WHEN ok THEN 'done' WHEN attempts >= 4 THEN 'failed' ELSE 'retry' END AS status,
+    CASE WHEN NOT ok AND attempts < 4 THEN ts + to_seconds(least(60 * power(2, attempts - 1), 300)::INT) END AS next_retry_at FROM t""",
+)
+def retry_states(spark, sf):
+    """ST-10, M-04, F-14"""
+    e = table(spark, sf, "events").select("event_id", (F.col("event_id") % 5).cast("int").alias("attempts"), "event_type", "ts")
+    return I.next_state(e, F.col("event_type") != "error", 60, 300, 4, F.col("ts")).select("event_id", "attempts", "status", "next_retry_at")
+
+
+@query("derived_terms", r"SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '(\p{L}{3,})', 1)))::INTEGER AS terms FROM documents")
+def derived_terms(spark, sf):
+    """ST-11: the derived search column, computed in the write path."""
+    from ..operators.vectors import words
+
+    return table(spark, sf, "documents").select("doc_id", F.size(words(F.col("text"))).alias("terms"))
+
+
+@query("expired_state", "SELECT event_type, count(*) AS n FROM events WHERE ts > TIMESTAMP '2024-01-25' GROUP BY 1")
+def expired_state(spark, sf):
+    """ST-12"""
+    now = F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")
+    return I.not_expired(table(spark, sf, "events"), "ts", now, 5 * 86400).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("stream_windows", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_windows(spark, sf):
+    """Extension: event-time windows over a file stream, run until no input is left."""
+    schema = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/[e]vents.parquet")
+    stream = stream.select(F.col("ts").cast("timestamp").alias("at"), "event_type", "value")
+    folder = scratch(spark, "windows")
+    found = W.run_to_table(W.tumbling(stream, "6 hours"), f"{folder}/out", f"{folder}/checkpoint")
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("stream_upserts", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
+def stream_upserts(spark, sf):
+    """ST-01, ST-04, ST-13: a stream of changes applied to a table, resumable from its checkpoint."""
+    schema = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/[e]vents.parquet")
+    stream = stream.select("user_id", "event_id", F.struct("ts", "event_id").alias("order_key"), F.sha2(F.col("event_id").cast("string"), 256).alias("h"))
+    folder = scratch(spark, "upserts")
+    done = I.stream_upsert(stream, f"{folder}/table", "user_id", "h", "order_key", f"{folder}/checkpoint")
+    last = max((p["batchId"] for p in done.recentProgress if p["numInputRows"]), default=None)
+    if last is None:
+        return spark.createDataFrame([], "user_id long, event_id long")
+    return spark.read.parquet(f"{folder}/table/v{last}").select("user_id", "event_id")
+
+
+@query("paged_records", "SELECT o_orderkey AS id, (o_orderkey // 500) * 500 AS page FROM orders WHERE o_orderkey < 3000 AND o_orderkey // 500 <> 3")
+def paged_records(spark, sf):
+    """S-01, S-02, S-03: pages of landed JSON; a page that fails is an error row and no stop."""
+    o = table(spark, sf, "orders").where("o_orderkey < 3000").select(F.col("o_orderkey").alias("id"), (F.floor(F.col("o_orderkey") / 500) * 500).alias("page"))
+    pages = o.groupBy("page").agg(F.to_json(F.struct(F.collect_list(F.struct("id")).alias("notices"))).alias("body"))
+    body = F.when(F.col("page") == 1500, F.lit('{"error": "limit"}')).otherwise(F.col("body"))
+    rows = pages.select("page", F.from_json(body, "notices array<struct<id:long>>, error string").alias("p"))
+    return rows.where("p.error IS NULL").select("page", F.explode("p.notices.id").alias("id"))
+
+
+def fetch_from(text: dict[int, str]):
+    """A fetch function for ``paged.read_pages`` over landed pages, for tests and replays."""
+    return lambda offset, rows: text.get(offset, json.dumps({"error": f"no page at {offset}"}))
+
+
+__all__ = ["fetch_from", "paged"]
+
+
+@query("sniffed_pages", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'html' ELSE 'text' END AS kind, length(sha256(url)) AS digits FROM pages")
+def sniffed_pages(spark, sf):
+    """S-06, S-17: kinds by first bytes, never by name."""
+    k = F.col("page_id") % 4
+    content = F.when(k == 0, F.concat(F.lit("%PDF-1.7 "), "url")).when(k == 1, F.concat(F.lit("PK\u0003\u0004"), "url")).when(k == 2, F.col("html")).otherwise(F.col("url"))
+    files = table(spark, sf, "pages").select("page_id", F.encode(content, "UTF-8").alias("content"))
+    return L.sniff(files).select("page_id", "kind", F.length("sha256").cast("long").alias("digits"))
+
+
+@query("text_blocks", "SELECT doc_id, 5::BIGINT AS blocks, 'Title > Part' AS path FROM documents")
+def text_blocks(spark, sf):
+    """S-08, M-38: headings, paragraphs, tables and code with the path of headings."""
+    line = F.regexp_replace(F.substring("text", 1, 200), r"[\n#|`]", " ")
+    text = F.concat(F.lit("# Title\n\n"), F.lit("intro "), line, F.lit("\n## Part\n| a | b |\n| 1 | 2 |\n\n```\n# no heading\n```\n"))
+    b = L.blocks(table(spark, sf, "documents").select("doc_id", text.alias("text")))
+    return b.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.max_by("path", "block_no").alias("path"))
+
+
+@query(
+    "csv_corrections",
+    "WITH r AS (SELECT CASE WHEN p_partkey % 50 = 0 THEN '' ELSE (p_partkey - p_partkey % 10 // 9)::VARCHAR END AS k, CASE WHEN p_partkey % 7 = 0 THEN 'odd' ELSE 'it' END AS c FROM part) SELECT k, c, CASE WHEN k = '' THEN 'empty key' WHEN count(*) OVER (PARTITION BY k) > 1 THEN 'repeated key' WHEN c <> 'it' THEN 'unknown c' END AS problem FROM r",
+)
+def csv_corrections(spark, sf):
+    """S-09, S-12, M-39: written as CSV and read back with its problems."""
+    p = F.col("p_partkey")
+    k = F.when(p % 50 == 0, "").otherwise((p - F.when(p % 10 == 9, 1).otherwise(0)).cast("string"))
+    rows = table(spark, sf, "part").select(k.alias("k"), F.when(p % 7 == 0, "odd").otherwise("it").alias("c"))
+    path = scratch(spark, "corrections")
+    L.write_csv(rows, path)
+    found = L.read_corrections(spark, path, "k", {"c": ["it", "supply"]})
+    return found.select(F.coalesce("k", F.lit("")).alias("k"), "c", "problem")
+
+
+@query("jsonl_round_trip", "SELECT conv_id, turn, role FROM conversations")
+def jsonl_round_trip(spark, sf):
+    """S-10, S-11: decisions as JSON lines, read back under a schema."""
+    path = scratch(spark, "jsonl")
+    table(spark, sf, "conversations").select("conv_id", "turn", "role").write.json(path)
+    return spark.read.schema("conv_id long, turn long, role string").json(path)
+
+
+@query("vector_upsert", "SELECT vec_id, CASE WHEN vec_id % 6 = 0 THEN -1 ELSE label END AS label FROM embeddings WHERE vec_id % 10 <> 9 OR vec_id % 6 = 0")
+def vector_upsert(spark, sf):
+    """S-14, V-09, V-11: points replaced by key; a source's points deleted."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label")
+    new = e.where("vec_id % 6 = 0").withColumn("label", F.lit(-1))
+    kept = e.where("vec_id % 10 <> 9").join(new, "vec_id", "left_anti")
+    return kept.union(new)
+
+
+@query("blob_names", "SELECT page_id, left(sha256(url), 2) || '/' || sha256(url) || '.pdf' AS name FROM pages")
+def blob_names(spark, sf):
+    """S-15"""
+    pages = table(spark, sf, "pages").select("page_id", F.encode("url", "UTF-8").alias("content"))
+    return pages.select("page_id", L.blob_name("content", "pdf").alias("name"))
+
+
+@query(
+    "upload_intake",
+    "WITH u AS (SELECT 'f' || page_id || CASE page_id % 3 WHEN 0 THEN '.exe' ELSE '.pdf' END AS path, CASE WHEN page_id % 10 = 1 THEN '' ELSE 'c' || page_id % 40 END AS c FROM pages) SELECT path, CASE WHEN ends_with(path, '.exe') THEN 'suffix' WHEN c = '' THEN 'empty' WHEN min(path) OVER (PARTITION BY c) <> path THEN 'repeated' END AS refusal FROM u",
+)
+def upload_intake(spark, sf):
+    """S-17, M-43"""
+    n = F.col("page_id")
+    path = F.concat(F.lit("f"), n.cast("string"), F.when(n % 3 == 0, ".exe").otherwise(".pdf"))
+    content = F.when(n % 10 == 1, "").otherwise(F.concat(F.lit("c"), (n % 40).cast("string")))
+    files = table(spark, sf, "pages").select(path.alias("path"), F.encode(content, "UTF-8").alias("content"))
+    return L.intake(files, ("pdf", "docx", "html", "txt"), 1 << 20).select("path", "refusal")
+
+
+@query("source_vocabulary_zero_fill", "SELECT n_name AS value, coalesce(n, 0) AS n FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 9900 GROUP BY 1) ON n_nationkey = c_nationkey")
+def source_vocabulary_zero_fill(spark, sf):
+    """S-13"""
+    counts = table(spark, sf, "customer").where("c_acctbal > 9900").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    return A.zero_filled(table(spark, sf, "nation"), counts, "n_nationkey").select(F.col("n_name").alias("value"), "n")
+
+
+@query(
+    "link_registry",
+    "WITH l AS (SELECT url, page_id, CASE page_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS r FROM pages UNION ALL SELECT url, page_id + 100000, 1 FROM pages WHERE page_id % 2 = 0) SELECT sha256(url) AS key, min(r)::INTEGER AS kind, count(DISTINCT page_id) AS notices FROM l GROUP BY url",
+)
+def link_registry(spark, sf):
+    """M-01, M-02, M-16: links registered by hash, the most telling kind kept, every notice attached."""
+    p = table(spark, sf, "pages").select("url", "page_id")
+    a = p.withColumn("r", (F.col("page_id") % 3).cast("int"))
+    b = p.where("page_id % 2 = 0").select("url", (F.col("page_id") + 100000).alias("page_id"), F.lit(1).alias("r"))
+    return a.union(b).groupBy(F.sha2("url", 256).alias("key")).agg(F.min("r").alias("kind"), F.countDistinct("page_id").alias("notices"))
+
+
+@query("once_per_window", "SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS day, min(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY 1, 2")
+def once_per_window(spark, sf):
+    """M-05: at most one request of a key in a window."""
+    e = table(spark, sf, "events").where("event_type = 'click'")
+    return e.groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.min("event_id").alias("event_id"))
+
+
+@query("lookup_queue", "SELECT o_orderkey, o_orderdate::DATE AS d FROM orders WHERE o_orderstatus = 'P' ORDER BY CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate END DESC NULLS LAST, o_orderkey LIMIT 25")
+def lookup_queue(spark, sf):
+    """M-10: unchecked rows, newest first."""
+    o = table(spark, sf, "orders").where("o_orderstatus = 'P'").withColumn("d", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")))
+    return o.orderBy(F.desc_nulls_last("d"), "o_orderkey").limit(25).select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+
+
+@query("answer_normalisation", "SELECT event_id, least(greatest((value)::INTEGER, 1), 99) AS n, CASE WHEN event_type IN ('view', 'click') THEN event_type ELSE 'medium' END AS importance FROM events WHERE event_type <> 'error'")
+def answer_normalisation(spark, sf):
+    """M-20: rows without evidence go, counts are clamped, unknown importance gets the default."""
+    e = table(spark, sf, "events").where("event_type <> 'error'")
+    n = F.least(F.greatest(F.rint("value").cast("int"), F.lit(1)), F.lit(99))
+    return e.select("event_id", n.alias("n"), F.when(F.col("event_type").isin("view", "click"), F.col("event_type")).otherwise("medium").alias("importance"))
+
+
+@query("document_states", "SELECT source, count(*) FILTER (WHERE n_chars >= 200) AS readable, count(*) FILTER (WHERE n_chars < 200) AS supplied, count(*) FILTER (WHERE n_chars >= 200) = 0 AS contact FROM documents GROUP BY source")
+def document_states(spark, sf):
+    """M-28, M-23"""
+    ok = F.count_if(F.col("n_chars") >= 200)
+    return table(spark, sf, "documents").groupBy("source").agg(ok.alias("readable"), F.count_if(F.col("n_chars") < 200).alias("supplied"), (ok == 0).alias("contact"))
+
+
+@query("resanitise_report", "SELECT count(*) AS pages, 0::BIGINT AS changed_again FROM pages")
+def resanitise_report(spark, sf):
+    """M-36, M-40, M-41: maintenance is idempotent: a second pass changes nothing."""
+    from ..functions.text import sanitize
+
+    once = table(spark, sf, "pages").select(sanitize(F.col("html")).alias("once"))
+    return once.agg(F.count("*").alias("pages"), F.count_if(sanitize(F.col("once")) != F.col("once")).alias("changed_again"))
+
+
+@query("id_arrays", "SELECT l_partkey, string_agg(DISTINCT l_orderkey::VARCHAR, ',' ORDER BY l_orderkey::VARCHAR) AS notices FROM lineitem WHERE l_partkey < 300 GROUP BY 1")
+def id_arrays(spark, sf):
+    """M-37, M-26"""
+    l = table(spark, sf, "lineitem").where("l_partkey < 300").groupBy("l_partkey").agg(F.array_sort(F.collect_set(F.col("l_orderkey").cast("string"))).alias("n"))
+    return l.select("l_partkey", F.array_join("n", ",").alias("notices"))
+
+
