@@ -60,6 +60,9 @@ class _Words(dict):
         return place
 
 
+_COUNTS = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
+
+
 def _counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trigram counts by language of a task's training texts."""
     held: dict[str, np.ndarray] = {}
@@ -70,7 +73,8 @@ def _counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own += np.bincount(trigrams(words)[0], minlength=BUCKETS)
     for lang, own in held.items():
         at = np.flatnonzero(own)
-        yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "bucket": at.astype(np.int32), "n": own[at]})
+        found = {"lang": [lang] * len(at), "bucket": at.astype(np.int32), "n": own[at]}
+        yield pa.RecordBatch.from_pydict(found, schema=_COUNTS)
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
