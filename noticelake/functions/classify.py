@@ -142,3 +142,64 @@ MARKERS = {
     "credential": r"(?iu)\biso\s*\d|certificat|accredit|licen[cs]e|registration\s+(?:with|as)",
     "shortlist": r"(?iu)short-?list",
 }
+
+#: Sub-directions of consulting, with the weight of each phrase.
+SUBDIRECTIONS = {
+    "audit": {
+        "external audit": 8, "financial audit": 8, "statutory audit": 8, "audit of the financial statements": 9, "internal audit": 7, "audit externe": 8,
+        "audit financier": 8, "auditoria": 8, "financial management": 6, "accounting": 5, "bookkeeping": 5, "audit": 5, "auditor": 6,
+    },
+    "environment_social": {
+        "environmental and social impact": 9, "environmental impact assessment": 9, "resettlement action plan": 9, "social safeguard": 8,
+        "environmental and social": 7, "resettlement": 7, "safeguard": 6, "environmental": 4, "gender": 4, "climate": 4, "biodiversity": 5, "grievance redress": 6,
+    },
+    "training": {
+        "capacity building": 8, "training of trainers": 8, "training programme": 7, "training program": 7, "renforcement des capacites": 8, "formation": 5,
+        "training": 5, "curriculum": 6, "workshop": 4, "coaching": 5, "mentoring": 5, "e learning": 6,
+    },
+    "research": {
+        "feasibility study": 8, "baseline study": 8, "baseline survey": 8, "impact evaluation": 8, "monitoring and evaluation": 8, "household survey": 7,
+        "market study": 7, "diagnostic study": 7, "research": 5, "survey": 4, "assessment": 4, "study": 4, "data collection": 6, "analysis": 3,
+    },
+    "it_advisory": {
+        "management information system": 8, "information system": 6, "software development": 7, "system integration": 6, "digital transformation": 7,
+        "it consultancy": 8, "database design": 6, "erp": 5, "gis": 5, "cybersecurity": 6, "digital": 4, "software": 5,
+    },
+    "legal_procurement": {
+        "procurement specialist": 8, "procurement consultant": 8, "legal advisory": 8, "legal counsel": 7, "legal expert": 7, "contract management": 6,
+        "regulatory reform": 6, "procurement agent": 8, "legal advisor": 7, "legal services": 7, "regulatory": 5,
+    },
+    "management": {
+        "project implementation unit": 8, "implementation support": 7, "project management support": 8, "project coordinator": 7, "technical assistance": 6,
+        "institutional strengthening": 7, "project manager": 6, "coordination": 4, "advisory services": 5,
+    },
+}
+SUB_FULL, SUB_FLOOR = 16, 0.18
+ACCENTS = ("éèêàâôîïûçñãõáíóú", "eeeaaoiiucnaoaiou")
+
+
+def subdirection(direction: Column, title: Column, body: Column, most_body: int = 4000) -> Column:
+    """struct<sub, confidence> of consulting notices, empty for other directions.
+
+    A title hit counts twice; in the body only phrases of several words count.  Below the floor the
+    sub-direction is ``other``.
+    """
+    plain = lambda c: folded(F.translate(F.lower(F.coalesce(c, F.lit(""))), *ACCENTS))
+    head, rest = plain(title), F.substring(plain(body), 1, most_body)
+    scores = []
+    for k, (name, words) in enumerate(SUBDIRECTIONS.items()):
+        hits = []
+        for w, n in words.items():
+            in_body = F.when(F.contains(rest, F.lit(w)), n).otherwise(0) if " " in w else F.lit(0)
+            hits.append(F.when(has_keyword(w, head), 2 * n).otherwise(in_body))
+        scores.append(F.struct(reduce(lambda a, b: a + b, hits).alias("score"), F.lit(-k).alias("place"), F.lit(name).alias("name")))
+
+    def settle(all_scores: Column) -> Column:
+        best = F.array_max(all_scores)
+        total = F.aggregate(all_scores, F.lit(0), lambda a, s: a + s["score"])
+        sure = F.coalesce(F.round(F.try_divide(best["score"], total) * F.least(F.lit(1.0), best["score"] / SUB_FULL), 3), F.lit(0.0))
+        return F.struct(F.when(sure < SUB_FLOOR, "other").otherwise(best["name"]).alias("sub"), sure.alias("confidence"))
+
+    found = F.get(F.transform(F.array(F.array(*scores)), settle), F.lit(0))
+    none = F.struct(F.lit("").alias("sub"), F.lit(0.0).alias("confidence"))
+    return F.when(direction == "consulting", found).otherwise(none)

@@ -58,3 +58,18 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int =
     """The first ``n`` rows of each key, as column place from 1."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("place", place).where(F.col("place") <= n)
+
+
+class CountMemo:
+    """Counts of plans, kept for a while: the same plan is counted once."""
+
+    def __init__(self, seconds: float = 60, clock=None):
+        import time
+
+        self.seconds, self.clock, self.held = seconds, clock or time.monotonic, {}
+
+    def count(self, df: DataFrame) -> int:
+        key, now = df.semanticHash(), self.clock()
+        if key not in self.held or now - self.held[key][0] > self.seconds:
+            self.held[key] = (now, df.count())
+        return self.held[key][1]

@@ -140,3 +140,31 @@ def rerank(hits: DataFrame, scorer=None, top: int = 10) -> DataFrame:
     scored = hits.select("qid", "doc_id", F.col("rank").cast("long").alias("rank"), "text").mapInPandas(score, "qid long, doc_id long, rank long, text string, score double")
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "rank"))
     return scored.withColumn("rank", place).where(F.col("rank") <= top).select("qid", "doc_id", "rank", "text")
+
+
+def embed(passages: DataFrame, embedder, width: int, batch: int = 100, most_chars: int = 2000, attempts: int = 3) -> DataFrame:
+    """vec_id, embedding, problem of passages (vec_id, text) by an injected ``embedder(texts) -> vectors``.
+
+    Batched, cut to ``most_chars``, tried again, and checked for their width; a batch that keeps
+    failing has null vectors and its problem.
+    """
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            out = []
+            for k in range(0, len(pdf), batch):
+                ids, texts = pdf["vec_id"].iloc[k : k + batch].tolist(), [(t or "")[:most_chars] for t in pdf["text"].iloc[k : k + batch]]
+                problem, found = "", None
+                for _ in range(attempts):
+                    try:
+                        found = [[float(x) for x in v] for v in embedder(texts)]
+                        if any(len(v) != width for v in found):
+                            raise ValueError(f"width is not {width}")
+                        problem = ""
+                        break
+                    except Exception as e:  # data, not a failed job
+                        problem, found = f"{type(e).__name__}: {e}", None
+                out += [(i, found[j] if found else None, problem) for j, i in enumerate(ids)]
+            yield pd.DataFrame(out, columns=["vec_id", "embedding", "problem"])
+
+    return passages.select("vec_id", "text").mapInPandas(run, "vec_id long, embedding array<float>, problem string")

@@ -109,3 +109,40 @@ def intake(files: DataFrame, suffixes: tuple[str, ...], most: int) -> DataFrame:
         .when(F.length("content") > most, "size").when(first != F.col("path"), "repeated")
     )
     return files.withColumns({"refusal": refusal, "sha256": F.sha2("content", 256)})
+
+
+def parse_documents(files: DataFrame) -> DataFrame:
+    """Sniffed binaries (path, content) as text: path, kind, text, page_count, has_text_layer.
+
+    DOCX by its document part, HTML and plain text decoded; a PDF has its pages counted, but its text
+    needs a parser that isn't here, so the text is empty and has_text_layer null.
+    """
+    from ..functions.text import canonical_text
+
+    def parse(it):
+        import io
+        import re
+        import zipfile
+
+        import pandas as pd
+
+        for pdf in it:
+            out = []
+            for path, kind, data in zip(pdf["path"], pdf["kind"], pdf["content"], strict=True):
+                text, pages, layer = "", None, None
+                try:
+                    if kind == "docx":
+                        xml = zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml").decode("utf-8", "replace")
+                        text, layer = canonical_text(re.sub(r"</w:p>", "<br>", xml)), True
+                    elif kind == "html":
+                        text, layer = canonical_text(data.decode("utf-8", "replace")), True
+                    elif kind == "text":
+                        text, layer = data.decode("utf-8", "replace"), True
+                    elif kind == "pdf":
+                        pages = len(re.findall(rb"/Type\s*/Page\b", data))
+                except (zipfile.BadZipFile, KeyError):
+                    kind = "unknown"
+                out.append((path, kind, text, pages, layer))
+            yield pd.DataFrame(out, columns=["path", "kind", "text", "page_count", "has_text_layer"])
+
+    return files.select("path", "kind", "content").mapInPandas(parse, "path string, kind string, text string, page_count int, has_text_layer boolean")
