@@ -145,37 +145,53 @@ MARKERS = {
 
 #: Sub-directions of consulting, with the weight of each phrase.
 SUBDIRECTIONS = {
+    "engineering": {
+        "supervision of works": 8, "construction supervision": 8, "works supervision": 8, "design and supervision": 8, "detailed design": 7,
+        "engineering design": 7, "feasibility design": 6, "surveillance des travaux": 8, "supervision des travaux": 8, "etudes techniques": 7,
+        "maitrise d oeuvre": 8, "supervision de obras": 8, "diseno": 5, "controle des travaux": 8, "surveillance": 5, "topograph": 6, "engenharia": 6,
+        "supervisao": 6, "fiscalizacao de obras": 8, "travaux": 4, "obras": 4, "supervision": 5, "engineering": 5, "architect": 5, "topographic": 4,
+        "geotechnical": 5, "structural": 4, "bill of quantities": 5, "technical design": 6,
+    },
     "audit": {
         "external audit": 8, "financial audit": 8, "statutory audit": 8, "audit of the financial statements": 9, "internal audit": 7, "audit externe": 8,
-        "audit financier": 8, "auditoria": 8, "financial management": 6, "accounting": 5, "bookkeeping": 5, "audit": 5, "auditor": 6,
+        "audit financier": 8, "auditoria": 8, "audit des etats financiers": 9, "financial management": 6, "accounting": 5, "bookkeeping": 5, "audit": 5,
+        "auditor": 6, "commissaire aux comptes": 8, "auditoria externa": 8, "contabilidade": 6,
     },
     "environment_social": {
         "environmental and social impact": 9, "environmental impact assessment": 9, "resettlement action plan": 9, "social safeguard": 8,
-        "environmental and social": 7, "resettlement": 7, "safeguard": 6, "environmental": 4, "gender": 4, "climate": 4, "biodiversity": 5, "grievance redress": 6,
+        "environmental and social": 7, "resettlement": 7, "etude d impact environnemental": 9,
+        "plan de reinstallation": 8, "impacto ambiental": 8, "safeguard": 6, "environmental": 4, "gender": 4, "climate": 4, "biodiversity": 5, "grievance redress": 6,
     },
     "training": {
         "capacity building": 8, "training of trainers": 8, "training programme": 7, "training program": 7, "renforcement des capacites": 8, "formation": 5,
-        "training": 5, "curriculum": 6, "workshop": 4, "coaching": 5, "mentoring": 5, "e learning": 6,
+        "capacitacion": 7, "fortalecimiento de capacidades": 8, "training": 5, "curriculum": 6, "workshop": 4, "coaching": 5, "mentoring": 5,
+        "e learning": 6, "capacitacao": 7, "formacao": 6, "encadrement": 6,
     },
     "research": {
         "feasibility study": 8, "baseline study": 8, "baseline survey": 8, "impact evaluation": 8, "monitoring and evaluation": 8, "household survey": 7,
-        "market study": 7, "diagnostic study": 7, "research": 5, "survey": 4, "assessment": 4, "study": 4, "data collection": 6, "analysis": 3,
+        "market study": 7, "diagnostic study": 7, "etude de faisabilite": 8, "enquete": 5, "evaluation d impact": 8, "estudio de factibilidad": 8,
+        "encuesta": 5, "ligne de base": 7, "linea de base": 7, "levantamiento": 6, "research": 5, "survey": 4, "assessment": 4, "study": 4,
+        "data collection": 6, "analysis": 3, "etude": 4, "estudo": 4, "elaboration": 5, "elaboracao": 5, "diagnostico": 5,
     },
     "it_advisory": {
         "management information system": 8, "information system": 6, "software development": 7, "system integration": 6, "digital transformation": 7,
-        "it consultancy": 8, "database design": 6, "erp": 5, "gis": 5, "cybersecurity": 6, "digital": 4, "software": 5,
+        "it consultancy": 8, "developpement logiciel": 7, "systeme d information": 7, "database design": 6, "erp": 5, "gis": 5, "cybersecurity": 6,
+        "digital": 4, "software": 5, "informaticien": 7, "informatico": 6,
     },
     "legal_procurement": {
         "procurement specialist": 8, "procurement consultant": 8, "legal advisory": 8, "legal counsel": 7, "legal expert": 7, "contract management": 6,
-        "regulatory reform": 6, "procurement agent": 8, "legal advisor": 7, "legal services": 7, "regulatory": 5,
+        "regulatory reform": 6, "specialiste en passation des marches": 9, "conseil juridique": 7, "especialista en adquisiciones": 9,
+        "asesoria legal": 8, "procurement agent": 8, "procurement advisory": 8, "legal advisor": 7, "legal services": 7, "regulatory": 5,
     },
     "management": {
         "project implementation unit": 8, "implementation support": 7, "project management support": 8, "project coordinator": 7, "technical assistance": 6,
-        "institutional strengthening": 7, "project manager": 6, "coordination": 4, "advisory services": 5,
+        "institutional strengthening": 7, "appui a la mise en oeuvre": 8, "unite de gestion de projet": 8, "apoyo a la implementacion": 8,
+        "project manager": 6, "coordination": 4, "advisory services": 5, "mise en oeuvre": 6, "assistance technique": 7, "asistencia tecnica": 7,
+        "assistencia tecnica": 7, "apoio a ugp": 8, "gestion de projet": 6,
     },
 }
 SUB_FULL, SUB_FLOOR = 16, 0.18
-ACCENTS = ("éèêàâôîïûçñãõáíóú", "eeeaaoiiucnaoaiou")
+ACCENTS = ("éèêàâôîïûçñãõáíóú", "eeeaaoiiucnaoaiou")  # œ and æ become two letters
 
 
 def subdirection(direction: Column, title: Column, body: Column, most_body: int = 4000) -> Column:
@@ -184,7 +200,7 @@ def subdirection(direction: Column, title: Column, body: Column, most_body: int
     A title hit counts twice; in the body only phrases of several words count.  Below the floor the
     sub-direction is ``other``.
     """
-    plain = lambda c: folded(F.translate(F.lower(F.coalesce(c, F.lit(""))), *ACCENTS))
+    plain = lambda c: folded(F.replace(F.replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), *ACCENTS), F.lit("œ"), F.lit("oe")), F.lit("æ"), F.lit("ae")))
     head, rest = plain(title), F.substring(plain(body), 1, most_body)
     scores = []
     for k, (name, words) in enumerate(SUBDIRECTIONS.items()):

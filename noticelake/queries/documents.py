@@ -212,6 +212,15 @@ def keyword_classify(spark, sf):
     return found.select("id", "c.category", "c.confidence")
 
 
+@query("subdirections", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'audit' WHEN 1 THEN 'engineering' WHEN 2 THEN 'management' WHEN 3 THEN '' ELSE 'other' END AS sub FROM part")
+def subdirections(spark, sf):
+    """X-10: accents are folded; in the body only phrases count."""
+    k = F.col("p_partkey") % 5
+    title = F.when(k == 0, "Audit des états financiers").when(k == 1, "Supervisão e fiscalização de obras").otherwise(F.col("p_name"))
+    body = F.when(k == 2, "appui à la mise en œuvre, audit").otherwise("software")
+    return table(spark, sf, "part").select("p_partkey", K.subdirection(F.when(k == 3, "supply").otherwise("consulting"), title, body)["sub"].alias("sub"))
+
+
 @query("audience", "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 5 = 1 THEN 'individual' WHEN p_partkey % 5 = 2 THEN 'firm' ELSE '' END AS audience FROM part")
 def audience(spark, sf):
     """X-11"""
@@ -414,3 +423,45 @@ def answer_lines(spark, sf):
     t = F.concat(F.lit("NAME: "), "p_name", F.lit("\nTITLE: "), "p_brand", F.lit("\nBIO: unknown"))
     m = F.expr("str_to_map(t, '\\n', ': ')")
     return table(spark, sf, "part").select("p_partkey", t.alias("t")).select("p_partkey", m["NAME"].alias("name"), m["TITLE"].alias("title"))
+
+
+@query("compressed_passages", r"SELECT doc_id, length(CASE WHEN length(t) <= 300 THEN t ELSE regexp_replace(regexp_extract(t, '^(.{0,299}) ', 1, 's'), '[ ,;:\-]+$', '') || ' …' END) AS n FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]{1,200}>', ' ', 'g'), '[ \t\r\f\v]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS t FROM documents WHERE NOT regexp_matches(text, '[^\x20-\x7e\n\p{L}…]'))")
+def compressed_passages(spark, sf):
+    """X-28, M-32: what a prompt carries of a passage."""
+    plain = table(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x20-\x7e\n\p{L}…]"))
+    return plain.select("doc_id", F.length(T.compress(F.col("text"), F.lit(""), 300)).cast("long").alias("n"))
+
+
+@query("gated_documents", r"SELECT doc_id FROM documents WHERE regexp_matches(text || CASE WHEN doc_id % 4 = 0 THEN ' Firms must have licenses.' ELSE '' END, '(?i)qualificat|eligib|\bat least\b|\bminimum\b|\bnot? less than\b|\bno fewer than\b|\b(?:shall|should|must)\s+(?:have|hold|possess|demonstrate|provide)\b|\brequirements?\b|turnover|liquid assets|financial (?:capacity|standing|capability)|audited (?:financial|accounts)|net worth|\biso\s*\d|certificat|accredit|licen[cs]e|registration\s+(?:with|as)|short-?list')")
+def gated_documents(spark, sf):
+    """X-27, M-18: texts with requirement language that no known quote covers."""
+    from ..plans.extraction import worth_asking
+
+    text = F.concat("text", F.when(F.col("doc_id") % 4 == 0, " Firms must have licenses.").otherwise(""))
+    none = spark.createDataFrame([], "doc_id long, quote string")
+    return worth_asking(table(spark, sf, "documents").select("doc_id", text.alias("text")), none).select("doc_id")
+
+
+@query("structural_passages", "SELECT doc_id, 3 AS n FROM documents")
+def structural_passages(spark, sf):
+    """X-22: headings open passages, tables and code stand alone."""
+    from ..sources.files import blocks
+
+    line = F.regexp_replace(F.substring("text", 1, 200), r"[\n#|`]", " ")
+    text = F.concat(F.lit("# Title\n\nintro "), line, F.lit("\n## Part\n| a | b |\n\ntail"))
+    found = T.structural_chunks(blocks(table(spark, sf, "documents").select("doc_id", text.alias("text"))))
+    return found.where("NOT (content LIKE '%|%')").groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("long_passages")
+def long_passages(spark, sf):
+    """X-24: overlapping slices of whole units."""
+    return T.long_chunks(table(spark, sf, "documents"))
+
+
+@query("contact_blocks", "SELECT s_suppkey AS doc_id, s_name AS name, 'lead' || s_suppkey || '@bank.org' AS email FROM supplier")
+def contact_blocks(spark, sf):
+    """X-19: people of a contact section, with the address between them and the next."""
+    n = F.col("s_suppkey").cast("string")
+    text = F.concat(F.lit("II. Data\nIII. CONTACT POINT\nTask Team Leader: "), "s_name", F.lit(" Title: Expert\nTelephone No: +1 E-mail: lead"), n, F.lit("@bank.org\nBorrower/Client/Recipient\nContact: Other One\n"))
+    return T.contact_points(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("doc_id"), text.alias("text"))).select("doc_id", "name", "email")
