@@ -274,21 +274,21 @@ def counts_and_windows(spark, sf):
 @query(
     "stated_requirements",
     """SELECT o_orderkey AS doc_id, key, CASE key WHEN 'annual_turnover_avg' THEN greatest((o_orderkey % 900 + 100) * 1000 + 0.5, (o_orderkey % 7 + 1) * 1000000.0) WHEN 'liquid_assets' THEN 5000 ELSE o_orderkey % 4 + 1 END::DOUBLE AS value
-    FROM orders, (VALUES ('annual_turnover_avg'), ('liquid_assets'), ('similar_contracts_count')) k(key) WHERE o_orderkey < 3000""",
+    FROM orders, (VALUES ('annual_turnover_avg'), ('liquid_assets'), ('similar_contracts_count')) k(key)""",
 )
 def stated_requirements(spark, sf):
     """X-14: criteria by sentence, the first of each key."""
-    return T.requirements(_bodies(spark, sf).where("doc_id < 3000")).select("doc_id", "key", "value")
+    return T.requirements(_bodies(spark, sf)).select("doc_id", "key", "value")
 
 
 @query(
     "award_bodies",
     """SELECT l_orderkey AS notice_id, CASE l_returnflag WHEN 'A' THEN 'awardee' WHEN 'N' THEN 'evaluated' ELSE 'rejected' END AS role, s_name AS name, (1000 + s_suppkey)::VARCHAR AS reference,
-    n_name AS country, 'USD' AS currency, round(max(l_extendedprice), 2) AS price FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_orderkey < 1500 GROUP BY 1, 2, 3, 4, 5""",
+    n_name AS country, 'USD' AS currency, round(max(l_extendedprice), 2) AS price FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3, 4, 5""",
 )
 def award_bodies(spark, sf):
     """X-15, M-08, M-09: award bodies written from line items, and their bidders read back."""
-    j = table(spark, sf, "lineitem").where("l_orderkey < 1500").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    j = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     one = j.groupBy("l_orderkey", "l_returnflag", "s_suppkey", "s_name", "n_name").agg(F.round(F.max("l_extendedprice"), 2).cast("decimal(18,2)").alias("price"))
     label = F.when(F.col("l_returnflag") == "A", "Signed Contract price").otherwise("Evaluated Bid Price")
     part = F.format_string("%s (%d)<br>12 Main street<br>Country: %s<br>Bid Price at Opening<br>USD<br>%s<br>USD %s<br>", "s_name", F.col("s_suppkey") + 1000, "n_name", label, F.format_number("price", 2))
@@ -442,12 +442,12 @@ def gated_documents(spark, sf):
     return worth_asking(table(spark, sf, "documents").select("doc_id", text.alias("text")), none).select("doc_id")
 
 
-@query("structural_passages", "SELECT doc_id, 3 AS n FROM documents")
+@query("structural_passages", "SELECT doc_id, CASE WHEN 13 + length(text) > 900 THEN 4 ELSE 3 END AS n FROM documents")
 def structural_passages(spark, sf):
     """X-22: headings open passages, tables and code stand alone."""
     from ..sources.files import blocks
 
-    line = F.regexp_replace(F.substring("text", 1, 200), r"[\n#|`]", " ")
+    line = F.regexp_replace("text", r"[\n#|`]", " ")
     text = F.concat(F.lit("# Title\n\nintro "), line, F.lit("\n## Part\n| a | b |\n\ntail"))
     found = T.structural_chunks(blocks(table(spark, sf, "documents").select("doc_id", text.alias("text"))))
     return found.where("NOT (content LIKE '%|%')").groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))

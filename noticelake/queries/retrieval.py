@@ -33,14 +33,14 @@ def cosine_topk(spark, sf):
     return V.top_k(_queries(spark, sf), points, 10, -0.5).select("qid", "vec_id", "score", "rank")
 
 
-_LEX = r"""w AS (SELECT item_id AS qid, list_distinct(regexp_extract_all(lower(text), '(\p{L}{3,})', 1)) AS q FROM benchmark WHERE item_id % 10 = 0),
+_LEX = r"""w AS (SELECT item_id AS qid, list_distinct(regexp_extract_all(lower(text), '(\p{L}{3,})', 1)) AS q FROM benchmark WHERE item_id % 100 = 0),
 t AS (SELECT qid, len(q) AS n, unnest(q) AS term FROM w), i AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '(\p{L}{3,})', 1)) AS term FROM documents),
 h AS (SELECT qid, doc_id, round(count(*) / min(n), 6) AS score FROM i JOIN t USING (term) GROUP BY 1, 2),
 l AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM h QUALIFY rank <= 20)"""
 
 
 def _asked(spark, sf):
-    return table(spark, sf, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("qid"), "text")
+    return table(spark, sf, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("qid"), "text")
 
 
 @query("lexical_overlap", f"WITH {_LEX} SELECT qid, doc_id, score, rank FROM l")
@@ -52,7 +52,7 @@ def lexical_overlap(spark, sf):
 @query(
     "rrf_hybrid",
     f"""WITH {_LEX}, d AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM (SELECT b.item_id AS qid, e.vec_id, {_COS.format(a='e.embedding', b='q.embedding')} AS score
-    FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings e WHERE b.item_id % 10 = 0) WHERE score >= -0.2 QUALIFY rank <= 20),
+    FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings e WHERE b.item_id % 100 = 0) WHERE score >= -0.2 QUALIFY rank <= 20),
     u AS (SELECT qid, vec_id AS id, rank, 0 AS arm, 'dense' AS name FROM d UNION ALL SELECT qid, doc_id, rank, 1, 'lexical' FROM l),
     f AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min((arm, rank)) AS first, CASE WHEN count(*) > 1 THEN 'hybrid' ELSE min(name) END AS retrieval FROM u GROUP BY 1, 2)
     SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first, id) AS place, retrieval, '' AS degraded_reason FROM f QUALIFY place <= 20""",

@@ -194,12 +194,12 @@ def evaluation_report(spark, sf):
 @query(
     "counters_merge",
     """SELECT l_orderkey, sum(l_linenumber)::BIGINT AS total, string_agg(l_returnflag, '' ORDER BY l_linenumber, l_returnflag) AS flags,
-    min(l_linestatus) FILTER (WHERE l_linestatus <> 'F') AS first_error FROM lineitem WHERE l_orderkey < 400 GROUP BY 1""",
+    min(l_linestatus) FILTER (WHERE l_linestatus <> 'F') AS first_error FROM lineitem GROUP BY 1""",
 )
 def counters_merge(spark, sf):
     """A-25: integers add, lists join in order, the first non-empty text stays."""
     flags = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag")))
-    return table(spark, sf, "lineitem").where("l_orderkey < 400").groupBy("l_orderkey").agg(
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
         F.sum("l_linenumber").alias("total"), F.array_join(F.transform(flags, lambda x: x["l_returnflag"]), "").alias("flags"), F.min(F.when(F.col("l_linestatus") != "F", F.col("l_linestatus"))).alias("first_error")
     )
 
@@ -243,12 +243,12 @@ def has_related_semi_anti(spark, sf):
 @query(
     "inner_and_left",
     f"""WITH n AS ({NOTICES}), a AS ({AWARDS}), w AS (SELECT notice_id, min(supplier) AS supplier FROM a WHERE currency = 'UZS' GROUP BY 1)
-    SELECT notice_id, category, supplier FROM n LEFT JOIN w USING (notice_id) WHERE notice_id < 3000""",
+    SELECT notice_id, category, supplier FROM n LEFT JOIN w USING (notice_id)""",
 )
 def inner_and_left(spark, sf):
     """J-01, J-02"""
     w = awards(spark, sf).where("currency = 'UZS'").groupBy("notice_id").agg(F.min("supplier").alias("supplier"))
-    return notices(spark, sf).where("notice_id < 3000").join(w, "notice_id", "left").select("notice_id", "category", "supplier")
+    return notices(spark, sf).join(w, "notice_id", "left").select("notice_id", "category", "supplier")
 
 
 @query("join_only_if_sorted", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 40")
@@ -266,11 +266,11 @@ def join_only_if_sorted(spark, sf):
     return listing("key")
 
 
-@query("resolved_reference", "SELECT l_orderkey, l_linenumber, l_partkey, p_partkey AS resolved FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size < 10) ON l_partkey = p_partkey WHERE l_orderkey < 1000")
+@query("resolved_reference", "SELECT l_orderkey, l_linenumber, l_partkey, p_partkey AS resolved FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size < 10) ON l_partkey = p_partkey")
 def resolved_reference(spark, sf):
     """J-04: a reference resolves only where the parent exists."""
     parents = table(spark, sf, "part").where("p_size < 10").select(F.col("p_partkey").alias("resolved"))
-    found = table(spark, sf, "lineitem").where("l_orderkey < 1000").join(parents, F.col("l_partkey") == F.col("resolved"), "left")
+    found = table(spark, sf, "lineitem").join(parents, F.col("l_partkey") == F.col("resolved"), "left")
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "resolved")
 
 
@@ -302,12 +302,12 @@ def first_related(spark, sf):
 
 @query(
     "names_in_list",
-    """WITH lists AS (SELECT l_orderkey, string_agg(DISTINCT s_name, ', ') AS names FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey < 800 GROUP BY 1),
+    """WITH lists AS (SELECT l_orderkey, string_agg(DISTINCT s_name, ', ') AS names FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1),
     e AS (SELECT l_orderkey, lower(trim(unnest(string_split(names, ',')))) AS k FROM lists) SELECT s_suppkey, count(DISTINCT l_orderkey) AS n FROM e JOIN supplier ON lower(s_name) = k GROUP BY 1""",
 )
 def names_in_list(spark, sf):
     """J-11, M-11, M-14: names in a comma list, exploded and joined on the folded key."""
-    lists = table(spark, sf, "lineitem").where("l_orderkey < 800").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    lists = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     lists = lists.groupBy("l_orderkey").agg(F.array_join(F.collect_set("s_name"), ", ").alias("names"))
     each = lists.select("l_orderkey", F.explode(F.split("names", ",")).alias("k")).withColumn("k", F.lower(F.trim("k"))).distinct()
     return each.join(table(spark, sf, "supplier"), F.lower("s_name") == F.col("k")).groupBy("s_suppkey").agg(F.count("*").alias("n"))
@@ -315,15 +315,17 @@ def names_in_list(spark, sf):
 
 @query(
     "shared_name_token",
-    """WITH p AS (SELECT p_partkey, list_filter(string_split(lower(p_name), ' '), lambda x: length(x) > 2) AS t FROM part WHERE p_partkey <= 60),
-    e AS (SELECT p_partkey, unnest(t) AS w FROM p) SELECT DISTINCT a.p_partkey AS a, b.p_partkey AS b FROM e a JOIN e b ON a.w = b.w AND a.p_partkey < b.p_partkey""",
+    """WITH p AS (SELECT p_name, count(*) AS rows_, list_filter(string_split(lower(p_name), ' '), lambda x: length(x) > 2) AS t FROM part GROUP BY p_name),
+    e AS (SELECT p_name, rows_, unnest(t) AS w FROM p) SELECT DISTINCT a.p_name AS a, b.p_name AS b, a.rows_ AS rows_a, b.rows_ AS rows_b FROM e a JOIN e b ON a.w = b.w AND a.p_name < b.p_name""",
 )
 def shared_name_token(spark, sf):
-    """J-12: rows that share a folded token over two letters, by an equi join on tokens."""
+    """J-12: distinct names that share a folded token over two letters, and how many rows bear each."""
     words = F.filter(F.split(F.lower("p_name"), " "), lambda x: F.length(x) > 2)
-    e = table(spark, sf, "part").where("p_partkey <= 60").select("p_partkey", F.explode(words).alias("w"))
-    a, b = e.select(F.col("p_partkey").alias("a"), "w"), e.select(F.col("p_partkey").alias("b"), "w")
-    return a.join(b, "w").where("a < b").select("a", "b").distinct()
+    names = table(spark, sf, "part").groupBy("p_name").agg(F.count("*").alias("n"))
+    e = names.select("p_name", "n", F.explode(words).alias("w"))
+    a = e.select(F.col("p_name").alias("a"), F.col("n").alias("rows_a"), "w")
+    b = e.select(F.col("p_name").alias("b"), F.col("n").alias("rows_b"), "w")
+    return a.join(b, "w").where("a < b").select("a", "b", "rows_a", "rows_b").distinct()
 
 
 @query(
@@ -350,14 +352,15 @@ def shortlist_per_role(spark, sf):
 
 @query(
     "declarations_in_order",
-    "SELECT l.doc_id, t.toxic AS answer, row_number() OVER (ORDER BY l.doc_id) AS place FROM labels l LEFT JOIN (SELECT * FROM labels WHERE toxic = 1) t USING (doc_id) ORDER BY place LIMIT 200",
+    "SELECT d.source, l.doc_id, t.toxic AS answer, row_number() OVER (PARTITION BY d.source ORDER BY l.doc_id) AS place FROM labels l JOIN documents d USING (doc_id) LEFT JOIN (SELECT * FROM labels WHERE toxic = 1) t USING (doc_id)",
 )
 def declarations_in_order(spark, sf):
     """J-15"""
     l = table(spark, sf, "labels")
     answers = l.where("toxic = 1").select("doc_id", F.col("toxic").alias("answer"))
-    top = l.orderBy("doc_id").limit(200).select("doc_id").withColumn("place", F.row_number().over(Window.orderBy("doc_id")))
-    return top.join(answers, "doc_id", "left").select("doc_id", "answer", "place")
+    owned = l.select("doc_id").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    return owned.join(answers, "doc_id", "left").select("source", "doc_id", "answer", place.alias("place"))
 
 
 @query(
@@ -385,12 +388,12 @@ def json_text_search(spark, sf):
 
 @query(
     "participants_union",
-    """WITH j AS (SELECT l_orderkey, s_name, l_returnflag FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey < 2000)
+    """WITH j AS (SELECT l_orderkey, s_name, l_returnflag FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
     SELECT DISTINCT l_orderkey, s_name, CASE l_returnflag WHEN 'A' THEN 'awardee' WHEN 'N' THEN 'evaluated' ELSE 'rejected' END AS role FROM j WHERE s_name <> ''""",
 )
 def participants_union(spark, sf):
     """U-01: three lists of bidders with their roles, blanks dropped."""
-    j = table(spark, sf, "lineitem").where("l_orderkey < 2000").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    j = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     of = lambda flag: F.collect_set(F.when(F.col("l_returnflag") == flag, F.col("s_name")))
     lists = j.groupBy("l_orderkey").agg(of("A").alias("a"), of("N").alias("n"), of("R").alias("r"))
     tagged = lambda c, role: F.transform(c, lambda x: F.struct(x.alias("s_name"), F.lit(role).alias("role")))

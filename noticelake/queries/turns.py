@@ -45,13 +45,13 @@ def passage_cap(spark, sf):
 
 @query(
     "page_islands",
-    "WITH f AS (SELECT user_id, event_id, event_type, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS new FROM events WHERE user_id < 40 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), g AS (SELECT f.*, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM f JOIN events USING (event_id, user_id, event_type)) SELECT user_id, island::BIGINT AS island, min(event_type) AS event_type, count(*) AS n FROM g GROUP BY 1, 2",
+    "WITH f AS (SELECT user_id, event_id, event_type, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), g AS (SELECT f.*, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM f JOIN events USING (event_id, user_id, event_type)) SELECT user_id, island::BIGINT AS island, min(event_type) AS event_type, count(*) AS n FROM g GROUP BY 1, 2",
 )
 def page_islands(spark, sf):
     """W-06: runs of one kind in a row."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     new = F.when(F.lag("event_type").over(w) == F.col("event_type"), 0).otherwise(1)
-    e = table(spark, sf, "events").where("user_id < 40").withColumn("new", new).withColumn("island", F.sum("new").over(w))
+    e = table(spark, sf, "events").withColumn("new", new).withColumn("island", F.sum("new").over(w))
     return e.groupBy("user_id", "island").agg(F.min("event_type").alias("event_type"), F.count("*").alias("n"))
 
 
