@@ -54,7 +54,7 @@ def allowed(n: Column) -> Column:
 
 def matched(h: Column, b: Column, diagonal: Column, window: Column) -> Column:
     """Most equal words in any ``window`` places of item ``b`` laid on ``h`` at ``diagonal``."""
-    here = F.transform(b, lambda x, i: F.when(F.get(h, i + diagonal) == x, 1).otherwise(0))
+    here = let(h, lambda words: F.transform(b, lambda x, i: F.when(F.get(words, i + diagonal) == x, 1).otherwise(0)))
 
     def best(equal: Column) -> Column:
         starts = F.sequence(F.lit(0), F.size(equal) - window)
