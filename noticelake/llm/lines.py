@@ -23,6 +23,8 @@ from .common import held_small, let, stored, table
 THRESHOLD, MIN_CHARS = 2, 30
 #: Fixed value: characters whose counts are compared before lines are.
 LETTERS = "etaoinsrhldcum ."
+#: Bits of a count.
+COUNT = 4
 #: Candidate pairs up to which the lines they name are picked by broadcast.
 PAIRS_HELD = 200_000
 
@@ -48,7 +50,7 @@ def index_keys(line: Column, n: Column, threshold: int) -> Column:
 
 
 def probe_keys(line: Column, n: Column, threshold: int) -> Column:
-    """Keys of all substrings that a partner up to ``threshold`` shorter may have as a segment."""
+    """Keys of all substrings that a partner up to ``threshold`` shorter may have as a segment; null past the ends."""
     keys = []
     for shorter in range(threshold + 1):
         for number in range(threshold + 1):
@@ -58,7 +60,7 @@ def probe_keys(line: Column, n: Column, threshold: int) -> Column:
             for shift in range(left, right + 1):
                 inside = (start + shift >= 0) & (start + shift + size <= n)
                 keys.append(F.when(inside, _key(n - shorter, number, F.substr(line, start + shift + 1, size))))
-    return F.filter(F.array(*keys), lambda k: k.isNotNull())
+    return F.array(*keys)
 
 
 def banded_distance(longer: Column, shorter: Column, band: int) -> Column:
@@ -119,20 +121,20 @@ def banded_distance(longer: Column, shorter: Column, band: int) -> Column:
 
 
 def signature(line: Column) -> Column:
-    """Counts modulo 16 of the LETTERS of a line, four bits each."""
+    """Counts of the LETTERS of a line, each modulo 2**COUNT, side by side."""
     total = F.lit(0).cast("long")
     for k, c in enumerate(LETTERS):
         count = F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
-        total = total.bitwiseOR(F.shiftleft((count % 16).cast("long"), 4 * k))
+        total = total.bitwiseOR(F.shiftleft((count % (1 << COUNT)).cast("long"), COUNT * k))
     return total
 
 
 def letters_apart(a: Column, b: Column) -> Column:
-    """Sum over LETTERS of how far the counts differ, around the circle of 16: at most two an edit."""
-    total = F.lit(0)
+    """Sum over LETTERS of how far the counts differ, around the circle: at most two an edit."""
+    total, top = F.lit(0), (1 << COUNT) - 1
     for k in range(len(LETTERS)):
-        d = F.abs(F.shiftright(a, 4 * k).bitwiseAND(15) - F.shiftright(b, 4 * k).bitwiseAND(15))
-        total = total + F.least(d, F.lit(16) - d)
+        d = F.abs(F.shiftright(a, COUNT * k).bitwiseAND(top) - F.shiftright(b, COUNT * k).bitwiseAND(top))
+        total = total + F.least(d, F.lit(top + 1) - d)
     return total
 
 
@@ -141,10 +143,15 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
 
 
+def position(doc_id: Column, line_no: Column) -> Column:
+    """Place of a line in the corpus as one number, so that the earliest is found by hash aggregation."""
+    return doc_id.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + line_no.cast("decimal(10,0)")
+
+
 def entries(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Distinct lines of at least ``min_chars``: id, line, n, doc_id and line_no of the first, copies."""
+    """Distinct lines of at least ``min_chars``: id, line, n, letters, position of the first, copies."""
     grouped = lines.where(F.length("line") >= min_chars).groupBy("line").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies")
+        F.min(position(F.col("doc_id"), F.col("line_no"))).alias("first"), F.count("*").alias("copies")
     )
     return grouped.select(
         F.monotonically_increasing_id().alias("id"),
@@ -160,7 +167,7 @@ def edit_links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """All pairs of ``distinct`` (a stored table) within ``threshold`` edits: a, b (ids), a not shorter."""
     line, n = F.col("line"), F.col("n")
     index = distinct.select(F.col("id").alias("b"), F.col("letters").alias("letters_b"), F.explode(index_keys(line, n, threshold)).alias("key"))
-    probes = distinct.select(F.col("id").alias("a"), F.col("letters").alias("letters_a"), F.explode(probe_keys(line, n, threshold)).alias("key"))
+    probes = distinct.select(F.col("id").alias("a"), F.col("letters").alias("letters_a"), F.explode(probe_keys(line, n, threshold)).alias("key")).where("key IS NOT NULL")
     near = letters_apart(F.col("letters_a"), F.col("letters_b")) <= 2 * threshold
     met = probes.join(index, "key").where((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
     met = stored(met, "line-pairs")
@@ -194,7 +201,7 @@ def removals(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_C
     )
     known = known.where("copies > 1 OR moved").select(*marks(), "earliest")
     seen = lines.select("doc_id", "line_no", *marks(), (F.length("line") >= min_chars).alias("judged"))
-    gone = F.col("judged") & (F.col("earliest") < F.struct("doc_id", "line_no"))
+    gone = F.col("judged") & (F.col("earliest") < position(F.col("doc_id"), F.col("line_no")))
     number = F.when(F.coalesce(gone, F.lit(False)), F.col("line_no"))
     return seen.join(known, ["h", "h2"], "left").groupBy("doc_id").agg(
         F.count("*").alias("n_lines"), F.count(number).alias("n_removed"), F.array_sort(F.collect_list(number)).alias("removed")
