@@ -148,9 +148,15 @@ def position(doc_id: Column, line_no: Column) -> Column:
     return doc_id.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + line_no.cast("decimal(10,0)")
 
 
-def entries(lines: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Distinct lines of at least ``min_chars``: id, line, n, letters, position of the first, copies."""
-    grouped = lines.where(F.length("line") >= min_chars).groupBy("line").agg(
+def judged(line: Column, min_chars: int, every: bool) -> Column:
+    """Whether a line's equals go: at ``min_chars`` or more, or ``every`` line that is not blank."""
+    long = F.length(line) >= min_chars
+    return long | line.rlike(r"[^\x20\x09-\x0D]") if every else long
+
+
+def entries(lines: DataFrame, min_chars: int = MIN_CHARS, every: bool = False) -> DataFrame:
+    """Distinct lines that are ``judged``: id, line, n, letters, position of the first, copies."""
+    grouped = lines.where(judged(F.col("line"), min_chars, every)).groupBy("line").agg(
         F.min(position(F.col("doc_id"), F.col("line_no"))).alias("first"), F.count("*").alias("copies")
     )
     return grouped.select(
@@ -182,16 +188,17 @@ def edit_links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return dealt.where(banded_distance(F.col("long"), F.col("short"), threshold) <= threshold).select("a", "b")
 
 
-def removals(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def removals(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, every: bool = False) -> DataFrame:
     """One row per doc_id: doc_id, n_lines, n_removed, removed (line numbers from 0, ascending).
 
-    Lines of fewer than ``min_chars`` characters always stay, blank ones too.  Within a document
+    Lines of fewer than ``min_chars`` characters stay, blank ones too; with ``every``, later copies of
+    those that are not blank go, and ``min_chars`` holds for the edit join alone.  Within a document
     a later copy goes as well.  Rows that repeat a doc_id count as one document with the lines of
     both.  Null text is one empty line.  Empty table: no rows.
     """
     lines = line_table(docs)
-    distinct = stored(entries(lines, min_chars), "lines")
-    links = stored(edit_links(distinct, threshold), "line-links")
+    distinct = stored(entries(lines, min_chars, every), "lines")
+    links = stored(edit_links(distinct.where(F.col("n") >= min_chars), threshold), "line-links")
     firsts = distinct.select("id", "first")
     ways = links.union(links.select("b", "a"))  # for each line, what it links to
     linked = ways.join(firsts, F.col("b") == F.col("id")).groupBy("a").agg(F.min("first").alias("earliest"))
@@ -200,7 +207,7 @@ def removals(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_C
         "line", F.least("first", F.coalesce("earliest", "first")).alias("earliest"), (F.col("earliest") < F.col("first")).alias("moved"), "copies"
     )
     known = known.where("copies > 1 OR moved").select(*marks(), "earliest")
-    seen = lines.select("doc_id", "line_no", *marks(), (F.length("line") >= min_chars).alias("judged"))
+    seen = lines.select("doc_id", "line_no", *marks(), judged(F.col("line"), min_chars, every).alias("judged"))
     gone = F.col("judged") & (F.col("earliest") < position(F.col("doc_id"), F.col("line_no")))
     number = F.when(F.coalesce(gone, F.lit(False)), F.col("line_no"))
     return seen.join(known, ["h", "h2"], "left").groupBy("doc_id").agg(
@@ -216,12 +223,17 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     return joined.select(*docs.columns)
 
 
-def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = removals(table(spark, sf_dir, "documents"))
+def op10_line_dedup(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    found = removals(table(spark, sf_dir, "documents"), every=every)
     return found.withColumn("removed", F.concat_ws(",", F.col("removed").cast("array<string>")))
 
 
-QUERIES = {"op10_line_dedup": op10_line_dedup}
+def op10_line_dedup_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10_line_dedup, and later copies of equal lines at every length."""
+    return op10_line_dedup(spark, sf_dir, every=True)
+
+
+QUERIES = {"op10_line_dedup": op10_line_dedup, "op10_line_dedup_short": op10_line_dedup_short}
 #: The distance here counts bytes, so characters beyond ASCII are mapped to single ones first.
 #: Two edits change the count of a letter by two at most, which spares most pairs the distance.
 ORACLES = {
@@ -251,3 +263,8 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
 FROM o GROUP BY doc_id
 """
 }
+ORACLES["op10_line_dedup_short"] = (
+    ORACLES["op10_line_dedup"]
+    .replace("WHERE length(line) >= 30", r"WHERE length(line) >= 30 OR regexp_matches(line, '[^\x20\x09-\x0D]')")
+    .replace("WHERE b.n = a.n + k", "WHERE a.n >= 30 AND b.n >= 30 AND b.n = a.n + k")
+)

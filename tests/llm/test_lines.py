@@ -84,3 +84,18 @@ def test_texts_and_empty_table(spark, odd, none):
     assert got == {1: (f"{line}\nshort", 5), 2: ("x\nshort", 6)}
     assert found(L.removals(none)) == {}
     assert {r.doc_id: r.n_lines for r in L.removals(odd).collect()}[5] == 2
+
+
+def test_equal_lines_of_every_length(spark, sf):
+    import duckdb
+
+    line = "a line of thirty characters or more, certainly"
+    docs = [(1, f"{line}\nshort\n\n \nshort"), (2, f"x\n{line}!\nshort\nshorT\n\n "), (3, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert found(L.removals(df, every=True)) == {1: (5, [4]), 2: (6, [1, 2]), 3: (1, [])}
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = con.sql(L.ORACLES["op10_line_dedup_short"]).fetchall()
+    got = L.op10_line_dedup_short(spark, sf).select("doc_id", "n_lines", "n_removed", "removed").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sum(r[2] for r in want) > sum(r[2] for r in con.sql(L.ORACLES["op10_line_dedup"]).fetchall())
