@@ -374,6 +374,40 @@ def quote_containment(spark, sf):
     return found.where(F.contains(F.lower("text"), F.lower(F.split_part("quote", F.lit(" "), F.lit(1))))).groupBy("item_id").agg(F.count("*").alias("n"))
 
 
+#: Whole words inside a quote that key it.
+QUOTE_WORDS = 3
+
+
+def quoted(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(item_id, doc_id) for every document whose text holds the item's quote, in any case.
+
+    The words of a quote but its first and last stand whole wherever the quote does, so quotes and
+    documents meet on the hash of the first QUOTE_WORDS of them; every hit is verified.  Quotes that
+    are too short for a key are held against all texts.
+    """
+    words = lambda c: F.split(F.lower(c), " ")
+    run = lambda w, at: F.xxhash64(F.slice(w, at, F.lit(QUOTE_WORDS)))
+    held, long = F.contains(F.lower("text"), F.lower("quote")), F.size(words(F.col("quote"))) >= QUOTE_WORDS + 2
+    keys = quotes.where(long).select("item_id", run(words(F.col("quote")), F.lit(2)).alias("key"))
+    w = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= QUOTE_WORDS)
+    runs = w.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (QUOTE_WORDS - 1)), lambda at: run(F.col("w"), at)))).alias("key"))
+    met = runs.join(keys, "key").select("item_id", "doc_id").distinct()
+    found = met.join(docs, "doc_id").join(quotes.where(long), "item_id").where(held)
+    short = docs.crossJoin(quotes.where(~long)).where(held)
+    return found.select("item_id", "doc_id").union(short.select("item_id", "doc_id"))
+
+
+@query(
+    "quote_matches",
+    """WITH q AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS quote FROM benchmark)
+    SELECT item_id, count(*) AS n FROM q JOIN documents d ON contains(lower(d.text), lower(quote)) GROUP BY 1""",
+)
+def quote_matches(spark, sf):
+    """J-16, X-05: an item's first eight words, in all documents."""
+    quotes = table(spark, sf, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("quote"))
+    return quoted(table(spark, sf, "documents").select("doc_id", "text"), quotes).groupBy("item_id").agg(F.count("*").alias("n"))
+
+
 @query(
     "json_text_search",
     """WITH b AS (SELECT l_orderkey, list(l_suppkey) AS s FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT o_orderkey FROM orders JOIN b ON o_orderkey = l_orderkey
