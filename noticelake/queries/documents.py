@@ -188,6 +188,12 @@ def sentence_counts(spark, sf):
     return d.select("doc_id", F.size(T.sentences(F.col("text"))).alias("n"))
 
 
+@query("sentence_counts_all")
+def sentence_counts_all(spark, sf):
+    """X-04 over every document, abbreviations included; a null text has no sentence."""
+    return table(spark, sf, "documents").select("doc_id", F.size(T.sentences(F.coalesce("text", F.lit("")))).alias("n"))
+
+
 @query("sentence_chunks")
 def sentence_chunks(spark, sf):
     """X-21, W-07: passages of whole sentences with their offsets."""
@@ -432,6 +438,13 @@ def compressed_passages(spark, sf):
     return plain.select("doc_id", F.length(T.compress(F.col("text"), F.lit(""), 300)).cast("long").alias("n"))
 
 
+@query("compressed_passages_all")
+def compressed_passages_all(spark, sf):
+    """X-28, M-32 over every document, whatever its characters; a null text is empty."""
+    passage = T.compress(F.coalesce("text", F.lit("")), F.lit(""), 300)
+    return table(spark, sf, "documents").select("doc_id", F.length(passage).cast("long").alias("n"))
+
+
 @query("gated_documents", r"SELECT doc_id FROM documents WHERE regexp_matches(text || CASE WHEN doc_id % 4 = 0 THEN ' Firms must have licenses.' ELSE '' END, '(?i)qualificat|eligib|\bat least\b|\bminimum\b|\bnot? less than\b|\bno fewer than\b|\b(?:shall|should|must)\s+(?:have|hold|possess|demonstrate|provide)\b|\brequirements?\b|turnover|liquid assets|financial (?:capacity|standing|capability)|audited (?:financial|accounts)|net worth|\biso\s*\d|certificat|accredit|licen[cs]e|registration\s+(?:with|as)|short-?list')")
 def gated_documents(spark, sf):
     """X-27, M-18: texts with requirement language that no known quote covers."""

@@ -1,5 +1,8 @@
 """Queries over whole tables, on rows that narrower queries leave out."""
 
+import re
+
+from noticelake import catalog
 from noticelake.queries.rollups import quoted
 
 
@@ -9,3 +12,34 @@ def test_quotes_are_found_in_every_document(spark):
     docs = spark.createDataFrame(docs, "doc_id long, text string")
     quotes = spark.createDataFrame(quotes, "item_id long, quote string")
     assert sorted(map(tuple, quoted(docs, quotes).collect())) == [(0, 1), (7, 41), (40, 1), (40, 81)]
+
+
+def sentences(text):
+    short = re.compile(r"(No|Nos|Ltd|Inc|Co|St|approx|i\.e|e\.g|U\.S)\.$")
+    found = []
+    for part in re.split(r"(?<=[.!?])\s+(?=[A-Z(])", text or ""):
+        if found and short.search(found[-1]):
+            found[-1] += " " + part
+        else:
+            found.append(part)
+    return [s for s in found if s.strip()]
+
+
+def passage(text):
+    t = re.sub("<[^>]{1,200}>", " ", text or "")
+    t = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ", t)
+    t = re.sub("[​-‏﻿]", "", t)
+    t = re.sub(r"\n{3,}", "\n\n", re.sub(r" ?\n ?", "\n", re.sub(r"[ \t\r]+", " ", t))).strip(" ")
+    if len(t) <= 300:
+        return t
+    cut = re.match(r"(?s)(.{0,299}) ", t)
+    return re.sub(r"[ ,;:\-]+$", "", cut[1] if cut else "") + " …"
+
+
+def test_documents_of_every_kind_are_counted(spark, tmp_path):
+    texts = ["Acme Ltd. Supplies goods. It is paid.", "See No. 7. (Then) go. Co. Ltd. Works", "a\tb\x01c​d – e", "é " * 400, None, "", "word " * 100, "<b>x</b>\r\n\n\n\n y"]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name, brute in (("sentence_counts_all", lambda t: len(sentences(t))), ("compressed_passages_all", lambda t: len(passage(t)))):
+        got = {r.doc_id: r.n for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
+        assert got == {i: brute(t) for i, t in rows}, name
