@@ -121,6 +121,30 @@ def duplicates(points: DataFrame, others: DataFrame, similar: float, most: int)
     return points.select("vec_id").join(counted, F.col("vec_id") == F.col("qid"), "left").select("vec_id", F.coalesce("duplicates", F.lit(0)).alias("duplicates"))
 
 
+#: Words of a title that say nothing of its topic, and duplicates from which a passage is boilerplate.
+TITLE_STOPWORDS = (
+    "the of and for in to a an on at by with procurement supply services service works work contract "
+    "project consulting consultancy consultant tender bid bids notice award lot no phase part"
+).split()
+BOILERPLATE = 8
+
+
+def representatives(passages: DataFrame, count: int = 1) -> DataFrame:
+    """The ``count`` most telling passages of each source: source, vec_id, topicality, duplicates, place (from 1).
+
+    ``passages``: source, title, vec_id, content, duplicates.  Boilerplate counts only in a source of
+    nothing else.  Title words held come first, then fewer duplicates, then the smaller vec_id.
+    """
+    wanted = F.array_except(words(F.col("title")), F.array(*map(F.lit, TITLE_STOPWORDS)))
+    scored = passages.select(
+        "source", "vec_id", F.size(F.array_intersect(wanted, words(F.col("content")))).alias("topicality"), "duplicates", (F.col("duplicates") >= BOILERPLATE).alias("common")
+    )
+    least = scored.groupBy("source").agg(F.min("common").alias("only"))
+    pool = scored.join(least, "source").where("common = only")
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("topicality"), "duplicates", "vec_id"))
+    return pool.select("source", "vec_id", "topicality", "duplicates", place.alias("place")).where(F.col("place") <= count)
+
+
 def rerank(hits: DataFrame, scorer=None, top: int = 10) -> DataFrame:
     """Order (qid, doc_id, rank, text) by an injected scorer of text batches; any failure leaves the order.
 

@@ -93,6 +93,17 @@ def representative(spark, sf):
     return V.duplicates(p.where("vec_id % 100 = 0"), p, 0.3, 40)
 
 
+@query("representative_passages")
+def representative_passages(spark, sf):
+    """V-07: three passages of each owner, by words of its title (an item of the benchmark) and by duplicates."""
+    p = table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 50).alias("owner"), "embedding")
+    asked = p.where("vec_id % 10 = 0")
+    counted = asked.select("vec_id", F.col("owner").alias("source")).join(V.duplicates(asked, p, 0.3, 40), "vec_id")
+    content = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
+    titles = table(spark, sf, "benchmark").select(F.col("item_id").alias("source"), F.col("text").alias("title"))
+    return V.representatives(counted.join(content, "vec_id", "left").join(titles, "source", "left"), 3)
+
+
 @query(
     "similar_awards",
     f"WITH {_SCORED}, o AS (SELECT qid, vec_id % 60 AS notice, max(score) AS score FROM s WHERE label = qlabel AND vec_id <> qid GROUP BY 1, 2) SELECT qid, notice, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, notice) - 1 AS rank FROM o QUALIFY rank < 20",

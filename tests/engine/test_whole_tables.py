@@ -3,6 +3,7 @@
 import re
 
 from noticelake import catalog
+from noticelake.operators import vectors as V
 from noticelake.queries.rollups import quoted
 
 
@@ -43,3 +44,20 @@ def test_documents_of_every_kind_are_counted(spark, tmp_path):
     for name, brute in (("sentence_counts_all", lambda t: len(sentences(t))), ("compressed_passages_all", lambda t: len(passage(t)))):
         got = {r.doc_id: r.n for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
         assert got == {i: brute(t) for i, t in rows}, name
+
+
+def test_representative_passages_are_chosen(spark):
+    rows = [
+        (1, "Supply of Irrigation pumps", 10, "irrigation pumps and supply", 8),  # boilerplate, though on topic
+        (1, "Supply of Irrigation pumps", 11, "the supply of other things", 0),
+        (1, "Supply of Irrigation pumps", 12, "PUMPS for a town", 7),
+        (1, "Supply of Irrigation pumps", 13, "pumps again", 2),
+        (2, None, 20, None, 9),
+        (2, None, 21, "boilerplate", 8),
+        (3, "Road", 31, "nothing", 1),
+        (3, "Road", 30, "nothing", 1),
+    ]
+    df = spark.createDataFrame(rows, "source long, title string, vec_id long, content string, duplicates long")
+    got = sorted((r.source, r.place, r.vec_id, r.topicality) for r in V.representatives(df, 3).collect())
+    assert got == [(1, 1, 13, 1), (1, 2, 12, 1), (1, 3, 11, 0), (2, 1, 21, 0), (2, 2, 20, 0), (3, 1, 30, 0), (3, 2, 31, 0)]
+    assert sorted(r.vec_id for r in V.representatives(df).collect()) == [13, 21, 30]
