@@ -5,7 +5,7 @@ square).  A document's full runs of ``size`` tokens are sequences of their own.
 of each document is dealt by a hash of its id to shards of a bounded number of documents; in a
 shard, remainders go in descending order to the cheapest sequence that has room.  The shard
 opens just the sequences its tokens fill: as many of ``size`` as fit, and the powers of two
-that make up the rest.  A remainder that none of the cheapest sequences can hold is cut to
+that make up the rest.  A remainder that no sequence can hold is cut to
 fill the cheapest, so every sequence ends exactly full and nothing is padded.
 
 A shard holds at most DOCS documents of under ``size`` tokens on average, whatever the corpus;
@@ -27,8 +27,8 @@ from .common import batches, short_batches, table, utf8
 from .tokens import default_path, tokenizer
 
 SIZE, QUADRATIC = 2048, 1 / 4096
-#: Documents to a shard, full runs to a row, and cheapest sequences tried before a cut.
-DOCS, RUNS, TRIED = 4096, 1024, 16
+#: Documents to a shard, and full runs to a row.
+DOCS, RUNS = 4096, 1024
 
 _PIECES = pa.schema(
     [
@@ -63,29 +63,20 @@ def assign(lengths: list[int], size: int = SIZE, quadratic: float = QUADRATIC) -
     """
     total = sum(lengths)
     capacity = [size] * (total // size) + [1 << b for b in reversed(range(size.bit_length())) if total % size >> b & 1]
-    cheapest = [(0.0, s) for s in range(len(capacity))]
-    used, pieces = [0] * len(capacity), []
+    room, cost = np.array(capacity, np.int64), np.zeros(len(capacity))
+    pieces: list[tuple[int, int, int, int, int]] = []
     waiting = [(-n, i, 0) for i, n in enumerate(lengths) if n]
     heapq.heapify(waiting)
     while waiting:
         n, item, start = heapq.heappop(waiting)
-        n, aside = -n, []
-        while cheapest and len(aside) < TRIED:
-            cost, s = heapq.heappop(cheapest)
-            if capacity[s] - used[s] >= n:
-                break
-            aside.append((cost, s))
-        else:
-            heapq.heapify(aside)
-            cost, s = heapq.heappop(aside)
-        room = capacity[s] - used[s]
-        taken = min(n, room)
-        pieces.append((item, start, taken, s, used[s]))
-        used[s] += taken
-        if used[s] < capacity[s]:
-            heapq.heappush(cheapest, (cost + taken + quadratic * taken * taken, s))
-        for x in aside:
-            heapq.heappush(cheapest, x)
+        n = -n
+        s = int(np.where(room >= n, cost, np.inf).argmin())
+        if room[s] < n:  # none holds it whole
+            s = int(cost.argmin())
+        taken = min(n, int(room[s]))
+        pieces.append((item, start, taken, s, capacity[s] - int(room[s])))
+        room[s] -= taken
+        cost[s] = cost[s] + taken + quadratic * taken * taken if room[s] else np.inf
         if taken < n:
             heapq.heappush(waiting, (taken - n, item, start + taken))
     return pieces
