@@ -2,13 +2,14 @@
 
 For a tokenizer that drops white space and never joins across it, the ids of a text are the
 ids of its words one after another, so each distinct word is encoded once for a worker.  A
-comma or full stop behind an ASCII letter is a piece of its own to such a tokenizer and is
+comma or full stop behind a Latin letter is a piece of its own to such a tokenizer and is
 split off first; ASCII letters are lower-cased for the cache key, as the tokenizer's own
 normaliser does.  Words with ``<|`` may hold special strings and keep their case.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -18,11 +19,24 @@ from .common import ranges
 
 #: The id that ends each document.
 END = 1
-#: Words a worker keeps, and bytes of text encoded at once.
-WORDS_KEPT, GROUP_BYTES = 600_000, 2 << 20
+#: Bytes of words a worker keeps, what a kept word takes besides its letters, bytes of text that are
+#: looked up at once, and new words that are encoded at once.
+KEPT_BYTES, WORD_BYTES, GROUP_BYTES, NEW_WORDS = 64 << 20, 230, 1 << 20, 4096
 
-_STOP = re.compile(rb"[,.](?<=[a-z][,.])")
-_PLAIN = re.compile(r"[a-z]+").fullmatch
+_STOP = re.compile(rb"[,.](?:(?<=[a-z][,.])|(?<=\xc3[\x9f-\xb6\xb8-\xbf][,.]))")
+#: Lower-case letters that no Unicode normaliser changes, as long as nothing else stands among them.
+LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+_PLAIN, _LATIN = re.compile(r"[a-z]+").fullmatch, re.compile(f"[{LETTERS}]+").fullmatch
+_GAP = re.compile(rb"[ \n]")
+
+
+def _byte_names() -> dict[int, str]:
+    """How byte-level models write bytes: printable ones of Latin-1 as they are, the others from U+0100 on, in order."""
+    others = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE)]
+    return {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_BYTES = _byte_names()
 
 
 class _Places(dict):
@@ -30,21 +44,33 @@ class _Places(dict):
 
     def __init__(self):
         self.new: list[bytes] = []
+        self.bytes = 0
 
     def __missing__(self, word: bytes) -> int:
         place = self[word] = len(self)
         self.new.append(word)
+        self.bytes += len(word) + WORD_BYTES
         return place
 
 
 class WordTokenizer:
-    """Encodes many texts at a time; exact for tokenizers that drop white space."""
+    """Encodes many texts at a time; exact for tokenizers that drop white space.
 
-    def __init__(self, path: str, kept: int = WORDS_KEPT):
+    A worker holds about ``kept`` bytes of words and a group's ids; new words are encoded a slice
+    at a time by one thread, so that neither their encodings nor a pool's buffers add up.
+    """
+
+    def __init__(self, path: str, kept: int = KEPT_BYTES):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
         self.vocabulary = self.tokenizer.get_vocab_size()
+        # accented letters go by their bytes; only a tokenizer that does so takes the short way
+        probe = [c * k for c in LETTERS for k in (1, 3)]
+        whole = self.tokenizer.encode_batch_fast(probe, add_special_tokens=False)
+        same = [e.ids for e in whole] == [self._by_model(w) for w in probe]
+        self.plain = _LATIN if same else _PLAIN
         self._clear()
 
     def _clear(self) -> None:
@@ -54,7 +80,7 @@ class WordTokenizer:
 
     def _thin(self) -> None:
         """Keep the half of the words that were used most."""
-        kept = np.sort(np.argsort(-self.uses, kind="stable")[: self.kept // 2])
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: len(self.places) // 2])
         words, places = list(self.places), _Places()
         for i in kept.tolist():
             places[words[i]]
@@ -67,19 +93,25 @@ class WordTokenizer:
     def _learn(self) -> None:
         if not (new := self.places.new):
             return
-        lists = self._encode_words([w.decode() for w in new])
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        starts = len(self.ids) + np.cumsum(lengths) - lengths
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(lengths.sum()))
-        self.ids = np.concatenate([self.ids, flat])
-        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+        ids, lengths = [self.ids], [self.lengths]
+        for k in range(0, len(new), NEW_WORDS):
+            lists = self._encode_words([w.decode() for w in new[k : k + NEW_WORDS]])
+            lengths.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            ids.append(np.fromiter((i for x in lists for i in x), np.uint32, int(lengths[-1].sum())))
+        self.ids, self.lengths = np.concatenate(ids), np.concatenate(lengths)
+        self.starts = np.cumsum(self.lengths) - self.lengths
         self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
         self.places.new = []
 
+    def _by_model(self, word: str) -> list[int]:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTES)
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
+
     def _encode_words(self, words: list[str]) -> list[list[int]]:
-        """Words of a-z alone are one piece that no normaliser changes: they go straight to the model."""
-        model = self.tokenizer.model
-        lists = [[t.id for t in model.tokenize(w)] if _PLAIN(w) else None for w in words]
+        """Words of letters alone are one piece that no normaliser changes: they go straight to the model."""
+        plain, by_model = self.plain, self._by_model
+        lists = [by_model(w) if plain(w) else None for w in words]
         rest = [i for i, x in enumerate(lists) if x is None]
         found = self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)
         for i, e in zip(rest, found, strict=True):
@@ -87,13 +119,16 @@ class WordTokenizer:
         return lists
 
     def _group(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.places) > self.kept:
+        while self.places.bytes > self.kept and len(self.places) > 1:
             self._thin()
         found = []
         for text in texts:
             line = text if b"<|" in text else text.lower()
-            words = _STOP.sub(rb" \g<0>", line).split()
-            found.append(np.fromiter(map(self.places.__getitem__, words), np.int64, len(words)))
+            places = [
+                np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+                for words in (_STOP.sub(rb" \g<0>", x).split() for x in pieces(line))
+            ]
+            found.append(places[0] if len(places) == 1 else np.concatenate(places))
         self._learn()
         where = np.concatenate(found) if found else np.zeros(0, np.int64)
         self.uses += np.bincount(where, minlength=len(self.uses))
@@ -115,6 +150,18 @@ class WordTokenizer:
         yield from self._group(group)
 
 
+def pieces(line: bytes, size: int = GROUP_BYTES) -> Iterator[bytes]:
+    """A text cut behind white space into pieces of about ``size`` bytes; no word is cut."""
+    start = 0
+    while len(line) - start > size:
+        gap = _GAP.search(line, start + size)
+        if not gap:
+            break
+        yield line[start : gap.start()]
+        start = gap.start()
+    yield line[start:]
+
+
 _LOADED: dict[str, WordTokenizer] = {}
 
 
