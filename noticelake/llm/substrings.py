@@ -2,22 +2,27 @@
 
 A window is ``width`` words in a row.  A word goes if some window over it also starts in a
 document with a smaller doc_id.  Laying every document against every shard of the corpus would
-be quadratic, so shards are cut by content and a document meets only those that can match:
+be quadratic, so shards are cut by content and a document is streamed through those only that
+can match:
 
 1. Of every window the anchor is the ANCHOR-word gram with the smallest hash; windows in a row
    with one anchor make a segment.  Equal windows have equal anchors, wherever they stand.
-2. Anchors that stand in one document only can't match; segments of the others remain.
-3. A shard takes all segments of its anchors, each distinct text once, with the smallest doc_id
-   that has it.  Its owner task builds one suffix automaton over the words of these reference
-   texts, oldest first, so a state knows the first document of its word sequences.  It then
-   streams the segments through and reads, where the matching length reaches ``width``, the
-   first document of the window that ends there.
-4. Documents pick up what was found for their segments and drop the covered words.
-
-The automaton of a shard goes to the task that needs it by the shuffle, not by a broadcast: a
-broadcast of all shards would grow with the corpus.  A shard has about SHARD_BYTES of text; an
-anchor with over HOT segment texts would outgrow that, so its windows are grouped by their own
-text instead, which needs no automaton and splits to any size.
+2. Anchors that stand in one document only can't match; segments of the others remain.  Where all
+   segments of an anchor are equal, the first of them is the reference and all that would be
+   streamed, so its document has every window.  An anchor with over HOT segments of several kinds would
+   outgrow its shard, so each of its windows becomes a segment of its own, with its own hash as anchor.
+3. A shard owns a set of anchors.  Their segments come in the order of doc_id, each distinct one once.
+   A segment is streamed through the suffix automaton of what came before: the matching statistics
+   (longest match that ends at each word, by suffix links where a word does not follow) reach
+   ``width`` at the end of each window that stands in an earlier reference, and the state knows the
+   first document that has it.  Only a segment with a window that is new joins the automaton.
+4. Documents pick up the runs of windows found for their segments, as maximal spans of words, and
+   drop the covered words.
+
+The automaton of a shard meets its documents by the shuffle, not by a broadcast: the references
+grow with the corpus, and sending all automata to all documents is quadratic.
+
+Words are compared by 64-bit hashes that numpy takes over the bytes of a whole batch.
 """
 
 from __future__ import annotations
@@ -27,18 +32,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, short_batches, stored, table, utf8, word_array
+from .common import batches, ranges, short_batches, stored, table, utf8
 
 WIDTH, ANCHOR = 13, 5
-#: Text of a shard, about; segment texts beyond which an anchor is grouped window by window;
-#: bytes of segment texts that a task folds before it passes them on.
-SHARD_BYTES, HOT, FOLD_BYTES = 1 << 20, 20_000, 32 << 20
-#: Anchors at a time in the sliding minimum; bounds memory.
-BLOCK = 1 << 20
+#: Segments of a shard, about; segments beyond which an anchor's windows go one by one; rows that a
+#: task folds before it passes them on.
+SHARD, HOT, FOLD = 8192, 20_000, 100_000
+#: Anchors at a time in the sliding minimum, and bytes hashed at a time; they bound memory.
+BLOCK, BYTES = 1 << 20, 1 << 20
+
+_random = np.random.RandomState(13)
+_BYTE, _PLACE, _FAR = (_random.randint(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1) for n in (256, 4096, 4096))
+_BASES = [int(x) * 8 + 5 for x in _random.randint(1 << 50, 1 << 60, 2)]
+_FAR[0] = 1  # so that only letters beyond the 4096th read it
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(9, 14)]] = True
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -46,6 +57,35 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after another, and how many each text has; null has none."""
+    raw = texts.cast(pa.large_binary()).fill_null(b"")
+    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    space = _SPACE[data]
+    first = ~space
+    first[1:] &= space[:-1]
+    borders = ends[:-1][ends[:-1] < ends[1:]]
+    first[borders] = ~space[borders]
+    at = np.flatnonzero(first)
+    sizes = np.diff(np.searchsorted(at, ends))
+    found = np.empty(len(at), np.uint64)
+    k = 0
+    while k < len(at):  # whole words, about BYTES at a time
+        stop = max(k + 1, int(np.searchsorted(at, at[k] + BYTES)))
+        a, b = at[k], at[stop] if stop < len(at) else len(data)
+        own = at[k:stop] - a
+        place = np.arange(b - a) - np.repeat(own, np.diff(np.append(own, b - a)))
+        value = _BYTE[data[a:b]] * _PLACE[place & 4095]
+        if place.max() > 4095:
+            value *= _FAR[place >> 12 & 4095]
+        value[space[a:b]] = 0
+        found[k:stop] = np.add.reduceat(value, own)
+        k = stop
+    return _mix(found), sizes
+
+
 def segments(words: np.ndarray, sizes: np.ndarray, width: int = WIDTH, k: int = ANCHOR):
     """Segments of documents whose word hashes stand one after another.
 
@@ -77,12 +117,41 @@ def segments(words: np.ndarray, sizes: np.ndarray, width: int = WIDTH, k: int =
     return owner, first - (ends - sizes)[owner], count, grams[anchor[first]]
 
 
-def _segments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 ... base**(n-1) modulo 2**64."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 16), base % (1 << 64), np.uint64)
+        known[0] = 1
+        known = np.cumprod(known)
+        if n <= BLOCK:
+            _POWERS[base] = known
+    return known[:n]
+
+
+def keys(words: np.ndarray, start: np.ndarray, length: np.ndarray, base: int) -> np.ndarray:
+    """64-bit keys of the word sequences at ``start``: polynomials in ``base``, from one running sum."""
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * _powers(base, len(words)), out=total[1:])
+    back = _powers(pow(base, -1, 1 << 64), len(words))
+    return _mix((total[start + length] - total[start]) * back[start] + length.astype(np.uint64)).view(np.int64)
+
+
+def _anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """anchor, doc_id and the key of the whole segment."""
     for b in it:
-        lists = b[2]
-        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        words = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        words, sizes = word_hashes(b[1])
         doc, start, count, anchor = segments(words, sizes)
+        whole = keys(words, (np.cumsum(sizes) - sizes)[doc] + start, count + WIDTH - 1, _BASES[0])
+        yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), b[0].take(pa.array(doc)), pa.array(whole)], names=["anchor", "doc_id", "whole"])
+
+
+def _segments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        doc, start, count, anchor = segments(*word_hashes(b[2]))
         at = pa.array(doc)
         yield pa.RecordBatch.from_arrays(
             [pa.array(anchor.view(np.int64)), b[0].take(at), b[1].take(at), pa.array(start << 8 | count)],
@@ -93,8 +162,9 @@ def _segments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _CUT = pa.schema(
     [
         ("anchor", pa.int64()),
-        ("key", pa.binary()),
-        ("content", pa.binary()),
+        ("k1", pa.int64()),
+        ("k2", pa.int64()),
+        ("words", pa.list_(pa.int64())),
         ("doc_id", pa.int64()),
         ("text_key", pa.int64()),
         ("start", pa.int64()),
@@ -103,35 +173,47 @@ _CUT = pa.schema(
 
 
 def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two kinds of rows: places (no content), and distinct texts of segments with their smallest doc_id."""
-
-    def rows():
-        held: dict[bytes, list] = {}
-        size = 0
-        for b in it:
-            spots = b[3].to_pylist()
-            for doc_id, text_key, text, own in zip(b[0].to_pylist(), b[1].to_pylist(), utf8(b[2]), spots, strict=True):
-                words = text.split()
-                for spot in own:
-                    start, count = spot["place"] >> 8, spot["place"] & 255
-                    content = b" ".join(words[start : start + count + WIDTH - 1])
-                    key = xxhash.xxh3_128_digest(content)
-                    yield None, key, None, doc_id, text_key, start
-                    if entry := held.get(key):
-                        entry[2] = min(entry[2], doc_id)
-                    else:
-                        held[key] = [spot["anchor"], content, doc_id]
-                        size += len(content) + 200
-            if size > FOLD_BYTES:
-                yield from texts(held)
-                held, size = {}, 0
-        yield from texts(held)
-
-    def texts(held):
-        for key, (anchor, content, doc_id) in held.items():
-            yield anchor, key, content, doc_id, None, None
-
-    return batches(rows(), _CUT, 8192)
+    """Two kinds of rows: places (no words), and distinct word sequences of segments with their smallest doc_id."""
+    held: list[tuple] = []
+    for b in it:
+        words, sizes = word_hashes(b[2])
+        own, spots = b[3].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), b[3].flatten()
+        place, anchor, hot = (x.to_numpy(zero_copy_only=False) for x in spots.flatten())
+        doc = np.repeat(np.arange(len(own)), own)
+        start, count = place >> 8, place & 255
+        times = np.where(hot, count, 1)  # a window at a time
+        step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        doc, anchor, hot = np.repeat(doc, times), np.repeat(anchor, times), np.repeat(hot, times)
+        start = np.repeat(start, times) + step
+        length = np.where(hot, 1, np.repeat(count, times)) + WIDTH - 1
+        if not len(doc):
+            continue
+        first = (np.cumsum(sizes) - sizes)[doc] + start
+        k1, k2 = (keys(words, first, length, base) for base in _BASES)
+        flat = words[ranges(first, length)]
+        anchor = np.where(hot, k1, anchor)
+        at, none = pa.array(doc), lambda kind, n=len(doc): pa.nulls(n, kind)
+        ids = b[0].take(at)
+        yield pa.RecordBatch.from_arrays([none(pa.int64()), pa.array(k1), pa.array(k2), none(_CUT[3].type), ids, b[1].take(at), pa.array(start)], schema=_CUT)
+        held.append((anchor, k1, k2, ids.to_numpy(zero_copy_only=False), length, flat))
+        if sum(len(x[0]) for x in held) > FOLD:
+            yield _texts(held)
+            held = []
+    if held:
+        yield _texts(held)
+
+
+def _texts(held: list[tuple]) -> pa.RecordBatch:
+    """Each distinct sequence once, with its smallest doc_id."""
+    anchor, k1, k2, ids, length, flat = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((ids, k2, k1))
+    new = np.append(True, (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1]))
+    kept = order[new]
+    words = flat[ranges((np.cumsum(length) - length)[kept], length[kept])].view(np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length[kept])).astype(np.int32)), pa.array(words))
+    own = [pa.array(x[kept]) for x in (anchor, k1, k2)]
+    none = pa.nulls(len(kept), pa.int64())
+    return pa.RecordBatch.from_arrays([*own, lists, pa.array(ids[kept]), none, none], schema=_CUT)
 
 
 class Automaton:
@@ -179,49 +261,80 @@ class Automaton:
                 link[state] = q if length[q] == length[p] + 1 else self._split(p, symbol, q)
             last = state
 
-    def firsts(self, sequence: list, width: int) -> list[int]:
-        """First owner of every window of ``sequence``, which was added before."""
-        moves, link, length = self.next, self.link, self.length
-        state, found = 0, []
-        for n, symbol in enumerate(sequence, 1):
-            state = moves[state][symbol]
-            if n >= width:
-                # matching length capped at width: the shortest state that still holds it
+    def statistics(self, sequence: list, width: int) -> list[tuple[int, int | None]]:
+        """For each word of any ``sequence``: how long a match ends there (no more than ``width`` is told
+        apart from more), and from ``width`` on the first owner of the last ``width`` words."""
+        moves, link, length, owner = self.next, self.link, self.length, self.owner
+        state, matched, found = 0, 0, []
+        for symbol in sequence:
+            while state and symbol not in moves[state]:
+                state = link[state]
+                matched = length[state]
+            if symbol in moves[state]:
+                state = moves[state][symbol]
+                matched += 1
+            if matched >= width:
+                # the shortest state that still holds the last ``width`` words
                 while length[link[state]] >= width:
                     state = link[state]
-                found.append(self.owner[state])
+                matched = min(matched, length[state])
+                found.append((matched, owner[state]))
+            else:
+                found.append((matched, None))
         return found
 
 
-_FOUND = pa.schema([("key", pa.binary()), ("firsts", pa.list_(pa.int64()))])
+def firsts(segments: list[tuple[int, list]], width: int = WIDTH) -> list[list[tuple[int, int, int]]]:
+    """Runs (from window, to window, first owner) of each (owner, sequence), which come in ascending order of owner."""
+    automaton, found = Automaton(), []
+    for owner, sequence in segments:
+        first = [x[1] for x in automaton.statistics(sequence, width)[width - 1 :]]
+        if None in first:
+            automaton.add(sequence, owner)
+        runs: list[tuple[int, int, int]] = []
+        for i, x in enumerate(first):
+            x = owner if x is None else x
+            if runs and runs[-1][2] == x:
+                runs[-1] = (runs[-1][0], i + 1, x)
+            else:
+                runs.append((i, i + 1, x))
+        found.append(runs)
+    return found
 
 
-def _shard(held: pa.Table) -> pa.Table:
-    """Owner task of a shard: key, content, doc_id -> key, first document of each window."""
-    oldest: dict[bytes, tuple] = {}
-    for key, content, doc_id in zip(held["key"].to_pylist(), held["content"].to_pylist(), held["doc_id"].to_pylist(), strict=True):
-        if key not in oldest or doc_id < oldest[key][0]:
-            oldest[key] = (doc_id, key, content)
-    numbers: dict[bytes, int] = {}
-    references = [
-        (doc_id, key, [numbers.setdefault(w, len(numbers)) for w in content.split(b" ")])
-        for doc_id, key, content in sorted(oldest.values())
-    ]
-    automaton = Automaton()
-    for doc_id, _, words in references:
-        automaton.add(words, doc_id)
-    found = ((key, automaton.firsts(words, WIDTH)) for _, key, words in references)
-    return pa.Table.from_batches(list(batches(found, _FOUND, 8192)), _FOUND)
+_RUN = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("first", pa.int64())])
+
 
+def _shard(held: pa.Table) -> pa.Table:
+    """Owner task of a shard: anchor, k1, k2, words, doc_id -> k1, k2 and the first document of each run of windows.
 
-def _hot_windows(contents: DataFrame) -> DataFrame:
-    """The same for anchors with very many segment texts: windows grouped by their text."""
-    words = F.split(F.col("content").cast("string"), " ")
-    windows = contents.select("key", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(words) - (WIDTH - 1)), lambda i: F.array_join(F.slice(words, i, WIDTH), " "))).alias("at", "window"))
-    first = windows.groupBy("window").agg(F.min("doc_id").alias("first"))
-    joined = windows.select("key", "at", "window").distinct().join(first, "window")
-    grouped = joined.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "first"))).alias("w"))
-    return grouped.select("key", F.transform("w", lambda x: x["first"]).alias("firsts"))
+    Of an anchor with one segment alone, that segment is the reference and all that is streamed:
+    its first document has every window.
+    """
+    held = held.combine_chunks()
+    anchor, k1, k2, ids = (held[x].to_numpy() for x in ("anchor", "k1", "k2", "doc_id"))
+    order = np.lexsort((ids, k2, k1, anchor))
+    new = np.append(True, (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1]) | (anchor[order][1:] != anchor[order][:-1]))
+    kept = order[new]
+    kept = kept[np.lexsort((k2[kept], k1[kept], ids[kept], anchor[kept]))]
+    words = held["words"].combine_chunks().take(pa.array(kept))
+    lengths, flat = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), words.flatten().to_numpy()
+    begin = np.cumsum(lengths) - lengths
+    starts = np.flatnonzero(np.append(True, anchor[kept][1:] != anchor[kept][:-1]))
+    sizes = np.diff(np.append(starts, len(kept)))
+    alone = np.repeat(sizes == 1, sizes)
+    n, ids = int(alone.sum()), ids[kept]
+    a, b, first, runs = [np.zeros(n, np.int64)], [lengths[alone] - WIDTH + 1], [ids[alone]], [np.ones(n, np.int64)]
+    for s, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+        own = [(int(ids[i]), flat[begin[i] : begin[i] + lengths[i]].tolist()) for i in range(s, s + size)]
+        found = firsts(own)
+        runs.append(np.array([len(x) for x in found]))
+        for column, k in ((a, 0), (b, 1), (first, 2)):
+            column.append(np.array([r[k] for x in found for r in x], np.int64))
+    named = kept[np.append(np.flatnonzero(alone), np.flatnonzero(~alone))]
+    values = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, first)], fields=list(_RUN))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.concatenate(runs))).astype(np.int32)), values)
+    return pa.Table.from_arrays([pa.array(k1[named]), pa.array(k2[named]), lists], names=["k1", "k2", "runs"])
 
 
 _KEPT = pa.schema(
@@ -239,17 +352,16 @@ def _drop(with_text: bool):
     def drop(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in it:
-                for doc_id, text, hits in zip(b[0].to_pylist(), utf8(b[1]), b[2].to_pylist(), strict=True):
+                for doc_id, text, spans in zip(b[0].to_pylist(), utf8(b[1]), b[2].to_pylist(), strict=True):
                     words = text.split()
                     n, gone = len(words), 0
-                    if hits:
+                    if spans:
                         edge = np.zeros(n + 1, np.int64)
-                        for start in hits:
-                            edge[start] += 1
-                            edge[start + WIDTH] -= 1
+                        np.add.at(edge, [x["a"] for x in spans], 1)
+                        np.add.at(edge, [x["b"] for x in spans], -1)
                         covered = np.cumsum(edge[:-1]) > 0
                         gone = int(covered.sum())
-                        words = [words[i] for i in np.flatnonzero(~covered)]
+                        words = [words[i] for i in np.flatnonzero(~covered).tolist()]
                     kept = b" ".join(words)
                     yield doc_id, n, gone, hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None
 
@@ -267,33 +379,34 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     none.  Rows that share a doc_id never remove from each other.  Empty table: no rows.  Other
     columns are not read.
     """
-    spark = docs.sparkSession
-    short_batches(spark, 128)
+    short_batches(docs.sparkSession, 128)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    hashed = keyed.select("doc_id", "text_key", F.transform(word_array(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
-    cut = stored(hashed.mapInArrow(_segments, "anchor long, doc_id long, text_key long, place long"), "segments")
-    ends = cut.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    shared = stored(ends.where("a <> b").select("anchor"), "anchors")
-    spots = cut.join(shared, "anchor").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("place", "anchor")).alias("spots"))
+    seen = keyed.select("doc_id", "text").mapInArrow(_anchors, "anchor long, doc_id long, whole long")
+    ends = seen.groupBy("anchor").agg(
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("whole").alias("low"), F.max("whole").alias("high"), F.count("*").alias("n")
+    )
+    several = F.col("low") != F.col("high")
+    shared = stored(ends.where("first <> last").select("anchor", "first", several.alias("several"), (F.col("n") > HOT).alias("hot")), "anchors")
+    cut = keyed.mapInArrow(_segments, "anchor long, doc_id long, text_key long, place long").join(shared, "anchor")
+    spot = F.when(F.col("several"), F.struct("place", "anchor", "hot"))
+    alone = F.when(~F.col("several"), F.struct(F.shiftright("place", 8).alias("a"), (F.shiftright("place", 8) + F.col("place").bitwiseAND(255) + WIDTH - 1).alias("b")))
+    spots = cut.where("several OR first < doc_id").groupBy("doc_id", "text_key").agg(F.collect_list(spot).alias("spots"), F.collect_list(alone).alias("spans"))
     spots = stored(spots, "spots")
-    parts = keyed.join(spots, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "spots")
+    parts = keyed.join(spots.where(F.size("spots") > 0), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "spots")
     parts = stored(
-        parts.mapInArrow(_cut, "anchor long, key binary, content binary, doc_id long, text_key long, start long"), "parts"
+        parts.mapInArrow(_cut, "anchor long, k1 long, k2 long, words array<long>, doc_id long, text_key long, start long"), "parts"
+    )
+    places = parts.where("words IS NULL").select("k1", "k2", "doc_id", "text_key", "start")
+    contents = parts.where("words IS NOT NULL")
+    shard = F.pmod("anchor", F.lit(contents.count() // SHARD + 1))
+    found = contents.select(shard.alias("shard"), "anchor", "k1", "k2", "words", "doc_id").groupBy("shard").applyInArrow(
+        _shard, "k1 long, k2 long, runs array<struct<a: long, b: long, first: long>>"
     )
-    places = parts.where("content IS NULL").select("key", "doc_id", "text_key", "start")
-    contents = parts.where("content IS NOT NULL").select("anchor", "key", "content", "doc_id")
-    size = contents.agg(F.sum(F.length("content"))).first()[0] or 0
-    loads = stored(contents.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor"), "hot-anchors")
-    cold = contents.join(loads, "anchor", "left_anti")
-    shard = F.pmod("anchor", F.lit(size // SHARD_BYTES + 1))
-    found = cold.withColumn("shard", shard).select("shard", "key", "content", "doc_id").groupBy("shard").applyInArrow(_shard, "key binary, firsts array<long>")
-    if loads.count():
-        found = found.union(_hot_windows(contents.join(loads, "anchor", "left_semi")))
-    found = stored(found, "firsts")
-    hits = F.transform("firsts", lambda f, i: F.when(f < F.col("doc_id"), F.col("start") + i))
-    gone = places.join(found, "key").select("doc_id", "text_key", F.filter(hits, lambda x: x.isNotNull()).alias("hits"))
-    gone = stored(gone.where(F.size("hits") > 0).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("hits")).alias("hits")), "hits")
-    joined = keyed.join(gone, ["doc_id", "text_key"], "left").select("doc_id", "text", "hits")
+    earlier = F.filter("runs", lambda r: r["first"] < F.col("doc_id"))
+    span = F.transform(earlier, lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"] + WIDTH - 1).alias("b")))
+    gone = places.join(found, ["k1", "k2"]).select("doc_id", "text_key", span.alias("spans")).union(spots.select("doc_id", "text_key", "spans")).where(F.size("spans") > 0)
+    gone = stored(gone.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    joined = keyed.join(gone, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_drop(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
