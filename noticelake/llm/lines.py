@@ -1,13 +1,20 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions alone.
 
-Equal lines become one entry first.  An entry of length l is cut into THRESHOLD + 1 even
-segments; if two lines are within THRESHOLD edits, some segment of the shorter stands
-unchanged in the longer, not far from its place.  Segments are indexed by (length, number,
-text), and a line probes, for every length it may pair with, only the start positions that
-the number of the segment and the difference in length leave open.  Where keys meet, lines
-whose letter counts differ by more than the edits allow are no candidates, so a large family of
-lines that share a segment but differ elsewhere yields few.  Candidates are verified by a banded bit-parallel edit distance: one machine word holds the 2 * THRESHOLD + 1 cells
-around the diagonal, and a column takes a dozen bit operations.
+Equal lines become one entry first; of those that are not blank the later copies go, whatever their
+length.  For lines of ``min_chars`` or more, lengths are put in classes of CLASS.  A class gives
+THRESHOLD + 1 segments their places, those of the first half counted from the front of a line and the
+others from its end.  If two lines are within THRESHOLD edits, some segment of the shorter stands
+unchanged in the longer, at most as far from its place as its number (or its number from the end).
+So a line is indexed under its own segments and probes, for its own class and, where a partner may
+be in the class below, for that one too, only the places that the number of the segment leaves
+open.  Most of these keys are the line's own index keys: five rows a line for two edits.
+
+Keys that stand in one line only are dropped by a count before anything is joined.  A key with over
+HOT rows is split: two lines that share it and are within THRESHOLD edits are so without it as well,
+so what is left of each line is cut into segments again, and both keys together are the new key.
+Where keys meet, lines whose letter counts differ by more than the edits allow are no candidates.
+Candidates are verified by a banded bit-parallel edit distance: one machine word holds the
+2 * THRESHOLD + 1 cells around the diagonal, and a column takes a dozen bit operations.
 
 A line goes if an equal or linked line stands earlier in the corpus, by (doc_id, line number).
 That is judged on the input: a chain of links removes all but those without an earlier one.
@@ -21,46 +28,39 @@ from pyspark.sql import functions as F
 from .common import held_small, let, stored, table
 
 THRESHOLD, MIN_CHARS = 2, 30
+#: Lengths of a class; rows of a key beyond which it is split.
+CLASS, HOT = 8, 500
 #: Fixed value: characters whose counts are compared before lines are.
 LETTERS = "etaoinsrhldcum ."
 #: Bits of a count.
 COUNT = 4
-#: Candidate pairs up to which the lines they name are picked by broadcast.
-PAIRS_HELD = 200_000
+#: Keys, ids, pairs or lines up to which such a table is sent to every task.
+HELD = 400_000
 
 
-def _key(length: Column, number: int, text: Column) -> Column:
-    return F.xxhash64(length, F.lit(number), text)
+def segment_rows(line: Column, n: Column, threshold: int, both_ways: bool = True) -> Column:
+    """array<struct<key, mark, at, size>> of a line of n characters.
 
+    A row stands for the segment at ``at`` (from 0); its mark is n where the line is found by it, and -n
+    where it only looks.  ``both_ways``: every line that looks is found as well.  Then, at two edits, a
+    middle segment need not be looked for one place further left: it would be found from the other side.
+    """
+    parts, rest = threshold + 1, n % CLASS
 
-def _places(length: Column, number: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of a segment: shorter segments come first."""
-    short, longer = F.floor(length / parts).cast("int"), length % parts
-    extra = F.greatest(F.lit(number) - (F.lit(parts) - longer), F.lit(0))
-    own = short + F.when(F.lit(number) >= F.lit(parts) - longer, 1).otherwise(0)
-    return short * number + extra, own
-
-
-def index_keys(line: Column, n: Column, threshold: int) -> Column:
-    keys = []
-    for number in range(threshold + 1):
-        start, size = _places(n, number, threshold + 1)
-        keys.append(_key(n, number, F.substr(line, start + 1, size)))
-    return F.array(*keys)
-
+    def of(base: Column, own: bool) -> Column:
+        size, rows = F.floor(base / parts).cast("int"), []
+        for number in range(parts):
+            from_end = 2 * number > threshold
+            reach = threshold - number if from_end else number
+            start = n - size * (parts - number) if from_end else size * number
+            for shift in range(0 if both_ways and threshold == 2 else -reach, reach + 1):
+                at = start + shift
+                key = F.xxhash64(base, F.lit(number), F.substr(line, at + 1, size))
+                rows.append(F.struct(key.alias("key"), (n if own and not shift else -n).alias("mark"), at.alias("at"), size.alias("size")))
+        return F.array(*rows)
 
-def probe_keys(line: Column, n: Column, threshold: int) -> Column:
-    """Keys of all substrings that a partner up to ``threshold`` shorter may have as a segment; null past the ends."""
-    keys = []
-    for shorter in range(threshold + 1):
-        for number in range(threshold + 1):
-            start, size = _places(n - shorter, number, threshold + 1)
-            left = max(-number, shorter - (threshold - number))
-            right = min(number, shorter + threshold - number)
-            for shift in range(left, right + 1):
-                inside = (start + shift >= 0) & (start + shift + size <= n)
-                keys.append(F.when(inside, _key(n - shorter, number, F.substr(line, start + shift + 1, size))))
-    return F.array(*keys)
+    below = F.when((rest < threshold) & (n >= CLASS), of(n - rest - CLASS, False))
+    return F.concat(of(n - rest, True), F.coalesce(below, F.array().cast("array<struct<key:bigint,mark:int,at:int,size:int>>")))
 
 
 def banded_distance(longer: Column, shorter: Column, band: int) -> Column:
@@ -154,59 +154,68 @@ def judged(line: Column, min_chars: int, every: bool) -> Column:
     return long | line.rlike(r"[^\x20\x09-\x0D]") if every else long
 
 
-def entries(lines: DataFrame, min_chars: int = MIN_CHARS, every: bool = False) -> DataFrame:
-    """Distinct lines that are ``judged``: id, line, n, letters, position of the first, copies."""
+def entries(lines: DataFrame, min_chars: int = MIN_CHARS, every: bool = True) -> DataFrame:
+    """Distinct lines that are ``judged``: id, line, n, position of the first, copies."""
     grouped = lines.where(judged(F.col("line"), min_chars, every)).groupBy("line").agg(
         F.min(position(F.col("doc_id"), F.col("line_no"))).alias("first"), F.count("*").alias("copies")
     )
-    return grouped.select(
-        F.monotonically_increasing_id().alias("id"),
-        "line",
-        F.length("line").alias("n"),
-        signature(F.col("line")).alias("letters"),
-        "first",
-        "copies",
-    )
+    return grouped.select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("n"), "first", "copies")
 
 
-def edit_links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def edit_links(distinct: DataFrame, threshold: int = THRESHOLD, hot: int = HOT) -> DataFrame:
     """All pairs of ``distinct`` (a stored table) within ``threshold`` edits: a, b (ids), a not shorter."""
-    line, n = F.col("line"), F.col("n")
-    index = distinct.select(F.col("id").alias("b"), F.col("letters").alias("letters_b"), F.explode(index_keys(line, n, threshold)).alias("key"))
-    probes = distinct.select(F.col("id").alias("a"), F.col("letters").alias("letters_a"), F.explode(probe_keys(line, n, threshold)).alias("key")).where("key IS NOT NULL")
+    n = F.col("n")
+    rows = distinct.select("id", F.inline(segment_rows(F.col("line"), n, threshold)))
+    ends = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("x"), F.max("id").alias("y"), F.max("mark").alias("found"))
+    met = stored(ends.where("x <> y AND found > 0").select("key", (F.col("rows") > hot).alias("hot")), "line-keys")
+    rows = stored(rows.join(held_small(met, HELD), "key"), "line-rows")
+    named = stored(rows.select("id").distinct(), "line-ids")
+    texts = stored(distinct.select("id", "line", "n").join(held_small(named, HELD), "id").withColumn("letters", signature(F.col("line"))), "line-texts")
+    known = rows.join(texts, "id")
+    # what is left of a line without the segment that so many share
+    left = F.concat(F.substr("line", F.lit(1), F.col("at")), F.substr("line", F.col("at") + F.col("size") + 1, n))
+    split = known.where("hot").select("id", "letters", "key", F.col("mark").alias("outer"), left.alias("line"), (n - F.col("size")).alias("n"))
+    inner = F.inline(segment_rows(F.col("line"), n, threshold, both_ways=False)).alias("inner", "mark", "at", "size")
+    split = split.select("id", "letters", "outer", "key", inner).select(
+        F.xxhash64("key", "inner").alias("key"), "id", F.when(F.col("outer") > 0, F.col("mark")).otherwise(-F.abs("mark")).alias("mark"), "letters"
+    )
+    keyed = stored(known.where("NOT hot").select("key", "id", "mark", "letters").union(split), "line-keyed")
+    probes = keyed.select("key", F.col("id").alias("a"), F.abs("mark").alias("m"), F.col("letters").alias("letters_a"))
+    index = keyed.where("mark > 0").select("key", F.col("id").alias("b"), F.col("mark").alias("l"), F.col("letters").alias("letters_b"))
     near = letters_apart(F.col("letters_a"), F.col("letters_b")) <= 2 * threshold
-    met = probes.join(index, "key").where((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
-    met = stored(met, "line-pairs")
-    named = met.select(F.col("a").alias("id")).union(met.select(F.col("b").alias("id"))).distinct()
-    texts = stored(distinct.select("id", "line", "n").join(held_small(stored(named, "line-ids"), 2 * PAIRS_HELD), "id"), "line-texts")
-    one = texts.select(F.col("id").alias("a"), F.col("line").alias("long"), F.col("n").alias("m"))
-    two = texts.select(F.col("id").alias("b"), F.col("line").alias("short"), F.col("n").alias("l"))
-    # pairs of one length were met from both sides
-    pairs = met.join(one, "a").join(two, "b").where("m > l OR (m = l AND a < b)")
-    # one distance a pair: a new partitioning keeps the work even
-    dealt = pairs.where(F.col("m") - F.col("l") <= threshold).repartition("a", "b")
+    pairs = probes.join(index, "key").where((F.col("a") != F.col("b")) & (F.col("m") - F.col("l")).between(0, threshold) & near)
+    longer = F.col("m") > F.col("l")  # pairs of one length may have been met from either side
+    pairs = pairs.select(F.when(longer, F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.when(longer, F.col("b")).otherwise(F.greatest("a", "b")).alias("b"))
+    pairs = stored(pairs.distinct(), "line-pairs")
+    one = texts.select(F.col("id").alias("a"), F.col("line").alias("long"))
+    two = texts.select(F.col("id").alias("b"), F.col("line").alias("short"))
+    # one distance a pair: a new partitioning, which is not coalesced, keeps the work even
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = held_small(pairs, HELD).join(one, "a").join(two, "b").repartition(tasks, "a", "b")
     return dealt.where(banded_distance(F.col("long"), F.col("short"), threshold) <= threshold).select("a", "b")
 
 
-def removals(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, every: bool = False) -> DataFrame:
+def removals(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, every: bool = True) -> DataFrame:
     """One row per doc_id: doc_id, n_lines, n_removed, removed (line numbers from 0, ascending).
 
-    Lines of fewer than ``min_chars`` characters stay, blank ones too; with ``every``, later copies of
-    those that are not blank go, and ``min_chars`` holds for the edit join alone.  Within a document
-    a later copy goes as well.  Rows that repeat a doc_id count as one document with the lines of
-    both.  Null text is one empty line.  Empty table: no rows.
+    Later copies of equal lines go unless they are blank; within a document too.  ``min_chars``, CLASS at
+    least, holds for the edit join; without ``every`` for equal lines as well.  Rows that repeat a doc_id
+    count as one document with the lines of both.  Null text is one empty line.  Empty table: no rows.
     """
+    if min_chars < CLASS:
+        raise ValueError(f"segments need lines of {CLASS} characters or more")
     lines = line_table(docs)
     distinct = stored(entries(lines, min_chars, every), "lines")
     links = stored(edit_links(distinct.where(F.col("n") >= min_chars), threshold), "line-links")
     firsts = distinct.select("id", "first")
     ways = links.union(links.select("b", "a"))  # for each line, what it links to
-    linked = ways.join(firsts, F.col("b") == F.col("id")).groupBy("a").agg(F.min("first").alias("earliest"))
+    ways = F.broadcast(ways) if links.count() <= HELD // 2 else ways
+    linked = stored(ways.join(firsts, F.col("b") == F.col("id")).groupBy("a").agg(F.min("first").alias("earliest")), "line-linked")
     marks = lambda: (F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    known = distinct.join(linked, F.col("id") == F.col("a"), "left").select(
+    known = distinct.join(held_small(linked, HELD), F.col("id") == F.col("a"), "left").select(
         "line", F.least("first", F.coalesce("earliest", "first")).alias("earliest"), (F.col("earliest") < F.col("first")).alias("moved"), "copies"
     )
-    known = known.where("copies > 1 OR moved").select(*marks(), "earliest")
+    known = held_small(stored(known.where("copies > 1 OR moved").select(*marks(), "earliest"), "line-known"), HELD)
     seen = lines.select("doc_id", "line_no", *marks(), judged(F.col("line"), min_chars, every).alias("judged"))
     gone = F.col("judged") & (F.col("earliest") < position(F.col("doc_id"), F.col("line_no")))
     number = F.when(F.coalesce(gone, F.lit(False)), F.col("line_no"))
@@ -216,21 +225,22 @@ def removals(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_C
 
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with the lines of ``removals`` taken out of text; other columns as they are."""
+    """``docs`` with the lines of ``removals`` taken out of text; other columns as they are, null texts too."""
     found = removals(docs, threshold, min_chars).select("doc_id", F.col("removed").alias("__removed"))
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed", i))
     joined = docs.join(found, "doc_id", "left").withColumn("text", F.array_join(kept, "\n"))
     return joined.select(*docs.columns)
 
 
-def op10_line_dedup(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    found = removals(table(spark, sf_dir, "documents"), every=every)
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later copies of equal lines that are not blank, and lines within two edits of an earlier one of 30 characters or more."""
+    found = removals(table(spark, sf_dir, "documents"))
     return found.withColumn("removed", F.concat_ws(",", F.col("removed").cast("array<string>")))
 
 
 def op10_line_dedup_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op10_line_dedup, and later copies of equal lines at every length."""
-    return op10_line_dedup(spark, sf_dir, every=True)
+    """The same; the name is that of the first query that had no floor for equal lines."""
+    return op10_line_dedup(spark, sf_dir)
 
 
 QUERIES = {"op10_line_dedup": op10_line_dedup, "op10_line_dedup_short": op10_line_dedup_short}
@@ -245,10 +255,10 @@ WITH l AS (
   SELECT line, length(line) AS n, min((doc_id, line_no)) AS first,
          translate(line, 'äöüßáéíóúñèêàçâîôûïëùœÄÖÜÁÉÍÓÚÑÈÊÀÇ', '0123456789#$%&@^~|=+*!;:<>?/(){}[') AS code,
          [length(replace(line, x, '')) FOR x IN ['e', 'n', 't', 'a', 'o', 'i', 'r', ' ']] AS r
-  FROM l WHERE length(line) >= 30 GROUP BY line
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') OR length(line) >= 30 GROUP BY line
 ), p AS (
   SELECT a.line, min(b.first) AS earliest FROM d a, (VALUES (-2), (-1), (0), (1), (2)) v(k), d b
-  WHERE b.n = a.n + k AND a.line <> b.line AND
+  WHERE a.n >= 30 AND b.n >= 30 AND b.n = a.n + k AND a.line <> b.line AND
     CASE WHEN abs(a.r[1] - b.r[1]) > 4 OR abs(a.r[2] - b.r[2]) > 4 OR abs(a.r[3] - b.r[3]) > 4 OR abs(a.r[4] - b.r[4]) > 4
            OR abs(a.r[5] - b.r[5]) > 4 OR abs(a.r[6] - b.r[6]) > 4 OR abs(a.r[7] - b.r[7]) > 4 OR abs(a.r[8] - b.r[8]) > 4
          THEN false ELSE levenshtein(a.code, b.code) <= 2 END
@@ -263,8 +273,4 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
 FROM o GROUP BY doc_id
 """
 }
-ORACLES["op10_line_dedup_short"] = (
-    ORACLES["op10_line_dedup"]
-    .replace("WHERE length(line) >= 30", r"WHERE length(line) >= 30 OR regexp_matches(line, '[^\x20\x09-\x0D]')")
-    .replace("WHERE b.n = a.n + k", "WHERE a.n >= 30 AND b.n >= 30 AND b.n = a.n + k")
-)
+ORACLES["op10_line_dedup_short"] = ORACLES["op10_line_dedup"]

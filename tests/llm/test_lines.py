@@ -49,7 +49,7 @@ def brute(docs, threshold, least):
     for i, n, line in every:
         own = out.setdefault(i, [0, []])
         own[0] += 1
-        if len(line) >= least and early[line] < (i, n):
+        if line.strip(" \t\n\v\f\r") and early.get(line, first[line]) < (i, n):
             own[1].append(n)
     return {i: (n, sorted(r)) for i, (n, r) in out.items()}
 
@@ -73,15 +73,36 @@ def test_against_brute_force(spark):
         docs.append((i, "\n".join(own)))
     docs += [(100, None), (101, ""), (102, "\n\n"), (103, base[0] + "\n" + base[0])]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for threshold, least in ((2, 8), (1, 8), (2, 10)):
+    for threshold, least in ((2, 8), (1, 8), (2, 10), (3, 12)):
         assert found(L.removals(df, threshold, least)) == brute(docs, threshold, least)
 
 
+def test_split_keys_against_brute_force(spark):
+    """Families that share most of a line, with each key split by what is left."""
+    rng = random.Random(6)
+    stems = ["the same words begin each of these lines", "and others end here, as they all do"]
+    lines = set()
+    for _ in range(260):
+        middle = "".join(rng.choice("01") for _ in range(rng.randint(5, 7)))
+        s = list(rng.choice([stems[0] + middle, middle + stems[1], stems[0][:20] + middle + stems[1][-17:], middle * 3]))
+        if rng.random() < 0.3:
+            s[rng.randrange(len(s))] = rng.choice(["", "x", "yz"])
+        lines.add("".join(s)[:60])
+    kept = sorted(x for x in lines if len(x) >= 8)
+    df = spark.createDataFrame([(k, x, len(x)) for k, x in enumerate(kept)], "id long, line string, n int")
+    for threshold in (1, 2, 3):
+        want = {(a, b) for a in range(len(kept)) for b in range(len(kept)) if a != b and 0 <= len(kept[a]) - len(kept[b]) <= threshold}
+        want = {(a, b) for a, b in want if distance(kept[a], kept[b]) <= threshold and (len(kept[a]) > len(kept[b]) or a < b)}
+        for hot in (500, 2):
+            assert {(r.a, r.b) for r in L.edit_links(df, threshold, hot).collect()} == want, (threshold, hot)
+        assert len(want) > 50
+
+
 def test_texts_and_empty_table(spark, odd, none):
     line = "a line of thirty characters or more, certainly"
     df = spark.createDataFrame([(1, f"{line}\nshort", 5), (2, f"x\n{line}!\nshort", 6)], "doc_id long, text string, removed int")
     got = {r.doc_id: (r.text, r.removed) for r in L.dedup_lines(df).collect()}
-    assert got == {1: (f"{line}\nshort", 5), 2: ("x\nshort", 6)}
+    assert got == {1: (f"{line}\nshort", 5), 2: ("x", 6)}
     assert found(L.removals(none)) == {}
     assert {r.doc_id: r.n_lines for r in L.removals(odd).collect()}[5] == 2
 
@@ -95,7 +116,14 @@ def test_equal_lines_of_every_length(spark, sf):
     assert found(L.removals(df, every=True)) == {1: (5, [4]), 2: (6, [1, 2]), 3: (1, [])}
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
-    want = con.sql(L.ORACLES["op10_line_dedup_short"]).fetchall()
-    got = L.op10_line_dedup_short(spark, sf).select("doc_id", "n_lines", "n_removed", "removed").collect()
+    want = con.sql(L.ORACLES["op10_line_dedup"]).fetchall()
+    got = L.op10_line_dedup(spark, sf).select("doc_id", "n_lines", "n_removed", "removed").collect()
     assert sorted(map(tuple, got)) == sorted(want)
-    assert sum(r[2] for r in want) > sum(r[2] for r in con.sql(L.ORACLES["op10_line_dedup"]).fetchall())
+    assert sum(r[2] for r in want) > sum(len(r.removed) for r in L.removals(spark.read.parquet(f"{sf}/documents.parquet"), every=False).collect())
+
+
+def test_lines_without_segments_are_refused(none):
+    import pytest
+
+    with pytest.raises(ValueError):
+        L.removals(none, min_chars=7)
