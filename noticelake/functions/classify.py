@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalars import let
+
 #: Keyword weights of each direction, in order of precedence on ties.
 KEYWORDS = {
     "construction": {
@@ -36,8 +38,8 @@ SUFFIXES = ("s", "es", "ed", "ing", "ings", "ion", "ions", "or", "ors", "er", "e
 METHODS = ("QCBS", "QBS", "CQS", "LCS", "FBS", "INDV", "SSS")
 GROUPS = {"CS": "consulting", "GO": "supply", "CW": "construction", "NC": "services"}
 DECIDES = {"CS": "consulting", "GO": "supply", "CW": "construction"}
-FIRM_METHODS, OPEN_METHODS = ("CQS", "QCBS", "QBS", "LCS", "FBS"), ("CDS", "DIR", "UN", "NPO")
-FULL = 18
+FIRM_METHODS = ("CQS", "QCBS", "QBS", "LCS", "FBS")
+FULL = 18  # fixed value: weight from which a score is not damped
 
 
 def folded(text: Column) -> Column:
@@ -60,21 +62,25 @@ def category(title: Column, body: Column, method: Column, group: Column, most_bo
     Method and group codes add 8 and 6.  A group that decides settles a dispute among the three
     directions that groups name.  Confidence is the share of all weight, damped below 18.
     """
-    head, rest = folded(title), F.substring(folded(body), 1, most_body)
-    m, g = F.upper(F.trim(F.coalesce(method, F.lit("")))), F.upper(F.trim(F.coalesce(group, F.lit(""))))
-    scores = []
-    for k, (name, words) in enumerate(KEYWORDS.items()):
-        hits = [F.when(has_keyword(w, head), 2 * n).when(has_keyword(w, rest), n).otherwise(0) for w, n in words.items()]
-        if name == "consulting":
-            hits.append(F.when(m.isin(*METHODS), 8).otherwise(0))
-        hits += [F.when(g == code, 6).otherwise(0) for code, to in GROUPS.items() if to == name]
-        scores.append(F.struct(reduce(lambda a, b: a + b, hits).alias("score"), F.lit(-k).alias("place"), F.lit(name).alias("name")))
-    ranked = F.filter(F.sort_array(F.array(*scores), asc=False), lambda s: s["score"] > 0)
-
-    def settle(r: Column) -> Column:
-        decided = F.create_map(*[F.lit(x) for p in DECIDES.items() for x in p])[g]
-        winner = F.get(r, F.lit(0))["name"]
-        name = F.when(decided.isNotNull() & winner.isin(*DECIDES.values()), decided).otherwise(winner)
+    sides = F.struct(
+        folded(title).alias("head"), F.substring(folded(body), 1, most_body).alias("rest"),
+        F.upper(F.trim(F.coalesce(method, F.lit("")))).alias("m"), F.upper(F.trim(F.coalesce(group, F.lit("")))).alias("g"),
+    )
+
+    def scores(x: Column) -> Column:
+        found = []
+        for k, (name, words) in enumerate(KEYWORDS.items()):
+            hits = [F.when(has_keyword(w, x["head"]), 2 * n).when(has_keyword(w, x["rest"]), n).otherwise(0) for w, n in words.items()]
+            if name == "consulting":
+                hits.append(F.when(x["m"].isin(*METHODS), 8).otherwise(0))
+            hits += [F.when(x["g"] == code, 6).otherwise(0) for code, to in GROUPS.items() if to == name]
+            found.append(F.struct(reduce(lambda a, b: a + b, hits).alias("score"), F.lit(-k).alias("place"), F.lit(name).alias("name")))
+        decided = F.coalesce(F.create_map(*[F.lit(v) for p in DECIDES.items() for v in p])[x["g"]], F.lit(""))
+        return F.struct(F.filter(F.sort_array(F.array(*found), asc=False), lambda s: s["score"] > 0).alias("r"), decided.alias("decided"))
+
+    def settle(x: Column) -> Column:
+        r, winner = x["r"], F.get(x["r"], F.lit(0))["name"]
+        name = F.when((x["decided"] != "") & winner.isin(*DECIDES.values()), x["decided"]).otherwise(winner)
         best = F.coalesce(F.get(F.filter(r, lambda s: s["name"] == name), F.lit(0))["score"], F.lit(0))
         total = F.aggregate(r, F.lit(0), lambda a, s: a + s["score"])
         sure = F.round(F.try_divide(best, total) * F.least(F.lit(1.0), best / FULL), 3)
@@ -82,7 +88,8 @@ def category(title: Column, body: Column, method: Column, group: Column, most_bo
             F.coalesce(name, F.lit("unknown")).alias("category"), F.coalesce(sure, F.lit(0.0)).alias("confidence"), F.get(r, F.lit(1))["name"].alias("runner_up")
         )
 
-    return F.get(F.transform(F.array(ranked), settle), F.lit(0))
+    # the texts are folded once, and the scores added up once
+    return let(let(sides, scores), settle)
 
 
 def category_sql(title: str, body: str, group: str) -> str:
@@ -113,18 +120,59 @@ def audience(direction: Column, code: Column, name: Column) -> Column:
     )
 
 
-#: Word sets of the question router.
-DEEP = ("compare", "comparison", "evaluate", "evaluation", "assess", "assessment", "analyse", "analyze", "analysis", "eligibility", "eligible", "qualify", "qualifies", "risk", "risks", "why", "difference", "differences", "trend", "trends", "recommend", "recommendation", "implication", "implications", "range", "typical", "typically", "average", "summarise", "summarize")
-FAST = ("contact", "email", "phone", "telephone", "address", "deadline", "closing", "date", "when", "who", "where", "country", "reference", "id", "title", "name", "language", "currency")
+#: Words of the question router in three languages, and words above which a question is long.
+DEEP = (
+    "compare", "comparison", "evaluate", "evaluation", "assess", "assessment", "analyse", "analyze", "analysis", "eligibility", "eligible", "qualify", "qualifies",
+    "risk", "risks", "why", "difference", "differences", "trend", "trends", "recommend", "recommendation", "implication", "implications", "range", "typical",
+    "typically", "average", "summarise", "summarize",
+    "taqqosla", "taqqoslang", "solishtir", "solishtiring", "baho", "baholang", "tahlil", "xavf", "xavflar", "nega", "nima uchun", "farq", "farqi", "tavsiya", "odatda",
+    "oʻrtacha", "ortacha", "muvofiq", "mos",
+    "сравнить", "сравните", "сравнение", "оценить", "оцените", "оценка", "анализ", "проанализировать", "проанализируйте", "риск", "риски", "почему", "разница",
+    "различия", "рекомендация", "порекомендуйте", "обычно", "средний", "соответствует", "соответствие", "диапазон",
+)
+FAST = (
+    "contact", "email", "e-mail", "phone", "telephone", "address", "deadline", "closing", "date", "when", "who", "where", "country", "reference", "id", "title", "name",
+    "language", "currency",
+    "aloqa", "pochta", "email", "telefon", "manzil", "muddat", "muddati", "sana", "qachon", "kim", "kimning", "qayerda", "davlat", "raqam", "nomi",
+    "контакт", "почта", "электронная", "телефон", "адрес", "срок", "дедлайн", "дата", "когда", "кто", "где", "страна", "номер", "название",
+)
 LONG_QUESTION = 25
 
 
-def route(question: Column, deep: tuple[str, ...] = DEEP, fast: tuple[str, ...] = FAST) -> Column:
-    """struct<tier, reason>: long or analytic questions go deep, plain look-ups fast, all others deep."""
+def route(question: Column, scoped: Column | None = None, history: Column | None = None, deep: tuple[str, ...] = DEEP, fast: tuple[str, ...] = FAST) -> Column:
+    """struct<tier, reason>: which tier answers a question, and the rule that said so.
+
+    Analytic words win, then length.  A look-up word goes fast only where the question is ``scoped`` to one
+    notice, as without one it reads across many; so does the opener of a scoped thread (``history`` 0).
+    All else goes deep.  Words are whole and folded; forms are listed, not stemmed.
+    """
+    scope = F.coalesce(scoped, F.lit(False)) if scoped is not None else F.lit(False)
+    turns = F.coalesce(history, F.lit(0)) if history is not None else F.lit(0)
     words = F.regexp_extract_all(F.lower(F.coalesce(question, F.lit(""))), F.lit(r"(?U)([^\W_]+)"), F.lit(1))
-    of = lambda names: F.arrays_overlap(words, F.array(*[F.lit(w) for w in names]))
-    reason = F.when(of(deep), "analysis").when(F.size(words) > LONG_QUESTION, "long").when(of(fast), "lookup").otherwise("default")
-    return F.struct(F.when(reason == "lookup", "fast").otherwise("deep").alias("tier"), reason.alias("reason"))
+
+    def reason(w: Column) -> Column:
+        of = lambda names: F.arrays_overlap(w, F.array(*[F.lit(x) for x in dict.fromkeys(names)]))
+        return (
+            F.when(of(deep), "analysis:word").when(F.size(w) > LONG_QUESTION, "analysis:length")
+            .when(of(fast), F.when(scope, "lookup:word").otherwise("analysis:unscoped"))
+            .when(scope & (turns == 0), "lookup:scoped_opener").otherwise("analysis:default")
+        )
+
+    return let(let(words, reason), lambda r: F.struct(F.when(r.startswith("lookup"), "fast").otherwise("deep").alias("tier"), r.alias("reason")))
+
+
+#: Fixed value: language that is worth a reading for requirements; wider than the families below on purpose.
+REQUIREMENT_LANGUAGE = (
+    r"(?i)qualif|eligib|shall|must|required|requirement|minimum|at least|not less than|no less than|turnover|liquid asset|bid security|net worth|cash[-\s]?flow|certif|"
+    r"licen[cs]|registration|accredit|experien|personnel|audited|financial statement|capabilit|capacit"
+)
+#: What tells that a sentence is about a key that rules read.
+KEY_TOPICS = {
+    "annual_turnover_avg": r"(?i)annual\s+(?:\w+\s+)?turnover",
+    "liquid_assets": r"(?i)liquid assets|cash[-\s]?flow requirement",
+    "similar_contracts_count": r"(?is)(?:participation|experience)\b.{0,200}?\bcontracts?\b|similar\s+(?:contracts?|nature)",
+    "bid_security": r"(?i)bid security|bid[-\s]securing declaration",
+}
 
 
 def marker_score(text: Column, families: dict[str, str]) -> Column:
@@ -132,17 +180,42 @@ def marker_score(text: Column, families: dict[str, str]) -> Column:
     return reduce(lambda a, b: a + b, [text.rlike(p).cast("int") for p in families.values()])
 
 
-#: Families of requirement language.
+#: Families of requirement language, each with its Russian form.
 MARKERS = {
     "qualification": r"(?iu)qualificat|квалификац",
-    "eligibility": r"(?iu)eligib|критери\w*\s+отбора|соответстви\w+\s+требовани",
+    "eligibility": r"(?iu)eligib|критери[\p{L}\d_]*\s+отбора|соответстви[\p{L}\d_]+\s+требовани",
     "threshold": r"(?iu)\bat least\b|\bminimum\b|\bnot? less than\b|\bno fewer than\b|не\s+менее|как\s+минимум|не\s+ниже",
-    "obligation": r"(?iu)\b(?:shall|should|must)\s+(?:have|hold|possess|demonstrate|provide)\b|\brequirements?\b",
-    "financial": r"(?iu)turnover|liquid assets|financial (?:capacity|standing|capability)|audited (?:financial|accounts)|net worth",
-    "credential": r"(?iu)\biso\s*\d|certificat|accredit|licen[cs]e|registration\s+(?:with|as)",
-    "shortlist": r"(?iu)short-?list",
+    "experience_years": (
+        r"(?iu)\b\d{1,2}\+?\s*(?:\(\d{1,2}\)\s*)?years?\b|years?\s+of\s+(?:[\p{L}\d_]+\s+){0,2}experience"
+        r"|\b\d{1,2}\s*(?:лет|год[аеу]?)(?![\p{L}\d_])|опыт[\p{L}\d_]*\s+работы|стаж[\p{L}\d_]*"
+    ),
+    "obligation": (
+        r"(?iu)\b(?:shall|should|must)\s+(?:have|hold|possess|demonstrate|provide)\b|\brequirements?\b"
+        r"|долж[\p{L}\d_]+\s+(?:иметь|обладать|располагать|владеть)|требовани[\p{L}\d_]+"
+    ),
+    "key_experts": (
+        r"(?iu)key\s+experts?|key\s+staff|team\s+leader|proposed\s+(?:staff|personnel|experts?)"
+        r"|ключев[\p{L}\d_]+\s+эксперт|руководител[\p{L}\d_]+\s+групп|состав[\p{L}\d_]*\s+специалист"
+    ),
+    "education": (
+        r"(?iu)(?:master|bachelor|university|advanced|postgraduate)'?s?\s+degree|\bph\.?\s?d\b|\bm\.?sc\b|\bb\.?sc\b"
+        r"|высш[\p{L}\d_]+\s+образовани|степен[\p{L}\d_]+\s+(?:магистра|бакалавра)|диплом[\p{L}\d_]*"
+    ),
+    "financial": (
+        r"(?iu)turnover|liquid assets|financial (?:capacity|standing|capability)|audited (?:financial|accounts)|net worth"
+        r"|годов[\p{L}\d_]+\s+оборот|финансов[\p{L}\d_]+\s+(?:состояни|устойчивост|отчетност)"
+    ),
+    "credential": r"(?iu)\biso\s*\d|certificat|accredit|licen[cs]e|registration\s+(?:with|as)|сертифика[\p{L}\d_]*|лицензи[\p{L}\d_]*|аккредит[\p{L}\d_]*",
+    "shortlist": r"(?iu)short-?list|(?:корот|крат)к[\p{L}\d_]+\s+список",
 }
 
+
+def marker_sql(text: str) -> str:
+    """The same count for DuckDB, whose letters fold beyond ASCII without a flag; a look-ahead is a border there."""
+    clean = lambda p: p.replace("(?iu)", "(?i)").replace(r"(?![\p{L}\d_])", r"(?:[^\p{L}\d_]|$)").replace("'", "''")
+    return " + ".join(f"regexp_matches({text}, '{clean(p)}')::INT" for p in MARKERS.values())
+
+
 #: Sub-directions of consulting, with the weight of each phrase.
 SUBDIRECTIONS = {
     "engineering": {
@@ -201,14 +274,17 @@ def subdirection(direction: Column, title: Column, body: Column, most_body: int
     sub-direction is ``other``.
     """
     plain = lambda c: folded(F.replace(F.replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), *ACCENTS), F.lit("œ"), F.lit("oe")), F.lit("æ"), F.lit("ae")))
-    head, rest = plain(title), F.substring(plain(body), 1, most_body)
-    scores = []
-    for k, (name, words) in enumerate(SUBDIRECTIONS.items()):
-        hits = []
-        for w, n in words.items():
-            in_body = F.when(F.contains(rest, F.lit(w)), n).otherwise(0) if " " in w else F.lit(0)
-            hits.append(F.when(has_keyword(w, head), 2 * n).otherwise(in_body))
-        scores.append(F.struct(reduce(lambda a, b: a + b, hits).alias("score"), F.lit(-k).alias("place"), F.lit(name).alias("name")))
+    sides = F.struct(plain(title).alias("head"), F.substring(plain(body), 1, most_body).alias("rest"))
+
+    def scores(x: Column) -> Column:
+        found = []
+        for k, (name, words) in enumerate(SUBDIRECTIONS.items()):
+            hits = []
+            for w, n in words.items():
+                in_body = F.when(F.contains(x["rest"], F.lit(w)), n).otherwise(0) if " " in w else F.lit(0)
+                hits.append(F.when(has_keyword(w, x["head"]), 2 * n).otherwise(in_body))
+            found.append(F.struct(reduce(lambda a, b: a + b, hits).alias("score"), F.lit(-k).alias("place"), F.lit(name).alias("name")))
+        return F.array(*found)
 
     def settle(all_scores: Column) -> Column:
         best = F.array_max(all_scores)
@@ -216,6 +292,6 @@ def subdirection(direction: Column, title: Column, body: Column, most_body: int
         sure = F.coalesce(F.round(F.try_divide(best["score"], total) * F.least(F.lit(1.0), best["score"] / SUB_FULL), 3), F.lit(0.0))
         return F.struct(F.when(sure < SUB_FLOOR, "other").otherwise(best["name"]).alias("sub"), sure.alias("confidence"))
 
-    found = F.get(F.transform(F.array(F.array(*scores)), settle), F.lit(0))
+    found = let(let(sides, scores), settle)
     none = F.struct(F.lit("").alias("sub"), F.lit(0.0).alias("confidence"))
     return F.when(direction == "consulting", found).otherwise(none)

@@ -151,6 +151,44 @@ def missing_inputs(node: dict) -> list[tuple[str, str]]:
     return list(dict.fromkeys(found))
 
 
+def explain(node: dict, scalars: str = "scalars", collections: str = "collections") -> Column:
+    """array<string>: a line for each node of the tree with its verdict, indented by depth."""
+
+    def lines(n: dict, depth: int) -> list[Column]:
+        verdict = compile_node(n, scalars, collections)
+        word = F.when(verdict, "SATISFIED").when(~verdict, "FAILED").otherwise("UNKNOWN")
+        below = [n["child"]] if n["kind"] == "not" else n.get("children", [])
+        text = {"all": "all of", "any": "any of", "not": "not"}.get(n["kind"]) or describe(n)
+        return [F.concat(F.lit("  " * depth + "["), word, F.lit(f"] {text}")), *[x for c in below for x in lines(c, depth + 1)]]
+
+    return F.array(*lines(node, 0))
+
+
+def absent(node: dict, scalars: str = "scalars", collections: str = "collections") -> Column:
+    """array<string>: the inputs of a tree that a profile lacks, in order of appearance: key, entity, or entity.field.
+
+    A field counts where some record of its entity lacks it.
+    """
+    missing = []
+    for kind, name in missing_inputs(node):
+        if kind == "scalar":
+            test = F.col(scalars)[name].isNull()
+        elif kind == "collection":
+            test = ~F.map_contains_key(F.col(collections), name)
+        else:
+            entity, field = name.split(".", 1)
+            values = F.transform(F.col(collections)[entity], lambda r: r[field])  # noqa: B023
+            test = F.coalesce(F.exists(values, lambda v: v.isNull()), F.lit(False))
+        missing.append(F.when(test, F.lit(name)))
+    return F.filter(F.array(*missing), lambda x: x.isNotNull())
+
+
+def used(node: dict) -> tuple[set[str], set[str]]:
+    """Scalars and entities that a tree names."""
+    names = missing_inputs(node)
+    return {n for k, n in names if k == "scalar"}, {n for k, n in names if k == "collection"}
+
+
 def combine(members: DataFrame, bid: str) -> DataFrame:
     """A joint venture's profile: numeric scalars add up, others go, collections join."""
     flat = members.select(bid, F.explode("scalars").alias("k", "v")).withColumn("n", number(F.col("v"))).where("n IS NOT NULL")
@@ -170,7 +208,13 @@ def evaluate(members: DataFrame, bid: str, lead: str, node: dict, mode: str) ->
     if mode not in MODES:
         raise ExpressionError(f"unknown mode {mode!r}")
     if mode == "jv_combined":
-        return combine(members, bid).select(bid, compile_node(node).alias("verdict"))
+        # only what the tree names is gathered
+        keys, entities = (sorted(x) for x in used(node))
+        named = members.select(
+            bid, F.map_filter("scalars", lambda k, v: k.isin(*keys) if keys else F.lit(False)).alias("scalars"),
+            F.map_filter("collections", lambda k, v: k.isin(*entities) if entities else F.lit(False)).alias("collections"),
+        )
+        return combine(named, bid).select(bid, compile_node(node).alias("verdict"))
     each = members.select(bid, lead, compile_node(node).alias("v"))
     if mode == "single":
         return each.where(lead).select(bid, F.col("v").alias("verdict"))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean_str(value: Column, most: int = 255) -> Column:
     """Trimmed and cut; null and spelled-out nothing become the empty string."""
     v = F.trim(F.coalesce(value, F.lit("")))
@@ -78,10 +84,20 @@ def direct_url(url: Column) -> Column:
 
 
 def fetchable(url: Column) -> Column:
-    """A web address with a public-looking host; names that only resolve inside don't count."""
-    host = F.lower(F.regexp_extract(url, r"^(?i:https?)://([^/:?#]+)", 1))
-    private = host.rlike(r"^(localhost|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.|0\.)")
-    return (host != "") & F.contains(host, F.lit(".")) & ~private
+    """A web address with a public-looking host.
+
+    What stands before an at sign is no host.  Names without a dot, addresses of private, shared, local and
+    multicast networks, IPv6 literals, and numbers (decimal, octal, hexadecimal or short forms of an
+    address) don't count.
+    """
+    authority = F.lower(F.regexp_extract(F.trim(url), r"^(?i:https?)://([^/\\?#]+)", 1))
+    host = F.regexp_replace(F.regexp_replace(F.substring_index(authority, "@", -1), r":\d*$", ""), r"\.$", "")
+    private = host.rlike(
+        r"^(127|10|0)\.|^192\.168\.|^169\.254\.|^172\.(1[6-9]|2\d|3[01])\.|^100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|^(22[4-9]|2[3-5]\d)\.|(^|\.)localhost$|\.(local|internal)$"
+    )
+    numeric = host.rlike(r"^[0-9a-fx.]*$") & host.rlike(r"^(0x|\d)") & ~host.rlike(r"^([1-9]\d{0,2})(\.(0|[1-9]\d{0,2})){3}$")
+    odd = ~host.rlike(r"^[\p{L}\p{N}_.-]+$")
+    return F.coalesce((host != "") & F.contains(host, F.lit(".")) & ~private & ~numeric & ~odd, F.lit(False))
 
 
 def slug(name: Column) -> Column:
@@ -159,8 +175,91 @@ def labelled(columns: list[Column]) -> Column:
     return reduce(lambda a, b: F.coalesce(a, b), [F.nullif(F.trim(c), F.lit("")) for c in columns])
 
 
+#: Fixed value: the namespace of passage ids.
+POINTS = uuid.uuid5(uuid.NAMESPACE_URL, "passages")
+
+
 def point_id(source_key: Column, position: Column) -> Column:
-    """A stable id of a passage, in the shape of a UUID."""
-    h = F.sha2(F.concat_ws("|", source_key, position), 256)
-    cut = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
-    return F.concat_ws("-", *[F.substring(h, a, n) for a, n in cut])
+    """A stable id of a passage: the version-5 UUID of its source and position; the same on every run."""
+    h = F.sha1(F.concat(F.unhex(F.lit(POINTS.hex)), F.encode(F.concat_ws("|", source_key, position), "UTF-8")))
+    kind = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8).cast("long")))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(kind, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+#: Host and paths of personal profiles.
+PROFILE_HOST, PROFILE_PATHS = "linkedin.com", ("in", "pub")
+
+
+def profile_url(raw: Column) -> Column:
+    """struct<url, problem>: the one form of a personal profile link; empty for empty.
+
+    A missing scheme is added, only prefix and slug stay, in lower case.  A host with user details or of
+    another site, and a path that names no person, are problems.
+    """
+    text = F.trim(F.coalesce(raw, F.lit("")))
+    whole = F.when(F.contains(text, F.lit("://")), text).otherwise(F.concat(F.lit("https://"), text))
+    authority = F.lower(F.regexp_extract(whole, r"^[^:]*://([^/?#]*)", 1))
+    host = F.substring_index(authority, ":", 1)
+    parts = F.filter(F.split(F.regexp_extract(whole, r"^[^:]*://[^/?#]*([^?#]*)", 1), "/"), lambda p: p != "")
+    prefix, slug_ = F.lower(F.get(parts, F.lit(0))), F.lower(F.get(parts, F.lit(1)))
+    problem = (
+        F.when(text == "", "").when(F.contains(authority, F.lit("@")), "address").when((host != PROFILE_HOST) & ~host.endswith(f".{PROFILE_HOST}"), "host")
+        .when(slug_.isNull() | ~prefix.isin(*PROFILE_PATHS), "person").otherwise("")
+    )
+    url = F.when((problem == "") & (text != ""), F.concat(F.lit(f"https://www.{PROFILE_HOST}/"), prefix, F.lit("/"), slug_)).otherwise("")
+    return F.struct(url.alias("url"), problem.alias("problem"))
+
+
+def author_url(name: Column, base: str) -> Column:
+    """The author page of a name: initial of the first name, first and last name; empty for one word.
+
+    Words keep their letters a-z; single letters don't count.
+    """
+    parts = F.transform(F.split(F.trim(F.coalesce(name, F.lit(""))), r"[\s,]+"), lambda p: F.regexp_replace(F.lower(p), "[^a-z]", ""))
+    words = F.filter(parts, lambda w: F.length(w) > 1)
+    first, last = F.get(words, F.lit(0)), F.get(words, F.size(words) - 1)
+    return F.when(F.size(words) >= 2, F.concat(F.lit(f"{base}/"), F.substring(first, 1, 1), F.lit("/"), first, F.lit("-"), last)).otherwise("")
+
+
+def names_of(items: Column) -> Column:
+    """array<string> of a JSON list of objects with ``Name`` or ``name``, or of plain values; blanks go, anything else is empty."""
+    each = F.from_json(items, "array<string>")
+    name = lambda x: F.coalesce(F.nullif(F.get_json_object(x, "$.Name"), F.lit("")), F.get_json_object(x, "$.name"), F.when(~x.startswith("{"), x))
+    return F.filter(F.transform(F.coalesce(each, F.array().cast("array<string>")), lambda x: clean_str(name(x), 10_000)), lambda n: n != "")
+
+
+def json_list(raw: Column) -> Column:
+    """array<string> of a JSON list; empty for null, bad JSON and anything that is no list."""
+    return F.filter(F.coalesce(F.from_json(raw, "array<string>"), F.array().cast("array<string>")), lambda x: x.isNotNull())
+
+
+def draft_value(raw: Column) -> Column:
+    """struct<kind, value> of what a person typed: boolean, number, text, or nothing.
+
+    Separators of thousands go from numbers; yes and no are booleans.
+    """
+    v = F.trim(F.coalesce(raw, F.lit("")))
+    plain = F.regexp_replace(v, r"(?<=\d)[, \u00a0](?=\d{3}(\D|$))", "")
+    low = F.lower(v)
+    kind = F.when(v == "", "none").when(low.isin("true", "false", "yes", "no"), "boolean").when(plain.rlike(r"^[+-]?\d+(\.\d+)?$"), "number").otherwise("text")
+    value = F.when(kind == "boolean", F.when(low.isin("true", "yes"), "true").otherwise("false")).when(kind == "number", plain).when(kind == "text", v)
+    return F.struct(kind.alias("kind"), value.alias("value"))
+
+
+def report_number(title: Column) -> Column:
+    """A report number such as ESRSA02670 in a title, in upper case; empty without one."""
+    return F.upper(F.regexp_extract(F.coalesce(title, F.lit("")), r"(?i)\b(ESRS[A-Z]?\d{3,})\b", 1))
+
+
+def message(catalogue: dict[str, dict[str, str]], code: Column, language: Column, params: Column, default: str = "en") -> Column:
+    """A message of a catalogue (code -> language -> template) with ``{name}`` filled from a map column.
+
+    A missing language falls back to the default, an unknown code is null, and a placeholder without a
+    value leaves the template as it is.
+    """
+    flat = [F.lit(x) for code_, texts in catalogue.items() for lang, t in texts.items() for x in (f"{code_}|{lang}", t)]
+    table = F.create_map(*flat)
+    template = F.coalesce(table[F.concat(code, F.lit("|"), F.coalesce(language, F.lit(default)))], table[F.concat(code, F.lit(f"|{default}"))])
+    names = F.array_distinct(F.regexp_extract_all(template, F.lit(r"\{(\w+)\}"), F.lit(1)))
+    filled = F.aggregate(names, template, lambda t, n: F.replace(t, F.concat(F.lit("{"), n, F.lit("}")), params[n]))
+    return F.coalesce(filled, template)

@@ -121,6 +121,17 @@ def duplicates(points: DataFrame, others: DataFrame, similar: float, most: int)
     return points.select("vec_id").join(counted, F.col("vec_id") == F.col("qid"), "left").select("vec_id", F.coalesce("duplicates", F.lit(0)).alias("duplicates"))
 
 
+def due_for_neighbours(notices: DataFrame, before: Column, budget: int) -> DataFrame:
+    """Notices whose neighbours are computed next: id, tier.
+
+    ``notices``: id, fresh (just indexed), open, computed_at.  All fresh ones (tier 0), then of the open ones
+    without neighbours or with some from before ``before`` the oldest ``budget``, missing ones first.
+    """
+    fresh = notices.where("fresh").select("id", F.lit(0).alias("tier"))
+    stale = notices.where(~F.col("fresh") & F.col("open") & (F.col("computed_at").isNull() | (F.col("computed_at") < before)))
+    return fresh.union(stale.orderBy(F.asc_nulls_first("computed_at"), "id").limit(budget).select("id", F.lit(1).alias("tier")))
+
+
 #: Words of a title that say nothing of its topic, and duplicates from which a passage is boilerplate.
 TITLE_STOPWORDS = (
     "the of and for in to a an on at by with procurement supply services service works work contract "

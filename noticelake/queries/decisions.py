@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..operators import aggregates as A
 from ..registry import query, table
+from ..session import stored
 
 TURNOVER = {"kind": "scalar", "key": "acctbal", "op": ">=", "value": 5000}
 CONTRACTS = {"kind": "count", "entity": "orders", "op": ">=", "value": 3, "where": [{"field": "price", "op": ">=", "value": 150000}, {"field": "year", "op": ">=", "value": 1997}]}
@@ -76,7 +77,7 @@ def jv_modes(spark, sf):
     from pyspark.sql import Window
 
     first = F.col("c_custkey") == F.min("c_custkey").over(Window.partitionBy("c_nationkey"))
-    m = profiles(spark, sf).select(F.col("c_nationkey").alias("bid"), first.alias("lead"), "scalars", "collections")
+    m = stored(profiles(spark, sf).select(F.col("c_nationkey").alias("bid"), first.alias("lead"), "scalars", "collections"), "bidders")
     found = None
     for mode, name in zip(X.MODES, ("single", "combined", "every", "some"), strict=True):
         one = X.evaluate(m, "bid", "lead", TURNOVER, mode).withColumnRenamed("verdict", name)
@@ -84,6 +85,31 @@ def jv_modes(spark, sf):
     return found
 
 
+@query(
+    "verdict_traces",
+    f"""WITH {_BASE}, t AS (SELECT c_custkey, contracts, turnover, any_closed, c_mktsegment = 'BUILDING' AS building FROM v),
+    w AS (SELECT c_custkey, contracts AS a, turnover AS b, any_closed AS c, building AS d, turnover OR any_closed AS o, NOT building AS n, contracts AND (turnover OR any_closed) AND NOT building AS r FROM t)
+    SELECT c_custkey, '[' || coalesce(CASE WHEN r THEN 'SATISFIED' WHEN NOT r THEN 'FAILED' END, 'UNKNOWN') || '] all of' || chr(10) || '  [' || coalesce(CASE WHEN a THEN 'SATISFIED' WHEN NOT a THEN 'FAILED' END, 'UNKNOWN')
+    || '] count of orders >= 3 where price >= 150 000 and year >= 1997' || chr(10) || '  [' || coalesce(CASE WHEN o THEN 'SATISFIED' WHEN NOT o THEN 'FAILED' END, 'UNKNOWN') || '] any of' || chr(10) || '    ['
+    || coalesce(CASE WHEN b THEN 'SATISFIED' WHEN NOT b THEN 'FAILED' END, 'UNKNOWN') || '] acctbal >= 5000' || chr(10) || '    [' || coalesce(CASE WHEN c THEN 'SATISFIED' WHEN NOT c THEN 'FAILED' END, 'UNKNOWN')
+    || '] some orders where status == F' || chr(10) || '  [' || coalesce(CASE WHEN n THEN 'SATISFIED' WHEN NOT n THEN 'FAILED' END, 'UNKNOWN') || '] not' || chr(10) || '    ['
+    || coalesce(CASE WHEN d THEN 'SATISFIED' WHEN NOT d THEN 'FAILED' END, 'UNKNOWN') || '] segment == BUILDING' AS explanation FROM w""",
+)
+def verdict_traces(spark, sf):
+    """E-07, F-27: the working behind each verdict as indented lines."""
+    return profiles(spark, sf).select("c_custkey", F.array_join(X.explain(TREE), "\n").alias("explanation"))
+
+
+@query(
+    "open_inputs",
+    f"""WITH {_BASE}, m AS (SELECT c_custkey AS k, bool_or(o_totalprice IS NOT NULL AND o_orderkey % 6 = 0) AS gap FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)
+    SELECT c_custkey, concat_ws(',', CASE WHEN NOT declared THEN 'orders' WHEN gap THEN 'orders.price' END, CASE WHEN bal IS NULL THEN 'acctbal' END) AS missing FROM v JOIN m ON k = c_custkey""",
+)
+def open_inputs(spark, sf):
+    """X-35: what a bidder could still declare."""
+    return profiles(spark, sf).select("c_custkey", F.array_join(X.absent(TREE), ",").alias("missing"))
+
+
 @query(
     "assessment",
     f"""WITH {_BASE}, r AS (SELECT c_custkey, 'turnover' AS k, turnover AS computed FROM v UNION ALL SELECT c_custkey, 'contracts', contracts FROM v UNION ALL SELECT c_custkey, 'closed', any_closed FROM v),

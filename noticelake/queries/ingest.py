@@ -11,6 +11,7 @@ from ..registry import query, table
 from ..session import scratch
 from ..sources import files as L
 from ..sources import paged
+from ..sources import records as R
 from ..streaming import incremental as I
 from ..streaming import windows as W
 
@@ -128,26 +129,54 @@ def stream_windows(spark, sf):
 
 @query("stream_upserts", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
 def stream_upserts(spark, sf):
-    """ST-01, ST-04, ST-13: a stream of changes applied to a table, resumable from its checkpoint."""
-    schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf}/[e]vents.parquet")
-    stream = stream.select("user_id", "event_id", F.struct("ts", "event_id").alias("order_key"), F.sha2(F.col("event_id").cast("string"), 256).alias("h"))
+    """ST-01, ST-04, ST-13: a stream of changes in three batches, the newest rows first, applied to a table."""
+    e = table(spark, sf, "events")
+    bounds = e.agg(F.min("ts").alias("a"), F.max("ts").alias("b"), (F.max("event_id") + 1).alias("n")).first()
     folder = scratch(spark, "upserts")
-    done = I.stream_upsert(stream, f"{folder}/table", "user_id", "h", "order_key", f"{folder}/checkpoint")
-    last = max((p["batchId"] for p in done.recentProgress if p["numInputRows"]), default=None)
+    part = F.floor(F.col("event_id") * 3 / F.lit(bounds["n"] or 1))
+    rows = e.select("user_id", "event_id", F.struct("ts", "event_id").alias("order_key"), F.sha2(F.col("event_id").cast("string"), 256).alias("h"))
+    for k in (2, 1, 0):  # each append is a batch; later ones hold older rows
+        rows.where(part == k).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        I.stream_upsert(stream, f"{folder}/table", "user_id", "h", "order_key", f"{folder}/checkpoint")
+    last = I.current_version(spark, f"{folder}/table")
     if last is None:
         return spark.createDataFrame([], "user_id long, event_id long")
-    return spark.read.parquet(f"{folder}/table/v{last}").select("user_id", "event_id")
+    return I.read_version(spark, f"{folder}/table", last).select("user_id", "event_id")
 
 
-@query("paged_records", "SELECT o_orderkey AS id, (o_orderkey // 500) * 500 AS page FROM orders WHERE o_orderkey // 500 <> 3")
+@query(
+    "paged_records",
+    """WITH p AS (SELECT *, (o_orderkey // 500) * 500 AS page FROM orders)
+    SELECT page, count(CASE WHEN page <> 1500 THEN 1 END) AS records, coalesce(sum(CASE WHEN page <> 1500 THEN o_orderkey END), 0)::BIGINT AS total, page = 1500 AS failed FROM p GROUP BY page""",
+)
 def paged_records(spark, sf):
-    """S-01, S-02, S-03: pages of landed JSON; a page that fails is an error row and no stop."""
+    """S-01 to S-03: landed pages read by offset as a service serves them; a page that fails is an error row and no stop."""
+    folder = scratch(spark, "pages")
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.floor(F.col("o_orderkey") / 500) * 500).alias("page"))
-    pages = o.groupBy("page").agg(F.to_json(F.struct(F.collect_list(F.struct("id")).alias("notices"))).alias("body"))
+    bodies = o.groupBy("page").agg(F.to_json(F.struct(F.collect_list(F.struct("id")).alias("notices"))).alias("body"))
     body = F.when(F.col("page") == 1500, F.lit('{"error": "limit"}')).otherwise(F.col("body"))
-    rows = pages.select("page", F.from_json(body, "notices array<struct<id:long>>, error string").alias("p"))
-    return rows.where("p.error IS NULL").select("page", F.explode("p.notices.id").alias("id"))
+    pages = bodies.select("page", body.alias("value"))
+    pages.write.partitionBy("page").text(folder)
+    most = pages.agg(F.max("page")).first()[0]
+    found = paged.read_pages(spark, landed(folder), (most or 0) + 500 if most is not None else 0, 500, "notices", 1)
+    record = F.from_json("record", "id long")["id"]
+    return found.groupBy(F.col("offset").alias("page")).agg(
+        F.count(record).alias("records"), F.coalesce(F.sum(record), F.lit(0)).alias("total"), F.max(F.col("error").isNotNull()).alias("failed")
+    )
+
+
+def landed(folder: str):
+    """A fetch function over pages that Spark wrote as text under ``page=<offset>``."""
+
+    def fetch(offset: int, rows: int) -> str:
+        from pyarrow import fs
+
+        where, place = fs.FileSystem.from_uri(f"{folder}/page={offset}")
+        parts = [x for x in where.get_file_info(fs.FileSelector(place)) if x.base_name.startswith("part-")]
+        return "".join(where.open_input_stream(x.path).read().decode() for x in parts)
+
+    return fetch
 
 
 def fetch_from(text: dict[int, str]):
@@ -155,7 +184,77 @@ def fetch_from(text: dict[int, str]):
     return lambda offset, rows: text.get(offset, json.dumps({"error": f"no page at {offset}"}))
 
 
-__all__ = ["fetch_from", "paged"]
+__all__ = ["fetch_from", "landed", "paged"]
+
+
+_CLEAN = "CASE WHEN lower(trim({c})) IN ('none', 'null', 'n/a') THEN '' ELSE trim({c}) END"
+
+
+@query(
+    "notice_records",
+    """SELECT 'OP' || o_orderkey AS notice_id, n_name AS country, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority END AS notice_type, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate::DATE END AS notice_date,
+    CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE timezone('UTC', timezone(coalesce(z, 'UTC'), o_orderdate::DATE::TIMESTAMP + to_minutes(CASE WHEN z IS NULL THEN 1439 WHEN o_orderkey % 3 = 0 THEN 1020 ELSE 1439 END))) END AS deadline_at,
+    '<p>' || o_orderstatus || '</p>' AS notice_text_sanitized
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (VALUES (1, 'Asia/Tashkent'), (2, 'Europe/Berlin')) zz(k, z) ON k = n_nationkey WHERE o_orderkey % 11 <> 0""",
+)
+def notice_records(spark, sf):
+    """F-05, M-03: irregular JSON records as typed notices; a record without an id goes."""
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    at = F.when(k % 2 == 0, F.date_format(d, "dd-MMM-yyyy")).otherwise(F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    record = F.to_json(
+        F.struct(
+            F.when(k % 11 != 0, F.concat(F.lit("OP"), k.cast("string"))).otherwise(" N/A ").alias("id"), F.when(k % 5 == 0, "none").otherwise(F.concat(F.lit("  "), "o_orderpriority")).alias("notice_type"),
+            F.when(k % 7 == 0, "soon").otherwise(at).alias("noticedate"), F.when(k % 4 != 0, F.date_format(d, "yyyy-MM-dd'T'00:00:00'Z'")).alias("submission_deadline_date"),
+            F.when(k % 3 == 0, "17:00").alias("submission_deadline_time"), F.col("n_name").alias("project_ctry_name"),
+            F.concat(F.lit("<p onclick=x()>"), "o_orderstatus", F.lit("</p><script>alert(1)</script>")).alias("notice_text"),
+        )
+    )
+    zones = {"NATION_1": "Asia/Tashkent", "NATION_2": "Europe/Berlin"}
+    found = R.map_notices(o.select(record.alias("record")), zones=zones)
+    return found.select("notice_id", "country", "notice_type", "notice_date", F.col("deadline_at").cast("timestamp_ntz").alias("deadline_at"), "notice_text_sanitized")
+
+
+@query(
+    "project_records",
+    """SELECT 'P' || s_suppkey AS project_id, s_name AS name, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE (s_suppkey * 1000)::DOUBLE END AS amount, n_name || ',Water' AS sectors, CASE WHEN s_suppkey % 2 = 0 THEN 'Roads' ELSE 'Towns' END AS themes
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+)
+def project_records(spark, sf):
+    """F-07, M-03: project records; lists of objects become lists of names."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    named = lambda n, key: F.struct(n.alias(key))
+    record = F.to_json(
+        F.struct(
+            F.concat(F.lit("P"), k.cast("string")).alias("id"), F.concat(F.col("s_name"), F.lit(" ")).alias("project_name"),
+            F.when(k % 4 != 0, F.concat(F.lit("$"), F.format_number(k * 1000, 0))).otherwise("n/a").alias("totalamt"),
+            F.array(named(F.col("n_name"), "Name"), named(F.lit("Water"), "Name"), named(F.lit(" "), "Name")).alias("sector"),
+            F.when(k % 2 == 0, F.array(F.lit("Roads"))).alias("theme"), F.array(named(F.lit("Towns"), "name")).alias("theme_list"),
+        )
+    )
+    p = R.map_projects(s.select(record.alias("record")))
+    return p.select("project_id", "name", F.col("total_amount_usd").cast("double").alias("amount"), F.array_join("sectors", ",").alias("sectors"), F.array_join("themes", ",").alias("themes"))
+
+
+@query(
+    "picked_reviews",
+    """WITH d AS (SELECT source AS project_id, 'g' || doc_id AS guid, CASE doc_id % 6 WHEN 0 THEN 'Appraisal Environmental and Social Review Summary (ESRS) - ESRSA' || lpad(doc_id::VARCHAR, 5, '0') WHEN 1 THEN 'Concept stage' ELSE 'Plan' END AS title,
+    CASE doc_id % 6 WHEN 1 THEN 'Environmental and Social Review Summary' ELSE 'Other' END AS kind, DATE '2020-01-01' + (doc_id % 300)::INTEGER AS doc_date FROM documents)
+    SELECT project_id, guid, doc_date, regexp_extract(title, 'ESRSA[0-9]+') AS report_no FROM d WHERE kind <> 'Other' OR title LIKE 'Appraisal%' QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY title LIKE 'Appraisal%' DESC, doc_date DESC, guid DESC) = 1""",
+)
+def picked_reviews(spark, sf):
+    """F-08, F-09, M-03: document records of projects, and the review summary of each."""
+    k = F.col("doc_id")
+    title = F.when(k % 6 == 0, F.concat(F.lit("Appraisal Environmental and Social Review Summary (ESRS) - esrsa"), F.lpad(k.cast("string"), 5, "0"))).when(k % 6 == 1, "Concept stage").otherwise("Plan")
+    record = F.to_json(
+        F.struct(
+            F.concat(F.lit("g"), k.cast("string")).alias("id"), title.alias("docna"), F.when(k % 6 == 1, "Environmental and Social Review Summary").otherwise("Other").alias("docty"),
+            F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (k % 300).cast("int")), "yyyy-MM-dd'T'00:00:00'Z'").alias("docdt"),
+        )
+    )
+    d = R.map_documents(table(spark, sf, "documents").select(F.col("source").alias("project_id"), record.alias("record")))
+    return R.pick_review(d).select("project_id", "guid", "doc_date", "report_no")
 
 
 @query("sniffed_pages", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'html' ELSE 'text' END AS kind, length(sha256(url)) AS digits FROM pages")
@@ -199,13 +298,19 @@ def jsonl_round_trip(spark, sf):
     return spark.read.schema("conv_id long, turn long, role string").json(path)
 
 
-@query("vector_upsert", "SELECT vec_id, CASE WHEN vec_id % 6 = 0 THEN -1 ELSE label END AS label FROM embeddings WHERE vec_id % 10 <> 9 OR vec_id % 6 = 0")
+@query(
+    "vector_upsert",
+    """SELECT vec_id, CASE WHEN vec_id % 6 = 0 THEN -1 ELSE label END AS label, len(embedding)::INTEGER AS width, round(CASE WHEN vec_id % 6 = 0 THEN -1 ELSE 1 END * embedding[1]::DOUBLE, 6) AS head
+    FROM embeddings WHERE vec_id % 10 <> 9 OR vec_id % 6 = 0""",
+)
 def vector_upsert(spark, sf):
-    """S-14, V-09, V-11: points replaced by key; a source's points deleted."""
-    e = table(spark, sf, "embeddings").select("vec_id", "label")
-    new = e.where("vec_id % 6 = 0").withColumn("label", F.lit(-1))
-    kept = e.where("vec_id % 10 <> 9").join(new, "vec_id", "left_anti")
-    return kept.union(new)
+    """S-14, V-09, V-11: points with their vectors replaced by key; a source's points deleted."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding", F.sha2(F.to_json(F.struct("label", "embedding")), 256).alias("h"))
+    turned = F.transform("embedding", lambda x: (-x).cast("float"))
+    new = e.where("vec_id % 6 = 0").withColumns({"label": F.lit(-1), "embedding": turned})
+    new = new.withColumn("h", F.sha2(F.to_json(F.struct("label", "embedding")), 256))
+    found = I.upsert(e.where("vec_id % 10 <> 9"), new, "vec_id", "h")
+    return found.select("vec_id", "label", F.size("embedding").alias("width"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("head"))
 
 
 @query("blob_names", "SELECT page_id, left(sha256(url), 2) || '/' || sha256(url) || '.pdf' AS name FROM pages")
@@ -217,7 +322,7 @@ def blob_names(spark, sf):
 
 @query(
     "upload_intake",
-    "WITH u AS (SELECT 'f' || page_id || CASE page_id % 3 WHEN 0 THEN '.exe' ELSE '.pdf' END AS path, CASE WHEN page_id % 10 = 1 THEN '' ELSE 'c' || page_id % 40 END AS c FROM pages) SELECT path, CASE WHEN ends_with(path, '.exe') THEN 'suffix' WHEN c = '' THEN 'empty' WHEN min(path) OVER (PARTITION BY c) <> path THEN 'repeated' END AS refusal FROM u",
+    "WITH u AS (SELECT 'f' || page_id || CASE page_id % 3 WHEN 0 THEN '.exe' ELSE '.pdf' END AS path, CASE WHEN page_id % 10 = 1 THEN '' ELSE 'c' || page_id % 40 END AS c FROM pages) SELECT path, CASE WHEN ends_with(path, '.exe') THEN 'suffix' WHEN c = '' THEN 'empty' WHEN min(path) FILTER (WHERE NOT ends_with(path, '.exe')) OVER (PARTITION BY c) <> path THEN 'repeated' END AS refusal FROM u",
 )
 def upload_intake(spark, sf):
     """S-17, M-43"""
@@ -269,11 +374,17 @@ def answer_normalisation(spark, sf):
     return e.select("event_id", n.alias("n"), F.when(F.col("event_type").isin("view", "click"), F.col("event_type")).otherwise("medium").alias("importance"))
 
 
-@query("document_states", "SELECT source, count(*) FILTER (WHERE n_chars >= 200) AS readable, count(*) FILTER (WHERE n_chars < 200) AS supplied, count(*) FILTER (WHERE n_chars >= 200) = 0 AS contact FROM documents GROUP BY source")
+@query(
+    "document_states",
+    "WITH d AS (SELECT source, length(trim(coalesce(text, ''))) >= 200 AS ok FROM documents) SELECT source, count(*) FILTER (WHERE ok) AS readable, count(*) FILTER (WHERE NOT ok) AS supplied, count(*) FILTER (WHERE ok) = 0 AS contact FROM d GROUP BY source",
+)
 def document_states(spark, sf):
-    """M-28, M-23"""
-    ok = F.count_if(F.col("n_chars") >= 200)
-    return table(spark, sf, "documents").groupBy("source").agg(ok.alias("readable"), F.count_if(F.col("n_chars") < 200).alias("supplied"), (ok == 0).alias("contact"))
+    """M-28, M-23: by the texts themselves."""
+    from ..functions.text import refusal
+
+    d = table(spark, sf, "documents").select("source", (refusal(F.col("text"), 200) == "").alias("ok"))
+    ok = F.count_if("ok")
+    return d.groupBy("source").agg(ok.alias("readable"), F.count_if(~F.col("ok")).alias("supplied"), (ok == 0).alias("contact"))
 
 
 @query("resanitise_report", "SELECT count(*) AS pages, 0::BIGINT AS changed_again FROM pages")

@@ -111,7 +111,8 @@ def representative_passages(spark, sf):
 def similar_awards(spark, sf):
     """J-17, V-08, W-03: neighbours of the stated queries, the best passage of each notice."""
     q = _queries(spark, sf)
-    joined = table(spark, sf, "embeddings").join(F.broadcast(q), F.col("label") == F.col("qlabel")).where("vec_id <> qid")
+    small = F.broadcast(q) if q.count() <= V.QUERIES_HELD else q  # beyond it the labels meet by shuffle
+    joined = table(spark, sf, "embeddings").join(small, F.col("label") == F.col("qlabel")).where("vec_id <> qid")
     scored = joined.select("qid", (F.col("vec_id") % 60).alias("notice"), V.cosine(F.col("embedding"), F.col("qvec")).alias("score"))
     best = scored.groupBy("qid", "notice").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "notice")) - 1
@@ -186,3 +187,97 @@ def open_digest(spark, sf):
     o = table(spark, sf, "orders").where("o_orderdate >= TIMESTAMP_NTZ '2001-07-01'")
     first = o.orderBy("o_orderdate", "o_orderkey").limit(8).agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))).alias("s"))
     return o.agg(F.count("*").alias("open_tenders")).join(first, F.lit(True)).select("open_tenders", F.array_join(F.transform("s", lambda x: x["o_orderkey"].cast("string")), ",").alias("soonest"))
+
+
+def _hits(spark, sf, k: int):
+    """Lexical hits of the stated questions with what an answer shows of them."""
+    d = table(spark, sf, "documents")
+    hits = V.lexical(_asked(spark, sf), d, k)
+    shown = d.select("doc_id", F.col("source").alias("notice"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), (F.col("doc_id") % 2 == 0).alias("open"), "text")
+    return hits.join(shown, "doc_id")
+
+
+@query(
+    "rank_scores",
+    f"WITH {_LEX} SELECT qid, doc_id AS id, rank, round(1.0::DOUBLE / (60 + rank), 9) AS score FROM l",
+)
+def rank_scores(spark, sf):
+    """W-05: what a rank alone is worth in a fusion of one arm."""
+    one = V.lexical(_asked(spark, sf), table(spark, sf, "documents"), 20).withColumnRenamed("doc_id", "id")
+    return V.fuse([("lexical", one)]).select("qid", "id", F.col("rank_lexical").alias("rank"), "score")
+
+
+@query(
+    "reranked_hits",
+    f"WITH {_LEX}, s AS (SELECT qid, doc_id, rank, length(text)::DOUBLE AS score FROM l JOIN documents USING (doc_id)) SELECT qid, doc_id, place AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS place FROM s) WHERE place <= 10",
+)
+def reranked_hits(spark, sf):
+    """V-13: an injected scorer (here the length of a text) orders the hits anew."""
+    return V.rerank(_hits(spark, sf, 20), lambda texts: [len(t) for t in texts], 10).select("qid", "doc_id", "rank")
+
+
+@query("embedded_passages", "SELECT doc_id AS vec_id, 3 AS width, round(least(length(text), 2000) / 1000.0, 4)::DOUBLE AS head, '' AS problem FROM documents")
+def embedded_passages(spark, sf):
+    """V-14: batches through an injected embedder, cut, checked for their width."""
+    found = V.embed(table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text"), lambda texts: [[len(t) / 1000, 0.0, 1.0] for t in texts], 3)
+    return found.select("vec_id", F.size("embedding").alias("width"), F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("head"), "problem")
+
+
+@query(
+    "prompt_passages",
+    f"""WITH {_LEX}, p AS (SELECT qid, rank, '[' || rank || '] Document ' || doc_id || ' (' || CASE WHEN doc_id % 2 = 0 THEN 'open' ELSE 'closed' END || ')' AS head FROM l WHERE rank <= 5)
+    SELECT qid, count(*)::INTEGER AS n, string_agg(head, '|' ORDER BY rank) AS heads FROM p GROUP BY qid""",
+)
+def prompt_passages(spark, sf):
+    """F-40: numbered, titled passages as a prompt carries them."""
+    from ..plans.answers import prompt_lines
+
+    lines = prompt_lines(_hits(spark, sf, 5).withColumnRenamed("rank", "place"), 200)
+    return lines.select("qid", "n", F.array_join(F.transform("passages", lambda p: F.substring_index(p, "\n", 1)), "|").alias("heads"))
+
+
+@query("cited_answers")
+def cited_answers(spark, sf):
+    """V-16: selection, reranking, a scripted writer and its checked citations."""
+    from ..plans.answers import answer
+
+    def writer(question: str, passages: list[str]) -> dict:
+        return {"claims": [{"text": p[:40], "sources": [k, k + 100]} for k, p in enumerate(passages, 1)] + [{"text": "no source", "sources": []}]}
+
+    got = answer(_asked(spark, sf), _hits(spark, sf, 16), writer)
+    return got.select("qid", F.size("claims").alias("n"), "unsupported", "problem", F.to_json("claims").alias("claims"))
+
+
+@query(
+    "streamed_claims",
+    "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS complete, CASE turn % 3 WHEN 0 THEN role ELSE '' END AS draft FROM conversations",
+)
+def streamed_claims(spark, sf):
+    """F-38: what can be shown of an answer that is still arriving."""
+    import pandas as pd
+
+    from ..plans.answers import complete_claims, draft
+
+    claim = F.to_json(F.struct(F.col("text"), F.array(F.lit(1)).alias("sources")))
+    head, k = F.concat(F.lit('{"claims": ['), claim), F.col("turn") % 3
+    body = F.when(k == 0, F.concat(head, F.lit(', {"text": "'), "role")).when(k == 1, F.concat(head, F.lit(", "), claim, F.lit("]}"))).otherwise('{"claims"')
+
+    def read(it):
+        for pdf in it:
+            yield pd.DataFrame({"conv_id": pdf["conv_id"], "turn": pdf["turn"], "complete": [len(complete_claims(b)) for b in pdf["body"]], "draft": [draft(b) for b in pdf["body"]]})
+
+    return table(spark, sf, "conversations").select("conv_id", "turn", body.alias("body")).mapInPandas(read, "conv_id long, turn long, complete int, draft string")
+
+
+@query(
+    "neighbour_refresh",
+    """WITH s AS (SELECT vec_id AS id, vec_id % 3 = 0 AS fresh, vec_id % 2 = 0 AS open, CASE WHEN vec_id % 5 <> 0 THEN TIMESTAMP '2024-01-01' + to_hours((vec_id % 300)::INT) END AS done FROM embeddings),
+    t AS (SELECT *, CASE WHEN fresh THEN 0 WHEN open AND (done IS NULL OR done < TIMESTAMP '2024-01-08') THEN 1 END AS tier FROM s)
+    SELECT id, tier FROM t WHERE tier = 0 OR tier = 1 QUALIFY tier = 0 OR row_number() OVER (PARTITION BY tier ORDER BY done NULLS FIRST, id) <= 40""",
+)
+def neighbour_refresh(spark, sf):
+    """M-30: the notices just indexed, then open ones whose neighbours are missing or old, within a budget."""
+    k = F.col("vec_id")
+    at = F.when(k % 5 != 0, F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(hours=(k % 300).cast("int")))
+    n = table(spark, sf, "embeddings").select(k.alias("id"), (k % 3 == 0).alias("fresh"), (k % 2 == 0).alias("open"), at.alias("computed_at"))
+    return V.due_for_neighbours(n, F.lit("2024-01-08 00:00:00").cast("timestamp"), 40)

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDERS: dict[tuple[str, str], str] = {}
+
 
 def build(app: str = "noticelake", **settings: str) -> SparkSession:
     """A session in UTC with adaptive execution; partitions are left to the cluster's settings."""
@@ -16,13 +18,33 @@ def build(app: str = "noticelake", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder of this application under ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of this application inside ``spark.checkpoint.dir``, with its file system named.
+
+    A path without a scheme belongs to the default file system.  Where the setting is absent, a
+    session on one machine takes a temporary folder and a cluster's is refused.  The folder goes when the
+    driver ends.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/noticelake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+        context.setCheckpointDir(base)
+    known = (context.applicationId, base)
+    if known not in _FOLDERS:
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/noticelake/{context.applicationId}")
+        system = path.getFileSystem(context._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _FOLDERS[known] = system.makeQualified(path).toString()
+    return _FOLDERS[known]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

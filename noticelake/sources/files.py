@@ -102,13 +102,19 @@ def write_blobs(df: DataFrame, folder: str, content: str = "content", suffix: st
 
 
 def intake(files: DataFrame, suffixes: tuple[str, ...], most: int) -> DataFrame:
-    """Uploads (path, content) with ``refusal`` and ``sha256``: bad suffix, empty, too large, or already seen."""
-    first = F.min("path").over(Window.partitionBy(F.sha2("content", 256)))
-    refusal = (
+    """Uploads (path, content) with ``refusal`` and ``sha256``: bad suffix, empty, too large, or already seen.
+
+    A content is seen once a file that passes the other tests has it: of those the first path stays, and a
+    refused copy hides none.
+    """
+    own = (
         F.when(~F.lower("path").rlike(r"\.(" + "|".join(suffixes) + ")$"), "suffix").when(F.length("content") == 0, "empty")
-        .when(F.length("content") > most, "size").when(first != F.col("path"), "repeated")
+        .when(F.length("content") > most, "size")
     )
-    return files.withColumns({"refusal": refusal, "sha256": F.sha2("content", 256)})
+    judged = files.withColumns({"refusal": own, "sha256": F.sha2("content", 256)})
+    first = judged.where("refusal IS NULL").groupBy("sha256").agg(F.min("path").alias("__first"))
+    repeated = F.when(F.col("__first") != F.col("path"), "repeated")
+    return judged.join(first, "sha256", "left").select(*files.columns, F.coalesce("refusal", repeated).alias("refusal"), "sha256")
 
 
 def parse_documents(files: DataFrame) -> DataFrame:

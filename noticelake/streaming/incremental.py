@@ -6,14 +6,18 @@ the same frames.  Every function is idempotent: applied to its own output it cha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def latest_of_batch(batch: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key in a batch."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-    return batch.withColumn("__p", place).where("__p = 1").drop("__p")
+    """The last row of each key by ``order``; of rows that tie, the one whose columns are greatest in turn.
+
+    The rows of a key fold where they are before they meet, however many there are.
+    """
+    row = F.struct(*batch.columns)
+    best = batch.groupBy(F.col(key).alias("__key")).agg(F.max(F.struct(F.col(order).alias("o"), row.alias("row"))).alias("x"))
+    return best.select("x.row.*")
 
 
 def changes(old: DataFrame, new: DataFrame, key: str, hashed: str, in_scope: Column | None = None) -> DataFrame:
@@ -31,10 +35,19 @@ def changes(old: DataFrame, new: DataFrame, key: str, hashed: str, in_scope: Col
     return incoming.join(known, key, "left").select(key, action.alias("action"))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, hashed: str) -> DataFrame:
-    """``old`` with the changed and new rows of ``new``; rows with the same hash stay untouched."""
-    fresh = new.where(F.col(key).isNotNull()).join(old.select(key, hashed), [key, hashed], "left_anti").select(*old.columns)
-    return old.join(fresh, key, "left_anti").select(*old.columns).unionByName(fresh)
+def upsert(old: DataFrame, new: DataFrame, key: str, hashed: str, order: str | None = None) -> DataFrame:
+    """``old`` with the changed and new rows of ``new``; rows with the same hash stay untouched.
+
+    Of the rows of a key in ``new`` the last by ``order`` counts (without it, by the hash).  With ``order`` a
+    row that is older than the one in ``old`` changes nothing; at a tie the new row stands.  Rows without a
+    key go.
+    """
+    latest = latest_of_batch(new.where(F.col(key).isNotNull()).select(*old.columns), key, order or hashed)
+    known = old.select(key, F.col(hashed).alias("__hash"), (F.col(order) if order else F.lit(None)).alias("__order"), F.lit(True).alias("__known"))
+    later = F.col(order) >= F.col("__order") if order else F.lit(True)
+    moved = F.col("__known").isNull() | ((F.col("__hash") != F.col(hashed)) & F.coalesce(later, F.lit(True)))
+    fresh = latest.join(known, key, "left").where(F.coalesce(moved, F.lit(True))).select(*old.columns)
+    return old.join(fresh.select(key), key, "left_anti").select(*old.columns).unionByName(fresh)
 
 
 def pending(sources: DataFrame, ledger: DataFrame, key: str, on: list[str]) -> DataFrame:
@@ -66,20 +79,43 @@ def overwrite(df: DataFrame, values: dict[str, Column], source: str, protected:
     return df.withColumns({c: F.when(free, v).otherwise(F.col(c)) for c, v in values.items()})
 
 
+def _system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def current_version(spark: SparkSession, path: str, before: int | None = None) -> int | None:
+    """The newest committed version of a table of versions (older than ``before``); null where there is none."""
+    place, system = _system(spark, path)
+    if not system.exists(place):
+        return None
+    names = [x.getPath().getName() for x in system.listStatus(place)]
+    found = [int(n.removeprefix("committed-")) for n in names if n.startswith("committed-")]
+    return max((n for n in found if before is None or n < before), default=None)
+
+
+def read_version(spark: SparkSession, path: str, number: int, schema=None) -> DataFrame:
+    """A committed version; one that has been removed is an error."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(f"{path}/v{number}")
+
+
 def stream_upsert(stream: DataFrame, path: str, key: str, hashed: str, order: str, checkpoint: str):
     """Apply a stream of rows to the table at ``path`` until no input is left; returns the finished query.
 
-    Each micro-batch writes a new version next to the old and the pointer table names the newest,
-    so a batch that is run again after a failure starts from the version before it.
+    A row counts if its ``order`` is not below that of the row in the table, whatever batch it comes in.  Each
+    micro-batch writes a version of its own beside the older ones and then commits it by a marker, whose
+    creation is one step; a batch that runs again starts from the newest version committed before it.
+    A marker whose version is gone is an error, not an empty table.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = latest_of_batch(batch, key, order)
-        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - 1}")
-        known = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
-        old = spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1}") if known else fresh.limit(0)
-        upsert(old, fresh, key, hashed).write.mode("overwrite").parquet(f"{path}/v{number}")
+        before = current_version(spark, path, number)
+        old = read_version(spark, path, before, batch.schema) if before is not None else batch.limit(0)
+        upsert(old, batch, key, hashed, order).write.mode("overwrite").parquet(f"{path}/v{number}")
+        marker, system = _system(spark, f"{path}/committed-{number}")
+        system.create(marker, True).close()
 
     query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
