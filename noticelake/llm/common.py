@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -11,24 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Regular expression of the white space that separates words in the contracts.
-SPACE = r"[\x20\x09-\x0D]+"
-
+from ..functions.scalars import let
+from ..session import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application inside ``spark.checkpoint.dir``.
+__all__ = ["SPACE", "batches", "held_small", "let", "one_space", "ranges", "shared_dir", "short_batches", "stored", "table", "text_key", "utf8", "without", "word_array"]
 
-    Only where that setting is absent (a bare local test session) is a temporary folder taken.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + base
-    return f"{base.rstrip('/')}/noticelake/{spark.sparkContext.applicationId}"
+#: Regular expression of the white space that separates words in the contracts.
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -36,7 +24,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     The table survives the loss of any executor, cuts the lineage, and is what later
     passes scan, so the work above it runs once.  Its shuffle files are of no more use then
-    and go at once; the tables go with the application's folder.
+    and go at once; the tables go with the application's folder, when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -50,10 +38,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_key(text: Column) -> Column:
+    """What tells rows of one doc_id apart: a hash of the text, null as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def without(docs: DataFrame, dropped: DataFrame, held: int = 1_000_000) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not in ``dropped``, which is broadcast if it is short."""
-    ids = stored(dropped.select("doc_id").distinct(), "dropped")
-    return docs.join(held_small(ids, held), "doc_id", "left_anti").select(*docs.columns)
+    """Rows of ``docs`` that are not in ``dropped`` (doc_id, text_key), which is broadcast if it is short.
+
+    A row is its doc_id and text: of rows that repeat a doc_id only those go whose text is named, and
+    null and empty texts are one.  A null doc_id stays.
+    """
+    ids = stored(dropped.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "dropped")
+    gone = (docs["doc_id"] == F.col("__id")) & (text_key(docs["text"]) == F.col("__key"))
+    return docs.join(held_small(ids, held), gone, "left_anti").select(*docs.columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,11 +106,6 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def held_small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` (a stored table) marked for broadcast if it has at most ``rows`` rows, else as it is."""
     return F.broadcast(df) if df.count() <= rows else df

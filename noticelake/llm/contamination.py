@@ -17,13 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_small, let, stored, table
+from .common import held_small, let, stored, table, text_key
 
 #: Positions that a mask reads.
 MASKS = ((0, 1, 3, 6, 7),)
 WINDOW, SUBSTITUTIONS = 13, 2
-#: Benchmark seeds, and document hits, that are sent to every task; more are joined by shuffle.
-SEEDS_HELD, HITS_HELD = 1_000_000, 200_000
+#: Benchmark seeds, words of items, and documents with hits, that are sent to every task; more are joined by shuffle.
+SEEDS_HELD, WORDS_HELD, HITS_HELD = 1_000_000, 2_000_000, 20_000
 
 
 def words(text: Column) -> Column:
@@ -65,31 +65,38 @@ def matched(h: Column, b: Column, diagonal: Column, window: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, masks=MASKS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, contaminated, n_items, first_item, matched.
+    """One row per row of ``docs``: doc_id, text_key, contaminated, n_items, first_item, matched.
 
     n_items counts the items found in the document, first_item is the smallest of them (null:
     none), matched the most equal words in a window (0: none).  Null and empty texts are clean.
-    Rows that share a doc_id are judged together; items that share an item_id are one item each
-    row.  An empty table on either side: nothing is contaminated.  Columns other than doc_id,
+    Rows that share a doc_id are judged by their own texts (text_key, a hash of the text); items that
+    share an item_id are one item each row.  An empty table on either side: nothing is contaminated.  Columns other than doc_id,
     text and item_id, text are not read.
     """
     items = stored(
         benchmark.select("item_id", hashes(F.col("text")).alias("item")).where(F.size("item") >= 8).distinct(), "items"
     )
-    marks = stored(items.select("item_id", F.inline(seeds(F.col("item"), masks))).distinct(), "item-seeds")
-    marks = marks.select("item_id", F.col("pos").alias("item_pos"), "seed")
-    met = docs.select("doc_id", F.inline(seeds(hashes(F.col("text")), masks))).join(held_small(marks, SEEDS_HELD), "seed")
-    hits = met.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
-    hits = held_small(stored(hits, "hits"), HITS_HELD)
+    marks = stored(items.select("item_id", F.size("item").alias("n"), F.inline(seeds(F.col("item"), masks))).distinct(), "item-seeds")
+    marks = marks.select("item_id", "n", F.col("pos").alias("item_pos"), "seed")
+    docs = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
+    row = ["doc_id", "text_key"]
+    met = docs.select(*row, F.inline(seeds(hashes(F.col("text")), masks))).join(held_small(marks, SEEDS_HELD), "seed")
+    # the words of a text are hashed once, however many diagonals it has, and only those beside an item go on
+    places = F.collect_set(F.struct("item_id", "n", (F.col("pos") - F.col("item_pos")).alias("diagonal")))
+    hits = stored(met.groupBy(*row).agg(places.alias("hits")), "hits")
+    held = docs.join(held_small(hits, HITS_HELD), row).select(*row, hashes(F.col("text")).alias("h"), "hits").select(*row, "h", F.inline("hits"))
+    start = F.greatest("diagonal", F.lit(0))
+    held = held.select(*row, "item_id", F.slice("h", start + 1, F.col("n")).alias("h"), (F.col("diagonal") - start).alias("diagonal"))
     n = F.size("item")
     window, least = F.least(n, F.lit(WINDOW)), F.least(n, F.lit(WINDOW)) - allowed(n)
-    held = docs.select("doc_id", "text").join(hits, "doc_id").join(held_small(items, SEEDS_HELD // 50), "item_id")
-    laid = held.select("doc_id", "item_id", least.alias("least"), matched(hashes(F.col("text")), F.col("item"), F.col("diagonal"), window).alias("matched"))
-    leaks = laid.where("matched >= least").groupBy("doc_id").agg(
+    words_held = items.agg(F.sum(F.size("item"))).first()[0] or 0
+    items = F.broadcast(items) if words_held <= WORDS_HELD else items
+    laid = held.join(items, "item_id").select(*row, "item_id", least.alias("least"), matched(F.col("h"), F.col("item"), F.col("diagonal"), window).alias("matched"))
+    leaks = laid.where("matched >= least").groupBy(*row).agg(
         F.countDistinct("item_id").alias("n_items"), F.min("item_id").alias("first_item"), F.max("matched").alias("matched")
     )
-    return docs.select("doc_id").join(leaks, "doc_id", "left").select(
-        "doc_id",
+    return docs.select(*row).join(leaks, row, "left").select(
+        *row,
         F.col("n_items").isNotNull().alias("contaminated"),
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         "first_item",
@@ -98,7 +105,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, masks=MASKS) -> DataFra
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
 QUERIES = {"op8_decontamination": op8_decontamination}

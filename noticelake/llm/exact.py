@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, one_space, short_batches, stored, table, utf8
+from .common import batches, one_space, short_batches, stored, table, text_key, utf8
 
 #: Entries a bucket holds before it splits, and the most bits the directory uses.
 CAPACITY, MAX_DEPTH = 64, 16
@@ -140,23 +140,24 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
 
 
 def dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, text_key.
 
     Null text counts as empty, and all empty texts are one group.  Texts that differ only in
     white space are equal.  Of equal texts the smallest doc_id stays; rows that repeat a doc_id
-    count one each in group_size and are all kept or all dropped.  Empty table: no rows.
-    Columns other than doc_id and text are not read.
+    count one each in group_size, and each is kept or dropped by its own text.  text_key is a hash of the text
+    as it is.  Empty table: no rows.  Columns other than doc_id and text are not read.
     """
-    keyed = docs.select("doc_id", one_space(F.col("text")).alias("norm")).withColumn("h", F.xxhash64("norm"))
+    own = text_key(F.col("text")).alias("text_key")
+    keyed = docs.select("doc_id", own, one_space(F.col("text")).alias("norm")).withColumn("h", F.xxhash64("norm"))
     index = build_index(keyed, capacity, max_depth).select("h", "text_sha256", "keep_id", "group_size")
-    probes = keyed.select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256"))
+    probes = keyed.select("doc_id", "text_key", "h", F.sha2("norm", 256).alias("text_sha256"))
     return probes.join(index, ["h", "text_sha256"]).select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"
+        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256", "text_key"
     )
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents"))
+    return dedup(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 QUERIES = {"op6_exact_dedup": op6_exact_dedup}

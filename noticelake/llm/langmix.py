@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import ranges, short_batches, table
 
 BUCKETS = 1 << 16
-#: Labelled documents that training reads for each language, about; and languages at most.
-SAMPLE, LANGUAGES = 20_000, 256
+#: Labelled documents that training reads for each language, about.
+SAMPLE = 20_000
 SMOOTHING, PENALTY, ROUNDS, SETTLED = 0.5, 0.5, 30, 1e-3
 #: Words whose likelihoods a worker keeps, and characters of text judged at once.
 WORDS_KEPT, GROUP_CHARS = 300_000, 1 << 20
@@ -81,13 +81,14 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndar
     """Languages and log probabilities (buckets x languages) from ``labelled`` (doc_id, text, lang).
 
     Where a language has more than ``sample`` documents, those are read whose hash of doc_id lies
-    under the share that leaves about that many.  Only counts reach the driver: at most BUCKETS
-    a language, and at most LANGUAGES languages (the most frequent, ties by name).
+    under the share that leaves about that many.  Every language with a label is learned, however rare.
+    Only counts reach the driver: at most BUCKETS a language, so the model grows with the number of
+    languages and not with the rows.
     """
     spark = labelled.sparkSession
     short_batches(spark)
     known = labelled.where("lang IS NOT NULL")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = known.groupBy("lang").count().collect()
     if not sizes:
         return [], np.zeros((BUCKETS, 0), np.float32)
     shares = F.broadcast(
