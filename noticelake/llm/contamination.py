@@ -7,9 +7,9 @@ position), and around it the item and the document are compared word by word.
 
 A document is contaminated if some WINDOW words in a row of an item stand in it at the same
 distances with at most SUBSTITUTIONS of them replaced.  An item of 10 to 12 words counts as a
-whole with one replaced, of 8 or 9 words with none; shorter ones name nothing.  The mask finds
-every such overlap: no choice of that many replaced words touches all places where it fits (a
-test tries them all).
+whole with one replaced, of 8 or 9 words with none; shorter ones name nothing unless asked for.
+The mask finds every such overlap: no choice of that many replaced words touches all places
+where it fits (a test tries them all).
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .common import held_small, let, stored, table, text_key
 #: Positions that a mask reads.
 MASKS = ((0, 1, 3, 6, 7),)
 WINDOW, SUBSTITUTIONS = 13, 2
+#: Words of an item from which it names something; with fewer its words stand in clean texts by chance.
+LEAST = 8
 #: Benchmark seeds, words of items, and documents with hits, that are sent to every task; more are joined by shuffle.
 SEEDS_HELD, WORDS_HELD, HITS_HELD = 1_000_000, 2_000_000, 20_000
 
@@ -64,17 +66,19 @@ def matched(h: Column, b: Column, diagonal: Column, window: Column) -> Column:
     return let(here, best)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, masks=MASKS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, masks=MASKS, least: int = LEAST) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_key, contaminated, n_items, first_item, matched.
 
     n_items counts the items found in the document, first_item is the smallest of them (null:
     none), matched the most equal words in a window (0: none).  Null and empty texts are clean.
     Rows that share a doc_id are judged by their own texts (text_key, a hash of the text); items that
-    share an item_id are one item each row.  An empty table on either side: nothing is contaminated.  Columns other than doc_id,
-    text and item_id, text are not read.
+    share an item_id are one item each row.  An empty table on either side: nothing is contaminated.
+    Columns other than doc_id, text and item_id, text are not read.  Items of fewer than ``least`` words are left out; with less
+    than LEAST, shorter items count where they stand whole, found by a mask of their own length.
     """
+    masks = (*masks, *(tuple(range(n)) for n in range(max(1, least), LEAST)))
     items = stored(
-        benchmark.select("item_id", hashes(F.col("text")).alias("item")).where(F.size("item") >= 8).distinct(), "items"
+        benchmark.select("item_id", hashes(F.col("text")).alias("item")).where(F.size("item") >= least).distinct(), "items"
     )
     marks = stored(items.select("item_id", F.size("item").alias("n"), F.inline(seeds(F.col("item"), masks))).distinct(), "item-seeds")
     marks = marks.select("item_id", "n", F.col("pos").alias("item_pos"), "seed")
@@ -88,11 +92,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, masks=MASKS) -> DataFra
     start = F.greatest("diagonal", F.lit(0))
     held = held.select(*row, "item_id", F.slice("h", start + 1, F.col("n")).alias("h"), (F.col("diagonal") - start).alias("diagonal"))
     n = F.size("item")
-    window, least = F.least(n, F.lit(WINDOW)), F.least(n, F.lit(WINDOW)) - allowed(n)
+    window, needed = F.least(n, F.lit(WINDOW)), F.least(n, F.lit(WINDOW)) - allowed(n)
     words_held = items.agg(F.sum(F.size("item"))).first()[0] or 0
     items = F.broadcast(items) if words_held <= WORDS_HELD else items
-    laid = held.join(items, "item_id").select(*row, "item_id", least.alias("least"), matched(F.col("h"), F.col("item"), F.col("diagonal"), window).alias("matched"))
-    leaks = laid.where("matched >= least").groupBy(*row).agg(
+    laid = held.join(items, "item_id").select(*row, "item_id", needed.alias("needed"), matched(F.col("h"), F.col("item"), F.col("diagonal"), window).alias("matched"))
+    leaks = laid.where("matched >= needed").groupBy(*row).agg(
         F.countDistinct("item_id").alias("n_items"), F.min("item_id").alias("first_item"), F.max("matched").alias("matched")
     )
     return docs.select(*row).join(leaks, row, "left").select(

@@ -51,3 +51,11 @@ def test_empty_sides_and_repeats(spark, odd, none):
     assert C.decontaminate(none, bench).collect() == []
     got = C.decontaminate(odd, bench.limit(0)).collect()
     assert len(got) == 10 and not any(r.contaminated for r in got)
+
+
+def test_short_items_where_they_are_asked_for(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "One two"), (3, "a b c d e f g"), (4, "")], "item_id long, text string")
+    rows = [(1, "x alpha Beta, gamma y"), (2, "alpha gamma beta one"), (3, "so one two"), (4, "z a b c d e f g"), (5, None), (6, "a b c d x f g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda **k: {r.doc_id: r.first_item for r in C.decontaminate(docs, bench, **k).collect() if r.contaminated}
+    assert found() == {} and found(least=3) == {1: 1, 4: 3} and found(least=2) == {1: 1, 3: 2, 4: 3}
