@@ -5,8 +5,9 @@ streamed part, ``edit`` replaces the text, ``regenerate`` starts the text anew (
 first, often empty), ``delete`` takes the message out.  Events fold in order of seq: what the
 last message, edit or regenerate left, then the deltas behind it.
 
-Messages fold first, each for itself; a conversation then holds only its final texts.  One
-conversation is one output value, so its finished text must fit in a task; nothing else does.
+Messages fold first, each for itself, so a long conversation spreads over tasks; a conversation then
+holds only its final texts.  One conversation is one output value, so its finished text must fit
+in a task; nothing else does.
 
 Template: ``<s>`` opens a conversation; turns read ``[SYS] t [/SYS]``, ``[INST] t [/INST]``,
 ``[ANS] t </s>`` for system, user and assistant, ``[TURN] role [AS] t [/TURN]`` for any other
@@ -149,8 +150,25 @@ def as_events(conversations: DataFrame) -> DataFrame:
     )
 
 
+def as_streamed(messages: DataFrame) -> DataFrame:
+    """The log of ``as_events`` as a service would have written it: every text arrives in steps.
+
+    An assistant's answer streams in, is cut off half-way, and is regenerated in two parts; any other message
+    is opened empty and then edited to its text.
+    """
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    first, rest = F.substr(text, F.lit(1), half), F.substr(text, half + 1)
+    step = lambda kind, t: F.struct(F.lit(kind).alias("kind"), t.alias("text"))
+    streamed = F.array(step("message", F.lit("")), step("delta", first), step("regenerate", F.lit("")), step("delta", first), step("delta", rest))
+    edited = F.array(step("message", F.lit("")), step("edit", text))
+    steps = F.when(F.col("role") == "assistant", streamed).otherwise(edited)
+    each = messages.select("conv_id", "message_id", F.col("seq").alias("at"), "role", F.posexplode(steps).alias("n", "e"))
+    return each.select("conv_id", "message_id", (F.col("at") * 8 + F.col("n")).alias("seq"), "e.kind", "role", "e.text")
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Formats ``conversations`` and the conversation -7.
+    """Formats ``conversations`` and the conversation -7, from a log in which texts stream in, are edited and regenerated.
 
     Null text is empty, a null role is the empty role.  Empty table: conversation -7 alone.
     """
@@ -161,7 +179,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
-    return digests(render(fold(as_events(turns))))
+    return digests(render(fold(as_streamed(as_events(turns)))))
 
 
 QUERIES = {"op2_chat": op2_chat}

@@ -52,6 +52,15 @@ def test_rows_with_nulls_ties_and_repeats(spark):
     assert chat.render(chat.fold(chat.as_events(df.limit(0)))).collect() == []
 
 
+def test_streamed_logs_fold_to_their_messages(spark):
+    t = [(1, 0, "user", None), (1, 1, "assistant", "an answer é"), (1, 2, None, "x"), (1, 3, "assistant", ""), (2, 0, "assistant", None)]
+    df = spark.createDataFrame(t, "conv_id long, turn long, role string, text string").selectExpr("*", "'k' as kind", "1 as seq", "2 as message_id")
+    log = chat.as_streamed(chat.as_events(df))
+    assert {r.kind for r in log.collect()} == {"message", "delta", "regenerate", "edit"}
+    want = sorted((r.conv_id, r.message_id, r.role, r.text) for r in chat.fold(chat.as_events(df)).collect())
+    assert sorted((r.conv_id, r.message_id, r.role, r.text) for r in chat.fold(log).collect()) == want
+
+
 def test_query_adds_its_own_conversation(spark, sf):
     got = {r.conv_id: r for r in chat.op2_chat(spark, sf).collect()}
     assert (got[-7].n_turns, got[-7].loss_chars) == (2, 21)
