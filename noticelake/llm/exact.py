@@ -7,9 +7,10 @@ bits.  Bucket loads come from a histogram of hash prefixes that Spark counts, so
 directory is at most 2**MAX_DEPTH slots whatever the corpus; a bucket that is still too full
 there keeps its surplus as overflow pages, which cost a longer scan and never a lost row.
 
-Each bucket has one owner task.  It walks the bucket in key order, follows the chain of each
-key and compares bytes, so texts whose hashes collide stay apart.  The index goes to the
-shared folder; a task that dies is simply run again, since it only reads the tables.
+Each bucket has one owner task, which has a range of keys.  It walks the bucket in key order,
+follows the chain of each key and compares bytes, so texts whose hashes collide stay apart.
+Documents find their bucket through the directory and their entry in it by key and digest.  The
+index goes to the shared folder; a task that dies is simply run again, since it only reads the tables.
 
 Hot keys: every map task first folds its own equal texts into one entry, so an owner meets
 one entry a map task and text, not one a copy.
@@ -119,10 +120,9 @@ def directory(loads: dict[int, int], depth: int, capacity: int) -> list[tuple[in
     return slots
 
 
-def build_index(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The index of ``docs`` (doc_id, norm, h): bucket, h, chain, text_sha256, keep_id, group_size."""
+def find_bucket(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH):
+    """The directory for the keys ``h`` of ``docs``: a function that adds ``bucket`` to rows, and the number of buckets."""
     spark = docs.sparkSession
-    short_batches(spark)
     prefix = F.shiftrightunsigned("h", 64 - max_depth)
     # at most 2**max_depth rows reach the driver
     loads = {r.prefix: r.n for r in docs.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n")).collect()}
@@ -130,9 +130,19 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
     depth = (len(slots) - 1).bit_length()
     slot = F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("long")
     where = F.broadcast(spark.createDataFrame(slots, "slot long, bucket int, local_depth int").drop("local_depth"))
+    return lambda rows: rows.withColumn("slot", slot).join(where, "slot").drop("slot"), 1 + max(b for _, b, _ in slots)
+
+
+def build_index(docs: DataFrame, find, buckets: int) -> DataFrame:
+    """The index of ``docs`` (doc_id, norm, h): bucket, h, chain, text_sha256, keep_id, group_size.
+
+    Buckets are numbered in key order and dealt to owner tasks in runs, so an owner has a range of keys.
+    """
+    short_batches(docs.sparkSession)
     entries = docs.select("doc_id", "h", "norm").mapInArrow(_fold, "h long, norm binary, keep_id long, copies long")
-    placed = entries.withColumn("slot", slot).join(where, "slot").select("bucket", "h", "norm", "keep_id", "copies")
-    owned = placed.repartition("bucket").sortWithinPartitions("bucket", "h")
+    owners = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    owner = F.floor(F.col("bucket").cast("long") * owners / buckets).cast("int")
+    owned = find(entries).select("bucket", "h", "norm", "keep_id", "copies").repartitionById(owners, owner).sortWithinPartitions("bucket", "h")
     index = owned.mapInArrow(
         _own, "bucket int, h long, chain int, text_sha256 string, keep_id long, group_size long"
     )
@@ -149,9 +159,10 @@ def dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH)
     """
     own = text_key(F.col("text")).alias("text_key")
     keyed = docs.select("doc_id", own, one_space(F.col("text")).alias("norm")).withColumn("h", F.xxhash64("norm"))
-    index = build_index(keyed, capacity, max_depth).select("h", "text_sha256", "keep_id", "group_size")
-    probes = keyed.select("doc_id", "text_key", "h", F.sha2("norm", 256).alias("text_sha256"))
-    return probes.join(index, ["h", "text_sha256"]).select(
+    find, buckets = find_bucket(keyed, capacity, max_depth)
+    index = build_index(keyed, find, buckets).select("bucket", "h", "text_sha256", "keep_id", "group_size")
+    probes = find(keyed.select("doc_id", "text_key", "h", F.sha2("norm", 256).alias("text_sha256")))
+    return probes.join(index, ["bucket", "h", "text_sha256"]).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256", "text_key"
     )
 
