@@ -80,3 +80,122 @@ def test_quality_of_odd_texts(spark, odd, none):
     assert quality.score(odd, model).count() == 10 and quality.score(none, model).count() == 0
     blank = quality.train(docs, labels.limit(0))
     assert {r.score for r in quality.score(odd, blank).collect()} == {0.5}
+
+
+def loops(p, counts, penalty=langmix.PENALTY):
+    """The mixture of one document in plain loops: words x languages of likelihoods, and how often each word stands there."""
+    languages, total = range(len(p[0])), sum(counts)
+    value_of = lambda share: sum(n * np.log(sum(a * b for a, b in zip(row, share, strict=True))) for row, n in zip(p, counts, strict=True))
+    single = [value_of([float(i == k) for i in languages]) for k in languages]
+    best = max(languages, key=lambda k: single[k])
+    share, value, cost, refused = [float(i == best) for i in languages], single[best], penalty * np.log(total + 1), set()
+    while True:
+        slope = {}
+        for k in languages:
+            if share[k] == 0 and k not in refused:
+                slope[k] = sum(n * row[k] / sum(a * b for a, b in zip(row, share, strict=True)) for row, n in zip(p, counts, strict=True)) - total
+        steep = max(slope, key=slope.get, default=None)
+        if steep is None or slope[steep] <= cost:
+            return share
+        m = sum(x > 0 for x in share)
+        tried = [x * m / (m + 1) for x in share]
+        tried[steep] = 1 / (m + 1)
+        for turn in range(langmix.ROUNDS + 1):
+            gained = value_of(tried)
+            if turn == langmix.ROUNDS:
+                break
+            new = [0.0] * len(tried)
+            for row, n in zip(p, counts, strict=True):
+                mixed = sum(a * b for a, b in zip(row, tried, strict=True))
+                for k in languages:
+                    new[k] += n * row[k] * tried[k] / mixed / total
+            moved = max(abs(a - b) for a, b in zip(new, tried, strict=True))
+            tried = new
+            if moved < langmix.SETTLED:
+                break
+        if gained - value > cost:
+            share, value = tried, gained
+        else:
+            refused.add(steep)
+
+
+def test_mixtures_against_plain_loops(spark):
+    """op4 once more as loops: training counts, likelihoods of words, the mixture, its main language."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [r for r in docs.where("n_chars < 700").orderBy("doc_id").limit(60).collect()]
+    mixed = [(10_000 + i, f"{a.text} {b.text}", None) for i, (a, b) in enumerate(zip(rows[:12], rows[12:24], strict=True))]
+    df = spark.createDataFrame([(r.doc_id, r.text, r.lang) for r in rows] + mixed, "doc_id long, text string, lang string")
+    langs, table = langmix.train(df)
+    counts = {x: {} for x in langs}
+    for r in rows:
+        for w in langmix.words_of(r.text):
+            for b in langmix.trigrams([w])[0].tolist():
+                counts[r.lang][b] = counts[r.lang].get(b, 0) + 1
+    every, size = {}, sum(sum(c.values()) for c in counts.values())
+    for c in counts.values():
+        for b, n in c.items():
+            every[b] = every.get(b, 0) + n
+    spread = {x: {b: c.get(b, 0) + langmix.SMOOTHING * (1e-3 + n / size) for b, n in every.items()} for x, c in counts.items()}
+    unseen = langmix.SMOOTHING * 1e-3
+    sums = {x: sum(s.values()) + unseen * (langmix.BUCKETS - len(every)) for x, s in spread.items()}
+    word = lambda w: [sum(np.log(spread[x].get(b, unseen) / sums[x]) for b in langmix.trigrams([w])[0].tolist()) for x in langs]
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langmix.identify(df, (langs, table)).collect()}
+    several = 0
+    for i, text, _ in [(r.doc_id, r.text, r.lang) for r in rows] + mixed:
+        held = {}
+        for w in langmix.words_of(text):
+            held[w] = held.get(w, 0) + 1
+        if not held:
+            assert found[i] == ("und", 0.0)
+            continue
+        logs = np.array([word(w) for w in held])
+        share = loops(np.exp(logs - logs.max(1, keepdims=True)).tolist(), list(held.values()))
+        # a word's best likelihood is a constant of the document, so the choice is the same without it
+        k = max(range(len(langs)), key=lambda x: share[x])
+        several += sum(x > 0 for x in share) > 1
+        assert found[i][0] == langs[k] and abs(found[i][1] - share[k]) < 5e-3, (i, found[i], share)
+    assert several >= 3
+
+
+def test_quality_against_plain_loops():
+    """op5 once more as loops over one feature at a time: the fit and the scores."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["good", "clean", "text", "spam", "***", "!!!", "é"], rng.integers(0, 9))) for _ in range(24)]
+    labels = [int("spam" not in t) for t in texts]
+    vectors, layer = quality.fit(texts, labels)
+    draw = np.random.default_rng(quality.SEED)
+    width = quality.WIDTH
+    start = draw.uniform(-1 / width, 1 / width, (quality.BUCKETS, width)).astype(np.float32)
+    v, z = {}, [[0.0] * (width + 1), [0.0] * (width + 1)]
+
+    def features(text):
+        words = text.split()
+        own = {}
+        for w in words:
+            for b in quality.word_features([w])[0].tolist():
+                own[b] = own.get(b, 0) + 1
+        for a, b in zip(words, words[1:], strict=False):
+            (bucket,) = quality.pair_features(quality._hashes([a, b])).tolist()
+            own[bucket] = own.get(bucket, 0) + 1
+        n = sum(own.values())
+        return {b: c / n for b, c in own.items()}
+
+    held, done = [features(t) for t in texts], 0
+    for _ in range(quality.EPOCHS):
+        for i in draw.permutation(len(texts)).tolist():
+            rate = quality.RATE * (1 - done / (quality.EPOCHS * len(texts)))
+            done += 1
+            x = [sum(w * v.setdefault(b, start[b].astype(float).tolist())[k] for b, w in held[i].items()) for k in range(width)] + [1.0]
+            e = [np.exp(sum(a * b for a, b in zip(row, x, strict=True))) for row in z]
+            error = [y / sum(e) - (k == labels[i]) for k, y in enumerate(e)]
+            back = [error[0] * z[0][k] + error[1] * z[1][k] for k in range(width)]
+            for c in range(2):
+                z[c] = [a - rate * error[c] * b for a, b in zip(z[c], x, strict=True)]
+            for b, w in held[i].items():
+                step = rate * len(held[i]) ** 0.5 * w
+                v[b] = [a - step * g for a, g in zip(v[b], back, strict=True)]
+    got = list(quality.Scorer(vectors, layer).scores(texts))
+    for t, own, score in zip(texts, held, got, strict=True):
+        x = [sum(w * v[b][k] for b, w in own.items()) for k in range(width)] + [1.0]
+        want = 1 / (1 + np.exp(-sum((a - b) * c for a, b, c in zip(z[1], z[0], x, strict=True))))
+        assert abs(score - want) < 2e-3, (t, score, want)
