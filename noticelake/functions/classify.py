@@ -120,6 +120,21 @@ def audience(direction: Column, code: Column, name: Column) -> Column:
     )
 
 
+#: Fixed value: confidence below which a rule asks the model.
+UNSURE = 0.55
+
+
+def escalate(rule: Column, confidence: Column, answer: Column) -> Column:
+    """struct<label, decided_by, asked>: a sure rule stands; below UNSURE the model's answer does, and without one the rule again."""
+    unsure = F.coalesce(confidence, F.lit(0.0)) < UNSURE
+    model = F.nullif(F.trim(answer), F.lit(""))
+    return F.struct(
+        F.when(unsure, F.coalesce(model, rule)).otherwise(rule).alias("label"),
+        F.when(unsure & model.isNotNull(), "model").otherwise("rule").alias("decided_by"),
+        unsure.alias("asked"),
+    )
+
+
 #: Words of the question router in three languages, and words above which a question is long.
 DEEP = (
     "compare", "comparison", "evaluate", "evaluation", "assess", "assessment", "analyse", "analyze", "analysis", "eligibility", "eligible", "qualify", "qualifies",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def nulls_last(*names: str) -> list[Column]:
     """``-name`` descends; nulls come last in either direction."""
@@ -73,3 +75,31 @@ class CountMemo:
         if key not in self.held or now - self.held[key][0] > self.seconds:
             self.held[key] = (now, df.count())
         return self.held[key][1]
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], amount: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``amount`` over the rows of its key up to and with each row, in order.
+
+    A key may hold most of the rows: they are dealt to ranges of (key, order), summed range by range, and
+    only the totals of the ranges, a few a key, are added up in order.  ``order`` must tell the rows of a key
+    apart, or those that tie stand in any order.  Nulls come first.
+    """
+    by = [*keys, *order]
+    # stored, so that both passes see the same ranges
+    dealt = stored(df.withColumn("__amount", amount).repartitionByRange(*by).withColumn("__range", F.spark_partition_id()), "ranges")
+    so_far = Window.partitionBy("__range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("__range", *keys).agg(F.sum("__amount").alias("__total"))
+    base = totals.withColumn("__base", F.coalesce(F.sum("__total").over(before), F.lit(0))).drop("__total")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("__range", *keys)]
+    inside = dealt.withColumn("__sum", F.sum("__amount").over(so_far))
+    joined = inside.alias("d").join(base.alias("b"), same)
+    return joined.select(*[F.col(f"d.{c}") for c in df.columns], (F.col("d.__sum") + F.col("b.__base")).alias(name))
+
+
+def islands(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """Runs of one ``value`` in a row: keys, island (from 1), value, n.  Null values make runs of their own kind."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    same = F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1)
+    marked = df.withColumn("__new", F.when(same, 0).otherwise(1)).withColumn("island", F.sum("__new").over(w))
+    return marked.groupBy(*keys, "island", value).agg(F.count("*").alias("n"))

@@ -20,6 +20,22 @@ def cosine(a: Column, b: Column) -> Column:
     return F.round(F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x), 6)
 
 
+def meet(points: DataFrame, queries: DataFrame, same: list[str] = ()) -> DataFrame:
+    """Every point beside every query of the stated list that agrees with it in ``same``.
+
+    Up to QUERIES_HELD queries go to every task.  More are dealt to blocks of that size, each point is sent
+    to every block, and both meet by an equi join on the block.
+    """
+    n = queries.count()
+    if n <= QUERIES_HELD:
+        q = F.broadcast(queries)
+        return points.join(q, list(same)) if same else points.join(q, F.lit(True))
+    blocks = -(-n // QUERIES_HELD)
+    dealt = queries.withColumn("__block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+    sent = points.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return sent.join(dealt, ["__block", *same]).drop("__block")
+
+
 def top_k(queries: DataFrame, points: DataFrame, k: int, threshold: float | None = None, same: list[str] = ()) -> DataFrame:
     """Best ``k`` points of each query: qid, vec_id, score, rank from 1.
 
@@ -27,10 +43,7 @@ def top_k(queries: DataFrame, points: DataFrame, k: int, threshold: float | None
     The query set is a stated list held against all points.  Filters belong on ``points``, before
     the search.
     """
-    small = queries.count() <= QUERIES_HELD
-    q = F.broadcast(queries) if small else queries
-    joined = points.join(q, list(same)) if same else points.join(q, F.lit(True))
-    scored = joined.select("qid", "vec_id", cosine(F.col("embedding"), F.col("qvec")).alias("score"))
+    scored = meet(points, queries, list(same)).select("qid", "vec_id", cosine(F.col("embedding"), F.col("qvec")).alias("score"))
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
@@ -114,7 +127,7 @@ def duplicates(points: DataFrame, others: DataFrame, similar: float, most: int)
     The best ``most`` hits are taken first, then their distinct owners counted.
     """
     q = points.select(F.col("vec_id").alias("qid"), F.col("owner").alias("own"), F.col("embedding").alias("qvec"))
-    joined = others.join(F.broadcast(q) if q.count() <= QUERIES_HELD else q, F.col("owner") != F.col("own"))
+    joined = meet(others, q).where(F.col("owner") != F.col("own"))
     hits = joined.select("qid", "owner", "vec_id", cosine(F.col("embedding"), F.col("qvec")).alias("score")).where(F.col("score") >= similar)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
     counted = hits.withColumn("rank", rank).where(F.col("rank") <= most).groupBy("qid").agg(F.countDistinct("owner").alias("duplicates"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as K
 from ..functions import scalars as S
 from ..functions import text as T
+from ..operators import ordering as O
 from ..registry import query, table
 
 _ORDERS = "SELECT o_orderkey AS id, * FROM orders"
@@ -27,13 +28,14 @@ def clean_strings(spark, sf):
 
 @query(
     "parse_dates",
-    "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 5 THEN NULL ELSE o_orderdate::DATE END AS d FROM orders",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 11 < 6 THEN o_orderdate::DATE END AS d FROM orders",
 )
 def parse_dates(spark, sf):
     """F-02, F-03: every form of a date leads back to it; anything else is null."""
-    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 6
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 11
     raw = F.when(k == 0, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, F.date_format(d, "dd-MMM-yyyy")).when(k == 2, F.date_format(d, "dd/MM/yyyy"))
-    raw = raw.when(k == 3, F.date_format(d, "yyyy/MM/dd")).when(k == 4, F.date_format(d, "MMM d, yyyy")).otherwise("soon")
+    raw = raw.when(k == 3, F.date_format(d, "yyyy/MM/dd")).when(k == 4, F.date_format(d, "MMM d, yyyy")).when(k == 5, F.date_format(d, "  yyyy-MM-dd "))
+    raw = raw.when(k == 6, "31/02/2020").when(k == 7, "2020-13-45").when(k == 8, "").when(k == 9, "soon")
     return table(spark, sf, "orders").select("o_orderkey", S.parse_date(raw).alias("d"))
 
 
@@ -352,13 +354,15 @@ def audience(spark, sf):
 
 @query(
     "escalation",
-    "SELECT doc_id, CASE WHEN n_chars / 4000.0 >= 0.55 THEN 'rule' WHEN quality IS NOT NULL THEN 'model' ELSE 'rule' END AS decided FROM documents LEFT JOIN labels USING (doc_id)",
+    """WITH d AS (SELECT doc_id, lang, least(n_chars / 4000.0, 1) AS c, CASE quality WHEN 1 THEN 'good' WHEN 0 THEN ' ' END AS answer FROM documents LEFT JOIN labels USING (doc_id))
+    SELECT doc_id, CASE WHEN c < 0.55 AND answer = 'good' THEN 'good' ELSE lang END AS label, CASE WHEN c < 0.55 AND answer = 'good' THEN 'model' ELSE 'rule' END AS decided_by, c < 0.55 AS asked FROM d""",
 )
 def escalation(spark, sf):
     """M-06, M-07: a weak rule asks the model; without an answer the rule stands."""
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
-    model = F.when(F.col("quality").isNotNull(), "model")
-    return d.select("doc_id", F.when(F.col("n_chars") / 4000.0 >= 0.55, "rule").otherwise(F.coalesce(model, F.lit("rule"))).alias("decided"))
+    answer = F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, " ")
+    sure = F.least(F.col("n_chars") / 4000.0, F.lit(1.0))
+    return d.select("doc_id", K.escalate(F.col("lang"), sure, answer).alias("e")).select("doc_id", "e.*")
 
 
 def _bodies(spark, sf):
@@ -529,8 +533,8 @@ def page_titles(spark, sf):
 @query("quote_offsets", "SELECT doc_id, source, length(text) AS n, (coalesce(sum(length(text) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM documents")
 def quote_offsets(spark, sf):
     """X-06, X-07, M-35: where each piece starts in the text that joins them."""
-    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf, "documents").select("doc_id", "source", F.length("text").cast("long").alias("n"), F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).alias("start"))
+    d = table(spark, sf, "documents").select("doc_id", "source", F.length("text").cast("long").alias("n"))
+    return O.running(d, ["source"], ["doc_id"], F.col("n") + 1, "end").select("doc_id", "source", "n", (F.col("end") - F.col("n") - 1).alias("start"))
 
 
 @query("duplicate_proposals", "SELECT lang, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY lang, lower(trim(text))")
@@ -539,12 +543,16 @@ def duplicate_proposals(spark, sf):
     return table(spark, sf, "documents").groupBy("lang", F.sha2(F.lower(F.trim("text")), 256).alias("q")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).drop("q")
 
 
-@query("answer_lines", "SELECT p_partkey, p_name AS name, p_brand AS title FROM part")
+@query(
+    "answer_lines",
+    "SELECT p_partkey, p_name AS name, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_brand END AS title, CASE WHEN p_partkey % 2 = 0 THEN 'about ' || p_type || ': more' END AS bio FROM part",
+)
 def answer_lines(spark, sf):
-    """X-36: KEY: value lines of an answer."""
-    t = F.concat(F.lit("NAME: "), "p_name", F.lit("\nTITLE: "), "p_brand", F.lit("\nBIO: unknown"))
-    m = F.expr("str_to_map(t, '\\n', ': ')")
-    return table(spark, sf, "part").select("p_partkey", t.alias("t")).select("p_partkey", m["NAME"].alias("name"), m["TITLE"].alias("title"))
+    """X-36: KEY: value lines of an answer, some of them hedged, repeated or over two lines."""
+    k = F.col("p_partkey")
+    bio = F.when(k % 2 == 0, F.concat(F.lit("about "), "p_type", F.lit(":\n  more"))).otherwise("Not found on the page")
+    t = F.concat(F.lit("Here it is.\nName: "), "p_name", F.lit("\nTITLE:"), F.when(k % 3 == 0, " unknown").otherwise(F.concat(F.lit("  "), "p_brand")), F.lit("\nBIO: "), bio, F.lit("\nNAME: other"))
+    return table(spark, sf, "part").select("p_partkey", T.answer_lines(t, ("NAME", "TITLE", "BIO")).alias("a")).select("p_partkey", "a.*")
 
 
 _COMPRESSED = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]{1,200}>', ' ', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', ' ', 'g'), '[\x{200B}-\x{200F}\x{FEFF}]', '', 'g'), '[ \t\r]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ')"

@@ -349,7 +349,9 @@ def link_registry(spark, sf):
     p = table(spark, sf, "pages").select("url", "page_id")
     a = p.withColumn("r", (F.col("page_id") % 3).cast("int"))
     b = p.where("page_id % 2 = 0").select("url", (F.col("page_id") + 100000).alias("page_id"), F.lit(1).alias("r"))
-    return a.union(b).groupBy(F.sha2("url", 256).alias("key")).agg(F.min("r").alias("kind"), F.countDistinct("page_id").alias("notices"))
+    known = I.register_links(b.withColumnsRenamed({"page_id": "notice", "r": "kind"}))
+    found = I.register_links(a.withColumnsRenamed({"page_id": "notice", "r": "kind"}), known)
+    return found.select("key", "kind", F.size("notices").cast("long").alias("notices"))
 
 
 @query("once_per_window", "SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS day, min(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY 1, 2")

@@ -326,8 +326,8 @@ def display_order(spark, sf):
     """O-12, O-13: within an owner, rank by a map, flags first, then key."""
     d = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id")
     rank = F.coalesce(F.create_map(F.lit("en"), F.lit(0), F.lit("de"), F.lit(1))[F.col("lang")], F.lit(2))
-    order = Window.partitionBy("source").orderBy(rank, F.desc("toxic"), "doc_id")
-    return d.select("source", "doc_id", F.row_number().over(order).alias("place"))
+    ordered = d.select("source", "doc_id", rank.alias("rank"), (-F.col("toxic")).alias("flag"))
+    return O.running(ordered, ["source"], ["rank", "flag", "doc_id"], F.lit(1), "place").select("source", "doc_id", F.col("place").cast("int").alias("place"))
 
 
 @query("category_histogram", "SELECT category, n FROM (SELECT c_mktsegment AS category, count(*) AS n FROM customer GROUP BY 1) ORDER BY n DESC, category")

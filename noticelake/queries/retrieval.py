@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import text as T
 from ..operators import vectors as V
 from ..plans import search as P
 from ..registry import query, table
@@ -76,9 +77,8 @@ def degraded_search(spark, sf):
 )
 def code_probe(spark, sf):
     """V-04: hyphenated codes with a digit, the first three."""
-    u = F.upper(F.concat("url", F.lit("/ab-"), F.col("page_id").cast("string")))
-    codes = F.filter(F.array_distinct(F.regexp_extract_all(u, F.lit("([A-Z0-9]+(?:-[A-Z0-9]+)+)"), F.lit(1))), lambda x: x.rlike(r"\d"))
-    return table(spark, sf, "pages").select("page_id", F.explode(F.slice(codes, 1, 3)).alias("code"))
+    u = F.concat("url", F.lit("/ab-"), F.col("page_id").cast("string"))
+    return table(spark, sf, "pages").select("page_id", F.explode(T.reference_codes(u)).alias("code"))
 
 
 @query(
@@ -111,8 +111,7 @@ def representative_passages(spark, sf):
 def similar_awards(spark, sf):
     """J-17, V-08, W-03: neighbours of the stated queries, the best passage of each notice."""
     q = _queries(spark, sf)
-    small = F.broadcast(q) if q.count() <= V.QUERIES_HELD else q  # beyond it the labels meet by shuffle
-    joined = table(spark, sf, "embeddings").join(small, F.col("label") == F.col("qlabel")).where("vec_id <> qid")
+    joined = V.meet(table(spark, sf, "embeddings"), q.withColumnRenamed("qlabel", "label"), ["label"]).where("vec_id <> qid")
     scored = joined.select("qid", (F.col("vec_id") % 60).alias("notice"), V.cosine(F.col("embedding"), F.col("qvec")).alias("score"))
     best = scored.groupBy("qid", "notice").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "notice")) - 1

@@ -49,10 +49,8 @@ def passage_cap(spark, sf):
 )
 def page_islands(spark, sf):
     """W-06: runs of one kind in a row."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    new = F.when(F.lag("event_type").over(w) == F.col("event_type"), 0).otherwise(1)
-    e = table(spark, sf, "events").withColumn("new", new).withColumn("island", F.sum("new").over(w))
-    return e.groupBy("user_id", "island").agg(F.min("event_type").alias("event_type"), F.count("*").alias("n"))
+    found = O.islands(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+    return found.select("user_id", "island", "event_type", "n")
 
 
 @query("history_last_n", "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) <= 6")

@@ -69,6 +69,18 @@ def next_state(rows: DataFrame, ok: Column, base: int, most: int, limit: int, no
     )
 
 
+def register_links(found: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The registry of links after ``found`` (url, notice, kind): key, url, kind, notices (distinct ids).
+
+    A link is its hash.  Of several kinds the smallest, the most telling, stays, and every notice is attached.
+    ``known`` is a registry from before; its links keep what they had.
+    """
+    rows = found.select(F.sha2("url", 256).alias("key"), "url", "kind", "notice")
+    if known is not None:
+        rows = rows.unionByName(known.select("key", "url", "kind", F.explode("notices").alias("notice")))
+    return rows.groupBy("key").agg(F.min("url").alias("url"), F.min("kind").alias("kind"), F.array_sort(F.collect_set("notice")).alias("notices"))
+
+
 def not_expired(store: DataFrame, at: str, now: Column, ttl_seconds: int) -> DataFrame:
     return store.where(F.col(at) > now - F.make_dt_interval(secs=F.lit(ttl_seconds)))
 
