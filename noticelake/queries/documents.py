@@ -530,6 +530,38 @@ def page_titles(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.trim(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)).alias("heading"), F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("lang"))
 
 
+@query(
+    "author_pages",
+    """SELECT page_id, 'Expert ' || page_id AS title, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'Person ' || page_id || ' ' || repeat('works on water and roads. ', 6) || 'End' END AS bio,
+    CASE WHEN page_id % 2 = 0 THEN 'https://img.example.org/' || page_id || '.jpg' ELSE '' END AS photo FROM pages""",
+)
+def author_pages(spark, sf):
+    """X-30, M-44: a person's page around the body of a page: title, biography, portrait."""
+    k, n = F.col("page_id"), F.col("page_id").cast("string")
+    person = F.concat(F.lit("Person "), n)
+    bio = F.concat(person, F.lit(" "), F.repeat(F.lit("works on <b>water</b> and roads. "), 6), F.lit("End"))
+    posts = F.concat(bio, F.lit(" Latest posts "), F.regexp_replace(F.regexp_replace("html", "(?is)<head>.*?</head>", ""), "(?i)</?(html|body)[^>]*>", ""))
+    html = F.concat(
+        F.lit("<html><head><title>"), person, F.lit(" | Expert "), n, F.lit("</title></head><body>"), person, F.lit(" Languages "), F.when(k % 3 == 0, person).otherwise(posts),
+        F.when(k % 2 == 0, F.concat(F.lit('<img src="https://img.example.org/'), n, F.lit('.jpg">'))).otherwise(""), F.lit("</body></html>"),
+    )
+    page = T.author_page(html, person, "Languages", ("Latest posts",), r'(?i)<img src="([^"]+)"')
+    return table(spark, sf, "pages").select("page_id", page.alias("a")).select("page_id", "a.*")
+
+
+@query("located_quotes")
+def located_quotes(spark, sf):
+    """X-06, X-07, M-27, M-35: a stretch of each document as a quote in other letters, found and laid on its paragraphs."""
+    from ..plans import viewer
+
+    d = table(spark, sf, "documents").select("doc_id", "source", "text")
+    quote = F.upper(F.regexp_replace(F.substring("text", 40, 90), r"\s+", "  "))
+    quotes = d.select("doc_id", F.lit(1).cast("long").alias("quote_id"), quote.alias("quote")).union(d.select("doc_id", F.lit(2).cast("long"), F.lit("stands nowhere at all")))
+    shown = viewer.payload(d, viewer.locate(d, quotes))
+    first = F.get("highlights", F.lit(0))
+    return shown.select("doc_id", F.size("pieces").alias("pieces"), F.size("highlights").alias("spans"), first["start"].alias("start"), F.size("missing").alias("missing"))
+
+
 @query("quote_offsets", "SELECT doc_id, source, length(text) AS n, (coalesce(sum(length(text) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM documents")
 def quote_offsets(spark, sf):
     """X-06, X-07, M-35: where each piece starts in the text that joins them."""
