@@ -11,6 +11,7 @@ from . import (
     chat,
     contamination,
     exact,
+    hmm,
     langmix,
     lines,
     packing,
@@ -31,6 +32,7 @@ _MODULES = (
     contamination,
     packing,
     lines,
+    hmm,
 )
 
 
