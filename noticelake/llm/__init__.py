@@ -14,11 +14,13 @@ from . import (
     hmm,
     langmix,
     lines,
+    negatives,
     packing,
     quality,
     simhash,
     substrings,
     tokenfile,
+    whitening,
 )
 
 _MODULES = (
@@ -33,6 +35,8 @@ _MODULES = (
     packing,
     lines,
     hmm,
+    whitening,
+    negatives,
 )
 
 
