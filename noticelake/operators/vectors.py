@@ -60,20 +60,6 @@ def overlap(query: Column, passage: Column) -> Column:
     return F.round(F.size(F.array_intersect(query, passage)) / F.greatest(F.size(query), F.lit(1)), 6)
 
 
-def lexical(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Passages by word overlap through an inverted index: qid, doc_id, score, rank.
-
-    ``queries``: qid, text; ``docs``: doc_id, text.  Only rows that share a word meet.
-    """
-    asked = queries.select("qid", words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
-    terms = asked.select("qid", "n", F.explode("w").alias("term"))
-    index = docs.select("doc_id", F.explode(words(F.col("text"))).alias("term"))
-    hits = index.join(terms, "term").groupBy("qid", "doc_id").agg(F.count("*").alias("shared"), F.min("n").alias("n"))
-    scored = hits.select("qid", "doc_id", F.round(F.col("shared") / F.col("n"), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def fuse(arms: list[tuple[str, DataFrame]], k: int = 60, limit: int = 20) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (qid, id, rank): qid, id, score, rank_<arm>, retrieval, place.
 

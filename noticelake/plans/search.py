@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import fulltext as FT
 from ..operators import vectors as V
 
 
-def search(queries: DataFrame, points: DataFrame | None, docs: DataFrame, k: int = 20, threshold: float = 0.5) -> DataFrame:
+def search(queries: DataFrame, points: DataFrame | None, index: FT.Index, k: int = 20, threshold: float = 0.5) -> DataFrame:
     """qid, id, score, place, retrieval, degraded_reason.
 
-    ``queries``: qid, text, qvec.  With ``points`` both arms run and are fused; without them the
+    ``queries``: qid, text, qvec; ``index``: the stored one.  With ``points`` both arms run and are fused; without them the
     lexical arm answers alone and the reason says so.  Nothing raises for a missing arm.
     """
-    lexical = V.lexical(queries.select("qid", "text"), docs, k).select("qid", F.col("doc_id").alias("id"), "score", "rank")
+    lexical = FT.lexical(queries.select("qid", "text"), index, k).select("qid", F.col("doc_id").alias("id"), "score", "rank")
     if points is None:
         return lexical.select("qid", "id", "score", F.col("rank").alias("place"), F.lit("lexical").alias("retrieval"), F.lit("vector_store_unavailable").alias("degraded_reason"))
     dense = V.top_k(queries.select("qid", "qvec"), points, k, threshold).select("qid", F.col("vec_id").alias("id"), "score", "rank")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import text as T
+from ..operators import fulltext as FT
 from ..operators import vectors as V
 from ..plans import search as P
 from ..registry import query, table
@@ -44,10 +45,15 @@ def _asked(spark, sf):
     return table(spark, sf, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("qid"), "text")
 
 
+def _index(spark, sf):
+    """The positional index of the documents, written once an application."""
+    return FT.index_of(table(spark, sf, "documents"))
+
+
 @query("lexical_overlap", f"WITH {_LEX} SELECT qid, doc_id, score, rank FROM l")
 def lexical_overlap(spark, sf):
     """V-02, V-03: rows meet through shared words only."""
-    return V.lexical(_asked(spark, sf), table(spark, sf, "documents"), 20).select("qid", "doc_id", "score", "rank")
+    return FT.lexical(_asked(spark, sf), _index(spark, sf), 20).select("qid", "doc_id", "score", "rank")
 
 
 @query(
@@ -61,24 +67,67 @@ def lexical_overlap(spark, sf):
 def rrf_hybrid(spark, sf):
     """V-05, V-06: both arms, fused by rank."""
     asked = _asked(spark, sf).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")), "qid")
-    return P.search(asked, table(spark, sf, "embeddings"), table(spark, sf, "documents"), 20, -0.2)
+    return P.search(asked, table(spark, sf, "embeddings"), _index(spark, sf), 20, -0.2)
 
 
 @query("degraded_search", f"WITH {_LEX} SELECT qid, doc_id AS id, score, rank AS place, 'lexical' AS retrieval, 'vector_store_unavailable' AS degraded_reason FROM l")
 def degraded_search(spark, sf):
     """V-06 without vectors: the lexical arm alone, and the reason."""
-    return P.search(_asked(spark, sf), None, table(spark, sf, "documents"), 20)
+    return P.search(_asked(spark, sf), None, _index(spark, sf), 20)
+
+
+_STEM = """CASE WHEN length({t}) > 3 AND regexp_matches({t}, 'ies$') AND NOT regexp_matches({t}, '[ea]ies$') THEN regexp_replace({t}, 'ies$', 'y')
+ WHEN length({t}) > 3 AND (regexp_matches({t}, 'es$') AND NOT regexp_matches({t}, '[aeo]es$') OR regexp_matches({t}, 's$') AND NOT regexp_matches({t}, '(us|ss|es)$')) THEN {t}[:-2] ELSE {t} END"""
+
+
+def _typed(spark, sf):
+    """Questions as people type them, made from the words of every item: phrases, choices, exclusions, plurals."""
+    w, k = FT.tokens(F.col("text")), F.col("item_id") % 3
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), w.alias("w"), k.alias("k"))
+    word = lambda i: F.coalesce(F.get("w", i), F.lit("x"))
+    text = (
+        F.when(F.col("k") == 0, F.concat(F.lit('"'), word(0), F.lit(" "), word(1), F.lit('" '), word(2), F.lit('"')))
+        .when(F.col("k") == 1, F.concat(word(0), F.lit("s "), word(1), F.lit(' OR "'), word(2), F.lit(" "), word(3), F.lit('" -'), word(4)))
+        .otherwise(F.concat(word(0), F.lit(' -"'), word(1), F.lit(" "), word(2), F.lit('"')))
+    )
+    return b.select("qid", text.alias("text"))
+
+
+@query(
+    "websearch",
+    rf"""WITH b AS (SELECT item_id AS qid, item_id % 3 AS k, [coalesce(w[i], 'x') FOR i IN range(1, 6)] AS w FROM (SELECT item_id, regexp_extract_all(lower(text), '(\p{{L}}+|\p{{N}}+)', 1) AS w FROM benchmark)),
+    q AS (SELECT qid, unnest(CASE k WHEN 0 THEN [{{'c': 0, 'i': 0, 'neg': false, 'w': w[1:2]}}, {{'c': 0, 'i': 1, 'neg': false, 'w': w[3:3]}}]
+      WHEN 1 THEN [{{'c': 0, 'i': 0, 'neg': false, 'w': [w[1] || 's']}}, {{'c': 0, 'i': 1, 'neg': false, 'w': w[2:2]}}, {{'c': 1, 'i': 3, 'neg': false, 'w': w[3:4]}}, {{'c': 1, 'i': 4, 'neg': true, 'w': w[5:5]}}]
+      ELSE [{{'c': 0, 'i': 0, 'neg': false, 'w': w[1:1]}}, {{'c': 0, 'i': 1, 'neg': true, 'w': w[2:3]}}] END, recursive := true) FROM b),
+    a AS (SELECT *, {_STEM.format(t='t')} AS stem FROM (SELECT qid, c, i, neg, len(w) AS n, unnest(w) AS t, generate_subscripts(w, 1) AS k FROM q)),
+    d AS (SELECT doc_id, regexp_extract_all(lower(text), '(\p{{L}}+|\p{{N}}+)', 1) AS w FROM documents),
+    p AS (SELECT *, {_STEM.format(t='t')} AS stem FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS pos FROM d)),
+    s AS (SELECT qid, c, i, neg, doc_id, pos - k AS start FROM p JOIN a USING (stem) GROUP BY qid, c, i, neg, n, doc_id, pos - k HAVING count(*) = n),
+    f AS (SELECT qid, c, i, neg, doc_id, count(*) AS times, count(*) OVER (PARTITION BY qid, i) AS docs FROM s GROUP BY qid, c, i, neg, doc_id),
+    h AS (SELECT qid, c, doc_id, count(*) FILTER (WHERE NOT neg) AS have, bool_or(neg) AS gone,
+      sum(times / (times + 1.2::DOUBLE) * ln(1 + (SELECT count(DISTINCT doc_id) FROM documents) / docs)) FILTER (WHERE NOT neg) AS score FROM f GROUP BY 1, 2, 3),
+    m AS (SELECT qid, doc_id, round(max(score), 6) AS score FROM h JOIN (SELECT qid, c, count(DISTINCT i) FILTER (WHERE NOT neg) AS items FROM q GROUP BY 1, 2) USING (qid, c) WHERE NOT gone AND have = items AND items > 0 GROUP BY 1, 2)
+    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM m QUALIFY rank <= 20""",
+)
+def websearch(spark, sf):
+    """V-02: phrases, choices and exclusions over the positional index, ranked by frequency and rarity."""
+    return FT.search(_typed(spark, sf), _index(spark, sf), 20)
 
 
 @query(
     "code_probe",
-    r"""WITH c AS (SELECT page_id, list_filter(list_distinct(regexp_extract_all(upper(url), '([A-Z0-9]+(?:-[A-Z0-9]+)+)', 1)), lambda x: regexp_matches(x, '\d'))[1:3] AS codes FROM (SELECT page_id, url || '/ab-' || page_id AS url FROM pages))
-    SELECT page_id, unnest(codes) AS code FROM c""",
+    r"""WITH q AS (SELECT page_id AS qid, unnest(['PB-' || page_id % 97, 'nothing', 'pb-7' || page_id % 10]) AS code, unnest([0, 9, 1]) AS nth FROM pages WHERE page_id % 100 = 0),
+    l AS (SELECT doc_id AS id, lower(source || chr(10) || 'Lot pb-' || doc_id) AS label FROM documents),
+    m AS (SELECT qid, id, min((nth, upper(code))) AS x FROM q JOIN l ON nth < 9 AND contains(label, lower(code)) GROUP BY 1, 2)
+    SELECT qid, id, x[2] AS code, row_number() OVER (PARTITION BY qid ORDER BY x[1], id) AS rank FROM m QUALIFY rank <= 5""",
 )
 def code_probe(spark, sf):
-    """V-04: hyphenated codes with a digit, the first three."""
-    u = F.concat("url", F.lit("/ab-"), F.col("page_id").cast("string"))
-    return table(spark, sf, "pages").select("page_id", F.explode(T.reference_codes(u)).alias("code"))
+    """V-04: the hyphenated codes of a question, looked up in the short columns of all rows."""
+    k = F.col("page_id")
+    text = F.concat(F.lit("what of PB-"), (k % 97).cast("string"), F.lit(", well-known, or pb-7"), (k % 10).cast("string"), F.lit("?"))
+    asked = table(spark, sf, "pages").where(k % 100 == 0).select(k.alias("qid"), text.alias("text"))
+    labels = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", F.concat(F.lit("Lot pb-"), F.col("doc_id").cast("string")).alias("lot"))
+    return FT.probe(asked, labels)
 
 
 @query(
@@ -121,7 +170,7 @@ def similar_awards(spark, sf):
 @query("near_duplicate_selection")
 def near_duplicate_selection(spark, sf):
     """X-20 with W-04: the lexical hits of each query, walked in rank order."""
-    hits = V.lexical(_asked(spark, sf), table(spark, sf, "documents"), 60).join(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
+    hits = FT.lexical(_asked(spark, sf), _index(spark, sf), 60).join(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
     return V.select_passages(hits.select("qid", "doc_id", F.col("source").alias("notice"), "rank", "text"), 8)
 
 
@@ -191,7 +240,7 @@ def open_digest(spark, sf):
 def _hits(spark, sf, k: int):
     """Lexical hits of the stated questions with what an answer shows of them."""
     d = table(spark, sf, "documents")
-    hits = V.lexical(_asked(spark, sf), d, k)
+    hits = FT.lexical(_asked(spark, sf), _index(spark, sf), k)
     shown = d.select("doc_id", F.col("source").alias("notice"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), (F.col("doc_id") % 2 == 0).alias("open"), "text")
     return hits.join(shown, "doc_id")
 
@@ -202,7 +251,7 @@ def _hits(spark, sf, k: int):
 )
 def rank_scores(spark, sf):
     """W-05: what a rank alone is worth in a fusion of one arm."""
-    one = V.lexical(_asked(spark, sf), table(spark, sf, "documents"), 20).withColumnRenamed("doc_id", "id")
+    one = FT.lexical(_asked(spark, sf), _index(spark, sf), 20).withColumnRenamed("doc_id", "id")
     return V.fuse([("lexical", one)]).select("qid", "id", F.col("rank_lexical").alias("rank"), "score")
 
 
