@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_small, let, stored, table
+from .common import held_small, let, stored, table, text_key
 
 THRESHOLD, MIN_CHARS = 2, 30
 #: Lengths of a class; rows of a key beyond which it is split.
@@ -139,8 +139,8 @@ def letters_apart(a: Column, b: Column) -> Column:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line.  Null text is one empty line, like empty text."""
-    return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    """doc_id, text_key, line_no (from 0), line.  Null text is one empty line, like empty text."""
+    return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
 
 
 def position(doc_id: Column, line_no: Column) -> Column:
@@ -196,11 +196,13 @@ def edit_links(distinct: DataFrame, threshold: int = THRESHOLD, hot: int = HOT)
 
 
 def removals(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, every: bool = True) -> DataFrame:
-    """One row per doc_id: doc_id, n_lines, n_removed, removed (line numbers from 0, ascending).
+    """One row per document: doc_id, text_key, n_lines, n_removed, removed (line numbers from 0, ascending).
 
     Later copies of equal lines go unless they are blank; within a document too.  ``min_chars``, CLASS at
-    least, holds for the edit join; without ``every`` for equal lines as well.  Rows that repeat a doc_id
-    count as one document with the lines of both.  Null text is one empty line.  Empty table: no rows.
+    least, holds for the edit join; without ``every`` for equal lines as well.  A document is its doc_id and
+    text: rows that repeat both are one document's lines twice and lose the same ones, rows of one doc_id with
+    different texts are judged each for itself, and equal lines at the same place of theirs stay in all.  A document
+    without doc_id loses nothing and is earlier than none.  Null text is one empty line.  Empty table: no rows.
     """
     if min_chars < CLASS:
         raise ValueError(f"segments need lines of {CLASS} characters or more")
@@ -216,26 +218,30 @@ def removals(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_C
         "line", F.least("first", F.coalesce("earliest", "first")).alias("earliest"), (F.col("earliest") < F.col("first")).alias("moved"), "copies"
     )
     known = held_small(stored(known.where("copies > 1 OR moved").select(*marks(), "earliest"), "line-known"), HELD)
-    seen = lines.select("doc_id", "line_no", *marks(), judged(F.col("line"), min_chars, every).alias("judged"))
+    seen = lines.select("doc_id", "text_key", "line_no", *marks(), judged(F.col("line"), min_chars, every).alias("judged"))
     gone = F.col("judged") & (F.col("earliest") < position(F.col("doc_id"), F.col("line_no")))
     number = F.when(F.coalesce(gone, F.lit(False)), F.col("line_no"))
-    return seen.join(known, ["h", "h2"], "left").groupBy("doc_id").agg(
+    return seen.join(known, ["h", "h2"], "left").groupBy("doc_id", "text_key").agg(
         F.count("*").alias("n_lines"), F.count(number).alias("n_removed"), F.array_sort(F.collect_list(number)).alias("removed")
     )
 
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with the lines of ``removals`` taken out of text; other columns as they are, null texts too."""
-    found = removals(docs, threshold, min_chars).select("doc_id", F.col("removed").alias("__removed"))
+    """``docs`` with the lines of ``removals`` taken out of text; other columns as they are, null texts too.
+
+    Each row loses the lines of its own text: rows that repeat a doc_id keep apart, and rows without one stay whole.
+    """
+    found = removals(docs, threshold, min_chars).where("n_removed > 0")
+    found = found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("removed").alias("__removed"))
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed", i))
-    joined = docs.join(found, "doc_id", "left").withColumn("text", F.array_join(kept, "\n"))
-    return joined.select(*docs.columns)
+    joined = docs.join(found, (docs["doc_id"] == F.col("__id")) & (text_key(docs["text"]) == F.col("__key")), "left")
+    return joined.withColumn("text", F.when(F.col("__id").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later copies of equal lines that are not blank, and lines within two edits of an earlier one of 30 characters or more."""
     found = removals(table(spark, sf_dir, "documents"))
-    return found.withColumn("removed", F.concat_ws(",", F.col("removed").cast("array<string>")))
+    return found.select("doc_id", "n_lines", "n_removed", F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed"))
 
 
 def op10_line_dedup_short(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,3 +127,11 @@ def test_lines_without_segments_are_refused(none):
 
     with pytest.raises(ValueError):
         L.removals(none, min_chars=7)
+
+
+def test_each_row_keeps_the_lines_that_are_its_own(spark):
+    rows = [(5, "alpha\nbravo", "x"), (5, "bravo\ncharlie", "x"), (None, "alpha\ndelta", "y"), (None, None, None), (9, "delta\nalpha\n\necho", "z"), (9, "delta\nalpha\n\necho", "z"), (10, None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key string")
+    found = sorted((tuple(r) for r in L.dedup_lines(docs).collect()), key=str)
+    expected = [(5, "alpha", "x"), (5, "bravo\ncharlie", "x"), (None, "alpha\ndelta", "y"), (None, None, None), (9, "delta\n\necho", "z"), (9, "delta\n\necho", "z"), (10, None, "n")]
+    assert found == sorted(expected, key=str)
