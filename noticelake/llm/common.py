@@ -50,8 +50,8 @@ def without(docs: DataFrame, dropped: DataFrame, held: int = 1_000_000) -> DataF
     null and empty texts are one.  A null doc_id stays.
     """
     ids = stored(dropped.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "dropped")
-    gone = (docs["doc_id"] == F.col("__id")) & (text_key(docs["text"]) == F.col("__key"))
-    return docs.join(held_small(ids, held), gone, "left_anti").select(*docs.columns)
+    gone = (docs["doc_id"] == ids["__id"]) & (text_key(docs["text"]) == ids["__key"])
+    return docs.join(held_small(ids, held), gone, "left_anti")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

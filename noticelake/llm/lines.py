@@ -233,9 +233,10 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     """
     found = removals(docs, threshold, min_chars).where("n_removed > 0")
     found = found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("removed").alias("__removed"))
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed", i))
-    joined = docs.join(found, (docs["doc_id"] == F.col("__id")) & (text_key(docs["text"]) == F.col("__key")), "left")
-    return joined.withColumn("text", F.when(F.col("__id").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    kept = F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains(found["__removed"], i))
+    joined = docs.join(found, (docs["doc_id"] == found["__id"]) & (text_key(docs["text"]) == found["__key"]), "left")
+    text = F.when(found["__id"].isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*(text.alias(c) if c == "text" else docs[c] for c in docs.columns))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
