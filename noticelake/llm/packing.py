@@ -2,8 +2,8 @@
 
 A piece of n tokens costs ``n + QUADRATIC * n**2`` (projections grow with n, attention with its
 square).  A document's full runs of ``size`` tokens are sequences of their own.  What is left
-of each document is dealt by a hash of its id to shards of a bounded number of documents; in a
-shard, remainders go in descending order to the cheapest sequence that has room.  The shard
+of each document is dealt by a hash of its id and its place in the input, so that rows which repeat an
+id spread too, to shards of a bounded number of documents; in a shard, remainders go in descending order to the cheapest sequence that has room.  The shard
 opens just the sequences its tokens fill: as many of ``size`` as fit, and the powers of two
 that make up the rest.  A remainder that no sequence can hold is cut to
 fill the cheapest, so every sequence ends exactly full and nothing is padded.
@@ -43,6 +43,7 @@ _PIECES = pa.schema(
 )
 _PARTS = pa.schema(
     [
+        ("row", pa.int64()),
         ("doc_id", pa.int64()),
         ("doc_tokens", pa.int64()),
         ("start", pa.int64()),
@@ -86,13 +87,13 @@ def _parts(path: str, size: int):
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in it:
-                for doc_id, ids in zip(b[0].to_pylist(), tokenizer(path).encode(utf8(b[1])), strict=True):
+                for row, doc_id, ids in zip(b[0].to_pylist(), b[1].to_pylist(), tokenizer(path).encode(utf8(b[2])), strict=True):
                     full, n = len(ids) // size, len(ids)
                     sums = [crc(ids[i * size : (i + 1) * size]) for i in range(full)]
                     for k in range(0, full, RUNS):
-                        yield doc_id, n, k * size, sums[k : k + RUNS], b""
+                        yield row, doc_id, n, k * size, sums[k : k + RUNS], b""
                     if n % size:
-                        yield doc_id, n, full * size, [], ids[full * size :].astype(kind).tobytes()
+                        yield row, doc_id, n, full * size, [], ids[full * size :].astype(kind).tobytes()
 
         kind = "<u2" if tokenizer(path).vocabulary <= 1 << 16 else "<u4"
         return batches(rows(), _PARTS, 512)
@@ -103,7 +104,7 @@ def _parts(path: str, size: int):
 def _pack(path: str, size: int):
     def pack(key: tuple, held: pa.Table) -> pa.Table:
         kind = "<u2" if tokenizer(path).vocabulary <= 1 << 16 else "<u4"
-        held = held.sort_by([("doc_id", "ascending"), ("start", "ascending")])  # the same result on a retry
+        held = held.sort_by([("doc_id", "ascending"), ("row", "ascending"), ("start", "ascending")])  # the same result on a retry
         names = ("doc_id", "doc_tokens", "start", "runs", "rest")
         rows = list(zip(*(held[x].to_pylist() for x in names), strict=True))
         rests = [np.frombuffer(r[4] or b"", kind) for r in rows]
@@ -134,10 +135,9 @@ def pack_documents(docs: DataFrame, path: str, size: int = SIZE, docs_in_shard:
         raise ValueError("size must be a power of two")
     short_batches(docs.sparkSession)
     shards = max(1, -(-docs.count() // docs_in_shard))
-    parts = docs.select("doc_id", "text").mapInArrow(
-        _parts(path, size), "doc_id long, doc_tokens long, start long, runs array<long>, rest binary"
-    )
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    parts = numbered.mapInArrow(_parts(path, size), "row long, doc_id long, doc_tokens long, start long, runs array<long>, rest binary")
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("row", "doc_id", "start"), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(
         _pack(path, size),
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",

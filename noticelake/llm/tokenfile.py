@@ -27,10 +27,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, shared_dir, short_batches, stored, table, utf8
+from .common import batches, shared_dir, short_batches, stored, table, text_key, utf8
 from .tokens import default_path, tokenizer
 
 MAGIC, BLOCK = b"TOKPACK1", 8192
+#: Stands in a file for a document without an id.
+NO_ID = -(1 << 63)
 _HEAD, _TAIL = struct.Struct("<8sII"), struct.Struct("<QQQ8s")
 
 
@@ -78,7 +80,7 @@ class Writer:
         stream.write(_HEAD.pack(MAGIC, self.bits, block))
 
     def add(self, doc_id: int, ids: np.ndarray) -> None:
-        self.docs.append(doc_id)
+        self.docs.append(NO_ID if doc_id is None else doc_id)
         self.ids += len(ids)
         self.starts.append(self.ids)
         self.held.append(ids)
@@ -131,7 +133,7 @@ class Reader:
         n = min(self.n_ids, b * self.block) - a * self.block
         return unpack(data, self.bits, n)[start - a * self.block : stop - a * self.block]
 
-    def documents(self, ahead: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray]]:
+    def documents(self, ahead: int = 1 << 20) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, start, ids) in file order, unpacking about ``ahead`` ids at a time."""
         k = 0
         while k < len(self.doc_ids):
@@ -141,27 +143,29 @@ class Reader:
             ids = self.ids(base, int(self.starts[stop]))
             for i in range(k, stop):
                 a, b = int(self.starts[i]), int(self.starts[i + 1])
-                yield int(self.doc_ids[i]), a, ids[a - base : b - base]
+                doc_id = int(self.doc_ids[i])
+                yield None if doc_id == NO_ID else doc_id, a, ids[a - base : b - base]
             k = stop
 
 
 def _writer(path: str, folder: str):
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "first_id", "n_docs", "n_ids"]
-        out, where, name, place = None, None, None, None
+        names = ["path", "first_id", "first_key", "n_docs", "n_ids"]
+        out, where, name, place, first = None, None, None, None, None
         for b in it:
             if b.num_rows and out is None:
                 where, place = fs.FileSystem.from_uri(folder)
                 where.create_dir(place, recursive=True)
                 name = uuid.uuid4().hex
+                first = b[1][0].as_py()
                 out = Writer(where.open_output_stream(f"{place}/.{name}.part"), tokenizer(path).vocabulary)
-            for doc_id, ids in zip(b[0].to_pylist(), tokenizer(path).encode(utf8(b[1])), strict=True):
+            for doc_id, ids in zip(b[0].to_pylist(), tokenizer(path).encode(utf8(b[2])), strict=True):
                 out.add(doc_id, ids)
         if out is not None:
             out.close()
             where.move(f"{place}/.{name}.part", f"{place}/{name}.tok")
             yield pa.RecordBatch.from_pydict(
-                dict(zip(names, ([f"{folder}/{name}.tok"], [out.docs[0]], [len(out.docs)], [out.ids]), strict=True))
+                dict(zip(names, ([f"{folder}/{name}.tok"], [out.docs[0]], [first], [len(out.docs)], [out.ids]), strict=True))
             )
 
     return write
@@ -170,14 +174,15 @@ def _writer(path: str, folder: str):
 def write_tokens(docs: DataFrame, folder: str, path: str) -> DataFrame:
     """Write ``docs`` (doc_id, text) in ascending doc_id order; the table of files is returned.
 
-    Columns: path, first_id, n_docs, n_ids, base (ids in all files before).  Null and empty
-    texts get the end id alone.  Empty table: no file.  Rows that repeat a doc_id stay side by
-    side in one file.
+    Columns: path, first_id, first_key, n_docs, n_ids, base (ids in all files before).  Null and empty
+    texts get the end id alone.  Empty table: no file.  Rows that repeat a doc_id stand side by side in the order of
+    a hash of their texts, over several files where they are many; those without an id come first.
     """
     short_batches(docs.sparkSession)
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    files = stored(ordered.mapInArrow(_writer(path, folder), "path string, first_id long, n_docs long, n_ids long"), "token-files")
-    before = Window.orderBy("first_id").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    keyed = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
+    ordered = keyed.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key")
+    files = stored(ordered.mapInArrow(_writer(path, folder), "path string, first_id long, first_key long, n_docs long, n_ids long"), "token-files")
+    before = Window.orderBy("first_id", "first_key").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 

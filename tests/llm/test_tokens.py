@@ -162,3 +162,24 @@ def test_assign_balances_cost():
             cost[s] += n + packing.QUADRATIC * n * n
     assert max(cost) <= 1.1 * min(cost)
     assert len(pieces) - len(lengths) <= n_full + 10
+
+
+def test_rows_that_repeat_an_id_or_have_none(spark, tmp_path):
+    """They spread over shards and files, each is whole once, and a second run gives the same."""
+    from noticelake.llm import packing, tokenfile
+    from noticelake.llm.tokens import default_path
+
+    rows = [(7, f"word {i} and {'more ' * (i % 9)}") for i in range(300)] + [(None, "no id"), (None, None), (7, "word 1 and more "), (8, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    packed = packing.pack_documents(docs, default_path(), docs_in_shard=64)
+    found = packed.collect()
+    shards = {}
+    for r in found:
+        shards.setdefault(r["sequence_id"] >> 32, []).append(r)
+    assert len(shards) > 3 and max(len(x) for x in shards.values()) < 150
+    encoded = tokenfile.read_digests(tokenfile.write_tokens(docs, f"file://{tmp_path}/t", default_path())).collect()
+    assert sum(r["length"] for r in found) == sum(r["n_tokens"] for r in encoded) and len(encoded) == len(rows)
+    ids = [r["doc_id"] for r in sorted(encoded, key=lambda r: r["start"])]
+    assert ids == [None, None] + [7] * 301 + [8]
+    again = tokenfile.read_digests(tokenfile.write_tokens(docs.repartition(2), f"file://{tmp_path}/u", default_path())).collect()
+    assert sorted(map(str, again)) == sorted(map(str, encoded))
