@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..operators import vectors as V
 from ..streaming.buckets import Keyed
 
-SCHEMA = StructType.fromDDL("notice long, rank int, neighbour long, score double, passage long, version int")
+SCHEMA = "notice long, rank int, neighbour long, score double, passage long, version int"
 
 
 def store(spark: SparkSession, path: str, buckets: int = 32) -> Keyed:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -10,48 +11,77 @@ from ..operators import aggregates as A
 from ..registry import query, table
 from ..session import scratch
 from ..sources import files as L
-from ..sources import paged
+from ..sources import paged, service
 from ..sources import records as R
+from ..streaming import buckets as B
+from ..streaming import flushes, ledgers
 from ..streaming import incremental as I
+from ..streaming import runs as U
 from ..streaming import windows as W
 
 _SNAPSHOTS = """old AS (SELECT doc_id, source, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0),
-new AS (SELECT CASE WHEN doc_id % 41 = 0 THEN NULL ELSE doc_id END AS doc_id, source, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0)"""
+new AS (SELECT CASE WHEN doc_id % 41 = 0 THEN NULL ELSE doc_id END AS doc_id, source, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS h, 1 AS version, doc_id // 100 AS page FROM documents WHERE doc_id % 11 <> 0
+ UNION ALL SELECT doc_id, source, sha256(text || '?'), 2, doc_id // 100 FROM documents WHERE doc_id % 13 = 0 UNION ALL SELECT doc_id, source, sha256('old'), 0, doc_id // 100 FROM documents WHERE doc_id % 17 = 0)"""
+_LATEST = "lat AS (SELECT * FROM new WHERE doc_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY version DESC) = 1)"
+_ACTION = "CASE WHEN lat.source = 'src3' THEN 'out_of_scope' WHEN old.doc_id IS NULL THEN 'create' WHEN old.h = lat.h OR lat.version < 1 THEN 'unchanged' ELSE 'update' END"
 
 
 def _snapshots(spark, sf):
+    """A table and what a service sends of it: changed rows, rows without a key, a key twice, rows that are too old."""
     d = table(spark, sf, "documents")
-    old = d.where("doc_id % 7 <> 0").select("doc_id", "source", F.sha2("text", 256).alias("h"))
+    old = d.where("doc_id % 7 <> 0").select("doc_id", "source", F.sha2("text", 256).alias("h"), F.lit(1).alias("version"))
     text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    new = d.where("doc_id % 11 <> 0").select(F.when(F.col("doc_id") % 41 != 0, F.col("doc_id")).alias("doc_id"), "source", F.sha2(text, 256).alias("h"))
-    return old, new
+    page = F.floor(F.col("doc_id") / 100).alias("page")
+    new = d.where("doc_id % 11 <> 0").select(F.when(F.col("doc_id") % 41 != 0, F.col("doc_id")).alias("doc_id"), "source", F.sha2(text, 256).alias("h"), F.lit(1).alias("version"), page)
+    twice = d.where("doc_id % 13 = 0").select("doc_id", "source", F.sha2(F.concat("text", F.lit("?")), 256).alias("h"), F.lit(2).alias("version"), page)
+    late = d.where("doc_id % 17 = 0").select("doc_id", "source", F.sha2(F.lit("old"), 256).alias("h"), F.lit(0).alias("version"), page)
+    return old, new.union(twice).union(late)
 
 
 @query(
     "content_hash_upsert",
-    f"WITH {_SNAPSHOTS}, c AS (SELECT * FROM old WHERE doc_id NOT IN (SELECT doc_id FROM new WHERE doc_id IS NOT NULL) UNION ALL SELECT * FROM new WHERE doc_id IS NOT NULL) SELECT doc_id, h FROM c",
+    f"WITH {_SNAPSHOTS}, {_LATEST}, c AS (SELECT doc_id, h FROM old WHERE doc_id NOT IN (SELECT doc_id FROM lat WHERE version >= 1) UNION ALL SELECT doc_id, h FROM lat WHERE version >= 1 OR doc_id NOT IN (SELECT doc_id FROM old)) SELECT doc_id, h FROM c",
 )
 def content_hash_upsert(spark, sf):
-    """F-04, ST-01: the table after the upsert."""
+    """F-04, ST-01: the table after the upsert, the newest row of a key at most."""
     old, new = _snapshots(spark, sf)
-    return I.upsert(old, new, "doc_id", "h").select("doc_id", "h")
+    return I.upsert(old, new, "doc_id", "h", "version").select("doc_id", "h")
 
 
 @query(
     "upsert_counters",
-    f"""WITH {_SNAPSHOTS} SELECT CASE WHEN new.doc_id IS NULL THEN 'skipped' WHEN new.source = 'src3' THEN 'out_of_scope' WHEN old.doc_id IS NULL THEN 'create' WHEN old.h = new.h THEN 'unchanged' ELSE 'update' END AS action, count(*) AS n
-    FROM new LEFT JOIN old ON new.doc_id = old.doc_id GROUP BY 1""",
+    f"""WITH {_SNAPSHOTS}, {_LATEST} SELECT {_ACTION} AS action, count(*) AS n FROM lat LEFT JOIN old USING (doc_id) GROUP BY 1 UNION ALL SELECT 'skipped', count(*) FROM new WHERE doc_id IS NULL HAVING count(*) > 0""",
 )
 def upsert_counters(spark, sf):
-    """ST-01, ST-02, P-23"""
+    """ST-01, P-23: one action a key."""
     old, new = _snapshots(spark, sf)
-    return I.changes(old, new, "doc_id", "h", F.col("source") != "src3").groupBy("action").agg(F.count("*").alias("n"))
+    return I.changes(old, new, "doc_id", "h", F.col("source") != "src3", "version").groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query("partition_counters", f"WITH {_SNAPSHOTS} SELECT source, count(*) AS fetched, count(*) FILTER (WHERE doc_id IS NULL) AS skipped FROM new GROUP BY source")
+@query(
+    "sync_audit",
+    f"""WITH {_SNAPSHOTS}, a AS (SELECT * FROM new WHERE page <> 3), {_LATEST.replace('FROM new', 'FROM a')}, c AS (SELECT {_ACTION} AS x FROM lat LEFT JOIN old USING (doc_id))
+    SELECT CASE WHEN (SELECT max(page) FROM new) >= 3 THEN 'partial' ELSE 'success' END AS status, (SELECT count(DISTINCT page) FROM a) AS pages_fetched, (SELECT count(DISTINCT page) FROM new WHERE page = 3) AS pages_failed,
+    (SELECT count(*) FROM a) AS seen, (SELECT count(*) FROM a WHERE doc_id IS NULL) AS skipped, count(*) FILTER (WHERE x = 'create') AS created, count(*) FILTER (WHERE x = 'update') AS updated, count(*) FILTER (WHERE x = 'unchanged') AS unchanged,
+    count(*) FILTER (WHERE x = 'out_of_scope') AS out_of_scope, (SELECT count(doc_id) FROM a) - count(*) AS superseded FROM c""",
+)
+def sync_audit(spark, sf):
+    """ST-02, P-23: the audit row of a run of which a page failed, counted in the pass that writes the table."""
+    old, new = _snapshots(spark, sf)
+    folder = scratch(spark, "sync")
+    kept = B.Keyed(spark, f"{folder}/table", "doc_id", "doc_id long, source string, h string, version int")
+    kept.upsert(old, "h", "version")
+    good = new.where("page <> 3").withColumn("error", F.lit(None).cast("string"))
+    bad = new.where("page = 3").limit(1).select(*(F.lit(None).cast(t).alias(c) for c, t in new.dtypes if c != "page"), "page", F.lit("limit").alias("error"))
+    row = U.sync(kept, good.unionByName(bad), "h", "version", f"{folder}/runs", F.col("source") != "src3", "query")
+    names = ["status", "pages_fetched", "pages_failed", "seen", "skipped", "created", "updated", "unchanged", "out_of_scope", "superseded"]
+    return U.runs(spark, f"{folder}/runs").where(F.col("run") == row["run"]).select(*names)
+
+
+@query("partition_counters", f"WITH {_SNAPSHOTS} SELECT source, count(*) AS fetched, count(*) FILTER (WHERE doc_id IS NULL) AS skipped FROM new WHERE version = 1 GROUP BY source")
 def partition_counters(spark, sf):
     """ST-03: one pass with counters of every partition."""
-    return _snapshots(spark, sf)[1].groupBy("source").agg(F.count("*").alias("fetched"), F.count_if(F.col("doc_id").isNull()).alias("skipped"))
+    return _snapshots(spark, sf)[1].where("version = 1").groupBy("source").agg(F.count("*").alias("fetched"), F.count_if(F.col("doc_id").isNull()).alias("skipped"))
 
 
 @query("incremental_index", "SELECT doc_id, source FROM documents WHERE NOT (doc_id % 3 <> 0 AND doc_id % 4 <> 1 AND lang <> 'de')")
@@ -135,14 +165,12 @@ def stream_upserts(spark, sf):
     folder = scratch(spark, "upserts")
     part = F.floor(F.col("event_id") * 3 / F.lit(bounds["n"] or 1))
     rows = e.select("user_id", "event_id", F.struct("ts", "event_id").alias("order_key"), F.sha2(F.col("event_id").cast("string"), 256).alias("h"))
+    kept = B.Keyed(spark, f"{folder}/table", "user_id", rows.schema)
     for k in (2, 1, 0):  # each append is a batch; later ones hold older rows
         rows.where(part == k).write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
-        I.stream_upsert(stream, f"{folder}/table", "user_id", "h", "order_key", f"{folder}/checkpoint")
-    last = I.current_version(spark, f"{folder}/table")
-    if last is None:
-        return spark.createDataFrame([], "user_id long, event_id long")
-    return I.read_version(spark, f"{folder}/table", last).select("user_id", "event_id")
+        B.stream_upsert(stream, kept, "h", "order_key", f"{folder}/checkpoint")
+    return kept.read().select("user_id", "event_id")
 
 
 @query(
@@ -154,31 +182,132 @@ def paged_records(spark, sf):
     """S-01 to S-03: landed pages read by offset as a service serves them; a page that fails is an error row and no stop."""
     folder = scratch(spark, "pages")
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.floor(F.col("o_orderkey") / 500) * 500).alias("page"))
-    bodies = o.groupBy("page").agg(F.to_json(F.struct(F.collect_list(F.struct("id")).alias("notices"))).alias("body"))
+    most = o.agg(F.max("page")).first()[0]
+    total = F.lit(0 if most is None else most + 500).cast("string").alias("total")
+    bodies = o.groupBy("page").agg(F.to_json(F.struct(total, F.collect_list(F.struct("id")).alias("notices"))).alias("body"))
     body = F.when(F.col("page") == 1500, F.lit('{"error": "limit"}')).otherwise(F.col("body"))
-    pages = bodies.select("page", body.alias("value"))
-    pages.write.partitionBy("page").text(folder)
-    most = pages.agg(F.max("page")).first()[0]
-    found = paged.read_pages(spark, landed(folder), (most or 0) + 500 if most is not None else 0, 500, "notices", 1)
-    record = F.from_json("record", "id long")["id"]
-    return found.groupBy(F.col("offset").alias("page")).agg(
-        F.count(record).alias("records"), F.coalesce(F.sum(record), F.lit(0)).alias("total"), F.max(F.col("error").isNotNull()).alias("failed")
-    )
+    bodies.select(F.lit("all").alias("scope"), "page", body.alias("value")).write.partitionBy("scope", "page").text(folder)
+    service.register(spark, "landed_pages", service.Service(landed(folder), ("id",), "notices", rows=500, attempts=1))
+    found = spark.read.format("landed_pages").load()
+    record = F.col("id").cast("long")
+    return found.groupBy("page").agg(F.count(record).alias("records"), F.coalesce(F.sum(record), F.lit(0)).alias("total"), F.max(F.col("error").isNotNull()).alias("failed"))
 
 
-def landed(folder: str):
-    """A fetch function over pages that Spark wrote as text under ``page=<offset>``."""
+def landed(folder: str, total: dict[int, int] | None = None):
+    """A fetch function over pages that Spark wrote as text under ``scope=<name>/page=<offset>``; a page that is not there is empty.
 
-    def fetch(offset: int, rows: int) -> str:
+    The name of a scope is that of its filters' values in order of their names, hashed; ``all`` without a filter.
+    """
+
+    def fetch(filters: dict, offset: int, rows: int) -> str:
         from pyarrow import fs
 
-        where, place = fs.FileSystem.from_uri(f"{folder}/page={offset}")
-        parts = [x for x in where.get_file_info(fs.FileSelector(place)) if x.base_name.startswith("part-")]
+        name = hashlib.md5("|".join(filters[k] for k in sorted(filters)).encode()).hexdigest() if filters else "all"
+        where, place = fs.FileSystem.from_uri(f"{folder}/scope={name}/page={offset}")
+        parts = [x for x in where.get_file_info(fs.FileSelector(place, allow_not_found=True)) if x.base_name.startswith("part-")]
+        if not parts:
+            return json.dumps({"notices": [], "total": (total or {}).get(len(filters))})
         return "".join(where.open_input_stream(x.path).read().decode() for x in parts)
 
     return fetch
 
 
+@query("resumed_walk", "SELECT o_orderkey, o_orderpriority FROM orders")
+def resumed_walk(spark, sf):
+    """ST-04, S-01, S-02: an archive walked by scope, stopped after a slice and gone on; scopes over the cap are divided by priority."""
+    folder = scratch(spark, "walk")
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    n = (o.agg(F.max("o_orderkey")).first()[0] or 0) + 1
+    rows, parts = max(100, n // 20), 5
+    one = o.select(F.md5("c_mktsegment").alias("scope"), (F.floor(F.col("o_orderkey") / rows) * rows).alias("page"), "o_orderkey", "o_orderpriority", F.lit(n).alias("total"))
+    both = F.md5(F.concat_ws("|", "o_orderpriority", "c_mktsegment"))
+    two = o.select(both.alias("scope"), (F.floor(F.col("o_orderkey") / (parts * rows)) * rows).alias("page"), "o_orderkey", "o_orderpriority", F.lit(-(-n // parts)).alias("total"))
+    record = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("priority"))
+    bodies = one.union(two).groupBy("scope", "page").agg(F.to_json(F.struct(F.max("total").alias("total"), F.collect_list(record).alias("notices"))).alias("value"))
+    bodies.write.partitionBy("scope", "page").text(folder)
+    segments = sorted(r[0] for r in table(spark, sf, "customer").select("c_mktsegment").distinct().collect())  # the few scopes of the archive
+    kinds = sorted(r[0] for r in table(spark, sf, "orders").select("o_orderpriority").distinct().collect())
+    divide = lambda scope: [scope | {"priority": p} for p in kinds] if len(scope) == 1 else []
+    cap = -(-n // 2 // rows) * rows
+    asked = service.Service(landed(folder, {1: n, 2: -(-n // parts)}), ("id", "priority"), "notices", rows=rows, cap=cap, scopes=tuple({"segment": s} for s in segments), divide=divide, pages=4, attempts=1)
+    kept = B.Keyed(spark, f"{folder}-table", "o_orderkey", "o_orderkey long, o_orderpriority string, h string")
+    take = lambda batch, _: kept.upsert(batch.select(F.col("id").cast("long").alias("o_orderkey"), F.col("priority").alias("o_orderpriority"), F.md5("record").alias("h")), "h")
+    for slices in (1, 40):  # stopped after one slice; the second walk finds where the first was
+        service.register(spark, "archive", asked)
+        service.walk(spark, "archive", take, f"{folder}-checkpoint", slices)
+    return kept.read().select("o_orderkey", "o_orderpriority")
+
+
+def _streamed(spark, rows, part, start, folder):
+    """``rows`` appended in three parts, each a batch of the stream that ``start`` makes; what it wrote."""
+    for k in range(3):
+        rows.where(part == k).write.mode("append").parquet(f"{folder}/in")
+        found = start(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+        out = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+        out.start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/out")
+
+
+@query(
+    "stream_retries",
+    """WITH g AS (SELECT *, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events),
+    a AS (SELECT *, count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS attempts FROM g QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+    SELECT user_id, attempts::INTEGER AS attempts, CASE WHEN event_type <> 'error' THEN 'done' WHEN attempts >= 4 THEN 'failed' ELSE 'retry' END AS status,
+    CASE WHEN event_type = 'error' AND attempts < 4 THEN date_trunc('milliseconds', ts) + to_seconds(least(60 * power(2, attempts - 1), 300)::INT) END AS next_retry_at FROM a""",
+)
+def stream_retries(spark, sf):
+    """ST-10, ST-12: the ledger that a stateful stream keeps of each user's attempts, over three batches."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") != "error").alias("ok"), F.col("event_id").alias("n"))
+    bounds = e.agg(F.min("at").cast("double").alias("a"), F.max("at").cast("double").alias("b")).first()
+    width = max(1.0, (bounds["b"] or 0) - (bounds["a"] or 0)) + 1
+    part = F.floor((F.col("at").cast("double") - (bounds["a"] or 0)) * 3 / width)
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = _streamed(spark, e, part, lambda s: ledgers.retry_ledger(s, 60, 300, 4, 400 * 86400, "1 second"), scratch(spark, "retries"))
+    finally:
+        spark.conf.set(setting, before)
+    last = rows.where("event = 'attempt'").groupBy("key").agg(F.max_by(F.struct("attempts", "status", "next_retry_at"), F.struct("at", "n")).alias("x"))
+    return last.select(F.col("key").cast("long").alias("user_id"), "x.attempts", "x.status", F.col("x.next_retry_at").cast("timestamp_ntz").alias("next_retry_at"))
+
+
+@query("stream_once", "SELECT DISTINCT user_id, time_bucket(INTERVAL 1 DAY, ts) AS day FROM events WHERE event_type = 'click'")
+def stream_once(spark, sf):
+    """M-05 on a stream: one request of a key in a window, over batches that are out of order by up to half a window."""
+    e = table(spark, sf, "events").where("event_type = 'click'").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("at"))
+    bounds = e.agg(F.min("at").cast("double").alias("a"), F.max("at").cast("double").alias("b")).first()
+    width = max(1.0, (bounds["b"] or 0) - (bounds["a"] or 0)) + 50_000
+    shifted = F.col("at").cast("double") - (bounds["a"] or 0) + (F.col("event_id") % 12) * 3600
+    found = _streamed(spark, e, F.floor(shifted * 3 / width), lambda s: ledgers.once_in_window(s, "user_id", "at", "1 day"), scratch(spark, "once"))
+    return found.select("user_id", F.date_trunc("day", "at").cast("timestamp_ntz").alias("day"))
+
+
+@query(
+    "flushed_batches",
+    """WITH RECURSIVE c AS (SELECT doc_id // 250 AS range, n_chars // 900 AS u, row_number() OVER (PARTITION BY doc_id // 250 ORDER BY doc_id) AS i FROM documents WHERE n_chars // 900 > 0),
+    w AS (SELECT range, i, u, 0 AS batch, 1 AS n, u AS total FROM c WHERE i = 1
+      UNION ALL SELECT c.range, c.i, c.u, CASE WHEN w.total >= 30 OR w.n >= 12 THEN batch + 1 ELSE batch END, CASE WHEN w.total >= 30 OR w.n >= 12 THEN 1 ELSE n + 1 END, CASE WHEN w.total >= 30 OR w.n >= 12 THEN c.u ELSE total + c.u END
+      FROM w JOIN c ON c.range = w.range AND c.i = w.i + 1)
+    SELECT range, batch::INTEGER AS batch, count(*)::INTEGER AS sources, sum(u)::BIGINT AS units, 'done' AS status FROM w GROUP BY 1, 2""",
+)
+def flushed_batches(spark, sf):
+    """ST-06, M-29: sources in batches of a budget, flushed in order; a run that was stopped goes on behind its last ledger row."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("source"), F.floor(F.col("n_chars") / 900).alias("units"))
+    cut = flushes.numbered(d, F.floor(F.col("source") / 250), "units", 30, 12)
+    none = spark.createDataFrame([], flushes.LEDGER)
+    ledger = scratch(spark, "flushes")
+
+    def stops(own) -> None:
+        if own["batch"].iloc[0] >= 2:
+            raise ConnectionError("the store is gone")
+
+    flushes.flush(cut, none, stops, (ConnectionError,)).write.parquet(ledger)
+    first = spark.read.schema(none.schema).parquet(ledger)
+    second = flushes.flush(cut, first, lambda own: None)
+    return first.where("status = 'done'").union(second).select("range", "batch", "sources", "units", "status")
+
+
 def fetch_from(text: dict[int, str]):
     """A fetch function for ``paged.read_pages`` over landed pages, for tests and replays."""
     return lambda offset, rows: text.get(offset, json.dumps({"error": f"no page at {offset}"}))

@@ -11,8 +11,10 @@ from ..functions import scalars as S
 from ..functions import text as T
 from ..operators import fulltext as FT
 from ..operators import vectors as V
+from ..plans import neighbours as N
 from ..plans import search as P
 from ..registry import query, table
+from ..session import scratch
 
 _COS = "round(list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6)"
 
@@ -167,6 +169,24 @@ def similar_awards(spark, sf):
     return best.withColumn("rank", rank.cast("long")).where("rank < 20")
 
 
+@query(
+    "kept_neighbours",
+    f"""WITH s AS (SELECT q.vec_id AS notice, e.vec_id % 60 AS neighbour, e.vec_id, {_COS.format(a='e.embedding', b='q.embedding')} AS score FROM embeddings e, embeddings q WHERE q.vec_id < 60 AND e.label IN (2, 5, 7) AND e.vec_id % 60 <> q.vec_id),
+    b AS (SELECT notice, neighbour, max(score) AS score, arg_min(vec_id, (-score, vec_id)) AS passage FROM s GROUP BY 1, 2)
+    SELECT notice, (row_number() OVER (PARTITION BY notice ORDER BY score DESC, neighbour) - 1)::INTEGER AS rank, neighbour, score, passage FROM b QUALIFY rank < 20""",
+)
+def kept_neighbours(spark, sf):
+    """V-09, V-08, V-11: award neighbours of every notice's representative, kept in buckets; an old version is computed anew when it is read."""
+    e = table(spark, sf, "embeddings")
+    passages = e.select("vec_id", (F.col("vec_id") % 60).alias("notice"), F.col("label").isin(2, 5, 7).alias("award"), "embedding")
+    reps = e.where("vec_id < 60").select(F.col("vec_id").alias("source"), "vec_id")
+    asked = reps.select(F.col("source").alias("notice"))
+    kept = N.store(spark, scratch(spark, "neighbours"))
+    N.refresh(kept, asked.where("notice < 20"), reps, passages, 1)
+    found = N.read_through(kept, asked, reps, passages, 2)
+    return found.select("notice", "rank", "neighbour", "score", "passage")
+
+
 @query("near_duplicate_selection")
 def near_duplicate_selection(spark, sf):
     """X-20 with W-04: the lexical hits of each query, walked in rank order."""

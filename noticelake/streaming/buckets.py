@@ -25,15 +25,16 @@ def file_system(spark: SparkSession, path: str):
 class Keyed:
     """The table at ``path`` whose rows belong to ``key``; its columns are those of ``schema``."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str, schema: StructType, buckets: int = BUCKETS):
-        self.spark, self.path, self.key, self.schema, self.buckets = spark, path, key, schema, buckets
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: StructType | str, buckets: int = BUCKETS):
+        self.spark, self.path, self.key, self.buckets = spark, path, key, buckets
+        self.schema = spark.createDataFrame([], schema).schema
 
     def read(self, touched: list[int] | None = None) -> DataFrame:
         """All rows, or those of some buckets; none where nothing was written yet."""
         place, system = file_system(self.spark, self.path)
         if not system.exists(place):
             return self.spark.createDataFrame([], self.schema)
-        rows = self.spark.read.schema(StructType([*self.schema]).add("bucket", "int")).parquet(self.path)
+        rows = self.spark.read.schema(StructType([*self.schema]).add("bucket", "integer")).parquet(self.path)
         rows = rows if touched is None else rows.where(F.col("bucket").isin(touched))
         return rows.drop("bucket")
 

@@ -1,12 +1,12 @@
 """Incremental tables: hash-gated upserts, ledgers, retries, expiry.
 
-Tables are rewritten whole from (old, new) by joins on their key; an atomic table format can take
-the same frames.  Every function is idempotent: applied to its own output it changes nothing.
+Frames of (old, new) meet by joins on their key; ``buckets`` keeps such tables and rewrites what a change touches.
+Every function is idempotent: applied to its own output it changes nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,19 +20,22 @@ def latest_of_batch(batch: DataFrame, key: str, order: str) -> DataFrame:
     return best.select("x.row.*")
 
 
-def changes(old: DataFrame, new: DataFrame, key: str, hashed: str, in_scope: Column | None = None) -> DataFrame:
-    """What an upsert does with each incoming row: key and action.
+def changes(old: DataFrame, new: DataFrame, key: str, hashed: str, in_scope: Column | None = None, order: str | None = None) -> DataFrame:
+    """What an upsert does with each key of ``new``: key and action, once a key, as ``upsert`` applies one row of it.
 
-    create, update, unchanged; skipped for a null key; out_of_scope where the scope says no.
+    create, update, unchanged (also where the row is older than the one in ``old``); out_of_scope where the scope says no
+    of the row that counts.  Rows without a key are skipped, each for itself.
     """
     scope = F.coalesce(in_scope, F.lit(False)) if in_scope is not None else F.lit(True)
-    incoming = new.withColumn("__in", scope)
-    known = old.select(F.col(key), F.col(hashed).alias("__old"), F.lit(True).alias("__known"))
+    none = new.where(F.col(key).isNull()).select(key, F.lit("skipped").alias("action"))
+    latest = latest_of_batch(new.where(F.col(key).isNotNull()), key, order or hashed).withColumn("__in", scope)
+    known = old.select(F.col(key), F.col(hashed).alias("__old"), (F.col(order) if order else F.lit(None)).alias("__order"), F.lit(True).alias("__known"))
+    older = F.coalesce(F.col(order) < F.col("__order"), F.lit(False)) if order else F.lit(False)
     action = (
-        F.when(F.col(key).isNull(), "skipped").when(~F.col("__in"), "out_of_scope").when(F.col("__known").isNull(), "create")
-        .when(F.col("__old") == F.col(hashed), "unchanged").otherwise("update")
+        F.when(~F.col("__in"), "out_of_scope").when(F.col("__known").isNull(), "create")
+        .when((F.col("__old") == F.col(hashed)) | older, "unchanged").otherwise("update")
     )
-    return incoming.join(known, key, "left").select(key, action.alias("action"))
+    return latest.join(known, key, "left").select(key, action.alias("action")).union(none)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, hashed: str, order: str | None = None) -> DataFrame:
@@ -89,46 +92,3 @@ def overwrite(df: DataFrame, values: dict[str, Column], source: str, protected:
     """New values except where a row's provenance is protected."""
     free = ~F.coalesce(F.col(source).isin(*protected), F.lit(False))
     return df.withColumns({c: F.when(free, v).otherwise(F.col(c)) for c, v in values.items()})
-
-
-def _system(spark: SparkSession, path: str):
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def current_version(spark: SparkSession, path: str, before: int | None = None) -> int | None:
-    """The newest committed version of a table of versions (older than ``before``); null where there is none."""
-    place, system = _system(spark, path)
-    if not system.exists(place):
-        return None
-    names = [x.getPath().getName() for x in system.listStatus(place)]
-    found = [int(n.removeprefix("committed-")) for n in names if n.startswith("committed-")]
-    return max((n for n in found if before is None or n < before), default=None)
-
-
-def read_version(spark: SparkSession, path: str, number: int, schema=None) -> DataFrame:
-    """A committed version; one that has been removed is an error."""
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(f"{path}/v{number}")
-
-
-def stream_upsert(stream: DataFrame, path: str, key: str, hashed: str, order: str, checkpoint: str):
-    """Apply a stream of rows to the table at ``path`` until no input is left; returns the finished query.
-
-    A row counts if its ``order`` is not below that of the row in the table, whatever batch it comes in.  Each
-    micro-batch writes a version of its own beside the older ones and then commits it by a marker, whose
-    creation is one step; a batch that runs again starts from the newest version committed before it.
-    A marker whose version is gone is an error, not an empty table.
-    """
-
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = current_version(spark, path, number)
-        old = read_version(spark, path, before, batch.schema) if before is not None else batch.limit(0)
-        upsert(old, batch, key, hashed, order).write.mode("overwrite").parquet(f"{path}/v{number}")
-        marker, system = _system(spark, f"{path}/committed-{number}")
-        system.create(marker, True).close()
-
-    query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query

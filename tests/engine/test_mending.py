@@ -84,22 +84,6 @@ def test_upsert_takes_the_last_row_of_a_key(spark):
     assert sorted(r.k for r in I.upsert(old, new, "k", "h").collect()) == [1, 2, 4]
 
 
-def test_late_rows_of_a_stream_change_nothing(spark, tmp_path):
-    kind = "k long, v string, h string, at int"
-    batches = [[(1, "new", "h1", 9), (2, "b", "h2", 3)], [(1, "old", "h3", 1), (2, "c", "h4", 4), (3, "d", "h5", 1)], [(3, "d", "h5", 1)]]
-    for rows in batches:
-        spark.createDataFrame(rows, kind).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = spark.readStream.schema(kind).parquet(f"{tmp_path}/in")
-        I.stream_upsert(stream, f"{tmp_path}/t", "k", "h", "at", f"{tmp_path}/c")
-    last = I.current_version(spark, f"{tmp_path}/t")
-    assert last == 2
-    assert sorted(map(tuple, I.read_version(spark, f"{tmp_path}/t", last).collect())) == [(1, "new", "h1", 9), (2, "c", "h4", 4), (3, "d", "h5", 1)]
-    (tmp_path / "t" / "v2").rename(tmp_path / "gone")
-    spark.createDataFrame([(5, "z", "h6", 1)], kind).write.mode("append").parquet(f"{tmp_path}/in")
-    with pytest.raises(Exception):
-        I.stream_upsert(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), f"{tmp_path}/t", "k", "h", "at", f"{tmp_path}/c")
-
-
 def test_stated_filters_of_similar_contracts(spark):
     start = "Experience in similar contracts of at least two (2) contracts"
     texts = [
