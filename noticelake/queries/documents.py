@@ -639,7 +639,7 @@ def read_slices(spark, sf):
 @query("structural_passages", "SELECT doc_id, CASE WHEN 13 + length(text) > 900 THEN 4 ELSE 3 END AS n FROM documents")
 def structural_passages(spark, sf):
     """X-22: headings open passages, tables and code stand alone."""
-    from ..sources.files import blocks
+    from ..sources.blocks import blocks
 
     line = F.regexp_replace("text", r"[\n#|`]", " ")
     text = F.concat(F.lit("# Title\n\nintro "), line, F.lit("\n## Part\n| a | b |\n\ntail"))

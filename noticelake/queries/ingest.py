@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..registry import query, table
 from ..session import scratch
+from ..sources import blocks as K
 from ..sources import files as L
 from ..sources import paged, service
 from ..sources import records as R
@@ -395,13 +396,48 @@ def sniffed_pages(spark, sf):
     return L.sniff(files).select("page_id", "kind", F.length("sha256").cast("long").alias("digits"))
 
 
-@query("text_blocks", "SELECT doc_id, 5::BIGINT AS blocks, 'Title > Part' AS path FROM documents")
+@query(
+    "text_blocks",
+    r"""WITH d AS (SELECT doc_id, [trim(x) FOR x IN string_split(regexp_replace(text, '[#|`~=\-]', ' ', 'g'), chr(10)) IF trim(x) <> ''] AS l FROM documents),
+    n AS (SELECT doc_id, len(l) AS n, doc_id % 4 AS k, l[1] AS first FROM d)
+    SELECT doc_id, (n + CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 2 END)::BIGINT AS blocks, (CASE k WHEN 2 THEN 1 WHEN 3 THEN 1 ELSE 0 END)::BIGINT AS tables, (k = 1)::BIGINT AS code,
+    CASE k WHEN 0 THEN trim(first) WHEN 1 THEN 'Top' WHEN 2 THEN 'Over > Under' ELSE '' END AS path FROM n""",
+)
 def text_blocks(spark, sf):
-    """S-08, M-38: headings, paragraphs, tables and code with the path of headings."""
-    line = F.regexp_replace("text", r"[\n#|`]", " ")
-    text = F.concat(F.lit("# Title\n\n"), F.lit("intro "), line, F.lit("\n## Part\n| a | b |\n| 1 | 2 |\n\n```\n# no heading\n```\n"))
-    b = L.blocks(table(spark, sf, "documents").select("doc_id", text.alias("text")))
-    return b.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.max_by("path", "block_no").alias("path"))
+    """S-08, M-38: every line of a text as a paragraph, under headings and beside tables and fences of several styles."""
+    k = F.col("doc_id") % 4
+    lines = F.filter(F.transform(F.split(F.regexp_replace("text", r"[#|`~=\-]", " "), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    body = lambda a: F.array_join(a, "\n\n")
+    first = F.coalesce(F.get("l", 0), F.lit(""))
+    text = (
+        F.when(k == 0, F.concat(F.lit("\n"), first, F.lit("\n=====\n\n"), body(F.slice("l", 2, 1 << 30)), F.lit("\n\n## \n")))
+        .when(k == 1, F.concat(F.lit("~~~\n# no heading\n```\n~~~\n# Top #\n"), body(F.col("l"))))
+        .when(k == 2, F.concat(F.lit("# Over\n\nUnder\n-----\nname | n\n--- | ---\na | 1\n\n"), body(F.col("l"))))
+        .otherwise(F.concat(body(F.col("l")), F.lit("\n\n| a | b |\n| 1 | 2 |\n```\nopen | to the end")))
+    )
+    d = table(spark, sf, "documents").select("doc_id", lines.alias("l"))
+    b = K.blocks(d.select("doc_id", text.alias("text")))
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    return b.groupBy("doc_id").agg(F.count("*").alias("blocks"), of("table").alias("tables"), (of("code") - F.when(F.max("doc_id") % 4 == 3, 1).otherwise(0)).alias("code"), F.max_by("path", "block_no").alias("path"))
+
+
+_BODY = "regexp_replace(html, '(?is)^.*?<body[^>]*>|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<!--.*?-->', '', 'g')"
+_DECODED = "x"
+for _a, _b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _DECODED = f"replace({_DECODED}, '{_a}', '{_b}')"
+
+
+@query(
+    "html_blocks",
+    rf"""WITH b AS (SELECT page_id, html, string_split(regexp_replace(regexp_replace({_BODY}, '(?i)</?(p|div|li|ul|ol|br|hr|section|article|header|footer|nav|h[1-6])\b[^>]*>', chr(1), 'g'), '<[^>]*>', '', 'g'), chr(1)) AS x FROM pages),
+    c AS (SELECT page_id, html, [trim(regexp_replace({_DECODED}, '\s+', ' ', 'g')) FOR x IN x] AS x FROM b), d AS (SELECT page_id, html, [y FOR y IN x IF y <> ''] AS x FROM c)
+    SELECT page_id, len(x)::BIGINT AS blocks, len(regexp_extract_all(html, '<h1', 0))::BIGINT AS headings, md5(array_to_string(x, chr(10))) AS digest FROM d""",
+)
+def html_blocks(spark, sf):
+    """S-08: headings and paragraphs of markup in order."""
+    b = K.html_blocks(table(spark, sf, "pages"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda x: x["text"])
+    return b.groupBy("page_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("kind") == "heading").alias("headings"), F.md5(F.array_join(texts, "\n")).alias("digest"))
 
 
 @query(

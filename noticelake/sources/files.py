@@ -22,39 +22,6 @@ def read_binaries(spark: SparkSession, path: str) -> DataFrame:
     return sniff(spark.read.format("binaryFile").load(path))
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of Markdown-like text: doc_id, block_no, kind, level, path, text.
-
-    Headings, fenced code, tables (lines with pipes), paragraphs (lines up to a blank one); path is
-    the chain of headings above.
-    """
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    order = Window.partitionBy("doc_id").orderBy("n")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    fence = F.col("line").startswith("```")
-    fences = F.sum(F.when(fence, 1).otherwise(0)).over(so_far)
-    kind = (
-        F.when(fence | (fences % 2 == 1), "code").when(F.col("line").rlike("^#{1,6} "), "heading").when(F.trim("line") == "", "blank")
-        .when(F.col("line").rlike(r"^\s*\|.*\|\s*$"), "table").otherwise("paragraph")
-    )
-    marked = lines.withColumn("kind", kind)
-    new = (F.lag("kind").over(order).isNull()) | (F.lag("kind").over(order) != F.col("kind")) | (F.col("kind") == "heading")
-    numbered = marked.withColumn("block_no", F.sum(F.when(new, 1).otherwise(0)).over(so_far)).where("kind <> 'blank'")
-    joined = numbered.groupBy("doc_id", "block_no", "kind").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))
-    b = joined.select("doc_id", "block_no", "kind", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
-    b = b.withColumn("level", F.when(F.col("kind") == "heading", F.length(F.regexp_extract("text", "^(#+) ", 1))))
-    up = Window.partitionBy("doc_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, 0)
-    # the latest heading of each level, unless a higher one came after it
-    last = [F.last(F.when(F.col("level") == k, F.struct("block_no", F.regexp_replace("text", "^#+ ", "").alias("title"))), ignorenulls=True).over(up) for k in range(1, 7)]
-    b = b.withColumns({f"h{k}": c for k, c in enumerate(last, 1)})
-    chain, above = [], F.lit(-1)
-    for k in range(1, 7):
-        at = F.coalesce(F.col(f"h{k}.block_no"), F.lit(-1))
-        chain.append(F.when(at > above, F.col(f"h{k}.title")))
-        above = F.greatest(above, at)
-    return b.select("doc_id", "block_no", "kind", "level", F.concat_ws(" > ", *chain).alias("path"), "text")
-
-
 def read_corrections(spark: SparkSession, path: str, key: str, allowed: dict[str, list[str]]) -> DataFrame:
     """CSV corrections with ``problem``: empty key, repeated key, a value that isn't allowed; null if good."""
     raw = spark.read.csv(path, header=True, enforceSchema=False)

@@ -12,6 +12,7 @@ from noticelake.operators import vectors as V
 from noticelake.plans import answers as A
 from noticelake.plans import extraction as E
 from noticelake.sources import files as L
+from noticelake.sources.blocks import blocks
 
 
 def test_partial_answers():
@@ -71,7 +72,7 @@ def test_long_and_structural_chunks(spark):
     got = sorted(T.long_chunks(docs, 300, 2, 100).collect(), key=lambda r: r.position)
     assert all(r.content in text and len(r.content) <= 300 for r in got) and got[0].content.startswith("Sentence number 0") and got[-1].content.endswith("79 stands here.")
     md = spark.createDataFrame([(1, "# A\n\npara one\n\npara two\n\n## B\n| x |\n\ntail")], "doc_id long, text string")
-    chunks = [r.content for r in sorted(T.structural_chunks(L.blocks(md)).collect(), key=lambda r: r.first_block)]
+    chunks = [r.content for r in sorted(T.structural_chunks(blocks(md)).collect(), key=lambda r: r.first_block)]
     assert chunks == ["A\npara one\n\npara two", "A > B", "A > B\n| x |", "A > B\ntail"]
 
 
