@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import awards as A
 from ..functions import classify as K
+from ..functions import contacts as C
 from ..functions import scalars as S
 from ..functions import text as T
 from ..operators import ordering as O
@@ -404,31 +406,113 @@ def stated_requirements(spark, sf):
 
 @query(
     "award_bodies",
-    """SELECT l_orderkey AS notice_id, CASE l_returnflag WHEN 'A' THEN 'awardee' WHEN 'N' THEN 'evaluated' ELSE 'rejected' END AS role, s_name AS name, (1000 + s_suppkey)::VARCHAR AS reference,
-    n_name AS country, 'USD' AS currency, round(max(l_extendedprice), 2) AS price FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3, 4, 5""",
+    """SELECT l_orderkey AS notice_id, CASE l_returnflag WHEN 'A' THEN 'awardee' WHEN 'N' THEN 'evaluated' ELSE 'rejected' END AS role, s_name AS name, CASE WHEN l_orderkey % 5 = 0 THEN '' ELSE (1000 + s_suppkey)::VARCHAR END AS reference,
+    '12 Main street' AS address, n_name AS country, 'USD' AS currency, round(max(l_extendedprice), 2) AS price, CASE WHEN l_returnflag = 'R' THEN 'Too late' ELSE '' END AS reason
+    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY l_orderkey, l_returnflag, s_name, s_suppkey, n_name""",
 )
 def award_bodies(spark, sf):
-    """X-15, M-08, M-09: award bodies written from line items, and their bidders read back."""
+    """X-15, M-08, M-09: award bodies written from line items in two ways and two orders of sections, and their bidders read back."""
     j = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     one = j.groupBy("l_orderkey", "l_returnflag", "s_suppkey", "s_name", "n_name").agg(F.round(F.max("l_extendedprice"), 2).cast("decimal(18,2)").alias("price"))
     label = F.when(F.col("l_returnflag") == "A", "Signed Contract price").otherwise("Evaluated Bid Price")
-    part = F.format_string("%s (%d)<br>12 Main street<br>Country: %s<br>Bid Price at Opening<br>USD<br>%s<br>USD %s<br>", "s_name", F.col("s_suppkey") + 1000, "n_name", label, F.format_number("price", 2))
+    named = F.col("l_orderkey") % 5 == 0
+    head = F.when(named, F.format_string("Name: %s<br>Address: 12 Main street<br>", "s_name")).otherwise(F.format_string("%s (%d)<br>12 Main street<br>", "s_name", F.col("s_suppkey") + 1000))
+    price = F.when(named, F.format_string("%s: USD %s<br>", label, F.format_number("price", 2))).otherwise(F.format_string("%s<br>USD %s<br>", label, F.format_number("price", 2)))
+    why = F.when(F.col("l_returnflag") == "R", "Reason for Rejection<br>Too late<br>").otherwise("")
+    part = F.concat(head, F.lit("Country: "), "n_name", F.lit("<br>Bid Price at Opening<br>USD<br>"), price, why)
     lists = one.groupBy("l_orderkey", "l_returnflag").agg(F.array_join(F.array_sort(F.collect_list(part)), "").alias("b"))
     head = F.when(F.col("l_returnflag") == "A", "Awarded Bidder(s):").when(F.col("l_returnflag") == "N", "Evaluated Bidder(s):").otherwise("Rejected Bidder(s):")
-    bodies = lists.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<p>"), head, F.lit("<br>"), "b", F.lit("</p>")))), "").alias("b"))
-    html = F.concat(F.lit("<div><h4>Contract Award</h4>"), "b", F.lit("<p>Beneficial Ownership Details<br>NOBODY (999999)<br></p></div>"))
-    found = T.awards(bodies.select(F.col("l_orderkey").alias("notice_id"), html.alias("html")))
-    return found.withColumn("price", F.col("price").cast("double"))
+    section = F.concat(F.lit("<p>"), head, F.lit("<br>"), "b", F.lit("</p>"))
+    bodies = lists.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(section)).alias("s"))
+    body = F.array_join(F.when(F.col("l_orderkey") % 2 == 0, F.col("s")).otherwise(F.reverse("s")), "<p>Beneficial Ownership Details<br>NOBODY (999999)<br></p>")
+    html = F.concat(F.lit("<div><h4>Contract Award</h4>"), body, F.lit("</div>"))
+    found = A.bidders(bodies.select(F.col("l_orderkey").alias("notice_id"), html.alias("html")))
+    return found.drop("place").withColumn("price", F.col("price").cast("double"))
 
 
-@query("link_kinds", "SELECT page_id AS doc_id, CASE page_id % 3 WHEN 0 THEN 'tor' WHEN 1 THEN 'bidding' ELSE 'other' END AS kind FROM pages")
+@query(
+    "award_summaries",
+    """SELECT o_orderkey AS notice_id, CASE o_orderkey % 4 WHEN 0 THEN c_name WHEN 2 THEN c_name ELSE '' END AS supplier_name, CASE WHEN o_orderkey % 4 = 0 THEN (100 + c_custkey)::VARCHAR ELSE '' END AS supplier_reference,
+    CASE o_orderkey % 4 WHEN 0 THEN 'UZS' WHEN 1 THEN 'Test Som' WHEN 2 THEN 'EUR' ELSE '' END AS currency, CASE WHEN o_orderkey % 4 = 0 THEN round(o_totalprice, 2) + 1 END AS bid_price_opening, CASE WHEN o_orderkey % 4 = 2 THEN 12.5 END AS evaluated_price,
+    CASE WHEN o_orderkey % 4 < 3 THEN round(o_totalprice, 2) END AS contract_price, CASE WHEN o_orderkey % 4 < 2 THEN o_orderdate::DATE END AS award_date, CASE WHEN o_orderkey % 4 = 0 THEN '30 Day(s)' ELSE '' END AS duration, o_orderkey % 4 < 3 AS useful
+    FROM orders JOIN customer ON o_custkey = c_custkey""",
+)
+def award_summaries(spark, sf):
+    """M-08, X-15: date, duration, winner and prices of three templates, one of them without a named firm, and of a body that says nothing."""
+    k = F.col("o_orderkey") % 4
+    j = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    money = lambda x: F.format_number(F.round(x, 2), 2)
+    day, price = F.date_format("o_orderdate", "yyyy/MM/dd"), F.col("o_totalprice")
+    html = (
+        F.when(k == 0, F.concat(F.lit("<p>Date Notification of Award Issued<br>(YYYY/MM/DD)<br>"), day, F.lit("<br>Duration of Contract<br>30 Day(s)</p><p>Awarded Bidder(s):<br>"), "c_name", F.format_string(" (%d)<br>Bid Price at Opening<br>", F.col("c_custkey") + 100), F.lit("UZS "), money(price + 1), F.lit("<br>Signed Contract price<br>UZS "), money(price), F.lit("</p>")))
+        .when(k == 1, F.concat(F.lit("Contract Signature Date: "), day, F.lit("<br>Awarded Firm/Individual:<br>Individual Consultant<br>Price:<br>Currency:<br>Amount:<br>Test Som (Test Som)<br>"), money(price)))
+        .when(k == 2, F.concat(F.lit("<p>Evaluated Bidder(s):<br>Other &amp; Sons (77777)<br>Evaluated Bid Price<br>EUR 12.50</p><p>Awarded Bidder(s):<br>Name: "), "c_name", F.lit("<br>Contract Price: EUR "), money(price), F.lit("</p>")))
+        .otherwise("<p>Contract Award</p>")
+    )
+    s = A.summaries(j.select(F.col("o_orderkey").alias("notice_id"), html.alias("html")))
+    number = lambda c: F.col(c).cast("double").alias(c)
+    return s.select("notice_id", "supplier_name", "supplier_reference", "currency", number("bid_price_opening"), number("evaluated_price"), number("contract_price"), "award_date", "duration", "useful")
+
+
+@query(
+    "link_kinds",
+    """SELECT page_id AS doc_id, 'https://docs.example.org/a_(final)?a=1&n=' || page_id AS url, CASE page_id % 3 WHEN 0 THEN 'tor' WHEN 1 THEN 'bidding' ELSE 'other' END AS kind FROM pages
+    UNION ALL SELECT page_id, 'https://docs.example.org/a', CASE page_id % 2 WHEN 0 THEN 'tor' ELSE 'other' END FROM pages""",
+)
 def link_kinds(spark, sf):
-    """X-16, F-18, M-01: links named by the words before them; the most telling reading stays."""
-    k = F.col("page_id") % 3
-    before = F.when(k == 0, "The Terms of Reference are at ").when(k == 1, "Bidding documents: ").otherwise("See also (")
-    text = F.concat(F.lit("Any link: "), F.col("url"), F.lit("). "), F.lit("x" * 170), before, F.lit("https://docs.example.org/a_(final)?n="), F.col("page_id").cast("string"), F.lit("). And so on."))
-    found = T.links(table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), text.alias("text")))
-    return found.where(F.col("url").startswith("https://docs.example.org/a_(final)?n=") & ~F.col("url").endswith(".")).select("doc_id", "kind")
+    """X-16, F-18, M-01: links named by the words before each of their places; the most telling place counts."""
+    k, far = F.col("page_id"), F.lit(" and other things besides" * 8)
+    before = F.when(k % 3 == 0, "The Terms of Reference are at ").when(k % 3 == 1, "Bidding documents: ").otherwise("See also (")
+    one, two = F.concat(F.lit("https://docs.example.org/a_(final)?a=1&amp;n="), k.cast("string")), F.lit("https://docs.example.org/a")
+    late = F.when(k % 2 == 0, F.concat(far, F.lit(" its ToR is at "), two, F.lit("!"))).otherwise("")
+    text = F.concat(F.lit("First "), one, F.lit(". "), far, before, one, F.lit("). "), far, two, F.lit(", "), late)
+    found = T.links(table(spark, sf, "pages").select(k.alias("doc_id"), text.alias("text")))
+    return found.select("doc_id", "url", "kind")
+
+
+@query(
+    "notice_contacts",
+    """WITH b AS (
+      SELECT c_custkey AS doc_id, 2 AS priority, 'body' AS tier, 0 AS place, 'Ivan Petrov' AS name, 'Project Coordinator' AS role, 'i.petrov' || c_custkey || '@firm.org' AS email, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '+998 71 2000' || c_custkey END AS phone, 'submission' AS purpose, c_custkey % 2 = 0 AS same_as_primary FROM customer WHERE c_custkey % 3 = 0
+      UNION ALL SELECT c_custkey, 2, 'body', 1, '', '', 'j.smith@firm.org', '', 'submission', false FROM customer WHERE c_custkey % 3 = 0
+      UNION ALL SELECT c_custkey, 2, 'body', 0, '', '', 'tor' || c_custkey || '@unit.org', '', 'tor', false FROM customer WHERE c_custkey % 3 = 1
+      UNION ALL SELECT c_custkey, 2, 'body', 1, '', '', 'info@unit.org', '', 'tor', false FROM customer WHERE c_custkey % 3 = 1 AND c_custkey % 2 = 1
+      UNION ALL SELECT c_custkey, 2, 'body', 0, 'Anna Lee', '', '', '(99412) 52534' || c_custkey, '', false FROM customer WHERE c_custkey % 3 = 2
+      UNION ALL SELECT c_custkey, 2, 'body', 1, 'Bo Chen', '', 'Bo.Chen@x.org', '', '', false FROM customer WHERE c_custkey % 3 = 2
+      UNION ALL SELECT c_custkey, 1, 'notice', 0, 'Petrov I.', '', 'INFO@unit.org', '+99871-2000' || c_custkey, '', false FROM customer WHERE c_custkey % 2 = 0
+      UNION ALL SELECT c_custkey, 3, 'bank', 0, 'Zoe Park', 'Director', 'zoe@found.org', '', '', false FROM customer
+      UNION ALL SELECT c_custkey, 3, 'bank', 1, 'Ann Khan', CASE WHEN c_custkey % 5 = 0 THEN 'Lead' ELSE '' END, CASE WHEN c_custkey % 5 = 0 THEN 'ann' || c_custkey || '@bank.org' ELSE '' END, '', '', false FROM customer
+      UNION ALL SELECT c_custkey, 3, 'bank', 2, 'New One', 'Expert', '', '+1 202', '', false FROM customer WHERE c_custkey % 5 = 0)
+    SELECT * FROM b""",
+)
+def notice_contacts(spark, sf):
+    """X-18, X-17, M-15, M-13: people and mailboxes of bodies, what they are for, beside the published contact and the project's people."""
+    k, c = F.col("c_custkey"), table(spark, sf, "customer")
+    n = k.cast("string")
+    text = (
+        F.when(k % 3 == 0, F.concat(F.lit("Applications must be delivered by hand. Attn: Mr. Ivan Petrov - Project Coordinator Tel: +998 71 2000"), n, F.lit(" E-mail: i.petrov"), n, F.lit("@firm.org; j.smith@firm.org.")))
+        .when(k % 3 == 1, F.concat(F.lit("The Terms of Reference may be asked for at tor"), n, F.lit("@unit.org. Also info@unit.org")))
+        .otherwise(F.concat(F.lit("Contact person: Anna Lee, 27 Main str. Phone number: (99412) 52534"), n, F.lit(". Attn: Dr. Bo Chen E-mail: Bo.Chen@x.org, bo.chen@x.org")))
+    )
+    found = C.body_contacts(c.select(k.alias("doc_id"), text.alias("text")))
+    even = k % 2 == 0
+    primary = c.select(k.alias("doc_id"), F.when(even, "Petrov I.").alias("name"), F.when(even, "INFO@unit.org").alias("email"), F.when(even, F.concat(F.lit("+99871-2000"), n)).alias("phone"))
+    leads = c.select(k.alias("doc_id"), F.lit("Zoe Park,  Ann Khan, ").alias("leads"))
+    papers = c.where(k % 5 == 0).select(k.alias("doc_id"), F.explode(F.array(
+        F.struct(F.lit("XAN Ann").alias("name"), F.lit("Lead").alias("title"), F.concat(F.lit("ann"), n, F.lit("@bank.org")).alias("email"), F.lit(None).cast("string").alias("phone")),
+        F.struct(F.lit("New One").alias("name"), F.lit("Expert").alias("title"), F.lit(None).cast("string").alias("email"), F.lit("+1 202").alias("phone")),
+    )).alias("p")).select("doc_id", "p.*")
+    looked_up = spark.createDataFrame([("Zoe Park", "Director", "zoe@found.org")], "name string, title string, email string")
+    return C.tiers(primary, found, C.team(leads, papers, looked_up))
+
+
+@query("tor_addresses", "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 3 = 1 THEN 'tor' || c_custkey || '@unit.org' ELSE '' END AS address, c_custkey % 3 < 2 AS mentioned FROM customer")
+def tor_addresses(spark, sf):
+    """X-17: the address that the terms of reference are asked for at, and whether a body speaks of them."""
+    k = F.col("c_custkey")
+    n = k.cast("string")
+    text = F.when(k % 3 == 0, F.concat(F.lit("Write to a@b.org. "), F.lit("more " * 60), F.lit("The ToRs are attached."))).when(k % 3 == 1, F.concat(F.lit("Ask x@y.org for forms; terms  of reference from tor"), n, F.lit("@unit.org."))).otherwise("Write to store@b.org.")
+    return table(spark, sf, "customer").select(k.alias("doc_id"), C.tor_address(text).alias("address"), C.mentions_tor(text).alias("mentioned"))
 
 
 @query(
@@ -477,11 +561,19 @@ def selected_passages(spark, sf):
     return b.select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("place"))
 
 
-@query("bounded_source", r"SELECT doc_id, CASE WHEN length(text) <= 20000 THEN length(text) ELSE length(regexp_extract(left(text, 20000), '^(.*[.!?])\s', 1, 's')) END AS n FROM documents")
+@query(
+    "bounded_source",
+    rf"""WITH d AS (SELECT doc_id, trim(regexp_replace(CASE WHEN doc_id % 50 = 7 THEN repeat(replace(replace(replace(text, '.', ','), '!', ','), '?', ','), 2 + 30000 // greatest(length(text), 1)) || '. Then This. ' ELSE '' END || coalesce(text, ''), '\s+', ' ', 'g')) AS text FROM documents),
+    s AS (SELECT doc_id, [trim(x) FOR x IN {_SENTENCES}] AS s FROM d), e AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM s),
+    r AS (SELECT *, sum(length(x) + CASE WHEN i > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS size FROM e)
+    SELECT doc_id, max(size) FILTER (WHERE i = 1 OR size <= 20000)::BIGINT AS n, count(*) FILTER (WHERE i = 1 OR size <= 20000)::INTEGER AS kept, count(*)::INTEGER AS total FROM r GROUP BY doc_id""",
+)
 def bounded_source(spark, sf):
-    """X-26: the start of a text up to a sentence end."""
-    cut = F.regexp_extract(F.substring("text", 1, 20000), r"(?s)^(.*[.!?])\s", 1)
-    return table(spark, sf, "documents").select("doc_id", F.length(F.when(F.length("text") <= 20000, F.col("text")).otherwise(cut)).cast("long").alias("n"))
+    """X-26: whole sentences from the start of a text up to a bound; an over-long first one stays."""
+    long = F.expr("repeat(translate(text, '.!?', ',,,'), int(2 + floor(30000 / greatest(length(text), 1))))")
+    text = F.concat(F.when(F.col("doc_id") % 50 == 7, F.concat(long, F.lit(". Then This. "))).otherwise(""), F.coalesce("text", F.lit("")))
+    b = table(spark, sf, "documents").select("doc_id", T.bounded(F.trim(F.regexp_replace(text, r"(?U)\s+", " "))).alias("b"))
+    return b.select("doc_id", F.length("b.text").cast("long").alias("n"), "b.kept", "b.total").where("total > 0")
 
 
 @query("access_walls", "SELECT page_id, regexp_matches(left(html, 20000), '(?i)request access|sign in|log in to continue|you need permission|accès refusé|acceso denegado|403 forbidden|not authorized') AS walled FROM pages")
@@ -592,7 +684,7 @@ _COMPRESSED = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace
 
 @query(
     "compressed_passages",
-    rf"SELECT doc_id, CASE WHEN length(t) <= 300 THEN t ELSE regexp_replace(regexp_extract(t, '^(.{{0,299}}) ', 1, 's'), '[ ,;:\-]+$', '') || ' …' END AS passage FROM (SELECT doc_id, {_COMPRESSED} AS t FROM documents)",
+    rf"SELECT doc_id, CASE WHEN length(t) <= 300 THEN t ELSE regexp_replace(CASE WHEN trim(regexp_extract(t, '^(.{{0,299}})\s', 1, 's')) = '' THEN left(t, 298) ELSE regexp_extract(t, '^(.{{0,299}})\s', 1, 's') END, '[ ,;:\-]+$', '') || ' …' END AS passage FROM (SELECT doc_id, {_COMPRESSED} AS t FROM documents)",
 )
 def compressed_passages(spark, sf):
     """X-28, M-32: what a prompt carries of a passage."""

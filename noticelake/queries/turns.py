@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.spans import cut
 from ..operators import ordering as O
 from ..plans.standins import AWARDS, awards
 from ..registry import query, table
@@ -88,14 +89,13 @@ def best_chunk(spark, sf):
 @query(
     "conversation_titles",
     r"""WITH f AS (SELECT conv_id, arg_min(text, turn) AS t FROM conversations WHERE role = 'user' GROUP BY 1), s AS (SELECT conv_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS t FROM f)
-    SELECT conv_id, CASE WHEN length(t) <= 60 THEN t ELSE regexp_extract(t, '^(.{0,59})\s', 1) || '…' END AS title FROM s""",
+    SELECT conv_id, CASE WHEN length(t) <= 60 THEN t WHEN regexp_extract(t, '^(.{0,59})\s', 1) = '' THEN left(t, 59) || '…' ELSE regexp_extract(t, '^(.{0,59})\s', 1) || '…' END AS title FROM s""",
 )
 def conversation_titles(spark, sf):
     """W-12, F-21: the first question, cut at a word."""
     f = table(spark, sf, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("t"))
     s = f.select("conv_id", F.trim(F.regexp_replace("t", r"\s+", " ")).alias("t"))
-    cut = F.concat(F.regexp_extract("t", r"^(.{0,59})\s", 1), F.lit("…"))
-    return s.select("conv_id", F.when(F.length("t") <= 60, F.col("t")).otherwise(cut).alias("title"))
+    return s.select("conv_id", cut(F.col("t"), 60, "…").alias("title"))
 
 
 @query("adopt_sessions", "SELECT conv_id, CASE WHEN conv_id % 4 = 0 THEN 'u1' WHEN conv_id % 3 = 0 THEN 'u2' END AS owner FROM (SELECT DISTINCT conv_id FROM conversations)")

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from noticelake.functions import awards as A
 from noticelake.functions import scalars as S
 from noticelake.functions import text as T
 from noticelake.operators import ordering as O
@@ -49,7 +50,7 @@ def test_canonical():
 
 def test_awards(spark):
     df = spark.createDataFrame([(1, AWARD), (2, ""), (3, None)], "notice_id long, html string")
-    got = {(r.role, r.name): (r.reference, r.country, r.currency, r.price and float(r.price)) for r in T.awards(df).collect()}
+    got = {(r.role, r.name): (r.reference, r.country, r.currency, r.price and float(r.price)) for r in A.bidders(df).collect()}
     assert got == {
         ("awardee", "METAG TICARET"): ("851176", "Turkiye", None, None),
         ("awardee", '"YASHIL" LLC'): ("1066189", "Uzbekistan", "USD", 9613518.63),
