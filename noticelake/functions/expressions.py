@@ -220,3 +220,26 @@ def evaluate(members: DataFrame, bid: str, lead: str, node: dict, mode: str) ->
         return each.where(lead).select(bid, F.col("v").alias("verdict"))
     fold = kleene_all if mode == "jv_each" else kleene_any
     return each.groupBy(bid).agg(fold(F.col("v")).alias("verdict"))
+
+
+def evaluate_all(members: DataFrame, bid: str, order: str, node: dict) -> DataFrame:
+    """Verdicts of each bid in every mode from one aggregation: bid and a column for each of MODES.
+
+    The member with the least ``order`` leads.  Of the scalars only those that the tree names are added up; members'
+    records meet in one row only for entities that it names.
+    """
+    from ..operators.aggregates import kleene_all, kleene_any
+
+    keys, entities = (sorted(x) for x in used(node))
+    each = members.select(bid, order, "scalars", "collections", compile_node(node).alias("v"))
+    held = lambda names, columns: F.map_filter(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*columns)), lambda k, v: v.isNotNull())
+    sums = [F.sum(number(F.try_element_at("scalars", F.lit(k)))).cast("string").alias(f"s{i}") for i, k in enumerate(keys)]
+    records = lambda e: F.try_element_at("collections", F.lit(e))
+    lists = [F.when(F.count(records(e)) > 0, F.flatten(F.collect_list(records(e)))).alias(f"c{i}") for i, e in enumerate(entities)]
+    found = each.groupBy(bid).agg(F.min_by("v", order).alias("first"), kleene_all(F.col("v")).alias("all"), kleene_any(F.col("v")).alias("any"), *sums, *lists)
+    empty = F.create_map().cast("map<string,string>"), F.create_map().cast("map<string,array<map<string,string>>>")
+    scalars = held(keys, [F.col(f"s{i}") for i in range(len(keys))]) if keys else empty[0]
+    collections = held(entities, [F.col(f"c{i}") for i in range(len(entities))]) if entities else empty[1]
+    joint = found.select(bid, "first", "all", "any", scalars.alias("scalars"), collections.alias("collections"))
+    by = {"single": F.col("first"), "jv_combined": compile_node(node), "jv_each": F.col("all")}
+    return joint.select(bid, *(by.get(m, F.col("any")).alias(m) for m in MODES))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..operators import aggregates as A
 from ..registry import query, table
-from ..session import stored
 
 TURNOVER = {"kind": "scalar", "key": "acctbal", "op": ">=", "value": 5000}
 CONTRACTS = {"kind": "count", "entity": "orders", "op": ">=", "value": 3, "where": [{"field": "price", "op": ">=", "value": 150000}, {"field": "year", "op": ">=", "value": 1997}]}
@@ -74,15 +73,9 @@ SELECT bid, (SELECT turnover FROM m WHERE m.bid = g.bid AND lead) AS single, tot
 @query("jv_modes", _JV)
 def jv_modes(spark, sf):
     """E-05, A-20: customers of one nation bid together, in the four modes."""
-    from pyspark.sql import Window
-
-    first = F.col("c_custkey") == F.min("c_custkey").over(Window.partitionBy("c_nationkey"))
-    m = stored(profiles(spark, sf).select(F.col("c_nationkey").alias("bid"), first.alias("lead"), "scalars", "collections"), "bidders")
-    found = None
-    for mode, name in zip(X.MODES, ("single", "combined", "every", "some"), strict=True):
-        one = X.evaluate(m, "bid", "lead", TURNOVER, mode).withColumnRenamed("verdict", name)
-        found = one if found is None else found.join(one, "bid")
-    return found
+    m = profiles(spark, sf).select(F.col("c_nationkey").alias("bid"), "c_custkey", "scalars", "collections")
+    found = X.evaluate_all(m, "bid", "c_custkey", TURNOVER)
+    return found.withColumnsRenamed(dict(zip(X.MODES, ("single", "combined", "every", "some"), strict=True)))
 
 
 @query(

@@ -94,6 +94,8 @@ def test_joint_venture_modes(spark):
     node = {"kind": "scalar", "key": "t", "op": ">=", "value": 4}
     got = {m: {r.bid: r.verdict for r in X.evaluate(df, "bid", "lead", node, m).collect()} for m in X.MODES}
     assert got == {"single": {1: False, 2: True}, "jv_combined": {1: True, 2: True}, "jv_each": {1: False, 2: None}, "jv_at_least_one": {1: True, 2: True}}
+    at_once = X.evaluate_all(df.withColumn("n", F.when(F.col("lead"), 0).otherwise(1)), "bid", "n", node).collect()
+    assert {m: {r.bid: r[m] for r in at_once} for m in X.MODES} == got
     joined = {r.bid: r for r in X.combine(df, "bid").collect()}
     assert set(joined[1].scalars) == {"t"} and len(joined[1].collections["c"]) == 2
 
