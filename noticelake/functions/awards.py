@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import unescaped
+from .text import decoded
 
 #: Headings of sections, labels and how values are written.
-SECTIONS = (("evaluated", "evaluated bidder"), ("awardee", "awarded bidder|awarded firm"), ("rejected", "rejected bidder"), ("none", "beneficial ownership details"))
-PRICES = (("opening", "bid price at opening"), ("evaluated", "evaluated bid price"), ("contract", "signed contract price|contract price"))
-OTHER_LABELS = "evaluation scores|reason for rejection|registry id"
-BARE_LABELS = "price|currency|amount|scores|technical|financial"
-DATE_LABELS, DURATION_LABEL = "date notification of award issued|contract signature date", "duration of contract"
+SECTIONS = (("evaluated", ("evaluated bidder",)), ("awardee", ("awarded bidder", "awarded firm")), ("rejected", ("rejected bidder",)), ("none", ("beneficial ownership details",)))
+PRICES = (("opening", ("bid price at opening",)), ("evaluated", ("evaluated bid price",)), ("contract", ("signed contract price", "contract price")))
+OTHER_LABELS = ("evaluation scores", "reason for rejection", "registry id")
+BARE_LABELS = ("price", "currency", "amount", "scores", "technical", "financial")
+DATE_LABELS, DURATION_LABEL = ("date notification of award issued", "contract signature date"), "duration of contract"
 ANONYMOUS = ("individual consultant", "individual")
 NO_ADDRESS = ("-", "--", "n/a", "na", ".")
 REFERENCE, MONEY = r"\((\d{3,})\)\s*$", r"([A-Z]{3})?\s*(\d[\d,.]*)"
@@ -26,64 +26,76 @@ NEAR_PRICE, NEAR_AMOUNT, NEAR_DATE, NEAR_DURATION = 2, 4, 3, 2
 
 
 def _lines(bodies: DataFrame) -> DataFrame:
-    """notice_id, n, line: what stands between tags, references decoded, blank lines out."""
+    """notice_id, n (from 0), line, low: what stands between tags, references decoded, blank lines out."""
     t = F.regexp_replace(F.coalesce("html", F.lit("")), r"<[^>]+>", "\n")
-    t = F.when(F.contains(t, F.lit("&")), unescaped(t)).otherwise(t)
-    each = bodies.select("notice_id", F.posexplode(F.split(t, "\n")).alias("n", "raw"))
-    return each.select("notice_id", "n", F.trim(F.regexp_replace("raw", r"(?U)\s+", " ")).alias("line")).where("line <> ''")
+    t = F.regexp_replace(decoded(t), r"(?U)[\s&&[^\n]]+", " ")
+    kept = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return bodies.select("notice_id", F.posexplode(kept).alias("n", "line")).withColumn("low", F.lower("line"))
+
+
+def _any(column: Column, starts: tuple[str, ...]) -> Column:
+    found = column.startswith(starts[0])
+    for x in starts[1:]:
+        found = found | column.startswith(x)
+    return found
 
 
 def _read(bodies: DataFrame) -> DataFrame:
-    """Lines with what they are and where they stand."""
-    low = F.lower("line")
-    lines = _lines(bodies)
+    """Lines with what they are and where they stand; every window has one order, so that a notice is sorted once."""
+    low, line = F.col("low"), F.col("line")
     section = F.lit(None).cast("string")
-    for name, pattern in reversed(SECTIONS):
-        section = F.when(low.rlike(pattern), name).otherwise(section)
-    label = F.lit(None).cast("string")
-    bare = F.regexp_extract(low, rf"^({BARE_LABELS})\s*:*$", 1)
-    label = F.when(bare != "", bare).otherwise(label)
-    other = F.regexp_extract(low, rf"^({OTHER_LABELS})", 1)
-    label = F.when(other != "", other).otherwise(label)
-    for name, pattern in reversed(PRICES):
-        label = F.when(low.rlike(f"^({pattern})"), name).otherwise(label)
-    label = F.when(low.rlike(f"^({DATE_LABELS})"), "date").when(low.rlike(f"^{DURATION_LABEL}"), "duration").otherwise(label)
-    named, country, address = (F.regexp_extract("line", rf"(?i)^{x}\s*:\s*(.*)$", 1) for x in ("name", "country", "address"))
+    for name, words in reversed(SECTIONS):
+        for w in words:
+            section = F.when(F.contains(low, F.lit(w)), name).otherwise(section)
+    bare = F.trim(F.rtrim(low, F.lit(":")))
+    label = F.when(bare.isin(*BARE_LABELS), bare)
+    for x in OTHER_LABELS:
+        label = F.when(low.startswith(x), x).otherwise(label)
+    for name, words in reversed(PRICES):
+        label = F.when(_any(low, words), name).otherwise(label)
+    label = F.when(_any(low, DATE_LABELS), "date").when(low.startswith(DURATION_LABEL), "duration").otherwise(label)
+    lines = _lines(bodies).withColumn("section", section).withColumn("label", F.when(F.col("section").isNull(), label))
+    after = lambda word: F.when(low.startswith(word), F.regexp_extract("line", rf"(?i)^{word}\s*:\s*(.*)$", 1)).otherwise("")
     kind = (
-        F.when(section.isNotNull(), "heading").when(low.rlike(r"^name\s*:\s*\S"), "start").when(F.col("line").rlike(REFERENCE), "start").when(label.isNotNull(), "label")
-        .when(low.rlike(r"^country\s*:\s*\S"), "country").when(low.rlike(r"^address\s*:"), "address").otherwise("text")
+        F.when(F.col("section").isNotNull(), "heading").when(after("name") != "", "start").when(line.endswith(")") & line.rlike(REFERENCE), "start").when(F.col("label").isNotNull(), "label")
+        .when(after("country") != "", "country").when(low.startswith("address") & low.rlike(r"^address\s*:"), "address").otherwise("text")
+    )
+    lines = lines.withColumn("kind", kind).withColumn("label", F.when(F.col("kind") == "label", F.col("label")))
+    # a value may stand on the line of its name or label
+    words = "|".join(w for _, ws in PRICES for w in ws)
+    value = (
+        F.when((F.col("kind") == "start") & (after("name") != ""), after("name")).when(F.col("kind") == "address", after("address"))
+        .when((F.col("kind") == "label") & F.col("label").isin(*(n for n, _ in PRICES)), F.regexp_replace("line", rf"(?i)^({words})", "")).otherwise(line)
     )
-    # a value on the line of its label
-    rest = F.regexp_replace("line", rf"(?i)^({'|'.join(p for _, p in PRICES)})", "")
-    lines = lines.withColumns({"section": section, "kind": kind, "label": F.when(kind == "label", label), "country": country})
-    lines = lines.withColumns({"value": F.when(named != "", named).when(F.col("kind") == "address", address).when(F.col("kind") == "label", rest).otherwise(F.col("line"))})
+    lines = lines.withColumns({"value": value, "country": F.when(F.col("kind") == "country", after("country"))})
     order = Window.partitionBy("notice_id").orderBy("n")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("line_no", F.row_number().over(order))
+    so_far, earlier = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda what, over: F.last(what, ignorenulls=True).over(over)
+    where = lambda condition: F.when(condition, F.col("n"))
     lines = lines.withColumns(
         {
-            "role": F.coalesce(F.last("section", ignorenulls=True).over(so_far), F.lit("")),
-            "part": F.count("section").over(so_far),
-            "reason_before": F.lag("label").over(order) == "reason for rejection",
+            "role": F.coalesce(last(F.col("section"), so_far), F.lit("")),
+            "heading_at": F.coalesce(last(where(F.col("section").isNotNull()), so_far), F.lit(-1)),
+            "last_label": last(F.col("label"), so_far),
+            "label_at": last(where(F.col("label").isNotNull()), so_far),
+            "seen_at": F.coalesce(last(where(F.col("kind").isin("start", "text")), earlier), F.lit(-2)),
+            "before": F.lag("label").over(order),
         }
     )
-    # a section whose first bidder is written without name label and reference starts with its first plain line
-    inside = Window.partitionBy("notice_id", "part").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.coalesce(F.max(F.col("kind").isin("start", "text")).over(inside), F.lit(False))
-    reason = F.coalesce(F.col("reason_before"), F.lit(False)) & (F.col("role") == "rejected") & F.col("kind").isin("start", "text")
     bidding = F.col("role").isin("awardee", "evaluated", "rejected")
-    start = bidding & ~reason & ((F.col("kind") == "start") | ((F.col("kind") == "text") & ~fresh))
-    lines = lines.withColumns({"start": start, "reason": reason})
-    lines = lines.withColumns(
+    reason = (F.col("role") == "rejected") & F.coalesce(F.col("before") == "reason for rejection", F.lit(False)) & F.col("kind").isin("start", "text")
+    # a section whose first bidder is written without name label and reference starts with its first plain line
+    start = bidding & ~F.col("reason") & ((F.col("kind") == "start") | ((F.col("kind") == "text") & (F.col("seen_at") < F.col("heading_at"))))
+    lines = lines.withColumn("reason", reason).withColumn("start", start)
+    return lines.withColumns(
         {
             "bidder": F.count_if("start").over(so_far),
-            # what closes a bidder's address: a label or the country behind its start
-            "closed": F.last(F.when(F.col("start"), F.lit(False)).when(F.col("kind").isin("label", "country", "heading"), F.lit(True)), ignorenulls=True).over(so_far),
-            "last_label": F.last("label", ignorenulls=True).over(so_far),
-            "label_no": F.last(F.when(F.col("label").isNotNull(), F.col("line_no")), ignorenulls=True).over(so_far),
+            "start_at": F.coalesce(last(where(F.col("start")), so_far), F.lit(-2)),
+            # what closes a bidder's address: a label, a heading or the country behind its start
+            "closed": last(F.when(F.col("start"), F.lit(False)).when(F.col("kind").isin("label", "country", "heading"), F.lit(True)), so_far),
+            "away": F.col("n") - F.col("label_at"),
         }
     )
-    return lines.withColumn("away", F.col("line_no") - F.col("label_no"))
 
 
 def _of_price(name: str) -> Column:
@@ -106,8 +118,7 @@ def bidders(bodies: DataFrame) -> DataFrame:
     stands behind a bidder up to the next: the contract price of awardees, the evaluated one of others.
     """
     r = _read(bodies).where("role IN ('awardee', 'evaluated', 'rejected') AND kind <> 'heading'")
-    own = Window.partitionBy("notice_id", "part")
-    r = r.withColumn("first", F.min(F.when(F.col("start"), F.col("bidder"))).over(own)).where("first IS NOT NULL AND bidder >= first")
+    r = r.where("start_at > heading_at")
     wanted = F.when(F.col("role") == "awardee", _of_price("contract")).otherwise(_of_price("evaluated"))
     plain = F.lower(F.trim("value"))
     address = (F.col("kind").isin("text", "address")) & ~F.col("start") & ~F.col("reason") & ~F.coalesce("closed", F.lit(False)) & ~plain.isin("", *NO_ADDRESS)
