@@ -71,10 +71,15 @@ class CountMemo:
         self.seconds, self.clock, self.held = seconds, clock or time.monotonic, {}
 
     def count(self, df: DataFrame) -> int:
-        key, now = df.semanticHash(), self.clock()
-        if key not in self.held or now - self.held[key][0] > self.seconds:
-            self.held[key] = (now, df.count())
-        return self.held[key][1]
+        """The count of ``df``; a plan is known by its hash, and by being the same plan."""
+        now = self.clock()
+        own = [x for x in self.held.get(df.semanticHash(), []) if now - x[0] <= self.seconds]
+        for _, known, n in own:
+            if known.sameSemantics(df):
+                return n
+        n = df.count()
+        self.held[df.semanticHash()] = [*own, (now, df, n)]
+        return n
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], amount: Column, name: str) -> DataFrame:

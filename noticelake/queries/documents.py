@@ -11,6 +11,7 @@ from ..functions import contacts as C
 from ..functions import scalars as S
 from ..functions import text as T
 from ..operators import ordering as O
+from ..plans import discovery as P
 from ..registry import query, table
 
 _ORDERS = "SELECT o_orderkey AS id, * FROM orders"
@@ -506,6 +507,76 @@ def notice_contacts(spark, sf):
     return C.tiers(primary, found, C.team(leads, papers, looked_up))
 
 
+@query(
+    "refused_documents",
+    """WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN NULL ELSE 'fetched' END AS status, CASE doc_id % 7 WHEN 0 THEN false WHEN 1 THEN true END AS layer, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE n_chars END AS chars, CASE WHEN doc_id % 13 = 0 THEN '  ' ELSE text END AS text FROM documents)
+    SELECT doc_id, CASE WHEN coalesce(status, '') <> 'fetched' THEN 'not_fetched' WHEN NOT layer THEN 'no_text_layer' WHEN coalesce(chars, 0) < 200 THEN 'too_short' WHEN trim(coalesce(text, '')) = '' THEN 'empty_text' ELSE '' END AS refusal FROM d""",
+)
+def refused_documents(spark, sf):
+    """X-32: the four reasons for which a harvested document is not read."""
+    k = F.col("doc_id")
+    status, layer = F.when(k % 5 == 0, "failed").when(k % 5 > 1, "fetched"), F.when(k % 7 == 0, False).when(k % 7 == 1, True)
+    chars, text = F.when(k % 11 != 0, F.col("n_chars")), F.when(k % 13 == 0, "  ").otherwise(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", P.refusal(status, layer, chars, text).alias("refusal"))
+
+
+@query(
+    "discovered_links",
+    """WITH s AS (SELECT url, page_id, 0 AS source, page_id AS place FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT url, page_id, 1, -page_id FROM pages WHERE page_id % 2 = 0),
+    f AS (SELECT * FROM s WHERE page_id % 12 <> 0 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY source, place) = 1) SELECT url, source::INTEGER AS source, place FROM f ORDER BY source, place LIMIT 60""",
+)
+def discovered_links(spark, sf):
+    """M-02: two ordered sources, known links passed over, as many new ones as a run may take."""
+    p = table(spark, sf, "pages").select("url", F.concat(F.lit("t"), F.col("page_id").cast("string")).alias("title"), "page_id")
+    one = p.where("page_id % 3 = 0").select("url", "title", F.col("page_id").alias("place"))
+    two = p.where("page_id % 2 = 0").select(F.concat("url", F.lit("#part")).alias("url"), "title", (-F.col("page_id")).alias("place"))
+    known = p.where("page_id % 12 = 0").select(S.url_key(F.col("url")).alias("key"))
+    found = P.discover([one, two], known, 60)
+    return found.select(F.regexp_replace("url", "#part$", "").alias("url"), "source", "place")
+
+
+@query(
+    "mapped_roles",
+    "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN n_nationkey END AS role_id FROM customer JOIN nation ON c_nationkey = n_nationkey",
+)
+def mapped_roles(spark, sf):
+    """M-25: slugs of a run mapped to roles; the sentinel, an empty slug and a role that is gone stay unmapped."""
+    roles = table(spark, sf, "nation").select(F.col("n_nationkey").alias("role_id"), F.col("n_name").alias("name"))
+    k = F.col("c_custkey") % 4
+    slug = F.when(k == 0, "other").when(k == 1, F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string"))).when(k == 2, "").otherwise("retired-role")
+    return P.roles_of(table(spark, sf, "customer").select("c_custkey", slug.alias("slug")), roles).select("c_custkey", "role_id")
+
+
+@query(
+    "lead_queue",
+    """WITH p AS (SELECT l_orderkey AS project, unnest(list_distinct(list('Lead ' || chr(65 + (l_suppkey % 26)::INTEGER) || 'an ' || chr(65 + (l_suppkey % 7)::INTEGER) || 'o'))) AS name, min(l_orderkey) FROM lineitem GROUP BY l_orderkey),
+    f AS (SELECT name, min(project) AS project, count(*) AS projects FROM p WHERE name NOT LIKE 'Lead A%' GROUP BY name) SELECT * FROM f ORDER BY project, name LIMIT 25""",
+)
+def lead_queue(spark, sf):
+    """M-11, M-14: people of comma lists who were not looked up yet, with how many projects name them, first projects first."""
+    sign = lambda n: F.char(65 + F.col("l_suppkey") % n)
+    name = F.concat(F.lit("Lead "), sign(26), F.lit("an "), sign(7), F.lit("o"))
+    p = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("project")).agg(F.array_join(F.array_sort(F.collect_set(name)), " , ").alias("leads"))
+    known = table(spark, sf, "lineitem").where(F.col("l_suppkey") % 26 == 0).select(F.upper(name).alias("name"))
+    return P.lead_queue(p, known, 25)
+
+
+@query(
+    "published_contacts",
+    "SELECT s_suppkey AS project, 'Ann ' || chr(65 + (s_suppkey % 26)::INTEGER) || 'ee' AS name, 'ann' || s_suppkey || '@bank.org' AS email FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 4 <> 0",
+)
+def published_contacts(spark, sf):
+    """M-16, X-19: a project's people in its own summary, found among fetched documents by the hash of its address."""
+    k = F.col("s_suppkey")
+    n = k.cast("string")
+    s = table(spark, sf, "supplier")
+    projects = s.select(k.alias("project"), F.when(k % 3 != 0, F.concat(F.lit("HTTPS://Docs.example.org/esrs/"), n, F.lit("#top"))).alias("url"))
+    name = F.concat(F.lit("Ann "), F.char(65 + k % 26), F.lit("ee"))
+    text = F.concat(F.lit("III. CONTACT POINT\nTask Team Leader: "), name, F.lit("\nE-mail: ann"), n, F.lit("@bank.org\n"))
+    docs = s.select(S.url_key(F.concat(F.lit("https://docs.example.org/esrs/"), n)).alias("key"), F.when(k % 4 == 0, "failed").otherwise("fetched").alias("status"), text.alias("text"))
+    return P.published_contacts(projects, docs).select(F.col("doc_id").alias("project"), "name", "email")
+
+
 @query("tor_addresses", "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 3 = 1 THEN 'tor' || c_custkey || '@unit.org' ELSE '' END AS address, c_custkey % 3 < 2 AS mentioned FROM customer")
 def tor_addresses(spark, sf):
     """X-17: the address that the terms of reference are asked for at, and whether a body speaks of them."""

@@ -149,3 +149,17 @@ def test_spans_are_those_of_the_pattern(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
     got = [[(s["start"], s["stop"], s["text"]) for s in r["s"]] for r in df.select("i", spans(F.col("t"), r"\d+").alias("s")).orderBy("i").collect()]
     assert got == [[(m.start(), m.end(), m[0]) for m in re.finditer(r"\d+", t or "")] for t in texts]
+
+
+def test_a_sheet_of_a_notice(spark):
+    from noticelake.functions import scalars as S
+    from noticelake.plans import discovery as P
+
+    notices = spark.createDataFrame([(1, "P1", "Attn: Ivan Petrov E-mail: i.petrov@x.org", " ", "me@x.org", None), (2, None, None, None, None, "")], "doc_id long, project string, text string, name string, email string, phone string")
+    projects = spark.createDataFrame([("P1", "Bo Chen, Ann  Lee", "https://a.org/e.pdf#1")], "project string, leads string, url string")
+    docs = spark.createDataFrame([("https://A.org/e.pdf", "fetched", "CONTACT POINT\nContact: Lee Ann Title: Expert\nE-mail: ann@b.org\nContact: Zed Other\nTelephone No: +1 2\n")], "url string, status string, text string")
+    found = P.contact_sheet(notices, projects, docs.withColumn("key", S.url_key(F.col("url"))), spark.createDataFrame([("bo CHEN", "Chief", "bo@found.org")], "name string, title string, email string"))
+    assert [(r["doc_id"], r["tier"], r["place"], r["name"], r["role"], r["email"], r["phone"]) for r in found.orderBy("doc_id", "priority", "place").collect()] == [
+        (1, "notice", 0, "", "", "me@x.org", ""), (1, "body", 0, "Ivan Petrov", "", "i.petrov@x.org", ""),
+        (1, "bank", 0, "Bo Chen", "Chief", "bo@found.org", ""), (1, "bank", 1, "Ann Lee", "Expert", "ann@b.org", ""), (1, "bank", 2, "Zed Other", "", "", "+1 2"),
+    ]

@@ -4,7 +4,9 @@ import re
 
 from noticelake import catalog
 from noticelake.operators import vectors as V
+from noticelake.operators import fulltext as FT
 from noticelake.queries.rollups import quoted
+from noticelake.session import scratch
 
 
 def test_quotes_are_found_in_every_document(spark):
@@ -12,7 +14,7 @@ def test_quotes_are_found_in_every_document(spark):
     quotes = [(0, "one two three four five six"), (40, "two three"), (7, "one two  three four five six"), (8, "absent words that stand nowhere")]
     docs = spark.createDataFrame(docs, "doc_id long, text string")
     quotes = spark.createDataFrame(quotes, "item_id long, quote string")
-    assert sorted(map(tuple, quoted(docs, quotes).collect())) == [(0, 1), (7, 41), (40, 1), (40, 81)]
+    assert sorted(map(tuple, quoted(docs, quotes, FT.build(docs, scratch(spark, "quotes"))).collect())) == [(0, 1), (7, 41), (40, 1), (40, 81)]
 
 
 def sentences(text):
@@ -61,3 +63,12 @@ def test_representative_passages_are_chosen(spark):
     got = sorted((r.source, r.place, r.vec_id, r.topicality) for r in V.representatives(df, 3).collect())
     assert got == [(1, 1, 13, 1), (1, 2, 12, 1), (1, 3, 11, 0), (2, 1, 21, 0), (2, 2, 20, 0), (3, 1, 30, 0), (3, 2, 31, 0)]
     assert sorted(r.vec_id for r in V.representatives(df).collect()) == [13, 21, 30]
+
+
+def test_quotes_of_any_length_equal_containment(spark):
+    texts = ["the red fox ran, and ran", "A Red foxes' den", "red", "fo-x red fox. x", "", None, "no such words here", "xred foxy", "  the   red fox"]
+    asked = ["red fox ran", "red", "e red fo", "fo-x red fox.", "- , -", "the   red", "zzz red zzz", "a red foxes' den", "ran, and ran", "such words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    quotes = spark.createDataFrame(list(enumerate(asked)), "item_id long, quote string")
+    found = sorted(map(tuple, quoted(docs, quotes, FT.build(docs, scratch(spark, "quotes"))).collect()))
+    assert found == sorted((i, k) for i, q in enumerate(asked) for k, t in enumerate(texts) if t is not None and q.lower() in t.lower())
