@@ -1,7 +1,7 @@
 """Full text over a stored positional index: web-style queries, phrases, exclusion, rank.
 
-The index is written once: a row for each term of a document with the places where it stands, in folders by a
-hash of the term's stem, and a table of stems with the number of documents that have them.  A search reads
+The index is written once: a row for each place where a term stands in a document, sorted by stem, in folders by a
+hash of the term's stem, and, where it is asked for, a table of stems with the number of documents that have them.  A search reads
 the folders of the stems that are asked for, and nothing of the texts.  No stem is left out for
 being common; a query on common words only reads more.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from ..session import shared_dir
 from .vectors import meet, words
 
 #: Folders of an index; files that a folder with very common terms is spread over; stems that are named in the filter of a scan.
-BUCKETS, SPREAD, NAMED = 64, 8, 2_000
+BUCKETS, SPREAD, NAMED = 32, 4, 2_000
 #: Letters in a row, or digits in a row.
 TOKEN = r"(\p{L}+|\p{N}+)"
 #: How fast more places of a term stop to count.
@@ -44,15 +45,22 @@ def bucket_of(stemmed: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(stemmed), F.lit(buckets)).cast("int")
 
 
-@dataclass(frozen=True)
+@dataclass
 class Index:
-    """A stored index: ``postings`` (bucket, stem, term, doc_id, places), ``stems`` (stem, docs), ``documents`` (doc_id)."""
+    """A stored index: ``postings`` (bucket, stem, term, doc_id, place), ``stems`` (stem, docs), ``documents`` (doc_id)."""
 
+    path: str
     postings: DataFrame
-    stems: DataFrame
     documents: DataFrame
     size: int
 
+    @cached_property
+    def stems(self) -> DataFrame:
+        """How many documents have a stem; written when it is first asked for."""
+        each = self.postings.select("stem", "doc_id").distinct().groupBy("stem").agg(F.count("*").alias("docs"))
+        each.write.mode("overwrite").parquet(f"{self.path}/stems")
+        return self.postings.sparkSession.read.schema("stem string, docs long").parquet(f"{self.path}/stems")
+
     def of(self, asked: DataFrame) -> DataFrame:
         """Postings of the stems of ``asked`` (stem): only their folders are read, and of those the row groups that may hold one."""
         wanted = asked.select("stem").distinct()
@@ -65,21 +73,18 @@ class Index:
 def build(docs: DataFrame, path: str) -> Index:
     """Write the index of ``docs`` (doc_id, text) to ``path``.  Texts of rows that share a doc_id are one document's."""
     spark = docs.sparkSession
-    each = docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("place", "term"))
-    rows = each.groupBy("doc_id", "term").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    rows = docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("place", "term"))
     rows = rows.withColumn("stem", stem(F.col("term"))).withColumn("bucket", bucket_of(F.col("stem")))
     dealt = rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "stem", "doc_id")
-    dealt.select("stem", "term", "doc_id", "places", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    dealt.select("stem", "term", "doc_id", "place", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     docs.select("doc_id").distinct().write.mode("overwrite").parquet(f"{path}/documents")
-    stems = spark.read.parquet(f"{path}/postings").select("stem", "doc_id").distinct().groupBy("stem").agg(F.count("*").alias("docs"))
-    stems.write.mode("overwrite").parquet(f"{path}/stems")
     return read(spark, path)
 
 
 def read(spark: SparkSession, path: str) -> Index:
-    postings = spark.read.schema("stem string, term string, doc_id long, places array<int>, bucket int").parquet(f"{path}/postings")
+    postings = spark.read.schema("stem string, term string, doc_id long, place int, bucket int").parquet(f"{path}/postings")
     documents = spark.read.parquet(f"{path}/documents")
-    return Index(postings, spark.read.parquet(f"{path}/stems"), documents, documents.count())
+    return Index(path, postings, documents, documents.count())
 
 
 _BUILT: dict[tuple[str, str], Index] = {}
@@ -126,8 +131,7 @@ def search(queries: DataFrame, index: Index, k: int = 20) -> DataFrame:
     asked = asked_terms(queries)
     met = index.of(asked).join(F.broadcast(asked), "stem")  # the stated list of queries
     # where an item begins, if the word stands here
-    starts = met.select("qid", "choice", "item", "without", "words", "k", "doc_id", F.explode("places").alias("place"))
-    starts = starts.select("qid", "choice", "item", "without", "words", "k", "doc_id", (F.col("place") - F.col("k")).alias("start")).distinct()
+    starts = met.select("qid", "choice", "item", "without", "words", "k", "doc_id", (F.col("place") - F.col("k")).alias("start")).distinct()
     whole = starts.groupBy("qid", "choice", "item", "without", "words", "doc_id", "start").agg(F.count("*").alias("n")).where("n = words")
     found = whole.groupBy("qid", "choice", "item", "without", "doc_id").agg(F.count("*").alias("times"))
     common = Window.partitionBy("qid", "item")
@@ -149,7 +153,7 @@ def search(queries: DataFrame, index: Index, k: int = 20) -> DataFrame:
 def overlaps(asked: DataFrame, index: Index) -> DataFrame:
     """Shared words of ``asked`` (qid, n, term; each once) and documents: qid, doc_id, shared, n."""
     terms = asked.withColumn("stem", stem(F.col("term")))
-    hits = index.of(terms).select("term", "doc_id").join(F.broadcast(terms.select("qid", "n", "term")), "term")
+    hits = index.of(terms).select("term", "doc_id").join(F.broadcast(terms.select("qid", "n", "term")), "term").distinct()
     return hits.groupBy("qid", "doc_id").agg(F.count("*").alias("shared"), F.min("n").alias("n"))
 
 

@@ -87,10 +87,11 @@ def _typed(spark, sf):
     w, k = FT.tokens(F.col("text")), F.col("item_id") % 3
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), w.alias("w"), k.alias("k"))
     word = lambda i: F.coalesce(F.get("w", i), F.lit("x"))
+    # a word that may be "or" stands in quotation marks
     text = (
-        F.when(F.col("k") == 0, F.concat(F.lit('"'), word(0), F.lit(" "), word(1), F.lit('" '), word(2), F.lit('"')))
-        .when(F.col("k") == 1, F.concat(word(0), F.lit("s "), word(1), F.lit(' OR "'), word(2), F.lit(" "), word(3), F.lit('" -'), word(4)))
-        .otherwise(F.concat(word(0), F.lit(' -"'), word(1), F.lit(" "), word(2), F.lit('"')))
+        F.when(F.col("k") == 0, F.concat(F.lit('"'), word(0), F.lit(" "), word(1), F.lit('" "'), word(2), F.lit('" "')))
+        .when(F.col("k") == 1, F.concat(word(0), F.lit('s "'), word(1), F.lit('" OR "'), word(2), F.lit(" "), word(3), F.lit('" -'), word(4)))
+        .otherwise(F.concat(F.lit('"'), word(0), F.lit('" -"'), word(1), F.lit(" "), word(2), F.lit('"')))
     )
     return b.select("qid", text.alias("text"))
 
