@@ -84,16 +84,19 @@ def url_keys(spark, sf):
 
 @query(
     "share_links",
-    """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://drive.google.com/uc?export=download&id=A-' || page_id WHEN 1 THEN 'https://docs.google.com/spreadsheets/d/B_' || page_id || '/export?format=xlsx'
-    WHEN 2 THEN 'https://drive.google.com/uc?export=download&id=C' || page_id ELSE url END AS direct FROM pages""",
+    """WITH p AS (SELECT page_id, url, CASE page_id // 5 % 3 WHEN 0 THEN ['document', 'docx'] WHEN 1 THEN ['spreadsheets', 'xlsx'] ELSE ['presentation', 'pdf'] END AS kind, left(md5(url), 20) AS id FROM pages)
+    SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://drive.google.com/uc?export=download&id=' || id || '_-' WHEN 1 THEN 'https://docs.google.com/' || kind[1] || '/d/' || id || '/export?format=' || kind[2]
+    WHEN 2 THEN 'https://drive.google.com/uc?export=download&id=' || id WHEN 3 THEN 'https://docs.google.com/forms/d/' || id ELSE url END AS direct FROM p""",
 )
 def share_links(spark, sf):
-    """F-16"""
-    k, n = F.col("page_id") % 4, F.col("page_id").cast("string")
+    """F-16: share links of files, of each kind of document and of the opener, as links that serve the file; others stay."""
+    k, part = F.col("page_id") % 5, F.floor(F.col("page_id") / 5) % 3
+    kind, n = F.when(part == 0, "document").when(part == 1, "spreadsheets").otherwise("presentation"), F.substring(F.md5("url"), 1, 20)
     shared = (
-        F.when(k == 0, F.concat(F.lit("https://drive.google.com/file/d/A-"), n, F.lit("/view?usp=sharing")))
-        .when(k == 1, F.concat(F.lit("https://docs.google.com/spreadsheets/d/B_"), n, F.lit("/edit#gid=0")))
-        .when(k == 2, F.concat(F.lit("https://drive.google.com/open?x=1&id=C"), n))
+        F.when(k == 0, F.concat(F.lit("https://drive.google.com/file/d/"), n, F.lit("_-/view?usp=sharing")))
+        .when(k == 1, F.concat(F.lit("https://docs.google.com/"), kind, F.lit("/d/"), n, F.lit("/edit#gid=0")))
+        .when(k == 2, F.concat(F.lit("https://drive.google.com/open?x=1&id="), n))
+        .when(k == 3, F.concat(F.lit("https://docs.google.com/forms/d/"), n))
         .otherwise(F.col("url"))
     )
     return table(spark, sf, "pages").select("page_id", S.direct_url(shared).alias("direct"))
@@ -209,12 +212,17 @@ def json_lists(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", S.json_list(raw).alias("l")).select("conv_id", "turn", F.size("l").alias("n"), F.get("l", F.lit(0)).alias("first"))
 
 
-@query("accepted_languages", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'ru' WHEN 1 THEN 'uz' WHEN 2 THEN 'en' ELSE 'uz' END AS lang FROM customer")
+@query(
+    "accepted_languages",
+    """WITH d AS (SELECT doc_id, [{'q': (doc_id % 10) / 10.0::DOUBLE, 'at': 0, 'tag': lang}, {'q': (doc_id // 10 % 10) / 10.0::DOUBLE, 'at': -1, 'tag': 'en'}, {'q': (doc_id // 7 % 10) / 10.0::DOUBLE, 'at': -2, 'tag': 'uz'}] AS l FROM documents)
+    SELECT doc_id, coalesce(list_max([x FOR x IN l IF x.q > 0 AND x.tag IN ('en', 'de', 'uz')]).tag, 'de') AS lang FROM d""",
+)
 def accepted_languages(spark, sf):
-    """F-31"""
-    k = F.col("c_custkey") % 4
-    h = F.when(k == 0, "fr, ru;q=0.8, en;q=0.7").when(k == 1, "uz-UZ, ru").when(k == 2, "de").otherwise("en;q=0.3, uz;q=0.9")
-    return table(spark, sf, "customer").select("c_custkey", S.accepted_language(h, ["en", "ru", "uz"], "en").alias("lang"))
+    """F-31: weights of three tags each, regions among them, one that is refused, one that is not there."""
+    k = F.col("doc_id")
+    q = lambda n: F.concat(F.lit(";q=0."), (n % 10).cast("string"))
+    header = F.concat(F.upper("lang"), q(k), F.lit(", en-GB"), q(F.floor(k / 10)), F.lit(" ,uz-Latn-UZ "), q(F.floor(k / 7)))
+    return table(spark, sf, "documents").select("doc_id", S.accepted_language(header, ["en", "de", "uz"], "de").alias("lang"))
 
 
 @query(
