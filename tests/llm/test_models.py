@@ -199,3 +199,11 @@ def test_quality_against_plain_loops():
         x = [sum(w * v[b][k] for b, w in own.items()) for k in range(width)] + [1.0]
         want = 1 / (1 + np.exp(-sum((a - b) * c for a, b, c in zip(z[1], z[0], x, strict=True))))
         assert abs(score - want) < 2e-3, (t, score, want)
+
+
+def test_an_id_that_repeats_is_learned_from_once(spark):
+    docs = spark.createDataFrame([(1, f"word{i}") for i in range(50)] + [(2, "good"), (3, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, 0), (None, 1)], "doc_id long, label int")
+    once = spark.createDataFrame([(1, "word0"), (2, "good"), (3, None)], "doc_id long, text string")
+    a, b = quality.train(docs, labels), quality.train(once, labels)
+    assert all(np.array_equal(x, y) for x, y in zip(a, b, strict=True))
