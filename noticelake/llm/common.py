@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import let
-from ..session import shared_dir
+from ..session import shared_dir, short_batches
 
 __all__ = ["SPACE", "batches", "held_small", "let", "one_space", "ranges", "shared_dir", "short_batches", "stored", "table", "text_key", "utf8", "without", "word_array"]
 
@@ -58,11 +58,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def short_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound an Arrow batch by rows, so that very long texts can't fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def one_space(text: Column) -> Column:
     """Null as empty; every run of white space as one space."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")

@@ -6,14 +6,18 @@ remembers where it came from, so spans are offsets into the text as it is.
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import let
 from ..functions.text import PLAIN
+from ..session import short_batches, stored
 
 
 def pieces_of(text: Column) -> Column:
@@ -32,24 +36,59 @@ def pieces_of(text: Column) -> Column:
     return F.aggregate(parts, begin, step)["found"]
 
 
-def folded(text: str) -> tuple[str, list[int]]:
-    """A text in the form quotes are compared in, and for each of its characters the offset it came from."""
-    out, at = [], []
-    for i, raw in enumerate(text):
-        for c in unicodedata.normalize("NFKC", raw).translate(PLAIN).casefold():
-            c = " " if c.isspace() else c
-            if c != " " or (out and out[-1] != " "):
-                out.append(c)
-                at.append(i)
-    return "".join(out), at
+class _Folds(dict):
+    """Code point -> what it is in the form quotes are compared in; filled as characters are met."""
+
+    def __missing__(self, code: int) -> str:
+        own = unicodedata.normalize("NFKC", chr(code)).translate(PLAIN).casefold()
+        self[code] = own = "".join(" " if c.isspace() else c for c in own)
+        return own
+
+
+_FOLDS = _Folds()
+_SPACES = re.compile("  +")
+#: Characters folded at once; offsets are counted only in the blocks where a quote begins or ends.
+BLOCK = 1 << 12
+
+
+class Folded:
+    """A text in the form quotes are compared in, which knows the offset that each of its characters came from."""
+
+    def __init__(self, text: str):
+        self.source, self.starts, parts, last = text, [], [], " "
+        size = 0
+        for k in range(0, len(text), BLOCK):
+            part = _SPACES.sub(" ", text[k : k + BLOCK].translate(_FOLDS))
+            part = part.removeprefix(" ") if last == " " else part
+            self.starts.append(size)
+            parts.append(part)
+            size += len(part)
+            last = part[-1] if part else last
+        self.text = "".join(parts)
+
+    def offset(self, place: int) -> int:
+        """The offset in the source of the folded text's character ``place``."""
+        k = bisect_right(self.starts, place) - 1
+        at = self.starts[k]
+        last = self.text[at - 1] if at else " "
+        for i in range(k * BLOCK, len(self.source)):
+            for c in _FOLDS[ord(self.source[i])]:
+                if c != " " or last != " ":
+                    if at == place:
+                        return i
+                    at, last = at + 1, c
+        raise IndexError(place)
+
+    def find(self, quote: str) -> tuple[int, int] | None:
+        """(start, end) in the source of the first place where ``quote`` stands; null if nowhere or if it says nothing."""
+        wanted = Folded(quote).text.strip(" ")
+        k = self.text.find(wanted) if wanted else -1
+        return (self.offset(k), self.offset(k + len(wanted) - 1) + 1) if k >= 0 else None
 
 
 def find(text: str, quote: str) -> tuple[int, int] | None:
     """(start, end) of the first place where ``quote`` stands in ``text``; null if nowhere or if it says nothing."""
-    wanted = folded(quote)[0].strip(" ")
-    held, at = folded(text)
-    k = held.find(wanted) if wanted else -1
-    return (at[k], at[k + len(wanted) - 1] + 1) if k >= 0 else None
+    return Folded(text).find(quote)
 
 
 def locate(docs: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -60,10 +99,16 @@ def locate(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     """
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = Folded("")
         for pdf in it:
-            spans = [find(t or "", q or "") or (None, None) for t, q in zip(pdf["text"], pdf["quote"], strict=True)]
+            spans = []
+            for t, q in zip(pdf["text"], pdf["quote"], strict=True):
+                if held.source != (t or ""):  # quotes of a document mostly follow each other
+                    held = Folded(t or "")
+                spans.append(held.find(q or "") or (None, None))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "quote_id": pdf["quote_id"], "start": pd.array([s[0] for s in spans], "Int32"), "end": pd.array([s[1] for s in spans], "Int32")})
 
+    short_batches(docs.sparkSession)
     joined = quotes.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "quote_id", "quote", "text")
     return joined.mapInPandas(run, "doc_id long, quote_id long, start int, end int")
 
@@ -81,11 +126,19 @@ def payload(docs: DataFrame, located: DataFrame) -> DataFrame:
     ``highlights`` are array<struct<quote_id, piece, start, end>> in order of quote and piece, ``missing`` the
     quotes that were not found, for which the reader sees the text alone.
     """
-    spans = highlights(docs, located).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("quote_id", "piece", "start", "end"))).alias("highlights"))
-    lost = located.where("start IS NULL").groupBy("doc_id").agg(F.array_sort(F.collect_list("quote_id")).alias("missing"))
+    located = stored(located, "located")  # read once, as finding quotes is what costs
+    span = F.when(F.col("start").isNotNull(), F.struct("quote_id", "start", "end"))
+    own = located.groupBy("doc_id").agg(F.collect_list(span).alias("spans"), F.array_sort(F.collect_list(F.when(F.col("start").isNull(), F.col("quote_id")))).alias("missing"))
+
+    def laid(pieces: Column, spans: Column) -> Column:
+        on = lambda q: F.filter(pieces, lambda p: (q["start"] < p["end"]) & (p["start"] < q["end"]))
+        cut = lambda q, p: F.struct(q["quote_id"].alias("quote_id"), p["piece"].alias("piece"), (F.greatest(q["start"], p["start"]) - p["start"]).alias("start"), (F.least(q["end"], p["end"]) - p["start"]).alias("end"))
+        return F.array_sort(F.flatten(F.transform(spans, lambda q: F.transform(on(q), lambda p: cut(q, p)))))
+
     none = "array<struct<quote_id:bigint,piece:int,start:int,end:int>>"
-    shown = docs.select("doc_id", pieces_of(F.col("text")).alias("pieces")).join(spans, "doc_id", "left").join(lost, "doc_id", "left")
-    return shown.select("doc_id", "pieces", F.coalesce("highlights", F.array().cast(none)).alias("highlights"), F.coalesce("missing", F.array().cast("array<bigint>")).alias("missing"))
+    both = let(pieces_of(F.col("text")), lambda p: F.struct(p.alias("pieces"), laid(p, F.col("spans")).alias("highlights")))
+    shown = docs.select("doc_id", "text").join(own, "doc_id", "left").select("doc_id", both.alias("b"), "missing")
+    return shown.select("doc_id", "b.pieces", F.coalesce("b.highlights", F.array().cast(none)).alias("highlights"), F.coalesce("missing", F.array().cast("array<bigint>")).alias("missing"))
 
 
 def best_source(located: DataFrame, sources: DataFrame) -> DataFrame:

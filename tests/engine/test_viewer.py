@@ -1,6 +1,8 @@
 """Pieces, quotes and their spans, and pages of persons."""
 
+import random
 import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -52,3 +54,32 @@ def test_pages_of_persons(spark):
     got = {r.i: tuple(r.a) for r in df.select("i", T.author_page(F.col("h"), F.col("n"), "Languages", ("Posts", "Footer"), r'<img src="([^"]+)"').alias("a")).collect()}
     assert got[1] == ("Senior & Lead", bio.replace("&amp;", "&").strip(), "https://x/p.jpg")
     assert got[2] == got[3] == ("", "", "") and got[4] == got[5] == ("Senior & Lead", "", "https://x/p.jpg")
+
+
+def folded(text):
+    """The folded form a character at a time, with the offset of each."""
+    out, at = [], []
+    for i, raw in enumerate(text):
+        for c in unicodedata.normalize("NFKC", raw).translate(T.PLAIN).casefold():
+            c = " " if c.isspace() else c
+            if c != " " or (out and out[-1] != " "):
+                out.append(c)
+                at.append(i)
+    return "".join(out), at
+
+
+def test_texts_fold_in_blocks_and_keep_their_offsets(monkeypatch):
+    r = random.Random(1)
+    for block in (1, 2, 3, 7, 4096):
+        monkeypatch.setattr(W, "BLOCK", block)
+        for _ in range(300):
+            text = "".join(r.choice("ab  \n\t\x1cﬁß“”—¨İ😀é") for _ in range(r.randrange(30)))
+            got, (form, at) = W.Folded(text), folded(text)
+            assert (got.text, [got.offset(i) for i in range(len(at))]) == (form, at)
+
+
+def test_quotes_are_looked_for_once(spark):
+    docs = spark.createDataFrame([(1, "One.\n\nTwo.")], "doc_id long, text string")
+    shown = W.payload(docs, W.locate(docs, spark.createDataFrame([(1, 1, "two")], "doc_id long, quote_id long, quote string")))
+    assert "MapInPandas" not in shown._jdf.queryExecution().toString()
+    assert [tuple(h) for h in shown.first().highlights] == [(1, 1, 0, 3)]
