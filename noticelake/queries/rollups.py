@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Callable
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
@@ -14,6 +15,7 @@ from ..operators import vectors as V
 from ..operators import predicates as P
 from ..plans.standins import AWARDS, NOTICES, awards, notices
 from ..registry import query, table
+from ..session import stored
 
 
 @query(
@@ -374,12 +376,13 @@ def declarations_in_order(spark, sf):
 QUOTE_WORDS = 3
 
 
-def quoted(docs: DataFrame, quotes: DataFrame, index: FT.Index) -> DataFrame:
+def quoted(docs: DataFrame, quotes: DataFrame, index: FT.Index | Callable[[], FT.Index]) -> DataFrame:
     """(item_id, doc_id) for every document whose text holds the item's quote, in any case.
 
     The words of a quote but its first and last stand whole wherever the quote does.  Quotes of many words meet
     documents on the hash of the first QUOTE_WORDS of these, quotes of three or four on the rarest of their
-    terms in the stored ``index`` of the documents; every hit is verified.  Quotes without a whole word inside are a
+    terms in the stored ``index`` of the documents (or a function that writes it, which is asked only where there are
+    such quotes); every hit is verified.  Quotes without a whole word inside are a
     stated list that is held against all texts.
     """
     words = lambda c: F.split(F.lower(c), " ")
@@ -393,10 +396,12 @@ def quoted(docs: DataFrame, quotes: DataFrame, index: FT.Index) -> DataFrame:
     w = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= QUOTE_WORDS)
     runs = w.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (QUOTE_WORDS - 1)), lambda at: run(F.col("w"), at)))).alias("key"))
     met = runs.join(keys, "key").select("item_id", "doc_id")
-    terms = short.select("item_id", F.explode(inner).alias("term")).withColumn("stem", FT.stem(F.col("term")))
-    rare = terms.join(index.stems, "stem").groupBy("item_id").agg(F.min_by(F.struct("stem", "term"), "docs").alias("x")).select("item_id", "x.*")
-    by_term = index.of(rare).select("stem", "term", "doc_id").join(F.broadcast(rare), ["stem", "term"]).select("item_id", "doc_id")
-    found = met.union(by_term).distinct().join(docs, "doc_id").join(quotes, "item_id").where(held)
+    if not short.isEmpty():
+        index = index() if callable(index) else index
+        terms = short.select("item_id", F.explode(inner).alias("term")).withColumn("stem", FT.stem(F.col("term")))
+        rare = terms.join(index.stems, "stem").groupBy("item_id").agg(F.min_by(F.struct("stem", "term"), "docs").alias("x")).select("item_id", "x.*")
+        met = met.union(index.of(rare).select("stem", "term", "doc_id").join(F.broadcast(rare), ["stem", "term"]).select("item_id", "doc_id"))
+    found = stored(met.distinct(), "quotes-met").join(docs, "doc_id").join(quotes, "item_id").where(held)
     every = V.meet(docs, bare.select(F.col("item_id").alias("qid"), "quote")).where(held)
     return found.select("item_id", "doc_id").union(every.select("qid", "doc_id"))
 
@@ -408,7 +413,7 @@ def quoted(docs: DataFrame, quotes: DataFrame, index: FT.Index) -> DataFrame:
 def quote_containment(spark, sf):
     """J-16, X-05: the first five words of an item as a quote, found in any document."""
     b = table(spark, sf, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("quote"))
-    return quoted(table(spark, sf, "documents").select("doc_id", "text"), b, FT.index_of(table(spark, sf, "documents"))).groupBy("item_id").agg(F.count("*").alias("n"))
+    return quoted(table(spark, sf, "documents").select("doc_id", "text"), b, lambda: FT.index_of(table(spark, sf, "documents"))).groupBy("item_id").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -419,7 +424,7 @@ def quote_containment(spark, sf):
 def quote_matches(spark, sf):
     """J-16, X-05: an item's first eight words, in all documents."""
     quotes = table(spark, sf, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("quote"))
-    return quoted(table(spark, sf, "documents").select("doc_id", "text"), quotes, FT.index_of(table(spark, sf, "documents"))).groupBy("item_id").agg(F.count("*").alias("n"))
+    return quoted(table(spark, sf, "documents").select("doc_id", "text"), quotes, lambda: FT.index_of(table(spark, sf, "documents"))).groupBy("item_id").agg(F.count("*").alias("n"))
 
 
 @query(
