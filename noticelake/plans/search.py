@@ -9,10 +9,10 @@ from ..operators import fulltext as FT
 from ..operators import vectors as V
 
 
-def search(queries: DataFrame, points: DataFrame | None, index: FT.Index, k: int = 20, threshold: float = 0.5) -> DataFrame:
+def search(queries: DataFrame, points: DataFrame | None, index: FT.Index | FT.Texts, k: int = 20, threshold: float = 0.5) -> DataFrame:
     """qid, id, score, place, retrieval, degraded_reason.
 
-    ``queries``: qid, text, qvec; ``index``: the stored one.  With ``points`` both arms run and are fused; without them the
+    ``queries``: qid, text, qvec; ``index``: the stored one, or the texts.  With ``points`` both arms run and are fused; without them the
     lexical arm answers alone and the reason says so.  Nothing raises for a missing arm.
     """
     lexical = FT.lexical(queries.select("qid", "text"), index, k).select("qid", F.col("doc_id").alias("id"), "score", "rank")
