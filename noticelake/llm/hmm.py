@@ -13,8 +13,8 @@ is kept for words that training has not seen.
 Counts of all words are taken over all training texts and stay a distributed table.  The words with the
 highest counts, HELD at most, go to every task; the others meet the table by a join.  Baum-Welch
 runs over the stored class sequences: every task adds up the expected counts of its texts, Spark
-adds up the tasks, and the driver sees CLASSES rows a round.  The first rounds run over a bounded
-sample, which only gives the start; the last ones over every training text.
+adds up the tasks, and the driver sees CLASSES rows a round.  The first rounds take a part of the training texts
+each, and every text is in one of the parts; the last ones take all.
 
 Likelihoods come from the scaled forward recursion over the whole sequence.  All texts of a group go
 through it in step, longest first, so that a step is one matrix product.
@@ -44,7 +44,7 @@ CLASSES = OWN + ENDINGS + 1
 END = CLASSES - 1
 #: Words whose counts every task holds.
 HELD = 250_000
-#: Texts of the rounds that give the start, and rounds over them and over all texts.
+#: Texts of a part at least, rounds that give the start, of a part each, and rounds over all texts.
 START_TEXTS, START_ROUNDS, ROUNDS = 2_000, 15, 3
 #: Added to every count of a word; tokens, and share of its own, that a state is given after all texts.
 ADDED, PRIOR, SHARED = 0.1, 5_000, 0.02
@@ -391,17 +391,20 @@ def first_chain(shared: np.ndarray, states: int = STATES) -> Chain:
 
 
 def train(coded: DataFrame, v: Vocabulary, states: int = STATES, start_texts: int = START_TEXTS) -> Chain:
-    """Baum-Welch over ``coded`` (row, classes; from a stored table): START_ROUNDS on about ``start_texts`` texts, ROUNDS on all."""
+    """Baum-Welch over ``coded`` (row, classes; from a stored table): START_ROUNDS on its parts in turn, ROUNDS on all.
+
+    There are as many parts as hold ``start_texts`` texts or more, START_ROUNDS at most, so that all of them have their turn.
+    """
     shared = (v.class_tokens + ADDED) / (v.tokens + ADDED * CLASSES)
     chain, n = first_chain(shared, states), coded.count()
     if not n:
         return chain
-    share = F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int(min(1.0, start_texts / n) * (1 << 20))
-    tasks = coded.sparkSession.sparkContext.defaultParallelism
-    some = stored(coded.where(share).select("classes").repartition(tasks), "hmm-start") if n > start_texts else coded
-    for data, rounds in ((some, START_ROUNDS), (coded, ROUNDS)):
-        for _ in range(rounds):
-            chain, _ = baum_welch(data, chain, shared)
+    parts = max(1, min(START_ROUNDS, n // start_texts))
+    part = F.pmod(F.xxhash64("row"), F.lit(parts))
+    for turn in range(START_ROUNDS):
+        chain, _ = baum_welch(coded.where(part == turn % parts), chain, shared)
+    for _ in range(ROUNDS):
+        chain, _ = baum_welch(coded, chain, shared)
     return chain
 
 

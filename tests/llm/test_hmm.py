@@ -157,3 +157,14 @@ def test_query(spark, sf, few_rounds):
     found = queries()["op11_lm_scoring"](spark, sf)
     assert found.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     assert dict(found.dtypes)["n_known"] == dict(found.dtypes)["train_tokens"] == "bigint"
+
+
+def test_every_training_text_is_in_the_start(spark, monkeypatch):
+    rows = [(i, bytearray(np.full(3, i, "<u2").tobytes())) for i in range(100)]
+    coded = spark.createDataFrame(rows, "row long, classes binary")
+    v = hmm.Vocabulary([b""], np.array([1]), 1, 1, np.zeros(hmm.CLASSES), np.zeros(hmm.CLASSES))
+    seen = []
+    monkeypatch.setattr(hmm, "ROUNDS", 0)
+    monkeypatch.setattr(hmm, "baum_welch", lambda data, chain, shared: (seen.append({r["row"] for r in data.select("row").collect()}), (chain, 0.0))[1])
+    hmm.train(coded, v, start_texts=10)
+    assert len(seen) == hmm.START_ROUNDS and set().union(*seen) == set(range(100)) and max(map(len, seen)) < 100
