@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from noticelake import catalog
+from noticelake.functions import text as T
 from noticelake.operators import fulltext as FT
 from noticelake.queries.rollups import quoted
 from noticelake.session import scratch
@@ -36,3 +38,17 @@ def test_stems_are_those_of_the_patterns(spark):
     s = long & t.rlike("s$") & ~t.rlike("(us|ss|es)$")
     plain = F.when(ies, F.regexp_replace(t, "ies$", "y")).when(es | s, F.regexp_replace(t, "s$", "")).otherwise(t)
     assert spark.createDataFrame(words, "w string").where(plain != FT.stem(t)).collect() == []
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        T.long_chunks(spark.createDataFrame([(1, "x")], "doc_id long, text string"))
+        assert int(spark.conf.get(name)) <= 256
+        spark.conf.set(name, "10000")
+        catalog.queries()["resanitise_report"](spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get(name)) <= 256
+    finally:
+        spark.conf.set(name, before)
