@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..registry import query, table
-from ..session import scratch
+from ..session import scratch, short_batches
 from ..sources import blocks as K
 from ..sources import files as L
 from ..sources import paged, service
@@ -559,6 +559,7 @@ def resanitise_report(spark, sf):
     """M-36, M-40, M-41: maintenance is idempotent: a second pass changes nothing."""
     from ..functions.text import sanitize
 
+    short_batches(spark)
     once = table(spark, sf, "pages").select(sanitize(F.col("html")).alias("once"))
     return once.agg(F.count("*").alias("pages"), F.count_if(sanitize(F.col("once")) != F.col("once")).alias("changed_again"))
 
