@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -190,9 +192,25 @@ KEY_TOPICS = {
 }
 
 
+def linear(pattern: str) -> str:
+    """A pattern of MARKERS for engines that read a text in one pass: letters fold beyond ASCII without a flag, a look-ahead is a border."""
+    return pattern.replace("(?iu)", "(?i)").replace(r"(?![\p{L}\d_])", r"(?:[^\p{L}\d_]|$)")
+
+
 def marker_score(text: Column, families: dict[str, str]) -> Column:
-    """How many families of patterns occur."""
-    return reduce(lambda a, b: a + b, [text.rlike(p).cast("int") for p in families.values()])
+    """How many families of patterns occur; null for null.
+
+    Arrow's engine reads a text once a family, whatever the number of branches, where a backtracking one tries
+    each of them at each character.
+    """
+    patterns = [linear(p) for p in families.values()]
+
+    @F.arrow_udf("int")
+    def score(texts: pa.Array) -> pa.Array:
+        found = [pc.match_substring_regex(texts, p).cast(pa.int32()) for p in patterns]
+        return reduce(pc.add, found)
+
+    return score(text)
 
 
 #: Families of requirement language, each with its Russian form.
@@ -226,8 +244,8 @@ MARKERS = {
 
 
 def marker_sql(text: str) -> str:
-    """The same count for DuckDB, whose letters fold beyond ASCII without a flag; a look-ahead is a border there."""
-    clean = lambda p: p.replace("(?iu)", "(?i)").replace(r"(?![\p{L}\d_])", r"(?:[^\p{L}\d_]|$)").replace("'", "''")
+    """The same count for DuckDB."""
+    clean = lambda p: linear(p).replace("'", "''")
     return " + ".join(f"regexp_matches({text}, '{clean(p)}')::INT" for p in MARKERS.values())
 
 
