@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .scalars import let
 from .spans import before, spans
 from .text import unescaped
@@ -88,7 +89,7 @@ def body_contacts(docs: DataFrame) -> DataFrame:
     """
     t = F.col("text")
     text = F.when(F.contains(t, F.lit("&")), unescaped(t)).otherwise(F.coalesce(t, F.lit("")))
-    marked = docs.select("doc_id", text.alias("text")).select("doc_id", "text", spans(F.col("text"), PERSON).alias("p"), spans(F.col("text"), NUMBER).alias("n"), spans(F.col("text"), ADDRESS).alias("e"))
+    marked = spread(docs.select("doc_id", "text"), "doc_id").select("doc_id", text.alias("text")).select("doc_id", "text", spans(F.col("text"), PERSON).alias("p"), spans(F.col("text"), NUMBER).alias("n"), spans(F.col("text"), ADDRESS).alias("e"))
     person = lambda x: F.struct(
         squeezed(F.regexp_extract(x["text"], PERSON, 1)).alias("name"), _clean_role(F.regexp_extract(x["text"], PERSON, 2)).alias("role"), x["start"].alias("start"), x["stop"].alias("stop")
     )

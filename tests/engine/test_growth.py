@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticelake.functions import classify as K
+from noticelake.functions import contacts as C
 
 
 def test_markers_read_a_text_in_one_pass(spark):
@@ -15,3 +16,9 @@ def test_markers_read_a_text_in_one_pass(spark):
     duckdb = pytest.importorskip("duckdb")
     sql = duckdb.connect()
     assert got == [sql.execute(f"SELECT {K.marker_sql('t')} FROM (SELECT ?::VARCHAR AS t)", [t]).fetchone()[0] for t in texts]
+
+
+def test_contacts_of_one_file_are_read_by_many_tasks(spark):
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("Attn: Ann Lee E-mail: ann.lee@x.org").alias("text")).coalesce(1)
+    found = C.body_contacts(docs)
+    assert found.rdd.getNumPartitions() > 1 and found.where("email = 'ann.lee@x.org' AND name = 'Ann Lee'").count() == 100
