@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .text import decoded
 
 #: Headings of sections, labels and how values are written.
@@ -26,11 +27,15 @@ NEAR_PRICE, NEAR_AMOUNT, NEAR_DATE, NEAR_DURATION = 2, 4, 3, 2
 
 
 def _lines(bodies: DataFrame) -> DataFrame:
-    """notice_id, n (from 0), line, low: what stands between tags, references decoded, blank lines out."""
-    t = F.regexp_replace(F.coalesce("html", F.lit("")), r"<[^>]+>", "\n")
-    t = F.regexp_replace(decoded(t), r"(?U)[\s&&[^\n]]+", " ")
+    """notice_id, n (from 0), line, low: what stands between tags, references decoded, blank lines out.
+
+    Bodies are dealt by notice before they are cut, so that their lines, which are many times as many rows, need no shuffle.
+    """
+    flat = bodies.select("notice_id", F.regexp_replace(F.coalesce("html", F.lit("")), r"<[^>]+>", "\n").alias("__t"))
+    plain = flat.select("notice_id", F.when(F.contains("__t", F.lit("&")), decoded(F.col("__t"))).otherwise(F.col("__t")).alias("__t"))
+    t = F.regexp_replace("__t", r"(?U)[\s&&[^\n]]+", " ")
     kept = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return bodies.select("notice_id", F.posexplode(kept).alias("n", "line")).withColumn("low", F.lower("line"))
+    return spread(plain, "notice_id").select("notice_id", F.posexplode(kept).alias("n", "line")).withColumn("low", F.lower("line"))
 
 
 def _any(column: Column, starts: tuple[str, ...]) -> Column:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from noticelake.functions import awards as A
 from noticelake.functions import classify as K
 from noticelake.functions import contacts as C
 
@@ -18,6 +19,16 @@ def test_markers_read_a_text_in_one_pass(spark):
     assert got == [sql.execute(f"SELECT {K.marker_sql('t')} FROM (SELECT ?::VARCHAR AS t)", [t]).fetchone()[0] for t in texts]
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bodies_are_dealt_before_they_are_cut_to_lines(spark):
+    bodies = spark.createDataFrame([(1, "<p>Awarded Bidder(s):<br>Two (1234)<br>Contract Price<br>EUR 7</p>")], "notice_id long, html string")
+    plan = _plan(A.bidders(bodies))
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.index("Generate")  # the plan's last steps stand first
+
+
 def test_contacts_of_one_file_are_read_by_many_tasks(spark):
     docs = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("Attn: Ann Lee E-mail: ann.lee@x.org").alias("text")).coalesce(1)
     found = C.body_contacts(docs)
