@@ -33,3 +33,85 @@ def test_contacts_of_one_file_are_read_by_many_tasks(spark):
     docs = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("Attn: Ann Lee E-mail: ann.lee@x.org").alias("text")).coalesce(1)
     found = C.body_contacts(docs)
     assert found.rdd.getNumPartitions() > 1 and found.where("email = 'ann.lee@x.org' AND name = 'Ann Lee'").count() == 100
+
+
+class _Timers:
+    """A handle of one key: its value and its timers, and how often these were set or taken back."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+        self.calls += 1
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+        self.calls += 1
+
+
+def _told(batches, base, most, limit, ttl):
+    """What a ledger is to tell of one key, by looking at every batch anew: attempts, then what the watermark has passed, in order of time."""
+    out, attempts, status, latest, due = [], 0, "", None, None
+    for rows, now in batches:
+        for ms, ok in sorted(rows):
+            attempts = 0 if ok else attempts + 1
+            status = "done" if ok else "failed" if attempts >= limit else "retry"
+            due = ms + 1000 * min(base * 2 ** (attempts - 1), most) if status == "retry" else None
+            latest = ms if latest is None else max(latest, ms)
+            out.append(("attempt", ms, status, attempts))
+        if latest is not None and due is not None and due <= min(now, latest + 1000 * ttl):
+            out.append(("due", due, status, attempts))
+            due = None
+        if latest is not None and latest + 1000 * ttl <= now:
+            out.append(("expired", latest + 1000 * ttl, status, attempts))
+            attempts, status, latest, due = 0, "", None, None
+    return out
+
+
+@pytest.mark.parametrize("ttl", [50, 150, 5000])
+def test_a_ledgers_timers_move_when_they_fire(ttl):
+    """Attempts of a key go through the ledger as rows; the timer of its expiry is not set anew at each batch."""
+    import random
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from noticelake.streaming import ledgers
+
+    Attempt = Row("us", "n", "ok")
+    for seed in range(60):
+        r = random.Random(seed)
+        clock, batches = 1000, []
+        for _ in range(12):
+            rows = [(clock + 1000 * r.randrange(1, 90), r.random() < 0.4) for _ in range(r.choice([0, 1, 1, 3]))]
+            rows = list({ms: (ms, ok) for ms, ok in rows}.values())
+            clock += 1000 * r.choice([10, 90, 90, 400])
+            batches.append((rows, clock))
+        handle, ledger, got = _Timers(), ledgers.RetryLedger(60, 300, 4, ttl), []
+        ledger.init(handle)
+        for rows, now in batches:
+            at = SimpleNamespace(getCurrentWatermarkInMs=lambda now=now: now)
+            if rows:
+                got += ledger.handleInputRows(("k",), iter([Attempt(1000 * ms, i, ok) for i, (ms, ok) in enumerate(rows)]), at)
+            for t in sorted(x for x in handle.timers if x <= now):
+                got += ledger.handleExpiredTimer(("k",), at, SimpleNamespace(getExpiryTimeInMs=lambda t=t: t))
+                handle.timers.discard(t)
+        assert [(x["event"], x["at"] // 1000, x["status"], x["attempts"]) for x in got] == _told(batches, 60, 300, 4, ttl)
+    handle, ledger = _Timers(), ledgers.RetryLedger(60, 300, 4, ttl)
+    ledger.init(handle)
+    for k in range(20):
+        list(ledger.handleInputRows(("k",), iter([Attempt(1_000_000 * k, k, True)]), None))
+    assert handle.calls == 1
