@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..registry import query, table
-from ..session import scratch, short_batches
+from ..session import scratch, short_batches, spread
 from ..sources import blocks as K
 from ..sources import files as L
 from ..sources import paged, service
@@ -201,14 +201,41 @@ def landed(folder: str, total: dict[int, int] | None = None):
     """
 
     def fetch(filters: dict, offset: int, rows: int) -> str:
-        from pyarrow import fs
-
-        name = hashlib.md5("|".join(filters[k] for k in sorted(filters)).encode()).hexdigest() if filters else "all"
-        where, place = fs.FileSystem.from_uri(f"{folder}/scope={name}/page={offset}")
-        parts = [x for x in where.get_file_info(fs.FileSelector(place, allow_not_found=True)) if x.base_name.startswith("part-")]
+        where, parts = _parts(folder, filters, offset)
         if not parts:
             return json.dumps({"notices": [], "total": (total or {}).get(len(filters))})
-        return "".join(where.open_input_stream(x.path).read().decode() for x in parts)
+        return "".join(where.open_input_stream(x).read().decode() for x in parts)
+
+    return fetch
+
+
+def _parts(folder: str, filters: dict, offset: int) -> tuple:
+    """The file system of a landed page and the paths of its files."""
+    from pyarrow import fs
+
+    name = hashlib.md5("|".join(filters[k] for k in sorted(filters)).encode()).hexdigest() if filters else "all"
+    where, place = fs.FileSystem.from_uri(f"{folder}/scope={name}/page={offset}")
+    return where, sorted(x.path for x in where.get_file_info(fs.FileSelector(place, allow_not_found=True)) if x.base_name.startswith("part-"))
+
+
+def landed_lines(folder: str, total: dict[int, int]):
+    """As ``landed``, over pages that hold a record a line; where one record is asked for, to learn of the page, no more than its line is read."""
+
+    def fetch(filters: dict, offset: int, rows: int) -> str:
+        where, parts = _parts(folder, filters, offset)
+        found: list[str] = []
+        for path in parts:
+            if rows == 1 and found:
+                break
+            with where.open_input_stream(path) as stream:
+                held = []
+                while more := stream.read(1 << 16 if rows == 1 else 1 << 24):
+                    held.append(more)
+                    if rows == 1 and b"\n" in more:
+                        break
+            lines = [x for x in b"".join(held).decode(errors="ignore" if rows == 1 else "strict").split("\n") if x]
+            found += lines[:1] if rows == 1 else lines
+        return f'{{"total": {json.dumps(total.get(len(filters)))}, "notices": [{",".join(found)}]}}'
 
     return fetch
 
@@ -220,17 +247,16 @@ def resumed_walk(spark, sf):
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     n = (o.agg(F.max("o_orderkey")).first()[0] or 0) + 1
     rows, parts = max(100, n // 20), 5
-    one = o.select(F.md5("c_mktsegment").alias("scope"), (F.floor(F.col("o_orderkey") / rows) * rows).alias("page"), "o_orderkey", "o_orderpriority", F.lit(n).alias("total"))
-    both = F.md5(F.concat_ws("|", "o_orderpriority", "c_mktsegment"))
-    two = o.select(both.alias("scope"), (F.floor(F.col("o_orderkey") / (parts * rows)) * rows).alias("page"), "o_orderkey", "o_orderpriority", F.lit(-(-n // parts)).alias("total"))
-    record = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("priority"))
-    bodies = one.union(two).groupBy("scope", "page").agg(F.to_json(F.struct(F.max("total").alias("total"), F.collect_list(record).alias("notices"))).alias("value"))
-    bodies.write.partitionBy("scope", "page").text(folder)
+    page = lambda keys: (F.floor(F.col("o_orderkey") / keys) * rows).alias("page")
+    record = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("priority"))).alias("value")
+    one = o.select(F.md5("c_mktsegment").alias("scope"), page(rows), record)
+    two = o.select(F.md5(F.concat_ws("|", "o_orderpriority", "c_mktsegment")).alias("scope"), page(parts * rows), record)
+    spread(one.union(two), "scope", "page").write.partitionBy("scope", "page").text(folder)  # a record a line: no page is a value of its own
     segments = sorted(r[0] for r in table(spark, sf, "customer").select("c_mktsegment").distinct().collect())  # the few scopes of the archive
     kinds = sorted(r[0] for r in table(spark, sf, "orders").select("o_orderpriority").distinct().collect())
     divide = lambda scope: [scope | {"priority": p} for p in kinds] if len(scope) == 1 else []
     cap = -(-n // 2 // rows) * rows
-    asked = service.Service(landed(folder, {1: n, 2: -(-n // parts)}), ("id", "priority"), "notices", rows=rows, cap=cap, scopes=tuple({"segment": s} for s in segments), divide=divide, pages=4, attempts=1)
+    asked = service.Service(landed_lines(folder, {1: n, 2: -(-n // parts)}), ("id", "priority"), "notices", rows=rows, cap=cap, scopes=tuple({"segment": s} for s in segments), divide=divide, pages=4, attempts=1)
     kept = B.Keyed(spark, f"{folder}-table", "o_orderkey", "o_orderkey long, o_orderpriority string, h string")
     take = lambda batch, _: kept.upsert(batch.select(F.col("id").cast("long").alias("o_orderkey"), F.col("priority").alias("o_orderpriority"), F.md5("record").alias("h")), "h")
     for slices in (1, 40):  # stopped after one slice; the second walk finds where the first was
@@ -314,7 +340,7 @@ def fetch_from(text: dict[int, str]):
     return lambda offset, rows: text.get(offset, json.dumps({"error": f"no page at {offset}"}))
 
 
-__all__ = ["fetch_from", "landed", "paged"]
+__all__ = ["fetch_from", "landed", "landed_lines", "paged"]
 
 
 _CLEAN = "CASE WHEN lower(trim({c})) IN ('none', 'null', 'n/a') THEN '' ELSE trim({c}) END"

@@ -19,6 +19,7 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, IsNotNull, LessThanOrEqual
 from pyspark.sql.types import StructType
@@ -26,6 +27,8 @@ from pyspark.sql.types import StructType
 Fetch = Callable[[dict, int, int], str]
 #: Columns beside those of the filters.
 FIXED = ("page long", "record string", "error string")
+#: Most rows of an Arrow batch.
+BATCH = 10_000
 _SIGNS = {EqualTo: "", GreaterThanOrEqual: "_from", LessThanOrEqual: "_to"}
 
 
@@ -63,8 +66,20 @@ class Service:
                 problem = e
         raise problem
 
-    def row(self, offset: int, record: dict) -> tuple:
-        return (*(None if record.get(c) is None else str(record[c]) for c in self.columns), offset, json.dumps(record), None)
+    def batches(self, offset: int, records: list[dict]) -> Iterator[pa.RecordBatch]:
+        """The rows of a page, column by column."""
+        for k in range(0, len(records), BATCH):
+            part = records[k : k + BATCH]
+            values = [[None if x is None else str(x) for x in (r.get(c) for r in part)] for c in self.columns]
+            yield self._batch(values, offset, [json.dumps(r) for r in part], [None] * len(part))
+
+    def failed(self, offset: int, problem: Exception) -> pa.RecordBatch:
+        return self._batch([[None] for _ in self.columns], offset, [None], [f"{type(problem).__name__}: {problem}"])
+
+    def _batch(self, values: list[list], offset: int, records: list, errors: list) -> pa.RecordBatch:
+        text = [pa.array(v, pa.string()) for v in (*values, records, errors)]
+        page = pa.array([offset] * len(records), pa.int64())
+        return pa.RecordBatch.from_arrays([*text[:-2], page, *text[-2:]], names=[*self.columns, "page", "record", "error"])
 
 
 @dataclass
@@ -108,18 +123,17 @@ class PagedReader(DataSourceReader):
         each = -(-pages // s.tasks)
         return [Run(self.filters, k * s.rows, min(pages, k + each) * s.rows) for k in range(0, pages, each)]
 
-    def read(self, run: Run) -> Iterator[tuple]:
+    def read(self, run: Run) -> Iterator[pa.RecordBatch]:
         s = self.service
         for offset in range(run.first, run.stop, s.rows):
             try:
                 records, _ = s.page(run.filters, offset)
             except Exception as e:
-                yield (*(None for _ in s.columns), offset, None, f"{type(e).__name__}: {e}")
+                yield s.failed(offset, e)
                 continue
             if not records:
                 return
-            for r in records:
-                yield s.row(offset, r)
+            yield from s.batches(offset, records)
 
 
 def _name(scope: dict) -> str:
@@ -169,10 +183,9 @@ class WalkReader(DataSourceStreamReader):
             found += [Run(json.loads(key), k, k + self.service.rows) for k in range(first, held["next"], self.service.rows)]
         return found
 
-    def read(self, run: Run) -> Iterator[tuple]:
+    def read(self, run: Run) -> Iterator[pa.RecordBatch]:
         """A page that fails here stops the batch; it is asked for again when the stream goes on."""
-        for r in self.service.page(run.filters, run.first)[0]:
-            yield self.service.row(run.first, r)
+        yield from self.service.batches(run.first, self.service.page(run.filters, run.first)[0])
 
 
 def register(spark: SparkSession, name: str, service: Service) -> None:
@@ -199,12 +212,17 @@ def register(spark: SparkSession, name: str, service: Service) -> None:
 def walk(spark: SparkSession, name: str, apply, checkpoint: str, slices: int) -> int:
     """Up to ``slices`` slices of the walk, each a batch given to ``apply(rows, number)``; how many there were.
 
-    Stops where nothing moves any more.  With the same checkpoint it goes on where the last call stopped.
+    Stops where nothing moves any more.  With the same checkpoint it goes on where the last call stopped.  The rows of a slice are
+    kept while they are applied, so that the service is asked once for a page however often ``apply`` reads them.
     """
     ran: list[int] = []
 
     def kept(rows, number: int) -> None:
-        apply(rows, number)
+        rows.persist()
+        try:
+            apply(rows, number)
+        finally:
+            rows.unpersist()
         ran.append(number)
 
     for k in range(1, slices + 1):
