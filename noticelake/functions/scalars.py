@@ -21,10 +21,16 @@ def clean_str(value: Column, most: int = 255) -> Column:
 
 
 def parse_date(value: Column) -> Column:
-    """A date from ISO text with or without a time, or one of four other forms; null otherwise."""
+    """A date from ISO text with or without a time, or one of four other forms; null otherwise.
+
+    A form is tried only where its separators stand, as a form that fails costs many times one that fits.
+    """
     v = F.trim(value)
-    tried = [F.try_to_date(F.substring_index(v, "T", 1), "yyyy-MM-dd")]
-    tried += [F.try_to_date(v, f) for f in ("dd-MMM-yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "MMM d, yyyy")]
+    third = F.substring(v, 3, 1)
+    has = lambda sign: F.contains(v, F.lit(sign)) & (third != sign)
+    tried = [F.when(has("-"), F.try_to_date(F.substring_index(v, "T", 1), "yyyy-MM-dd"))]
+    forms = {"dd-MMM-yyyy": third == "-", "dd/MM/yyyy": third == "/", "yyyy/MM/dd": has("/"), "MMM d, yyyy": F.contains(v, F.lit(","))}
+    tried += [F.when(fits, F.try_to_date(v, form)) for form, fits in forms.items()]
     return F.coalesce(*tried)
 
 

@@ -71,7 +71,8 @@ def text_of(value: Column, most: int | None = None) -> Column:
 
 def record_date(value: Column) -> Column:
     """A date of a record: day-month-year forms, ISO dates and timestamps, and month first as a last try."""
-    return F.coalesce(S.parse_date(value), F.try_to_date(F.trim(value), "MM/dd/yyyy"))
+    v = F.trim(value)
+    return F.coalesce(S.parse_date(value), F.when(F.substring(v, 3, 1) == "/", F.try_to_date(v, "MM/dd/yyyy")))
 
 
 def instant(value: Column) -> Column:
@@ -91,7 +92,9 @@ def map_notices(raw: DataFrame, record: str = "record", zones: dict[str, str] |
     Records without an id go.  ``zones`` has a time zone for each country that is known.
     """
     m = F.col("__m")
-    found = raw.select(fields(F.col(record)).alias("__m")).withColumn("notice_id", text_of(m["id"], 64)).where("notice_id <> ''")
+    # told of the parsed record itself: a filter on it would go down to the source and parse the record again for each use of its id
+    usable = F.filter(F.array(fields(F.col(record))), lambda x: text_of(x["id"], 64) != "")
+    found = raw.select(F.explode(usable).alias("__m")).withColumn("notice_id", text_of(m["id"], 64))
     values = {name: text_of(m[key], most) for name, (key, most) in NOTICE.items()}
     zone = F.create_map(*[F.lit(x) for p in zones.items() for x in p])[F.col("country")] if zones else F.lit(None).cast("string")
     dated = found.withColumns(values).withColumns(

@@ -134,3 +134,40 @@ def test_requirements_are_found_within_a_row(spark):
         (0, "annual_turnover_avg", 2_000_000.0, "USD", "The annual turnover is at least: USD 2,000,000 or EUR 1 million."), (0, "liquid_assets", 700.0, "USD", "Liquid assets of USD 700."),
         (1, "liquid_assets", 4_000.0, "USD", "Liquid assets are to be at least: (a) USD 5,000 or USD 4,000."), (2, "bid_security", 3_000.0, "EUR", "Bid security of EUR 3,000 is asked for."),
     ]
+
+
+def test_a_record_is_parsed_once(spark):
+    """The test for an id stays with the parsed record; as a filter it went down to the source and parsed the record again for each use of its id."""
+    from noticelake.sources import records as R
+
+    rows = spark.createDataFrame([('{"id": " N/A "}',), ('{"id": " a "}',), ("{}",), ("bad",), (None,), ('{"id": ["b", "c"]}',)], "record string")
+    found = R.map_notices(rows.select(F.concat("record", F.lit(" ")).alias("record")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(MapType") == 1 and "Filter" not in plan
+    assert sorted(r["notice_id"] for r in found.collect()) == ["a", "b c"]
+
+
+def test_dates_are_tried_only_in_forms_that_fit(spark):
+    """The same dates as by trying every form on every text."""
+    from noticelake.functions import scalars as S
+    from noticelake.sources import records as R
+
+    texts = ["2024-03-05", " 2024-03-05T10:00:00Z ", "05-Mar-2024", "5-Mar-2024", "05/03/2024", "25/12/2024", "12/25/2024", "2024/03/05", "Mar 5, 2024", "Mar 05, 2024", "March 5, 2024", "soon", "", None]
+    texts += ["2024-3-5", "20240305", "+12024-03-05", "-0001-01-01", "24-03-05", "05-03-2024", "2024-02-30", "31/02/2024", "a-b-c", "1/2/2024", "12/2024", "ab/cd", "Mar 5,2024", "05-Mar-2024T10:00", "2024/03/05T1", "--/", "/", "-", ","]
+    v = F.trim("t")
+    plain = [F.try_to_date(F.substring_index(v, "T", 1), "yyyy-MM-dd")] + [F.try_to_date(v, f) for f in ("dd-MMM-yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "MMM d, yyyy")]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    one, two = F.coalesce(*plain), F.coalesce(*plain, F.try_to_date(v, "MM/dd/yyyy"))
+    got = rows.select("t", S.parse_date(F.col("t")).cast("string").alias("a"), one.cast("string").alias("b"), R.record_date(F.col("t")).cast("string").alias("c"), two.cast("string").alias("d")).collect()
+    assert [(r["t"], r["a"], r["c"]) for r in got] == [(r["t"], r["b"], r["d"]) for r in got] and sum(r["c"] is not None for r in got) >= 9
+
+
+def test_a_text_of_a_batch_is_cleaned_once():
+    import pandas as pd
+
+    from noticelake.functions import text as T
+
+    asked = []
+    texts = pd.Series(["a", None, "b", "a", None], index=[3, 4, 5, 6, 9])
+    found = T.each_once(texts, lambda t: asked.append(t) or f"<{t or ''}>")
+    assert asked == ["a", None, "b"] and list(found) == ["<a>", "<>", "<b>", "<a>", "<>"] and list(found.index) == [3, 4, 5, 6, 9]
