@@ -72,7 +72,8 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     index = fps.select("fp", F.inline(held))
     probes = fps.select(F.col("fp").alias("other"), F.inline(tried))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= max_bits
-    return index.join(probes, ["segment", "key"]).where((F.col("fp") < F.col("other")) & near).select("fp", "other").distinct()
+    # Spark sizes exploded rows as if each were one still, and would broadcast the probes of 250,000 fingerprints
+    return index.join(probes.hint("merge"), ["segment", "key"]).where((F.col("fp") < F.col("other")) & near).select("fp", "other").distinct()
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -87,12 +88,13 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     prints = stored(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "simhash")
     firsts = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
     left, right = firsts.select("fp", F.col("rep").alias("a")), firsts.select(F.col("fp").alias("other"), F.col("rep").alias("b"))
-    edges = links(firsts, max_bits).join(left, "fp").join(right, "other").select("a", "b")
+    # tables that grow with the input; their packed files look smaller than their rows are in a broadcast
+    edges = links(firsts, max_bits).join(left.hint("merge"), "fp").join(right.hint("merge"), "other").select("a", "b")
     labels = components(edges)
-    reps = firsts.join(labels, F.col("rep") == F.col("node"), "left").select(
+    reps = firsts.join(labels.hint("merge"), F.col("rep") == F.col("node"), "left").select(
         "fp", F.coalesce("component", "rep").alias("component_id")
     )
-    return prints.join(reps, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(reps.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

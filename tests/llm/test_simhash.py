@@ -1,6 +1,7 @@
 import re
 
 import xxhash
+from pyspark.sql import functions as F
 
 from noticelake.llm import simhash
 from noticelake.llm.components import components
@@ -66,3 +67,12 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in components(df).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
     assert components(df.limit(0)).collect() == []
+
+
+def test_no_table_that_grows_is_broadcast(spark):
+    # as many rows as may stand in files that Spark takes for small
+    fps = spark.range(150_000).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(300)], "doc_id long, text string")
+    assert "Broadcast" not in simhash.near_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
