@@ -1,10 +1,12 @@
 """Injected models, writers and parsers on scripted results."""
 
 import io
+import json
 import zipfile
 
 from pyspark.sql import functions as F
 
+from noticelake import catalog
 from noticelake.functions import classify as K
 from noticelake.functions import text as T
 from noticelake.operators import ordering as O
@@ -37,6 +39,17 @@ def test_answer_checks_citations_and_survives_its_writer(spark):
     assert (got[1].unsupported, got[1].problem) == (1, "") and (got[2].claims, got[2].problem) == ([], "RuntimeError")
 
 
+def test_reranking_decides_what_the_writer_sees_first(spark, tmp_path):
+    # five words each shared with the question, so that the search itself goes by doc_id; texts grow with it
+    words = "alpha beta gamma delta epsilon"
+    docs = [(d, f"{words} " + " ".join(f"{chr(97 + d)}{chr(97 + k)}{c}" for k in range(9 + d) for c in ("xyz",)), f"s{d}") for d in range(5)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, words)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    row = catalog.queries()["cited_answers"](spark, str(tmp_path)).first()
+    shown = [c["text"].split(" (")[0] for c in json.loads(row.claims)[:5]]
+    assert shown == [f"[{k}] Document {5 - k}" for k in range(1, 6)] and (row.n, row.unsupported, row.problem) == (6, 1, "")
+
+
 def test_layers_and_grounding(spark):
     text = "The average annual turnover shall be at least USD 5,000. Staff must have licenses. Nothing else."
     docs = spark.createDataFrame([(1, text, 2020), (2, "No rules here.", 2020)], "doc_id long, text string, year int")
