@@ -1,5 +1,8 @@
 """Searches that ask once: by the texts themselves, without an index of places."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from noticelake import catalog
@@ -19,6 +22,27 @@ def test_texts_answer_as_their_index_does(spark):
     assert got == rows(FT.build(docs, scratch(spark, "texts"))) and got[0] == (1, 0, 1.0, 1)
 
 
+def test_every_item_is_asked_and_no_pair_is_dealt(spark):
+    found = catalog.queries()["lexical_overlap"](spark, "/root/testdata/sf0.001")
+    items = {r.item_id for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("item_id").collect()}
+    assert {r.qid for r in found.collect()} == items and " % 100" not in catalog.oracle_sql()["lexical_overlap"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "doc_id" not in "".join(re.findall(r"hashpartitioning\(([^)]*)\)", plan))
+
+
+def test_best_of_tasks_are_the_best_of_all(spark, monkeypatch):
+    rng = random.Random(4)
+    vocabulary = [a + b + c for a in "abcd" for b in "xyz" for c in "xyz"]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    docs = spark.createDataFrame([(None if i % 97 == 5 else i % 350, text(rng.randrange(12))) for i in range(400)], "doc_id long, text string").repartition(5)
+    asked = spark.createDataFrame([(i, text(i % 9)) for i in range(40)], "qid long, text string")
+    expected = sorted(map(repr, FT.lexical(asked, FT.build(docs, scratch(spark, "best")), 7).collect()))
+    for at_once in (4_096, 11):
+        monkeypatch.setattr(FT, "QUERIES_AT_ONCE", at_once)
+        assert sorted(map(repr, FT.lexical(asked, FT.Texts(docs), 7).collect())) == expected
+    assert FT.lexical(asked.limit(0), FT.Texts(docs), 7).collect() == []
+
+
 def test_long_quotes_ask_no_index(spark):
     docs = spark.createDataFrame([(1, "say one two three four five then"), (2, "one two")], "doc_id long, text string")
     quotes = spark.createDataFrame([(7, "one two three four five"), (8, "one TWO")], "item_id long, quote string")
