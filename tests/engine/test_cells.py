@@ -2,7 +2,10 @@
 
 import math
 import random
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from noticelake.operators import vectors as V
@@ -63,3 +66,24 @@ def test_empty_sides(spark):
     e = table(spark, [], "vec_id", "embedding")
     q = table(spark, [(1, 1, [1.0])], "qid", "qvec")
     assert V.top_k(q, e, 3, 0.1).collect() == [] and V.top_k(q.limit(0), e, 3).collect() == []
+
+
+def test_both_ways_to_cut_a_cell_agree(monkeypatch):
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(400, 5)).round(1)  # many equal scores
+    vectors[::50] = np.nan
+    frame = pd.DataFrame({"v": list(vectors), "owner": np.arange(400) % 7})
+    for threshold, apart in ((0.5, True), (0.5, False), (40.0, True)):
+        found = []
+        for share in (0.0, 1.0):
+            monkeypatch.setattr(V, "SPARSE", share)
+            found.append([tuple(map(np.ndarray.tolist, x)) for x in V.best_of_cell(frame[:150], frame, 9, threshold, apart)])
+        assert repr(found[0]) == repr(found[1]) and found[0]
+
+
+def test_scores_are_rounded_half_up_by_their_decimal_form():
+    plain = lambda x: float(Decimal(repr(float(x))).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=2000), rng.integers(-3_000_000, 3_000_000, 2000) / 2e6, rng.integers(-9, 9, 50) / 1e7, rng.normal(size=50) * 1e9, [0.0, -0.0, 5e-7, 1e18]])
+    assert V.rounded(x).tolist() == [plain(v) for v in x]
+    assert np.isnan(V.rounded(np.array([np.nan]))[0]) and V.rounded(np.array([np.inf, -np.inf])).tolist() == [np.inf, -np.inf] and len(V.rounded(np.zeros(0))) == 0

@@ -2,6 +2,8 @@
 
 import re
 
+import numpy as np
+
 from noticelake import catalog
 from noticelake.operators import vectors as V
 from noticelake.operators import fulltext as FT
@@ -65,6 +67,30 @@ def test_representative_passages_are_chosen(spark):
     assert sorted(r.vec_id for r in V.representatives(df).collect()) == [13, 21, 30]
 
 
+def test_representatives_are_sought_among_all_passages(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    n = 260
+    vectors = [v / np.linalg.norm(v) for v in rng.normal(size=(n, 8)) + 0.6 * rng.integers(0, 2, (n, 1))]
+    texts = [" ".join(rng.choice(["bridge", "river", "school", "road", "supply"], 4)) for _ in range(n)]
+    items = [(i, f"Supply of {a} and {b}") for i, (a, b) in enumerate(rng.choice(["bridge", "river", "school", "road"], (45, 2)))]
+    spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame(list(enumerate(texts))[:250], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    single = np.array(vectors, np.float32).astype(float)
+    expected = []
+    for owner in range(50):
+        own = []
+        for v in range(owner, n, 50):
+            near = sorted((-round(float(single[v] @ single[u]), 6), u) for u in range(n) if u % 50 != owner and round(float(single[v] @ single[u]), 6) >= 0.3)[:40]
+            title = {w for w in dict(items).get(owner, "").lower().split() if w not in V.TITLE_STOPWORDS and len(w) > 2}
+            own.append((v, len(title & set(texts[v].split())) if v < 250 else 0, len({u % 50 for _, u in near})))
+        pool = [x for x in own if (x[2] >= V.BOILERPLATE) == min(y[2] >= V.BOILERPLATE for y in own)]
+        best = sorted(pool, key=lambda x: (-x[1], x[2], x[0]))[:3]
+        expected += [(owner, v, t, d, i) for i, (v, t, d) in enumerate(best, 1)]
+    got = catalog.queries()["representative_passages"](spark, str(tmp_path)).select("source", "vec_id", "topicality", "duplicates", "place")
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+
+
 def test_quotes_of_any_length_equal_containment(spark):
     texts = ["the red fox ran, and ran", "A Red foxes' den", "red", "fo-x red fox. x", "", None, "no such words here", "xred foxy", "  the   red fox"]
     asked = ["red fox ran", "red", "e red fo", "fo-x red fox.", "- , -", "the   red", "zzz red zzz", "a red foxes' den", "ran, and ran", "such words"]
